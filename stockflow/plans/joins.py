@@ -1,0 +1,30 @@
+"""Size-checked broadcast joins.
+
+A side is broadcast only after a bounded probe proves it has at most
+``max_rows`` rows (the probe reads at most ``max_rows + 1`` rows). Larger
+sides are joined normally and Catalyst/AQE pick a shuffle join at runtime.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Dimension tables (warehouse, item, supplier, employee) broadcast below this.
+DEFAULT_BROADCAST_ROWS = 200_000
+
+
+def has_at_most(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has no more than ``max_rows`` rows (bounded probe)."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def small_side(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast-hinted ``df`` if its size is proven small, else ``df`` as is."""
+    return F.broadcast(df) if has_at_most(df, max_rows) else df
+
+
+def bounded_broadcast(df: DataFrame) -> DataFrame:
+    """Broadcast a side whose size bound is structural (e.g. <= 2 rows per
+    partition of another DataFrame); the caller states the bound."""
+    return F.broadcast(df)

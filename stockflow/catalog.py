@@ -290,3 +290,152 @@ def q_month_report_one(spark, d):
     t = T(spark, d)
     return reports.monthly_report(t.purchase_order, t.purchase_order_details,
                                   t.sales_order, t.sales_order_details, REPORT_MONTH)["pnl"]
+
+
+# ---------------------------------------------------------------- ledger
+from stockflow.operators import ledger  # noqa: E402
+
+_SIGNED = ("w_log_signed", """
+  SELECT *, CAST(CASE change_type WHEN 'IN' THEN abs(delta_qty) WHEN 'OUT' THEN -abs(delta_qty)
+                 ELSE delta_qty END AS BIGINT) AS signed_qty FROM w_log""")
+
+_MOVES = ("w_moves", """
+  SELECT *, CAST(CASE change_type WHEN 'IN' THEN abs(delta_qty) WHEN 'OUT' THEN -abs(delta_qty)
+                 ELSE delta_qty END AS BIGINT) AS signed_qty FROM (
+    SELECT h.warehouse_id, d.item_id, 'IN' AS change_type, d.quantity AS delta_qty, 'PO' AS ref_type,
+           h.po_id AS ref_id, d.po_detail_id AS src_id, CAST(h.po_date AS TIMESTAMP) AS logged_at
+    FROM w_pod d JOIN w_po h ON d.po_id = h.po_id WHERE h.status = 'RECEIVED'
+    UNION ALL
+    SELECT h.warehouse_id, d.item_id, 'OUT', -d.quantity, 'SO', h.so_id, d.so_detail_id, CAST(h.so_date AS TIMESTAMP)
+    FROM w_sod d JOIN w_so h ON d.so_id = h.so_id WHERE h.status = 'SHIPPED'
+    UNION ALL
+    SELECT warehouse_id, item_id, change_type, delta_qty, ref_type, ref_id, log_id, logged_at
+    FROM w_log WHERE change_type = 'ADJUST'
+    UNION ALL
+    SELECT warehouse_id, item_id, CASE WHEN kind = 'CUSTOMER' THEN 'IN' ELSE 'OUT' END, quantity,
+           CASE WHEN kind = 'CUSTOMER' THEN 'RETURN_CUST' ELSE 'RETURN_SUPP' END, CAST(NULL AS BIGINT),
+           return_id, returned_at
+    FROM w_returns)""")
+
+
+def _clip(src: str) -> list[tuple[str, str]]:
+    """DuckDB recursive fold: reject a movement that would go below zero."""
+    return [
+        ("cm", f"""SELECT *, row_number() OVER (PARTITION BY warehouse_id, item_id ORDER BY logged_at, log_id) AS rn
+                  FROM {src}"""),
+        ("co", """SELECT k.warehouse_id, k.item_id, COALESCE(s.quantity, 0) AS q
+                  FROM (SELECT DISTINCT warehouse_id, item_id FROM cm) k
+                  LEFT JOIN w_stock s ON s.warehouse_id = k.warehouse_id AND s.item_id = k.item_id"""),
+        ("cf(warehouse_id, item_id, rn, balance, accepted)", """
+           SELECT warehouse_id, item_id, CAST(0 AS BIGINT), CAST(q AS BIGINT), CAST(NULL AS BOOLEAN) FROM co
+           UNION ALL
+           SELECT m.warehouse_id, m.item_id, m.rn,
+                  CAST(CASE WHEN f.balance + m.signed_qty >= 0 THEN f.balance + m.signed_qty ELSE f.balance END AS BIGINT),
+                  f.balance + m.signed_qty >= 0
+           FROM cf f JOIN cm m ON m.warehouse_id = f.warehouse_id AND m.item_id = f.item_id AND m.rn = f.rn + 1"""),
+    ]
+
+
+_LOG_COLS = "m.log_id, m.warehouse_id, m.item_id, m.change_type, m.delta_qty, m.ref_type, m.ref_id, m.emp_id, m.logged_at, m.signed_qty"
+
+
+@register("movements", W("w_po", "w_pod", "w_so", "w_sod", "w_log", "w_returns", extra=[_MOVES]) + """
+SELECT * FROM w_moves""")
+def q_movements(spark, d):
+    t = T(spark, d)
+    return ledger.movements(t.purchase_order, t.purchase_order_details, t.sales_order,
+                            t.sales_order_details, t.transaction_log, t.returns)
+
+
+@register("net_movements", W("w_po", "w_pod", "w_so", "w_sod", "w_log", "w_returns", extra=[_MOVES]) + """
+SELECT warehouse_id, item_id, CAST(sum(signed_qty) AS BIGINT) AS net_qty, count(*) AS n_moves
+FROM w_moves GROUP BY warehouse_id, item_id""")
+def q_net_movements(spark, d):
+    return ledger.net_movements(q_movements(spark, d))
+
+
+@register("stock_from_ledger", W("w_log", extra=[_SIGNED]) + """
+SELECT warehouse_id, item_id, CAST(sum(signed_qty) AS BIGINT) AS quantity, count(*) AS n_moves,
+       max(logged_at) AS last_logged_at
+FROM w_log_signed GROUP BY warehouse_id, item_id""")
+def q_stock_from_ledger(spark, d):
+    return ledger.stock_from_ledger(T(spark, d).transaction_log)
+
+
+@register("ledger_drift", W("w_po", "w_pod", "w_so", "w_sod", "w_log", "w_returns", "w_stock", extra=[_MOVES]) + """
+SELECT * FROM (
+  SELECT COALESCE(s.warehouse_id, l.warehouse_id) AS warehouse_id, COALESCE(s.item_id, l.item_id) AS item_id,
+         COALESCE(s.quantity, 0) AS stock_qty, COALESCE(l.q, 0) AS ledger_qty,
+         COALESCE(s.quantity, 0) - COALESCE(l.q, 0) AS drift
+  FROM w_stock s FULL OUTER JOIN
+       (SELECT warehouse_id, item_id, CAST(sum(signed_qty) AS BIGINT) AS q FROM w_moves GROUP BY ALL) l
+    ON s.warehouse_id = l.warehouse_id AND s.item_id = l.item_id)
+WHERE drift <> 0""")
+def q_ledger_drift(spark, d):
+    t = T(spark, d)
+    return ledger.ledger_drift(t.stock, q_movements(spark, d))
+
+
+@register("running_balance", W("w_log", "w_po", "w_pod", "w_stock", extra=[_SIGNED]) + f"""
+SELECT {_LOG_COLS},
+       CAST(COALESCE(s.quantity, 0) + sum(m.signed_qty) OVER (
+            PARTITION BY m.warehouse_id, m.item_id ORDER BY m.logged_at, m.log_id
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS balance
+FROM w_log_signed m LEFT JOIN w_stock s ON s.warehouse_id = m.warehouse_id AND s.item_id = m.item_id""")
+def q_running_balance(spark, d):
+    t = T(spark, d)
+    return ledger.running_balance(t.transaction_log, t.stock)
+
+
+@register("clipped_balance", W("w_log", "w_po", "w_pod", "w_stock", extra=[_SIGNED, *_clip("w_log_signed")]) + f"""
+SELECT {_LOG_COLS}, f.balance, f.accepted
+FROM cm m JOIN cf f ON f.warehouse_id = m.warehouse_id AND f.item_id = m.item_id AND f.rn = m.rn""")
+def q_clipped_balance(spark, d):
+    t = T(spark, d)
+    return ledger.apply_movements(t.transaction_log, t.stock)
+
+
+def _stock_after_sql(fold_rows: str) -> str:
+    return f"""
+, last AS (SELECT warehouse_id, item_id, arg_max(balance, rn) AS new_qty,
+                  count(*) FILTER (WHERE accepted) AS n_applied, count(*) FILTER (WHERE NOT accepted) AS n_rejected
+           FROM {fold_rows} WHERE rn > 0 GROUP BY warehouse_id, item_id)
+SELECT COALESCE(s.warehouse_id, l.warehouse_id) AS warehouse_id, COALESCE(s.item_id, l.item_id) AS item_id,
+       CAST(COALESCE(l.new_qty, s.quantity) AS BIGINT) AS quantity,
+       COALESCE(l.n_applied, 0) AS n_applied, COALESCE(l.n_rejected, 0) AS n_rejected
+FROM w_stock s FULL OUTER JOIN last l ON s.warehouse_id = l.warehouse_id AND s.item_id = l.item_id"""
+
+
+@register("adjust_result", W("w_log", "w_po", "w_pod", "w_stock", extra=[
+    ("w_adj", "SELECT *, delta_qty AS signed_qty FROM w_log WHERE change_type = 'ADJUST'"),
+    *_clip("w_adj")]) + _stock_after_sql("cf"))
+def q_adjust_result(spark, d):
+    """WF13: manual signed adjustments applied with the non-negative rule."""
+    t = T(spark, d)
+    adj = t.transaction_log.where(F.col("change_type") == "ADJUST")
+    return ledger.stock_after(t.stock, ledger.apply_movements(adj, t.stock))
+
+
+@register("returns_result", W("w_returns", "w_po", "w_pod", "w_stock", extra=[
+    ("w_ret", """SELECT return_id AS log_id, warehouse_id, item_id, returned_at AS logged_at,
+                        CASE WHEN kind = 'CUSTOMER' THEN quantity ELSE -quantity END AS signed_qty FROM w_returns"""),
+    *_clip("w_ret")]) + _stock_after_sql("cf"))
+def q_returns_result(spark, d):
+    """WF14: customer returns IN, supplier returns OUT; an OUT never drives
+    stock negative (and never creates a negative row)."""
+    from stockflow.operators.orders import process_returns
+    t = T(spark, d)
+    return process_returns(t.stock, t.returns)["stock"]
+
+
+@register("upsert_stock", W("w_log", "w_po", "w_pod", "w_stock", extra=[_SIGNED]) + """
+SELECT COALESCE(s.warehouse_id, d.warehouse_id) AS warehouse_id, COALESCE(s.item_id, d.item_id) AS item_id,
+       CAST(COALESCE(s.quantity, 0) + COALESCE(d.q, 0) AS BIGINT) AS quantity
+FROM w_stock s FULL OUTER JOIN
+     (SELECT warehouse_id, item_id, sum(signed_qty) AS q FROM w_log_signed GROUP BY ALL) d
+  ON s.warehouse_id = d.warehouse_id AND s.item_id = d.item_id""")
+def q_upsert_stock(spark, d):
+    from stockflow.sources.sinks import upsert_stock
+    t = T(spark, d)
+    deltas = ledger.with_signed(t.transaction_log).select("warehouse_id", "item_id", F.col("signed_qty").alias("delta"))
+    return upsert_stock(t.stock, deltas).select("warehouse_id", "item_id", "quantity")

@@ -439,3 +439,96 @@ def q_upsert_stock(spark, d):
     t = T(spark, d)
     deltas = ledger.with_signed(t.transaction_log).select("warehouse_id", "item_id", F.col("signed_qty").alias("delta"))
     return upsert_stock(t.stock, deltas).select("warehouse_id", "item_id", "quantity")
+
+
+# ---------------------------------------------------------------- alerts
+from stockflow.operators import alerts as alerts_op  # noqa: E402
+
+NEW_ALERT_ID_OFFSET = 1_000_000_000
+
+
+def _alert_sim(initial_sql: str) -> list[tuple[str, str]]:
+    """DuckDB oracle: the stock trigger simulated observation by observation."""
+    slot = ("{{'alert_id': {i}, 'current_quantity': {q}, 'reorder_level': {l}, "
+            "'expected_quantity': {e}, 'alert_date': {d}}}")
+    o_newer = ("(s.o IS NOT NULL AND (s.a IS NULL OR s.o.alert_date > s.a.alert_date OR "
+               "(s.o.alert_date = s.a.alert_date AND s.o.alert_id > s.a.alert_id)))")
+    low = "(m.q < m.lvl)"
+
+    def pick(status):
+        return (f"(SELECT {slot.format(i='alert_id', q='current_quantity', l='reorder_level', e='expected_quantity', d='alert_date')} "
+                f"FROM a0 WHERE a0.warehouse_id = k.warehouse_id AND a0.item_id = k.item_id AND a0.status = '{status}')")
+
+    def resolved_from(x):
+        return slot.format(i=f"s.{x}.alert_id", q="m.q", l=f"s.{x}.reorder_level",
+                           e=f"s.{x}.expected_quantity", d=f"s.{x}.alert_date")
+
+    step = f"""
+      SELECT k.warehouse_id, k.item_id, CAST(0 AS BIGINT), {pick('OPEN')}, {pick('ACK')}, {pick('RESOLVED')} FROM k0 k
+      UNION ALL
+      SELECT s.warehouse_id, s.item_id, s.rn + 1,
+        CASE WHEN {low} AND s.o IS NULL AND s.a IS NULL
+               THEN {slot.format(i='m.nid', q='m.q', l='m.lvl', e='CAST(NULL AS BIGINT)', d='m.ts')}
+             WHEN NOT {low} AND (s.r IS NOT NULL OR {o_newer}) THEN NULL
+             ELSE s.o END,
+        CASE WHEN NOT {low} AND (s.r IS NOT NULL OR (s.a IS NOT NULL AND NOT {o_newer})) THEN NULL
+             ELSE s.a END,
+        CASE WHEN NOT {low} AND s.r IS NULL AND {o_newer} THEN {resolved_from('o')}
+             WHEN NOT {low} AND s.r IS NULL AND s.a IS NOT NULL THEN {resolved_from('a')}
+             ELSE s.r END
+      FROM st s JOIN obs m ON m.warehouse_id = s.warehouse_id AND m.item_id = s.item_id AND m.orn = s.rn + 1"""
+    return [
+        _SIGNED, *_clip("w_log_signed"),
+        ("obs", f"""SELECT m.warehouse_id, m.item_id, f.balance AS q, i.reorder_level AS lvl, m.logged_at AS ts,
+                           m.log_id + {NEW_ALERT_ID_OFFSET} AS nid,
+                           row_number() OVER (PARTITION BY m.warehouse_id, m.item_id ORDER BY m.logged_at, m.log_id) AS orn
+                    FROM cm m JOIN cf f ON f.warehouse_id = m.warehouse_id AND f.item_id = m.item_id AND f.rn = m.rn
+                    JOIN w_item i ON i.item_id = m.item_id
+                    WHERE f.accepted"""),
+        ("a0", initial_sql),
+        ("k0", "SELECT warehouse_id, item_id FROM obs UNION SELECT warehouse_id, item_id FROM a0"),
+        ("st(warehouse_id, item_id, rn, o, a, r)", step),
+        ("fin", "SELECT * FROM st QUALIFY rn = max(rn) OVER (PARTITION BY warehouse_id, item_id)"),
+    ]
+
+
+_ALERT_OUT = """
+SELECT x.alert_id, warehouse_id, item_id, x.current_quantity, x.reorder_level, x.expected_quantity, x.alert_date, status
+FROM (SELECT warehouse_id, item_id, o AS x, 'OPEN' AS status FROM fin WHERE o IS NOT NULL
+      UNION ALL SELECT warehouse_id, item_id, a, 'ACK' FROM fin WHERE a IS NOT NULL
+      UNION ALL SELECT warehouse_id, item_id, r, 'RESOLVED' FROM fin WHERE r IS NOT NULL)"""
+
+
+def _alerts(spark, d, initial):
+    t = T(spark, d)
+    applied = ledger.apply_movements(t.transaction_log, t.stock)
+    obs = alerts_op.observations(applied, t.item, NEW_ALERT_ID_OFFSET)
+    return alerts_op.maintain_alerts(initial(t), obs)
+
+
+@register("alerts_final", W("w_log", "w_po", "w_pod", "w_stock", "w_item", "w_alerts0", extra=_alert_sim(
+    "SELECT * FROM w_alerts0 WHERE false")) + _ALERT_OUT)
+def q_alerts_final(spark, d):
+    """WN4: alerts produced by the ledger's applied movements from an empty alert table."""
+    return _alerts(spark, d, lambda t: t.reorder_alerts.where(F.lit(False)))
+
+
+@register("alerts_with_history", W("w_log", "w_po", "w_pod", "w_stock", "w_item", "w_alerts0",
+                                   extra=_alert_sim("SELECT * FROM w_alerts0")) + _ALERT_OUT)
+def q_alerts_with_history(spark, d):
+    """WF15: alert maintenance over existing OPEN/ACK/RESOLVED alerts."""
+    return _alerts(spark, d, lambda t: t.reorder_alerts)
+
+
+@register("latest_alert_per_key", W("w_log", "w_item", "w_alerts0") + """
+SELECT warehouse_id, item_id, arg_max(alert_id, (alert_date, alert_id)) AS alert_id,
+       arg_max(current_quantity, (alert_date, alert_id)) AS current_quantity,
+       arg_max(reorder_level, (alert_date, alert_id)) AS reorder_level,
+       arg_max(expected_quantity, (alert_date, alert_id)) AS expected_quantity,
+       max(alert_date) AS alert_date,
+       arg_max(status, (alert_date, alert_id)) AS status
+FROM w_alerts0 WHERE status IN ('OPEN', 'ACK') GROUP BY warehouse_id, item_id""")
+def q_latest_alert(spark, d):
+    """WN1: the newest OPEN/ACK alert per key (the row the trigger would resolve)."""
+    a = T(spark, d).reorder_alerts.where(F.col("status").isin("OPEN", "ACK"))
+    return alerts_op.latest_per_key(a, ["warehouse_id", "item_id"], ["alert_date", "alert_id"])

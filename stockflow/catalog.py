@@ -532,3 +532,247 @@ def q_latest_alert(spark, d):
     """WN1: the newest OPEN/ACK alert per key (the row the trigger would resolve)."""
     a = T(spark, d).reorder_alerts.where(F.col("status").isin("OPEN", "ACK"))
     return alerts_op.latest_per_key(a, ["warehouse_id", "item_id"], ["alert_date", "alert_id"])
+
+
+# ---------------------------------------------------------------- order workflows
+from stockflow.functions import scalars as sc  # noqa: E402
+from stockflow.operators import orders  # noqa: E402
+
+
+@register("receive_stock", W("w_po", "w_pod", "w_stock") + """
+SELECT COALESCE(s.warehouse_id, d.warehouse_id) AS warehouse_id, COALESCE(s.item_id, d.item_id) AS item_id,
+       CAST(COALESCE(s.quantity, 0) + COALESCE(d.q, 0) AS BIGINT) AS quantity
+FROM w_stock s FULL OUTER JOIN
+     (SELECT h.warehouse_id, l.item_id, sum(l.quantity) AS q
+      FROM w_pod l JOIN w_po h ON h.po_id = l.po_id
+      WHERE h.status IN ('CREATED', 'APPROVED', 'PARTIAL') GROUP BY ALL) d
+  ON s.warehouse_id = d.warehouse_id AND s.item_id = d.item_id""")
+def q_receive_stock(spark, d):
+    """WF10: every purchase order requested; receivable ones add their lines."""
+    t = T(spark, d)
+    r = orders.receive_pos(t.purchase_order, t.purchase_order_details, t.stock,
+                           t.purchase_order.select("po_id"), as_of="2026-01-01 00:00:00")
+    return r["stock"].select("warehouse_id", "item_id", "quantity")
+
+
+@register("receive_rejects", W("w_po", "w_pod") + """
+SELECT po_id, CASE WHEN status NOT IN ('CREATED', 'APPROVED', 'PARTIAL') THEN 'BAD_STATUS:' || status
+                   ELSE 'NO_LINES' END AS reason
+FROM w_po h
+WHERE status NOT IN ('CREATED', 'APPROVED', 'PARTIAL')
+   OR NOT EXISTS (SELECT 1 FROM w_pod l WHERE l.po_id = h.po_id)""")
+def q_receive_rejects(spark, d):
+    t = T(spark, d)
+    r = orders.receive_pos(t.purchase_order, t.purchase_order_details, t.stock, t.purchase_order.select("po_id"))
+    return r["rejected"]
+
+
+@register("receive_headers", W("w_po", "w_pod") + """
+SELECT h.po_id,
+       CASE WHEN h.status IN ('CREATED', 'APPROVED') THEN 'RECEIVED' ELSE h.status END AS status,
+       CASE WHEN h.status IN ('CREATED', 'APPROVED')
+            THEN CAST(COALESCE((SELECT sum(l.quantity * l.price) FROM w_pod l WHERE l.po_id = h.po_id), 0) AS DECIMAL(14,2))
+            ELSE h.total_amount END AS total_amount
+FROM w_po h""")
+def q_receive_headers(spark, d):
+    t = T(spark, d)
+    r = orders.receive_pos(t.purchase_order, t.purchase_order_details, t.stock, t.purchase_order.select("po_id"))
+    return r["po"].select("po_id", "status", "total_amount")
+
+
+@register("ship_result", None)
+def q_ship_result(spark, d):
+    """WF11: every sales order requested; shippable ones ship in so_id order
+    when all their lines are available (no simple SQL: sequential allocation;
+    tested against a brute-force sequential simulation)."""
+    t = T(spark, d)
+    return orders.ship_sos(t.sales_order, t.sales_order_details, t.stock)["decisions"]
+
+
+@register("ship_stock", None)
+def q_ship_stock(spark, d):
+    """WF11: stock after shipping every shippable order that fits."""
+    t = T(spark, d)
+    r = orders.ship_sos(t.sales_order, t.sales_order_details, t.stock, as_of="2026-01-01 00:00:00")
+    return r["stock"].select("warehouse_id", "item_id", "quantity")
+
+
+@register("add_items", W("w_item", "w_item_intake") + """
+SELECT staged_id,
+       CASE WHEN name IS NULL OR length(trim(name)) = 0 THEN 'BLANK_NAME'
+            WHEN lower(name) IN (SELECT lower(name) FROM w_item) THEN 'DUPLICATE_NAME'
+            WHEN staged_id <> min(staged_id) OVER (PARTITION BY lower(name)) THEN 'DUPLICATE_IN_BATCH'
+       END AS reason
+FROM w_item_intake""")
+def q_add_items(spark, d):
+    """WF4: staged items (raw part names, which repeat) against the item master."""
+    t = T(spark, d)
+    r = orders.add_master(t.item, t.item_intake, "item_id", "staged_id", ["name"], "name",
+                          {"unit_of_measure": "pcs"})
+    return (r["accepted"].select("staged_id", F.lit(None).cast("string").alias("reason"))
+            .unionByName(r["rejected"]))
+
+
+@register("add_items_table", W("w_item", "w_item_intake") + """
+SELECT name, category, COALESCE(unit_of_measure, 'pcs') AS unit_of_measure, price, reorder_level
+FROM w_item
+UNION ALL
+SELECT name, category, 'pcs', price, reorder_level FROM w_item_intake
+QUALIFY staged_id = min(staged_id) OVER (PARTITION BY lower(name))""")
+def q_add_items_table(spark, d):
+    """WF4 + SNK1: the item master after the intake (new ids follow the max)."""
+    t = T(spark, d)
+    r = orders.add_master(t.item, t.item_intake, "item_id", "staged_id", ["name"], "name",
+                          {"unit_of_measure": "pcs"})
+    return r["table"].select("name", "category", "unit_of_measure", "price", "reorder_level")
+
+
+@register("create_pos", W("w_po_intake", "w_supplier", "w_warehouse") + """
+SELECT staged_id,
+       CASE WHEN supplier_id NOT IN (SELECT supplier_id FROM w_supplier) THEN 'UNKNOWN_SUPPLIER_ID'
+            WHEN warehouse_id NOT IN (SELECT warehouse_id FROM w_warehouse) THEN 'UNKNOWN_WAREHOUSE_ID' END AS reason
+FROM w_po_intake""")
+def q_create_pos(spark, d):
+    """WF5: staged purchase orders; unknown suppliers are rejected, the rest
+    get status CREATED, total 0 and new ids."""
+    t = T(spark, d)
+    r = orders.create_orders(t.purchase_order, t.po_intake, "po_id", "staged_id",
+                             {"supplier_id": t.supplier, "warehouse_id": t.warehouse}, "CREATED")
+    acc = t.po_intake.join(r["rejected"], "staged_id", "left_anti").select(
+        "staged_id", F.lit(None).cast("string").alias("reason"))
+    return acc.unionByName(r["rejected"])
+
+
+@register("create_pos_table", W("w_po", "w_po_intake", "w_supplier") + """
+SELECT po_id, supplier_id, warehouse_id, po_date, status, total_amount FROM w_po
+UNION ALL
+SELECT (SELECT max(po_id) FROM w_po) + row_number() OVER (ORDER BY staged_id), supplier_id, warehouse_id, po_date,
+       'CREATED', CAST(0 AS DECIMAL(14,2))
+FROM w_po_intake WHERE supplier_id IN (SELECT supplier_id FROM w_supplier)""")
+def q_create_pos_table(spark, d):
+    """WF5 + SNK1: the purchase-order table after the intake."""
+    t = T(spark, d)
+    r = orders.create_orders(t.purchase_order, t.po_intake, "po_id", "staged_id",
+                             {"supplier_id": t.supplier, "warehouse_id": t.warehouse}, "CREATED")
+    return r["table"]
+
+
+@register("add_so_lines", W("w_sod", "w_item", "w_sol_intake") + """
+SELECT staged_id, so_id, item_id, price, reason FROM (
+  SELECT x.*, CASE WHEN x.list IS NULL THEN 'UNKNOWN_ITEM' WHEN x.quantity <= 0 THEN 'BAD_QUANTITY'
+                   WHEN x.dup THEN 'DUPLICATE_LINE'
+                   WHEN x.staged_id <> min(x.staged_id) OVER (PARTITION BY x.so_id, x.item_id) THEN 'DUPLICATE_LINE' END AS reason
+  FROM (SELECT s.staged_id, s.so_id, s.item_id, s.quantity, i.price AS list,
+               CAST(COALESCE(s.price, i.price, 0) AS DECIMAL(12,2)) AS price,
+               EXISTS (SELECT 1 FROM w_sod d WHERE d.so_id = s.so_id AND d.item_id = s.item_id) AS dup
+        FROM w_sol_intake s LEFT JOIN w_item i ON i.item_id = s.item_id) x)""")
+def q_add_so_lines(spark, d):
+    """WF6: staged sales-order lines: price typed, else item price (D-16);
+    duplicates of existing or earlier staged (order, item) pairs rejected."""
+    t = T(spark, d)
+    r = orders.add_lines(t.sales_order_details, t.so_line_intake, t.item, "so_id", "so_detail_id",
+                         "staged_id", editable_price=True)
+    acc = r["accepted"].select("staged_id", "so_id", "item_id", "price", F.lit(None).cast("string").alias("reason"))
+    rej = (r["rejected"].join(t.so_line_intake.select("staged_id", "so_id", "item_id"), "staged_id")
+           .join(t.so_line_intake.select("staged_id", "price", "item_id")
+                 .join(t.item.select("item_id", F.col("price").alias("_l")), "item_id", "left")
+                 .select("staged_id", F.coalesce("price", "_l", F.lit(0)).cast("decimal(12,2)").alias("price")),
+                 "staged_id"))
+    return acc.unionByName(rej.select("staged_id", "so_id", "item_id", "price", "reason"))
+
+
+@register("update_line_qty", W("w_po", "w_pod") + """
+, ch AS (SELECT d.po_id, d.item_id, d.quantity - 5 AS quantity FROM w_pod d JOIN w_po h ON h.po_id = d.po_id
+         WHERE h.status = 'APPROVED'),
+  nd AS (SELECT d.po_id, d.item_id, COALESCE(CASE WHEN c.quantity > 0 THEN c.quantity END, d.quantity) AS quantity, d.price
+         FROM w_pod d LEFT JOIN ch c ON c.po_id = d.po_id AND c.item_id = d.item_id)
+SELECT h.po_id,
+       CASE WHEN h.po_id IN (SELECT po_id FROM ch WHERE quantity > 0)
+            THEN CAST(COALESCE((SELECT sum(n.quantity * n.price) FROM nd n WHERE n.po_id = h.po_id), 0) AS DECIMAL(14,2))
+            ELSE h.total_amount END AS total_amount,
+       (SELECT CAST(sum(n.quantity) AS BIGINT) FROM nd n WHERE n.po_id = h.po_id) AS total_quantity
+FROM w_po h""")
+def q_update_line_qty(spark, d):
+    """WF7: every line of an APPROVED purchase order reduced by 5 (results <= 0
+    rejected); touched headers get refreshed totals."""
+    t = T(spark, d)
+    ch = (t.purchase_order_details.join(t.purchase_order.where(F.col("status") == "APPROVED").select("po_id"), "po_id")
+          .select("po_id", "item_id", (F.col("quantity") - 5).alias("quantity")))
+    r = orders.update_line_qty(t.purchase_order_details, ch, "po_id", t.purchase_order)
+    qty = r["detail"].groupBy("po_id").agg(F.sum("quantity").cast("long").alias("total_quantity"))
+    return r["header"].select("po_id", "total_amount").join(qty, "po_id", "left")
+
+
+@register("add_employees", W("w_employee_intake", "w_warehouse") + """
+SELECT emp_id AS staged_id,
+       COALESCE(CASE role_label WHEN 'Warehouse Manager' THEN 'manager' WHEN 'Receiver' THEN 'staff'
+                  WHEN 'Picker' THEN 'picker' WHEN 'Admin' THEN 'admin' WHEN 'Clerk' THEN 'staff'
+                  WHEN 'Auditor' THEN 'staff' WHEN 'Supervisor' THEN 'staff' END, 'staff') AS role,
+       CASE WHEN name IS NULL OR length(trim(name)) = 0 THEN 'BLANK_NAME'
+            WHEN NOT COALESCE(regexp_full_match(trim(contact), '[a-zA-Z0-9._%+-]+@gmail\\.com'), false) THEN 'BAD_CONTACT'
+            WHEN warehouse_id IS NOT NULL AND warehouse_id NOT IN (SELECT warehouse_id FROM w_warehouse) THEN 'UNKNOWN_WAREHOUSE'
+       END AS reason
+FROM w_employee_intake""")
+def q_add_employees(spark, d):
+    """WF19: employee intake with Gmail contact, role mapping and warehouse check."""
+    t = T(spark, d)
+    staged = t.employee_intake.withColumnRenamed("emp_id", "staged_id")
+    empty = t.employee.where(F.lit(False))
+    r = orders.add_employees(empty, staged, t.warehouse)
+    acc = r["accepted"].select("staged_id", "role", F.lit(None).cast("string").alias("reason"))
+    rej = (r["rejected"].join(staged.select("staged_id", sc.map_role(F.col("role_label")).alias("role")), "staged_id"))
+    return acc.unionByName(rej.select("staged_id", "role", "reason"))
+
+
+@register("contact_backfill", W("w_supplier") + """
+SELECT supplier_id, name,
+       CASE WHEN contact IS NULL THEN COALESCE(NULLIF(phone, ''), NULLIF(email, ''), '') ELSE contact END AS contact
+FROM w_supplier""")
+def q_contact_backfill(spark, d):
+    """WF20/SC2: supplier contacts filled by the later rule."""
+    return orders.backfill_contact(T(spark, d).supplier).select("supplier_id", "name", "contact")
+
+
+@register("gmail_filter", W("w_employee_intake") + """
+SELECT emp_id, contact, COALESCE(regexp_full_match(trim(contact), '[a-zA-Z0-9._%+-]+@gmail\\.com'), false) AS valid_gmail,
+       COALESCE(length(trim(name)) > 0, false) AS name_ok
+FROM w_employee_intake""")
+def q_gmail_filter(spark, d):
+    """SC6/SC7: Gmail and non-blank checks on staged employees."""
+    return orders.employee_checks(T(spark, d).employee_intake).select("emp_id", "contact", "valid_gmail", "name_ok")
+
+
+@register("role_mapping", W("w_employee_intake") + """
+SELECT emp_id, role_label,
+       COALESCE(CASE role_label WHEN 'Warehouse Manager' THEN 'manager' WHEN 'Receiver' THEN 'staff'
+                  WHEN 'Picker' THEN 'picker' WHEN 'Admin' THEN 'admin' WHEN 'Clerk' THEN 'staff'
+                  WHEN 'Auditor' THEN 'staff' WHEN 'Supervisor' THEN 'staff' END, 'staff') AS role
+FROM w_employee_intake""")
+def q_role_mapping(spark, d):
+    """SC8: UI role label -> stored role."""
+    return orders.employee_checks(T(spark, d).employee_intake).select("emp_id", "role_label", "role")
+
+
+@register("choice_parse", W("w_item") + """
+SELECT item_id, CAST(item_id AS VARCHAR) || ' - ' || name AS choice, item_id AS parsed_id FROM w_item""")
+def q_choice_parse(spark, d):
+    """SC9: compose 'id - name' choices and parse the id back."""
+    it = T(spark, d).item.select("item_id", sc.compose_choice(F.col("item_id"), F.col("name")).alias("choice"))
+    return it.select("item_id", "choice", sc.parse_choice("choice").alias("parsed_id"))
+
+
+@register("digest", W("w_employee") + """
+SELECT emp_id, sha256(name) AS name_digest FROM w_employee""")
+def q_digest(spark, d):
+    """SC11: SHA-256 hex digests."""
+    return T(spark, d).employee.select("emp_id", sc.sha256_hex(F.col("name")).alias("name_digest"))
+
+
+@register("amount_text", W("w_po", "w_pod") + """
+SELECT h.po_id, printf('%.2f', CAST(COALESCE(sum(d.quantity * d.price), 0) AS DECIMAL(18,2))) AS po_total_text
+FROM w_po h LEFT JOIN w_pod d ON d.po_id = h.po_id GROUP BY h.po_id""")
+def q_amount_text(spark, d):
+    """SC10: two-decimal text of exact order totals."""
+    t = T(spark, d)
+    return totals.po_totals(t.purchase_order, t.purchase_order_details).select(
+        "po_id", sc.format_amount(F.col("po_total")).alias("po_total_text"))

@@ -125,8 +125,9 @@ def _sql(c) -> str:
 
 
 def format_amount(c) -> Column:
-    """SC10: two-decimal text of an amount (exact decimal, no float step)."""
-    return F.format_string("%.2f", _c(c).cast("decimal(38,2)"))
+    """SC10: two-decimal text of an amount (exact decimal, no float step):
+    a decimal(38,2) cast to text keeps exactly two decimals."""
+    return _c(c).cast("decimal(38,2)").cast("string")
 
 
 def sha256_hex(c) -> Column:

@@ -1,11 +1,155 @@
-"""Order workflows over whole order sets (WF4-WF7, WF10, WF11, WF13, WF14, WF19, WF20)."""
+"""Order and master-data workflows over whole request sets
+(WF4-WF7, WF10, WF11, WF13, WF14, WF19, WF20).
+
+Every workflow is all-or-nothing per order (D-9) and returns new table
+states plus a ``rejected`` frame with a reason, instead of raising.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockflow.operators import ledger
+from stockflow.functions.scalars import (backfill_contact_expr, collated, map_role,
+                                         non_blank, valid_gmail)
+from stockflow.operators import ledger, totals
+from stockflow.plans.checkpoint import cut_lineage
+from stockflow.plans.scan import running_sums
+from stockflow.sources.sinks import append_rows, update_by_key, upsert_stock
+
+KEY = ["warehouse_id", "item_id"]
+RECEIVABLE = ("CREATED", "APPROVED", "PARTIAL")   # D-3
+SHIPPABLE = ("NEW", "CONFIRMED")
+
+
+def _gate(request: DataFrame, header: DataFrame, detail: DataFrame, key: str,
+          allowed: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Split requested orders into (accepted headers, rejected with reason)."""
+    req = request.select(key).distinct()
+    has_lines = detail.select(key).distinct().withColumn("_has_lines", F.lit(True))
+    h = (req.join(header.select(key, "warehouse_id", "status"), key, "left")
+         .join(has_lines, key, "left"))
+    reason = (F.when(F.col("status").isNull(), "NOT_FOUND")
+              .when(~F.col("status").isin(*allowed), F.concat(F.lit("BAD_STATUS:"), F.col("status")))
+              .when(F.col("_has_lines").isNull(), "NO_LINES"))
+    h = h.withColumn("reason", reason)
+    return (h.where(F.col("reason").isNull()).select(key, "warehouse_id"),
+            h.where(F.col("reason").isNotNull()).select(key, "reason"))
+
+
+# ---------------------------------------------------------------- receive
+def receive_pos(po: DataFrame, pod: DataFrame, stock: DataFrame, request: DataFrame,
+                emp_id: int | None = None, as_of: str | None = None) -> dict[str, DataFrame]:
+    """WF10: receive purchase orders: stock up, one ledger IN row per line,
+    status RECEIVED and the header total refreshed (D-7).
+
+    Lines of all accepted orders are pre-aggregated per (warehouse, item)
+    and applied with one full outer join (SNK7) -- no per-line round trips.
+    """
+    ok, rejected = _gate(request, po, pod, "po_id", RECEIVABLE)
+    lines = pod.join(ok, "po_id")
+    ts = F.lit(as_of).cast("timestamp") if as_of else F.current_timestamp()
+    new_stock = upsert_stock(stock, lines.select(*KEY, F.col("quantity").alias("delta")), as_of=as_of)
+    log = lines.select(
+        F.col("po_detail_id").alias("src_id"), *KEY, F.lit("IN").alias("change_type"),
+        F.col("quantity").alias("delta_qty"), F.lit("PO").alias("ref_type"),
+        F.col("po_id").alias("ref_id"), F.lit(emp_id).cast("long").alias("emp_id"), ts.alias("logged_at"))
+    received = ok.select("po_id")
+    new_po = totals.refresh_totals(po, pod, "po_id", received)
+    new_po = update_by_key(new_po, received.withColumn("status", F.lit("RECEIVED")), ["po_id"], ["status"])
+    return {"stock": new_stock, "log": log, "po": new_po, "rejected": rejected, "accepted": received}
+
+
+# ---------------------------------------------------------------- ship
+def allocate(lines: DataFrame, stock: DataFrame, fail_reason: str = "INSUFFICIENT_STOCK") -> DataFrame:
+    """WF11 core: decide, in ``so_id`` order, which orders ship when an order
+    ships only if every line fits the stock left by the orders before it.
+
+    Rounds of skew-safe running sums per (warehouse, item) in so_id order:
+    ``upper`` = stock - shipped by smaller ids, ``lower`` = upper - demand of
+    still-undecided smaller ids. All lines within ``lower`` -> ship; any line
+    above ``upper`` -> reject; otherwise wait for the next round. The smallest
+    undecided order always decides, so the loop ends; each round's state is
+    checkpointed to the shared checkpoint folder. Returns so_id, shipped, reason.
+    """
+    st = stock.select(*KEY, F.col("quantity").alias("_avail"))
+    L = (lines.select("so_id", *KEY, F.col("quantity").cast("long").alias("_q"))
+         .join(st, KEY, "left")
+         .withColumn("_avail", F.coalesce(F.col("_avail"), F.lit(0)).cast("long"))
+         .withColumn("_state", F.lit("U")))
+    L = cut_lineage(L)
+    while L.where(F.col("_state") == "U").limit(1).count() > 0:
+        x = (L.withColumn("_s", F.when(F.col("_state") == "S", F.col("_q")).otherwise(F.lit(0)).cast("long"))
+             .withColumn("_u", F.when(F.col("_state") == "U", F.col("_q")).otherwise(F.lit(0)).cast("long")))
+        x = running_sums(x, KEY, ["so_id"], {"_cs": "_s", "_cu": "_u"})
+        upper = F.col("_avail") - (F.col("_cs") - F.col("_s"))
+        lower = upper - (F.col("_cu") - F.col("_u"))
+        per_order = (x.where(F.col("_state") == "U")
+                     .groupBy("so_id")
+                     .agg(F.bool_and(F.col("_q") <= lower).alias("_ship"),
+                          F.bool_or(F.col("_q") > upper).alias("_reject")))
+        decided = per_order.select(
+            "so_id", F.when(F.col("_ship"), "S").when(F.col("_reject"), "R").otherwise("U").alias("_new"))
+        L = (x.drop("_s", "_u", "_cs", "_cu").join(decided, "so_id", "left")
+             .withColumn("_state", F.when(F.col("_state") == "U", F.col("_new")).otherwise(F.col("_state")))
+             .drop("_new"))
+        L = cut_lineage(L)
+    return (L.groupBy("so_id").agg(F.first("_state").alias("_state"))
+            .select("so_id", (F.col("_state") == "S").alias("shipped"),
+                    F.when(F.col("_state") == "S", F.lit(None).cast("string"))
+                    .otherwise(F.lit(fail_reason)).alias("reason")))
+
+
+def ship_sos(so: DataFrame, sod: DataFrame, stock: DataFrame, request: DataFrame | None = None,
+             check_stock: bool = True, emp_id: int | None = None,
+             as_of: str | None = None) -> dict[str, DataFrame]:
+    """WF11: ship sales orders in so_id order with availability (D-8).
+
+    With ``check_stock`` an order ships only if every line is available after
+    the orders before it. Without it, an order with a line lacking a stock
+    row is rejected ``NO_STOCK_ROW`` and one that would drive stock negative
+    is rejected ``NEGATIVE_STOCK`` (the CHECK rule), never logged silently.
+    """
+    req = request if request is not None else so.select("so_id")
+    ok, rejected = _gate(req, so, sod, "so_id", SHIPPABLE)
+    lines = sod.join(ok, "so_id").select("so_id", *KEY, "quantity", "so_detail_id")
+    reason = "INSUFFICIENT_STOCK"
+    if not check_stock:
+        missing = (lines.join(stock.select(*KEY), KEY, "left_anti").select("so_id").distinct())
+        rejected = rejected.unionByName(missing.withColumn("reason", F.lit("NO_STOCK_ROW")))
+        lines = lines.join(missing, "so_id", "left_anti")
+        reason = "NEGATIVE_STOCK"
+    decisions = allocate(lines, stock, reason)
+    shipped = decisions.where("shipped").select("so_id")
+    out_lines = lines.join(shipped, "so_id")
+    ts = F.lit(as_of).cast("timestamp") if as_of else F.current_timestamp()
+    new_stock = upsert_stock(stock, out_lines.select(*KEY, (-F.col("quantity")).alias("delta")), as_of=as_of)
+    log = out_lines.select(
+        F.col("so_detail_id").alias("src_id"), *KEY, F.lit("OUT").alias("change_type"),
+        (-F.col("quantity")).alias("delta_qty"), F.lit("SO").alias("ref_type"),
+        F.col("so_id").alias("ref_id"), F.lit(emp_id).cast("long").alias("emp_id"), ts.alias("logged_at"))
+    new_so = totals.refresh_totals(so, sod, "so_id", shipped)
+    new_so = update_by_key(new_so, shipped.withColumn("status", F.lit("SHIPPED")), ["so_id"], ["status"])
+    all_decisions = decisions.unionByName(
+        rejected.select("so_id", F.lit(False).alias("shipped"), "reason"))
+    return {"stock": new_stock, "log": log, "so": new_so, "decisions": all_decisions,
+            "rejected": all_decisions.where(~F.col("shipped")).select("so_id", "reason")}
+
+
+# ---------------------------------------------------------------- adjust / returns
+def adjust_stock(stock: DataFrame, adjustments: DataFrame) -> dict[str, DataFrame]:
+    """WF13: signed manual adjustments in time order; one that would make stock
+    negative is rejected. ``adjustments``: adj_id, warehouse_id, item_id,
+    delta, emp_id, reason, adjusted_at. The reason is kept on the ledger row."""
+    moves = adjustments.select(
+        F.col("adj_id").alias("log_id"), *KEY, F.col("adjusted_at").alias("logged_at"),
+        F.lit("ADJUST").alias("change_type"), F.col("delta").alias("delta_qty"),
+        F.lit("MANUAL").alias("ref_type"), "emp_id", "reason")
+    applied = ledger.apply_movements(moves, stock)
+    return {"applied": applied, "stock": ledger.stock_after(stock, applied),
+            "log": applied.where("accepted").drop("accepted", "balance", "signed_qty"),
+            "rejected": applied.where(~F.col("accepted")).select("log_id", *KEY, "delta_qty",
+                                                                 F.lit("NEGATIVE_STOCK").alias("reason"))}
 
 
 def process_returns(stock: DataFrame, returns: DataFrame) -> dict[str, DataFrame]:
@@ -13,16 +157,137 @@ def process_returns(stock: DataFrame, returns: DataFrame) -> dict[str, DataFrame
 
     A supplier return that would drive stock negative -- including one for a
     key with no stock row -- is rejected and changes nothing; a customer
-    return for a missing key creates the row. Both kinds are always logged
-    (D-2: RETURN_CUST / RETURN_SUPP).
+    return for a missing key creates the row. Both kinds are logged with
+    their own ref types (D-2: RETURN_CUST / RETURN_SUPP).
     """
     moves = returns.select(
-        F.col("return_id").alias("log_id"), "warehouse_id", "item_id",
-        F.col("returned_at").alias("logged_at"),
+        F.col("return_id").alias("log_id"), *KEY, F.col("returned_at").alias("logged_at"),
         F.when(F.col("kind") == "CUSTOMER", "IN").otherwise("OUT").alias("change_type"),
         F.col("quantity").alias("delta_qty"),
         F.when(F.col("kind") == "CUSTOMER", "RETURN_CUST").otherwise("RETURN_SUPP").alias("ref_type"))
     applied = ledger.apply_movements(moves, stock)
     return {"applied": applied, "stock": ledger.stock_after(stock, applied),
-            "log": applied.where("accepted").select("log_id", "warehouse_id", "item_id", "change_type",
-                                                    "delta_qty", "ref_type", "logged_at")}
+            "log": applied.where("accepted").select("log_id", *KEY, "change_type", "delta_qty",
+                                                    "ref_type", "logged_at")}
+
+
+# ---------------------------------------------------------------- master data
+def _first_per_name(staged: DataFrame, name: str, id_col: str) -> DataFrame:
+    """Winners of in-batch name duplicates: the smallest staged id per
+    collated name (aggregate, so a hot name is pre-reduced map-side)."""
+    return (staged.groupBy(collated(F.col(name)).alias("_nk"))
+            .agg(F.min(id_col).alias(id_col)).select(id_col))
+
+
+def add_master(target: DataFrame, staged: DataFrame, id_col: str, staged_id: str,
+               required: list[str], unique_name: str | None = "name",
+               defaults: dict | None = None) -> dict[str, DataFrame]:
+    """WF4: validated intake of suppliers / customers / items.
+
+    Rejects blank required fields, names already in ``target`` and in-batch
+    duplicates (names compare case/accent-insensitively); the rest is
+    appended with new ids (SNK1) in staged-id order.
+    """
+    checks = [(F.when(~non_blank(F.col(c)), F.lit(f"BLANK_{c.upper()}"))) for c in required]
+    s = staged.withColumn("reason", F.coalesce(*checks) if checks else F.lit(None).cast("string"))
+    if unique_name:
+        existing = target.select(collated(F.col(unique_name)).alias("_nk")).distinct()
+        s = (s.withColumn("_nk", collated(F.col(unique_name)))
+             .join(existing.withColumn("_dup", F.lit(True)), "_nk", "left")
+             .withColumn("reason", F.coalesce("reason", F.when(F.col("_dup"), F.lit("DUPLICATE_NAME"))))
+             .drop("_dup"))
+        winners = _first_per_name(s.where(F.col("reason").isNull()), unique_name, staged_id)
+        s = (s.join(winners.withColumn("_win", F.lit(True)), staged_id, "left")
+             .withColumn("reason", F.coalesce("reason", F.when(F.col("_win").isNull(),
+                                                               F.lit("DUPLICATE_IN_BATCH"))))
+             .drop("_win", "_nk"))
+    ok = s.where(F.col("reason").isNull()).drop("reason")
+    rejected = s.where(F.col("reason").isNotNull()).select(staged_id, "reason")
+    cols = [c for c in target.columns if c != id_col and c in ok.columns]
+    new_target = append_rows(target, ok.select(staged_id, *cols), id_col, [staged_id], defaults)
+    return {"table": new_target.drop(staged_id) if staged_id in new_target.columns else new_target,
+            "accepted": ok, "rejected": rejected}
+
+
+def create_orders(header: DataFrame, staged: DataFrame, id_col: str, staged_id: str,
+                  parents: dict[str, DataFrame], start_status: str) -> dict[str, DataFrame]:
+    """WF5: new order headers with their start status (CREATED / NEW) and a
+    zero total; staged rows whose foreign keys are missing are rejected."""
+    s = staged.withColumn("reason", F.lit(None).cast("string"))
+    for col, parent in parents.items():
+        pk = parent.select(F.col(parent.columns[0]).alias(col)).distinct().withColumn("_ok_" + col, F.lit(True))
+        s = (s.join(pk, col, "left")
+             .withColumn("reason", F.coalesce("reason", F.when(F.col("_ok_" + col).isNull(),
+                                                               F.lit(f"UNKNOWN_{col.upper()}"))))
+             .drop("_ok_" + col))
+    ok = (s.where(F.col("reason").isNull()).drop("reason")
+          .withColumn("status", F.lit(start_status)).withColumn("total_amount", F.lit(0)))
+    cols = [c for c in header.columns if c != id_col]
+    return {"table": append_rows(header, ok.select(staged_id, *cols), id_col, [staged_id]).drop(staged_id),
+            "rejected": s.where(F.col("reason").isNotNull()).select(staged_id, "reason")}
+
+
+def add_lines(detail: DataFrame, staged: DataFrame, item: DataFrame, order_col: str,
+              detail_id: str, staged_id: str, editable_price: bool) -> dict[str, DataFrame]:
+    """WF6: add order lines. PO lines take the item price (frozen); SO lines
+    take the typed price, else the item price, else 0 (D-16). Unknown items,
+    quantity <= 0 and (order, item) pairs already present are rejected."""
+    it = item.select("item_id", F.col("price").alias("_list"))
+    s = staged.join(it, "item_id", "left")
+    price = (F.coalesce(F.col("price"), F.col("_list"), F.lit(0)) if editable_price
+             else F.coalesce(F.col("_list"), F.lit(0))).cast("decimal(12,2)")
+    existing = detail.select(order_col, "item_id").withColumn("_dup", F.lit(True))
+    s = (s.withColumn("price", price).join(existing, [order_col, "item_id"], "left")
+         .withColumn("reason", F.when(F.col("_list").isNull(), "UNKNOWN_ITEM")
+                     .when(F.col("quantity") <= 0, "BAD_QUANTITY")
+                     .when(F.col("_dup"), "DUPLICATE_LINE")))
+    first = s.where(F.col("reason").isNull()).groupBy(order_col, "item_id").agg(F.min(staged_id).alias(staged_id))
+    s = (s.join(first.withColumn("_win", F.lit(True)), [order_col, "item_id", staged_id], "left")
+         .withColumn("reason", F.coalesce("reason", F.when(F.col("_win").isNull(), F.lit("DUPLICATE_LINE")))))
+    ok = s.where(F.col("reason").isNull()).select(staged_id, order_col, "item_id", "quantity", "price")
+    return {"table": append_rows(detail, ok, detail_id, [staged_id]).drop(staged_id),
+            "accepted": ok, "rejected": s.where(F.col("reason").isNotNull()).select(staged_id, "reason")}
+
+
+def update_line_qty(detail: DataFrame, changes: DataFrame, order_col: str,
+                    header: DataFrame | None = None) -> dict[str, DataFrame]:
+    """WF7: change line quantities (zero or negative rejected, D-10); header
+    totals of touched orders are refreshed when a header is given."""
+    bad = changes.where(F.col("quantity") <= 0)
+    good = changes.where(F.col("quantity") > 0)
+    out = {"detail": update_by_key(detail, good, [order_col, "item_id"], ["quantity"]),
+           "rejected": bad.withColumn("reason", F.lit("BAD_QUANTITY"))}
+    if header is not None:
+        out["header"] = totals.refresh_totals(header, out["detail"], order_col, good.select(order_col))
+    return out
+
+
+def add_employees(employee: DataFrame, staged: DataFrame, warehouse: DataFrame) -> dict[str, DataFrame]:
+    """WF19: employee intake: name not blank, contact a Gmail address, role
+    label mapped (default staff), warehouse known or empty."""
+    wh = warehouse.select("warehouse_id").withColumn("_wh", F.lit(True))
+    s = (staged.join(wh, "warehouse_id", "left")
+         .withColumn("role", map_role(F.col("role_label")))
+         .withColumn("contact", F.trim("contact"))
+         .withColumn("reason", F.when(~non_blank(F.col("name")), "BLANK_NAME")
+                     .when(~valid_gmail(F.col("contact")), "BAD_CONTACT")
+                     .when(F.col("warehouse_id").isNotNull() & F.col("_wh").isNull(), "UNKNOWN_WAREHOUSE")))
+    ok = s.where(F.col("reason").isNull())
+    cols = [c for c in employee.columns if c != "emp_id" and c in ok.columns]
+    return {"table": append_rows(employee, ok.select("staged_id", *cols), "emp_id", ["staged_id"],
+                                 {"role": "staff"}).drop("staged_id"),
+            "accepted": ok.drop("reason", "_wh"),
+            "rejected": s.where(F.col("reason").isNotNull()).select("staged_id", "reason")}
+
+
+def backfill_contact(supplier: DataFrame) -> DataFrame:
+    """WF20: fill missing supplier contacts from phone, else email, else ''
+    (the later rule, D-15); afterwards ``contact`` is never null."""
+    return supplier.withColumn("contact", backfill_contact_expr())
+
+
+def employee_checks(staged: DataFrame) -> DataFrame:
+    """SC6-SC8 on staged employees: trimmed contact, Gmail validity, role."""
+    return staged.select("emp_id", "role_label", map_role(F.col("role_label")).alias("role"),
+                         "contact", valid_gmail(F.col("contact")).alias("valid_gmail"),
+                         non_blank(F.col("name")).alias("name_ok"))

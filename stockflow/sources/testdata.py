@@ -156,6 +156,28 @@ class TestTables:
             F.col("l_orderkey").alias("so_id"), "item_id", "quantity",
             F.round(F.col("list_price") * (F.lit(1) + F.col("tax")), 2).cast(MONEY).alias("price"))
 
+    @cached_property
+    def po_intake(self) -> DataFrame:
+        """Staged new purchase orders, one per order row; the supplier column
+        takes the customer key, so keys beyond the supplier table are unknown."""
+        return self.raw("orders").select(
+            F.col("o_orderkey").alias("staged_id"), F.col("o_custkey").alias("supplier_id"),
+            (F.col("o_orderkey") % N_WAREHOUSES).alias("warehouse_id"),
+            F.col("o_orderdate").cast("date").alias("po_date"))
+
+    @cached_property
+    def so_line_intake(self) -> DataFrame:
+        """Staged sales-order lines typed by users: open lineitem rows; the
+        price is typed on odd line numbers only."""
+        li = self._lines("O")
+        return li.select(
+            ((F.col("l_orderkey") * DETAIL_KEY + F.col("l_partkey")) * 100 + F.col("l_linenumber")).alias("staged_id"),
+            F.col("l_orderkey").alias("so_id"), F.col("l_partkey").alias("item_id"),
+            F.col("l_quantity").cast("long").alias("quantity"),
+            F.when(F.col("l_linenumber") % 2 == 1,
+                   (F.floor(F.col("l_extendedprice") * 100 / F.col("l_quantity")).cast("decimal(14,0)")
+                    * F.lit(0.01).cast("decimal(3,2)"))).cast(MONEY).alias("price"))
+
     # ---- stock and movements ----------------------------------------
     @cached_property
     def stock(self) -> DataFrame:

@@ -106,6 +106,15 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
               FROM lineitem)
         WHERE kind IS NOT NULL
         GROUP BY l_orderkey, l_partkey, kind"""),
+    "w_po_intake": ((), """
+        SELECT o_orderkey AS staged_id, o_custkey AS supplier_id, o_orderkey % 5 AS warehouse_id,
+               CAST(o_orderdate AS DATE) AS po_date FROM orders"""),
+    "w_sol_intake": ((), """
+        SELECT (l_orderkey * 1000000 + l_partkey) * 100 + l_linenumber AS staged_id, l_orderkey AS so_id,
+               l_partkey AS item_id, CAST(l_quantity AS BIGINT) AS quantity,
+               CASE WHEN l_linenumber % 2 = 1
+                    THEN CAST(CAST(floor(l_extendedprice * 100 / l_quantity) AS DECIMAL(14,0)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(12,2)) END AS price
+        FROM lineitem WHERE l_linestatus = 'O'"""),
     "w_alerts0": (("w_log", "w_item"), """
         SELECT ((k.warehouse_id * 1000 + k.item_id) * 4 + s.code) AS alert_id, k.warehouse_id, k.item_id,
                CAST(0 AS BIGINT) AS current_quantity, i.reorder_level,

@@ -776,3 +776,258 @@ def q_amount_text(spark, d):
     t = T(spark, d)
     return totals.po_totals(t.purchase_order, t.purchase_order_details).select(
         "po_id", sc.format_amount(F.col("po_total")).alias("po_total_text"))
+
+
+# ---------------------------------------------------------------- data quality
+from stockflow.operators import quality  # noqa: E402
+from stockflow.schemas import CHECKS, DOMAINS, LEDGER_REF_TYPES_DECLARED, MAX_LENGTHS  # noqa: E402
+
+
+@register("unique_violations", W("w_item_intake") + """
+SELECT lower(name) AS name, count(*) AS n_rows FROM w_item_intake WHERE name IS NOT NULL
+GROUP BY lower(name) HAVING count(*) > 1""")
+def q_unique_violations(spark, d):
+    """DQ1: staged item names that collide (case/accent-insensitive)."""
+    return quality.unique_violations(T(spark, d).item_intake, ["name"], collate=("name",))
+
+
+@register("unique_violations_lines", W("w_item") + """
+SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem
+GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""")
+def q_unique_violations_lines(spark, d):
+    """DQ1 on the raw order lines: (order, line number) is not a key."""
+    li = T(spark, d).raw("lineitem")
+    return quality.unique_violations(li, ["l_orderkey", "l_linenumber"])
+
+
+@register("fk_orphans", W("w_po_intake", "w_supplier", "w_so", "w_customer", "w_sod", "w_item", "w_employee",
+                          "w_warehouse", "w_log") + """
+SELECT 'po_intake' AS child, 'supplier_id' AS fk, supplier_id AS fk_value, count(*) AS n_rows FROM w_po_intake
+WHERE supplier_id NOT IN (SELECT supplier_id FROM w_supplier) GROUP BY supplier_id
+UNION ALL
+SELECT 'sales_order', 'customer_id', customer_id, count(*) FROM w_so
+WHERE customer_id NOT IN (SELECT customer_id FROM w_customer) GROUP BY customer_id
+UNION ALL
+SELECT 'sales_order_details', 'item_id', item_id, count(*) FROM w_sod
+WHERE item_id NOT IN (SELECT item_id FROM w_item) GROUP BY item_id
+UNION ALL
+SELECT 'employee', 'warehouse_id', warehouse_id, count(*) FROM w_employee
+WHERE warehouse_id IS NOT NULL AND warehouse_id NOT IN (SELECT warehouse_id FROM w_warehouse) GROUP BY warehouse_id
+UNION ALL
+SELECT 'transaction_log', 'emp_id', emp_id, count(*) FROM w_log
+WHERE emp_id IS NOT NULL AND emp_id NOT IN (SELECT emp_id FROM w_employee) GROUP BY emp_id""")
+def q_fk_orphans(spark, d):
+    """DQ2: orphan foreign keys across the order, employee and ledger tables."""
+    t = T(spark, d)
+    checks = [("po_intake", t.po_intake, "supplier_id", t.supplier, "supplier_id"),
+              ("sales_order", t.sales_order, "customer_id", t.customer, "customer_id"),
+              ("sales_order_details", t.sales_order_details, "item_id", t.item, "item_id"),
+              ("employee", t.employee, "warehouse_id", t.warehouse, "warehouse_id"),
+              ("transaction_log", t.transaction_log, "emp_id", t.employee, "emp_id")]
+    out = None
+    for name, child, fk, parent, pk in checks:
+        v = (quality.fk_violations(child, parent, [fk], [pk]).groupBy(F.col(fk).alias("fk_value"))
+             .agg(F.count("*").alias("n_rows"))
+             .select(F.lit(name).alias("child"), F.lit(fk).alias("fk"), "fk_value", "n_rows"))
+        out = v if out is None else out.unionByName(v)
+    return out
+
+
+@register("null_violations", W("w_supplier") + """
+SELECT supplier_id, 'contact' AS "column" FROM w_supplier WHERE contact IS NULL""")
+def q_null_violations(spark, d):
+    """DQ3: supplier.contact made NOT NULL before the backfill."""
+    return quality.null_violations(T(spark, d).supplier, ["contact"]).select("supplier_id", "column")
+
+
+@register("check_violations", W("w_log", "w_po", "w_pod", "w_stock", extra=[_SIGNED]) + """
+SELECT * FROM (
+  SELECT COALESCE(s.warehouse_id, d.warehouse_id) AS warehouse_id, COALESCE(s.item_id, d.item_id) AS item_id,
+         CAST(COALESCE(s.quantity, 0) + COALESCE(d.q, 0) AS BIGINT) AS quantity, 'ck_stock_nonneg' AS rule
+  FROM w_stock s FULL OUTER JOIN
+       (SELECT warehouse_id, item_id, sum(signed_qty) AS q FROM w_log_signed GROUP BY ALL) d
+    ON s.warehouse_id = d.warehouse_id AND s.item_id = d.item_id)
+WHERE quantity < 0""")
+def q_check_violations(spark, d):
+    """DQ4: the unchecked upsert of every ledger delta breaks quantity >= 0."""
+    new_stock = q_upsert_stock(spark, d)
+    return (quality.check_violations(new_stock, CHECKS["stock"])
+            .select("warehouse_id", "item_id", "quantity", "rule"))
+
+
+@register("domain_violations", W("w_po", "w_pod", "w_so", "w_sod", "w_log", "w_returns", extra=[_MOVES]) + """
+SELECT ref_type, count(*) AS n_rows FROM w_moves
+WHERE ref_type NOT IN ('PO', 'SO', 'MANUAL') GROUP BY ref_type""")
+def q_domain_violations(spark, d):
+    """DQ5: ledger ref types outside the originally declared domain (D-2)."""
+    m = q_movements(spark, d)
+    return (quality.domain_violations(m, "ref_type", LEDGER_REF_TYPES_DECLARED)
+            .groupBy("ref_type").agg(F.count("*").alias("n_rows")))
+
+
+@register("status_domain", W("w_po", "w_so") + """
+SELECT 'purchase_order' AS tbl, count(*) FILTER (WHERE status NOT IN ('CREATED','APPROVED','RECEIVED','CANCELLED')) AS n_bad FROM w_po
+UNION ALL
+SELECT 'sales_order', count(*) FILTER (WHERE status NOT IN ('NEW','CONFIRMED','SHIPPED','CANCELLED')) FROM w_so""")
+def q_status_domain(spark, d):
+    """DQ5: header statuses inside their ENUM domains."""
+    t = T(spark, d)
+    po = quality.domain_violations(t.purchase_order, "status", DOMAINS[("purchase_order", "status")])
+    so = quality.domain_violations(t.sales_order, "status", DOMAINS[("sales_order", "status")])
+    return (po.agg(F.count("*").alias("n_bad")).select(F.lit("purchase_order").alias("tbl"), "n_bad")
+            .unionByName(so.agg(F.count("*").alias("n_bad")).select(F.lit("sales_order").alias("tbl"), "n_bad")))
+
+
+@register("delete_cascade", W("w_warehouse", "w_po", "w_so") + """
+SELECT warehouse_id, blocked_by, n_refs FROM (
+  SELECT warehouse_id, 'purchase_order' AS blocked_by, count(*) AS n_refs FROM w_po GROUP BY warehouse_id
+  UNION ALL
+  SELECT warehouse_id, 'sales_order', count(*) FROM w_so GROUP BY warehouse_id)
+WHERE warehouse_id IN (SELECT warehouse_id FROM w_warehouse)""")
+def q_delete_cascade(spark, d):
+    """DQ6: deleting every warehouse; order headers RESTRICT it (stock would
+    CASCADE and employees SET NULL had a warehouse been free)."""
+    t = T(spark, d)
+    r = quality.delete_with_rules(
+        t.warehouse, "warehouse_id", t.warehouse.select("warehouse_id"),
+        cascade={"stock": (t.stock, "warehouse_id")},
+        set_null={"employee": (t.employee, "warehouse_id")},
+        restrict={"purchase_order": (t.purchase_order, "warehouse_id"),
+                  "sales_order": (t.sales_order, "warehouse_id")})
+    return r["rejected"].select("warehouse_id", "blocked_by", "n_refs")
+
+
+@register("delete_cancelled_sos", W("w_so", "w_sod") + """
+SELECT d.so_detail_id, d.so_id, d.item_id FROM w_sod d
+WHERE d.so_id NOT IN (SELECT so_id FROM w_so WHERE status = 'CANCELLED')""")
+def q_delete_cancelled_sos(spark, d):
+    """DQ6 CASCADE / SNK4: removing cancelled sales orders takes their lines."""
+    t = T(spark, d)
+    keys = t.sales_order.where(F.col("status") == "CANCELLED").select("so_id")
+    r = quality.delete_with_rules(t.sales_order, "so_id", keys,
+                                  cascade={"sales_order_details": (t.sales_order_details, "so_id")})
+    return r["sales_order_details"].select("so_detail_id", "so_id", "item_id")
+
+
+@register("delete_staff_set_null", W("w_employee", "w_log") + """
+SELECT log_id, CASE WHEN emp_id IN (SELECT emp_id FROM w_employee WHERE role = 'staff') THEN NULL ELSE emp_id END AS emp_id
+FROM w_log""")
+def q_delete_staff(spark, d):
+    """DQ6 SET NULL: removing staff employees nulls their ledger references."""
+    t = T(spark, d)
+    keys = t.employee.where(F.col("role") == "staff").select("emp_id")
+    r = quality.delete_with_rules(t.employee, "emp_id", keys,
+                                  set_null={"transaction_log": (t.transaction_log, "emp_id")})
+    return r["transaction_log"].select("log_id", "emp_id")
+
+
+@register("length_violations", W("w_item_intake") + """
+SELECT staged_id, 'name' AS "column" FROM w_item_intake WHERE length(name) > 150
+UNION ALL SELECT staged_id, 'category' FROM w_item_intake WHERE length(category) > 120""")
+def q_length_violations(spark, d):
+    """DQ7: declared string lengths on staged items."""
+    return (quality.length_violations(T(spark, d).item_intake, MAX_LENGTHS["item"])
+            .select("staged_id", "column"))
+
+
+# ---------------------------------------------------------------- sinks / sources
+from stockflow.sources import sinks, tables as src  # noqa: E402
+
+
+@register("update_by_key", W("w_item", "w_sod") + """
+SELECT i.item_id, COALESCE(m.p, i.price) AS price
+FROM w_item i LEFT JOIN (SELECT item_id, max(price) AS p FROM w_sod GROUP BY item_id) m ON m.item_id = i.item_id""")
+def q_update_by_key(spark, d):
+    """SNK3: item prices set to the highest price they were sold at."""
+    t = T(spark, d)
+    ch = t.sales_order_details.groupBy("item_id").agg(F.max("price").alias("price"))
+    return sinks.update_by_key(t.item, ch, ["item_id"], ["price"]).select("item_id", "price")
+
+
+@register("delete_by_key", W("w_so", "w_sod") + """
+SELECT so_detail_id FROM w_sod WHERE so_id NOT IN (SELECT so_id FROM w_so WHERE status = 'SHIPPED')""")
+def q_delete_by_key(spark, d):
+    """SNK4: delete the lines of shipped orders (keyed anti join)."""
+    t = T(spark, d)
+    keys = t.sales_order.where(F.col("status") == "SHIPPED").select("so_id")
+    return sinks.delete_by_key(t.sales_order_details, keys, ["so_id"]).select("so_detail_id")
+
+
+@register("delete_n_per_key", W("w_log", "w_item", "w_alerts0") + """
+SELECT alert_id FROM w_alerts0
+QUALIFY NOT (status IN ('OPEN', 'ACK')
+             AND row_number() OVER (PARTITION BY warehouse_id, item_id, status IN ('OPEN', 'ACK')
+                                    ORDER BY alert_date, alert_id) = 1)""")
+def q_delete_n_per_key(spark, d):
+    """SNK5: drop one OPEN/ACK alert per key, the oldest (ordered LIMIT 1)."""
+    a = T(spark, d).reorder_alerts
+    keys = a.where(F.col("status").isin("OPEN", "ACK")).select("warehouse_id", "item_id").distinct()
+    target = a.where(F.col("status").isin("OPEN", "ACK"))
+    kept = sinks.delete_n_per_key(target, keys, ["warehouse_id", "item_id"], 1,
+                                  [F.col("alert_date"), F.col("alert_id")])
+    return kept.unionByName(a.where(~F.col("status").isin("OPEN", "ACK"))).select("alert_id")
+
+
+@register("ensure_stock_rows", W("w_po", "w_pod", "w_stock", "w_so", "w_sod") + """
+SELECT warehouse_id, item_id, quantity FROM w_stock
+UNION ALL
+SELECT DISTINCT h.warehouse_id, d.item_id, CAST(0 AS BIGINT) FROM w_sod d JOIN w_so h ON h.so_id = d.so_id
+WHERE NOT EXISTS (SELECT 1 FROM w_stock s WHERE s.warehouse_id = h.warehouse_id AND s.item_id = d.item_id)""")
+def q_ensure_stock_rows(spark, d):
+    """SNK6: a zero stock row for every (warehouse, item) sold but never stocked."""
+    t = T(spark, d)
+    keys = t.sales_order_details.join(t.sales_order.select("so_id", "warehouse_id"), "so_id")
+    return sinks.ensure_stock_rows(t.stock, keys).select("warehouse_id", "item_id", "quantity")
+
+
+@register("with_default_column", W("w_employee") + """
+SELECT emp_id, CAST(0 AS DECIMAL(12,2)) AS bonus FROM w_employee""")
+def q_with_default_column(spark, d):
+    """SNK8: ALTER TABLE ADD COLUMN with a default."""
+    e = sinks.with_default_column(T(spark, d).employee, "bonus", "decimal(12,2)", 0)
+    return e.select("emp_id", "bonus")
+
+
+@register("sql_view", W("w_stock") + """
+SELECT warehouse_id, count(*) AS n_items, CAST(sum(quantity) AS BIGINT) AS units FROM w_stock GROUP BY warehouse_id""")
+def q_sql_view(spark, d):
+    """SRC4: ad-hoc read-only SQL over the tables registered as views."""
+    t = T(spark, d)
+    return src.sql_view(spark, {"stock": t.stock},
+                        "SELECT warehouse_id, count(*) AS n_items, CAST(sum(quantity) AS BIGINT) AS units "
+                        "FROM stock GROUP BY warehouse_id")
+
+
+@register("latest_orders", W("w_po") + """
+SELECT po_id, supplier_id, warehouse_id, po_date, status, total_amount FROM w_po ORDER BY po_id DESC LIMIT 5""")
+def q_latest_orders(spark, d):
+    """SL2: the five newest purchase orders (top-k)."""
+    return T(spark, d).purchase_order.orderBy(F.desc("po_id")).limit(5)
+
+
+@register("sample_items", None)
+def q_sample_items(spark, d):
+    """SL5: the default 50-row look at the item table (LIMIT without order:
+    which rows come back is unspecified, so only the count is checked)."""
+    t = T(spark, d)
+    return src.sql_view(spark, {"item": t.item}, "SELECT * FROM item LIMIT 50")
+
+
+@register("row_counts", W("w_warehouse", "w_item", "w_customer", "w_supplier", "w_po", "w_pod", "w_so", "w_sod",
+                          "w_stock", "w_log", "w_employee") + """
+SELECT 'warehouse' AS table_name, count(*) AS row_count FROM w_warehouse
+UNION ALL SELECT 'item', count(*) FROM w_item UNION ALL SELECT 'customer', count(*) FROM w_customer
+UNION ALL SELECT 'supplier', count(*) FROM w_supplier UNION ALL SELECT 'purchase_order', count(*) FROM w_po
+UNION ALL SELECT 'purchase_order_details', count(*) FROM w_pod UNION ALL SELECT 'sales_order', count(*) FROM w_so
+UNION ALL SELECT 'sales_order_details', count(*) FROM w_sod UNION ALL SELECT 'stock', count(*) FROM w_stock
+UNION ALL SELECT 'transaction_log', count(*) FROM w_log UNION ALL SELECT 'employee', count(*) FROM w_employee""")
+def q_row_counts(spark, d):
+    """AG6: row count of every logical table."""
+    t = T(spark, d)
+    names = ["warehouse", "item", "customer", "supplier", "purchase_order", "purchase_order_details",
+             "sales_order", "sales_order_details", "stock", "transaction_log", "employee"]
+    out = None
+    for n in names:
+        c = getattr(t, n).agg(F.count("*").alias("row_count")).select(F.lit(n).alias("table_name"), "row_count")
+        out = c if out is None else out.unionByName(c)
+    return out

@@ -61,13 +61,16 @@ def delete_n_per_key(target: DataFrame, keys_df: DataFrame, keys: list[str], n:
                      order: list[Column]) -> DataFrame:
     """SNK5: delete at most ``n`` matching rows per key, the first ones in ``order``.
 
-    The window runs only over rows matching the delete keys, numbered per key
-    with a fixed order (the source's ``LIMIT`` without order is not repeatable).
+    Rows off the delete keys pass untouched; matching rows are numbered per
+    key in a fixed order (the source's ``LIMIT`` without order is not
+    repeatable) and the first ``n`` are dropped.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
-    hit = target.join(keys_df.select(*keys).distinct(), keys, "left_semi")
-    doomed = hit.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
-    return target.exceptAll(doomed)
+    k = keys_df.select(*keys).distinct()
+    untouched = target.join(k, keys, "left_anti")
+    hit = target.join(k, keys, "left_semi")
+    kept = hit.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") > n).drop("_rn")
+    return untouched.unionByName(kept.select(*target.columns))
 
 
 def ensure_stock_rows(stock: DataFrame, keys_df: DataFrame, id_base: int = 0) -> DataFrame:

@@ -1031,3 +1031,91 @@ def q_row_counts(spark, d):
         c = getattr(t, n).agg(F.count("*").alias("row_count")).select(F.lit(n).alias("table_name"), "row_count")
         out = c if out is None else out.unionByName(c)
     return out
+
+
+# ---------------------------------------------------------------- streaming
+from stockflow.streaming import streams  # noqa: E402
+
+STREAM_FILES = 4
+
+
+def _staged_ledger(spark, t, name, extra: DataFrame | None = None):
+    log = t.transaction_log if extra is None else t.transaction_log.unionByName(extra)
+    path = streams.scratch_path(spark, name)
+    streams.stage_files(log, path, STREAM_FILES, ["logged_at", "log_id"])
+    return streams.read_stream(spark, path, log.schema)
+
+
+@register("stream_stock", REGISTRY["upsert_stock"][1])
+def q_stream_stock(spark, d):
+    """ST1 + ST5: live net stock from the movement stream (micro-batches of
+    time-ordered files), kept as versioned snapshots, applied to the opening stock."""
+    t = T(spark, d)
+    moves = _staged_ledger(spark, t, "st1-src")
+    init = spark.createDataFrame([], "warehouse_id long, item_id long, net_qty long")
+    sink = streams.aggregate_to_snapshots(streams.stream_stock(moves), KEY_COLS, init,
+                                          streams.scratch_path(spark, "st1-out"))
+    net = sink.current()
+    j = t.stock.select(*KEY_COLS, "quantity").join(net, KEY_COLS, "full_outer")
+    return j.select(*KEY_COLS, (F.coalesce("quantity", F.lit(0)) + F.coalesce("net_qty", F.lit(0)))
+                    .cast("long").alias("quantity"))
+
+
+KEY_COLS = ["warehouse_id", "item_id"]
+
+
+@register("stream_totals", W("w_sod") + """
+SELECT so_id, CAST(sum(quantity * price) AS DECIMAL(18,2)) AS so_total FROM w_sod GROUP BY so_id""")
+def q_stream_totals(spark, d):
+    """ST3: live order totals from a stream of sales-order lines."""
+    t = T(spark, d)
+    lines = t.sales_order_details
+    path = streams.scratch_path(spark, "st3-src")
+    streams.stage_files(lines, path, STREAM_FILES, ["so_id", "item_id"])
+    src_df = streams.read_stream(spark, path, lines.schema)
+    init = spark.createDataFrame([], "so_id long, so_total decimal(18,2)")
+    sink = streams.aggregate_to_snapshots(streams.stream_totals(src_df, "so_id", "so_total"), ["so_id"], init,
+                                          streams.scratch_path(spark, "st3-out"))
+    return sink.current()
+
+
+@register("stream_monthly", REGISTRY["month_purchases"][1])
+def q_stream_monthly(spark, d):
+    """ST6: running monthly purchases; purchase lines stream in and meet the
+    static order headers (stream-static join)."""
+    t = T(spark, d)
+    lines = t.purchase_order_details
+    path = streams.scratch_path(spark, "st6-src")
+    streams.stage_files(lines, path, STREAM_FILES, ["po_id", "item_id"])
+    src_df = streams.read_stream(spark, path, lines.schema)
+    joined = src_df.join(t.purchase_order.select("po_id", "po_date"), "po_id")
+    init = spark.createDataFrame([], "month string, total_purchases decimal(38,2)")
+    sink = streams.aggregate_to_snapshots(streams.stream_monthly(joined, "po_date", "total_purchases"),
+                                          ["month"], init, streams.scratch_path(spark, "st6-out"))
+    return sink.current()
+
+
+@register("stream_alerts", REGISTRY["alerts_with_history"][1])
+def q_stream_alerts(spark, d):
+    """ST2 + ST5: live stock and alerts; every micro-batch runs the clipped
+    fold and alert maintenance on the previous snapshots."""
+    t = T(spark, d)
+    moves = _staged_ledger(spark, t, "st2-src")
+    p = streams.InventoryPipeline(spark, streams.scratch_path(spark, "st2-out"), t.stock, t.reorder_alerts,
+                                  t.item, NEW_ALERT_ID_OFFSET).run(moves)
+    return p.alerts()
+
+
+@register("stream_dedupe", REGISTRY["stock_from_ledger"][1])
+def q_stream_dedupe(spark, d):
+    """ST4: every tenth movement is delivered twice; deduplication within the
+    watermark restores the ledger before it is summed."""
+    t = T(spark, d)
+    replays = t.transaction_log.where(F.col("log_id") % 10 == 0)
+    moves = _staged_ledger(spark, t, "st4-src", replays)
+    dd = streams.dedupe_movements(moves, "1 day", ["log_id"])
+    out = streams.scratch_path(spark, "st4-out")
+    streams.run_available_now(dd.writeStream.format("parquet").option("path", out).outputMode("append"),
+                              out + "_checkpoint")
+    from stockflow.operators import ledger as _l
+    return _l.stock_from_ledger(spark.read.schema(t.transaction_log.schema).parquet(out))

@@ -673,12 +673,7 @@ def q_add_so_lines(spark, d):
     r = orders.add_lines(t.sales_order_details, t.so_line_intake, t.item, "so_id", "so_detail_id",
                          "staged_id", editable_price=True)
     acc = r["accepted"].select("staged_id", "so_id", "item_id", "price", F.lit(None).cast("string").alias("reason"))
-    rej = (r["rejected"].join(t.so_line_intake.select("staged_id", "so_id", "item_id"), "staged_id")
-           .join(t.so_line_intake.select("staged_id", "price", "item_id")
-                 .join(t.item.select("item_id", F.col("price").alias("_l")), "item_id", "left")
-                 .select("staged_id", F.coalesce("price", "_l", F.lit(0)).cast("decimal(12,2)").alias("price")),
-                 "staged_id"))
-    return acc.unionByName(rej.select("staged_id", "so_id", "item_id", "price", "reason"))
+    return acc.unionByName(r["rejected"].select("staged_id", "so_id", "item_id", "price", "reason"))
 
 
 @register("update_line_qty", W("w_po", "w_pod") + """

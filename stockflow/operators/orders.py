@@ -61,7 +61,8 @@ def receive_pos(po: DataFrame, pod: DataFrame, stock: DataFrame, request: DataFr
 
 
 # ---------------------------------------------------------------- ship
-def allocate(lines: DataFrame, stock: DataFrame, fail_reason: str = "INSUFFICIENT_STOCK") -> DataFrame:
+def allocate(lines: DataFrame, stock: DataFrame, fail_reason: str = "INSUFFICIENT_STOCK",
+             stats: dict | None = None) -> DataFrame:
     """WF11 core: decide, in ``so_id`` order, which orders ship when an order
     ships only if every line fits the stock left by the orders before it.
 
@@ -69,32 +70,41 @@ def allocate(lines: DataFrame, stock: DataFrame, fail_reason: str = "INSUFFICIEN
     ``upper`` = stock - shipped by smaller ids, ``lower`` = upper - demand of
     still-undecided smaller ids. All lines within ``lower`` -> ship; any line
     above ``upper`` -> reject; otherwise wait for the next round. The smallest
-    undecided order always decides, so the loop ends; each round's state is
-    checkpointed to the shared checkpoint folder. Returns so_id, shipped, reason.
+    undecided order always decides, so the loop ends (no cap needed). Each
+    round works only on undecided lines plus the shipped lines of keys that
+    still have undecided lines, so rounds shrink; every round's state is
+    checkpointed to the shared checkpoint folder.
+    Returns so_id, shipped, reason.
     """
     st = stock.select(*KEY, F.col("quantity").alias("_avail"))
-    L = (lines.select("so_id", *KEY, F.col("quantity").cast("long").alias("_q"))
-         .join(st, KEY, "left")
-         .withColumn("_avail", F.coalesce(F.col("_avail"), F.lit(0)).cast("long"))
-         .withColumn("_state", F.lit("U")))
-    L = cut_lineage(L)
-    while L.where(F.col("_state") == "U").limit(1).count() > 0:
-        x = (L.withColumn("_s", F.when(F.col("_state") == "S", F.col("_q")).otherwise(F.lit(0)).cast("long"))
+    state = cut_lineage(
+        lines.select("so_id", *KEY, F.col("quantity").cast("long").alias("_q"))
+        .join(st, KEY, "left")
+        .withColumn("_avail", F.coalesce(F.col("_avail"), F.lit(0)).cast("long"))
+        .withColumn("_state", F.lit("U")))
+    rounds = 0
+    while state.where(F.col("_state") == "U").limit(1).count() > 0:
+        rounds += 1
+        undecided = state.where(F.col("_state") == "U")
+        # Rejected lines never matter again; shipped ones only on keys that
+        # still have undecided orders.
+        ctx = (state.where(F.col("_state") == "S")
+               .join(undecided.select(*KEY).distinct(), KEY, "left_semi"))
+        x = (undecided.unionByName(ctx)
+             .withColumn("_s", F.when(F.col("_state") == "S", F.col("_q")).otherwise(F.lit(0)).cast("long"))
              .withColumn("_u", F.when(F.col("_state") == "U", F.col("_q")).otherwise(F.lit(0)).cast("long")))
         x = running_sums(x, KEY, ["so_id"], {"_cs": "_s", "_cu": "_u"})
         upper = F.col("_avail") - (F.col("_cs") - F.col("_s"))
         lower = upper - (F.col("_cu") - F.col("_u"))
-        per_order = (x.where(F.col("_state") == "U")
-                     .groupBy("so_id")
+        per_order = (x.where(F.col("_state") == "U").groupBy("so_id")
                      .agg(F.bool_and(F.col("_q") <= lower).alias("_ship"),
-                          F.bool_or(F.col("_q") > upper).alias("_reject")))
-        decided = per_order.select(
-            "so_id", F.when(F.col("_ship"), "S").when(F.col("_reject"), "R").otherwise("U").alias("_new"))
-        L = (x.drop("_s", "_u", "_cs", "_cu").join(decided, "so_id", "left")
-             .withColumn("_state", F.when(F.col("_state") == "U", F.col("_new")).otherwise(F.col("_state")))
-             .drop("_new"))
-        L = cut_lineage(L)
-    return (L.groupBy("so_id").agg(F.first("_state").alias("_state"))
+                          F.bool_or(F.col("_q") > upper).alias("_reject"))
+                     .select("so_id", F.when(F.col("_ship"), "S").when(F.col("_reject"), "R").alias("_new")))
+        state = cut_lineage(state.join(per_order, "so_id", "left")
+                            .withColumn("_state", F.coalesce(F.col("_new"), F.col("_state"))).drop("_new"))
+    if stats is not None:
+        stats["rounds"] = rounds
+    return (state.groupBy("so_id").agg(F.first("_state").alias("_state"))
             .select("so_id", (F.col("_state") == "S").alias("shipped"),
                     F.when(F.col("_state") == "S", F.lit(None).cast("string"))
                     .otherwise(F.lit(fail_reason)).alias("reason")))
@@ -246,7 +256,9 @@ def add_lines(detail: DataFrame, staged: DataFrame, item: DataFrame, order_col:
          .withColumn("reason", F.coalesce("reason", F.when(F.col("_win").isNull(), F.lit("DUPLICATE_LINE")))))
     ok = s.where(F.col("reason").isNull()).select(staged_id, order_col, "item_id", "quantity", "price")
     return {"table": append_rows(detail, ok, detail_id, [staged_id]).drop(staged_id),
-            "accepted": ok, "rejected": s.where(F.col("reason").isNotNull()).select(staged_id, "reason")}
+            "accepted": ok,
+            "rejected": s.where(F.col("reason").isNotNull()).select(staged_id, order_col, "item_id", "quantity",
+                                                                    "price", "reason")}
 
 
 def update_line_qty(detail: DataFrame, changes: DataFrame, order_col: str,

@@ -50,19 +50,22 @@ def monthly_pnl(po: DataFrame, pod: DataFrame, so: DataFrame, sod: DataFrame,
     a payroll scalar subquery) or a DataFrame with ``month`` and ``salaries``.
     """
     st = statuses or {}
-    p = monthly_purchases(po, pod, month, st.get("po"))
-    s = monthly_sales(so, sod, month, st.get("so"))
-    j = p.join(s, "month", "full_outer")
+    zero = F.lit(0).cast(REPORT_TOTAL)
+    p = monthly_purchases(po, pod, month, st.get("po")).withColumn("total_sales", F.lit(None).cast(REPORT_TOTAL))
+    s = monthly_sales(so, sod, month, st.get("so")).withColumn("total_purchases", F.lit(None).cast(REPORT_TOTAL))
+    # Union + group instead of a full outer join: no join at all, and the
+    # single-month case never pairs two one-row sides on a constant key.
+    j = (p.unionByName(s).groupBy("month")
+         .agg(F.sum("total_purchases").alias("total_purchases"), F.sum("total_sales").alias("total_sales")))
     if isinstance(salaries, DataFrame):
         j = j.join(salaries.select("month", F.col("salaries").cast(REPORT_TOTAL)), "month", "left")
-        sal = F.coalesce(F.col("salaries"), F.lit(0).cast(REPORT_TOTAL))
+        sal = F.coalesce(F.col("salaries"), zero)
     elif isinstance(salaries, Column):
-        sal = F.coalesce(salaries.cast(REPORT_TOTAL), F.lit(0).cast(REPORT_TOTAL))
+        sal = F.coalesce(salaries.cast(REPORT_TOTAL), zero)
     else:
         sal = F.lit(salaries).cast(REPORT_TOTAL)
-    zero = F.lit(0).cast(REPORT_TOTAL)
-    tp = F.coalesce(F.col("total_purchases"), zero)
-    ts = F.coalesce(F.col("total_sales"), zero)
+    tp = F.coalesce(F.col("total_purchases"), zero).cast(REPORT_TOTAL)
+    ts = F.coalesce(F.col("total_sales"), zero).cast(REPORT_TOTAL)
     return j.select("month", tp.alias("total_purchases"), ts.alias("total_sales"),
                     sal.alias("salaries"), (ts - tp - sal).cast(REPORT_TOTAL).alias("profit_loss"))
 

@@ -1,8 +1,17 @@
 """Size-checked broadcast joins.
 
-A side is broadcast only after a bounded probe proves it has at most
-``max_rows`` rows (the probe reads at most ``max_rows + 1`` rows). Larger
-sides are joined normally and Catalyst/AQE pick a shuffle join at runtime.
+Two ways to get a broadcast, both gated by a size check:
+
+* default (``small_side(df)``): no hint. Catalyst broadcasts a side only when
+  its estimated size is below ``spark.sql.autoBroadcastJoinThreshold`` and
+  AQE re-plans with the *measured* shuffle output size at runtime, falling
+  back to a sort-merge join above it. This costs no extra job.
+* ``small_side(df, probe=True)``: an explicit hint after a bounded probe
+  proves ``df`` has at most ``max_rows`` rows (the probe reads at most
+  ``max_rows + 1`` rows) -- for sides whose estimate is unreliable.
+
+``bounded_broadcast`` is for sides whose bound is structural (e.g. at most
+one row per partition of another DataFrame); the caller states the bound.
 """
 
 from __future__ import annotations
@@ -19,8 +28,10 @@ def has_at_most(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def small_side(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast-hinted ``df`` if its size is proven small, else ``df`` as is."""
+def small_side(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, probe: bool = False) -> DataFrame:
+    """A dimension side for a join: broadcast only behind a size check."""
+    if not probe:
+        return df
     return F.broadcast(df) if has_at_most(df, max_rows) else df
 
 

@@ -13,21 +13,38 @@ from pyspark.sql import functions as F
 KEY = ["warehouse_id", "item_id"]
 
 
+def dense_ids(df: DataFrame, order_cols: list[str], id_col: str, base: int = 0,
+              num_partitions: int | None = None) -> DataFrame:
+    """Consecutive ids ``base + 1, base + 2, ...`` in ``order_cols`` order.
+
+    Range-sort into partitions (checkpointed, so partition contents are
+    fixed), count rows per partition (one small aggregate: <= one row per
+    partition, the only thing brought to the driver), and number rows as
+    partition offset + position within the partition. No single-partition
+    window and no Python row path.
+    """
+    from stockflow.plans.checkpoint import cut_lineage
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    parts = cut_lineage(df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+                        .withColumn("_pid", F.spark_partition_id())
+                        .withColumn("_mid", F.monotonically_increasing_id()))
+    counts = sorted((r["_pid"], r["n"]) for r in parts.groupBy("_pid").agg(F.count("*").alias("n")).collect())
+    offsets, acc = {}, base
+    for pid, cnt in counts:
+        offsets[pid] = acc
+        acc += cnt
+    off = F.element_at(F.create_map(*[x for p, o in offsets.items() for x in (F.lit(p), F.lit(o))]),
+                       F.col("_pid")) if offsets else F.lit(base)
+    local = F.col("_mid") - (F.col("_pid").cast("long") * F.lit(1 << 33))
+    return parts.withColumn(id_col, (off + local + 1).cast("long")).drop("_pid", "_mid")
+
+
 def append_rows(target: DataFrame, new: DataFrame, id_col: str, order_cols: list[str],
                 defaults: dict[str, object] | None = None) -> DataFrame:
     """SNK1: append rows with generated ids ``max(id) + 1, + 2, ...`` in
-    ``order_cols`` order and column defaults.
-
-    Ids come from ``zipWithIndex`` over the sorted new rows: a range sort plus
-    per-partition counts (one small job), never a single-partition window.
-    """
-    spark = target.sparkSession
+    ``order_cols`` order, filling column defaults."""
     base = target.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("m")).first()["m"]
-    sorted_new = new.orderBy(*order_cols)
-    fields = sorted_new.schema.fields
-    rdd = sorted_new.rdd.zipWithIndex().map(lambda p: (*p[0], base + 1 + p[1]))
-    from pyspark.sql.types import LongType, StructField, StructType
-    with_ids = spark.createDataFrame(rdd, StructType(list(fields) + [StructField(id_col, LongType(), False)]))
+    with_ids = dense_ids(new, order_cols, id_col, int(base))
     for name, value in (defaults or {}).items():
         if name in with_ids.columns:
             with_ids = with_ids.withColumn(name, F.coalesce(F.col(name), F.lit(value).cast(target.schema[name].dataType)))

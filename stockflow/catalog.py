@@ -411,9 +411,12 @@ FROM w_stock s FULL OUTER JOIN last l ON s.warehouse_id = l.warehouse_id AND s.i
     *_clip("w_adj")]) + _stock_after_sql("cf"))
 def q_adjust_result(spark, d):
     """WF13: manual signed adjustments applied with the non-negative rule."""
+    from stockflow.operators.orders import adjust_stock
     t = T(spark, d)
-    adj = t.transaction_log.where(F.col("change_type") == "ADJUST")
-    return ledger.stock_after(t.stock, ledger.apply_movements(adj, t.stock))
+    adj = t.transaction_log.where(F.col("change_type") == "ADJUST").select(
+        F.col("log_id").alias("adj_id"), "warehouse_id", "item_id", F.col("delta_qty").alias("delta"),
+        "emp_id", F.lit("cycle count").alias("reason"), F.col("logged_at").alias("adjusted_at"))
+    return adjust_stock(t.stock, adj)["stock"]
 
 
 @register("returns_result", W("w_returns", "w_po", "w_pod", "w_stock", extra=[
@@ -597,6 +600,15 @@ def q_ship_stock(spark, d):
     return r["stock"].select("warehouse_id", "item_id", "quantity")
 
 
+@register("ship_unchecked", None)
+def q_ship_unchecked(spark, d):
+    """WF11 with the availability check off (D-8): orders touching a key with
+    no stock row are rejected NO_STOCK_ROW, orders that would drive stock
+    negative NEGATIVE_STOCK; the rest ship in so_id order."""
+    t = T(spark, d)
+    return orders.ship_sos(t.sales_order, t.sales_order_details, t.stock, check_stock=False)["decisions"]
+
+
 @register("add_items", W("w_item", "w_item_intake") + """
 SELECT staged_id,
        CASE WHEN name IS NULL OR length(trim(name)) = 0 THEN 'BLANK_NAME'

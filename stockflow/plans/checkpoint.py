@@ -28,8 +28,9 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     """Make sure the SparkContext checkpoints into the configured folder.
 
     Reads ``spark.checkpoint.dir`` from the session. Only when it is unset
-    (local tests, benches) a fresh folder is created -- under ``fallback`` if
-    given, else a new temporary folder on this machine.
+    *and* the master is local (tests, benches) a fresh folder is created --
+    under ``fallback`` if given, else a new temporary folder; on a cluster an
+    unset folder is an error.
     """
     sc = spark.sparkContext
     current = None
@@ -41,6 +42,9 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         return current
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder (HDFS/S3/...) "
+                               "for checkpoints; a machine-local folder is only used in local mode")
         d = tempfile.mkdtemp(prefix="stockflow-ckpt-", dir=fallback)
         spark.conf.set("spark.checkpoint.dir", d)
     sc.setCheckpointDir(d)

@@ -33,8 +33,8 @@ KEY = ["warehouse_id", "item_id"]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint directory."""
-    base = checkpoint_dir(spark) or ensure_checkpoint_dir(spark)
+    """A fresh folder under the shared checkpoint directory (required)."""
+    base = checkpoint_dir(spark) or ensure_checkpoint_dir(spark)  # raises on a cluster without one
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 

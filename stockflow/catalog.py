@@ -970,8 +970,7 @@ def q_delete_n_per_key(spark, d):
     a = T(spark, d).reorder_alerts
     keys = a.where(F.col("status").isin("OPEN", "ACK")).select("warehouse_id", "item_id").distinct()
     target = a.where(F.col("status").isin("OPEN", "ACK"))
-    kept = sinks.delete_n_per_key(target, keys, ["warehouse_id", "item_id"], 1,
-                                  [F.col("alert_date"), F.col("alert_id")])
+    kept = sinks.delete_n_per_key(target, keys, ["warehouse_id", "item_id"], 1, ["alert_date", "alert_id"])
     return kept.unionByName(a.where(~F.col("status").isin("OPEN", "ACK"))).select("alert_id")
 
 

@@ -41,9 +41,12 @@ def range_chunks(df: DataFrame, keys: list[str], order: list[str],
     return df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
 
 
-def _pid() -> int:
-    from pyspark import TaskContext
-    return TaskContext.get().partitionId()
+def with_partition_id(parts: DataFrame) -> DataFrame:
+    """Tag rows with their partition index, computed in the JVM directly over
+    the (checkpointed) partitions. Python code reads it from this column: a
+    task's own partition id is not the data partition's index when the scan
+    sits under a Union in the same stage."""
+    return parts.withColumn(PID, F.spark_partition_id().cast("long"))
 
 
 def _group_starts(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
@@ -84,13 +87,11 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str],
     per-chunk totals must see the very same partitions, and two separately
     planned range exchanges may sample different bounds.
     """
-    parts = cut_lineage(range_chunks(df, keys, order, num_partitions))
+    parts = with_partition_id(cut_lineage(range_chunks(df, keys, order, num_partitions)))
     outs = list(sums)
-    schema = _with_fields(parts.schema, [StructField(o, LongType(), True) for o in outs]
-                          + [StructField(PID, LongType(), False)])
+    schema = _with_fields(parts.schema, [StructField(o, LongType(), True) for o in outs])
 
     def local(it):
-        pid = _pid()
         last_key, carry = None, {o: 0 for o in outs}
         for pdf in it:
             if pdf.empty:
@@ -103,13 +104,11 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str],
                 cs = np.where(cont, cs + carry[o], cs)
                 pdf[o] = cs
                 carry[o] = int(cs[-1])
-            pdf[PID] = pid
             last_key = tuple(pdf[k].iat[-1] for k in keys)
             yield pdf
 
     local_df = parts.mapInPandas(local, schema)
-    totals = (parts.withColumn(PID, F.spark_partition_id().cast("long"))
-              .groupBy(PID, *keys)
+    totals = (parts.groupBy(PID, *keys)
               .agg(*[F.sum(F.coalesce(F.col(sums[o]), F.lit(0))).alias("_t_" + o) for o in outs]))
     w = Window.partitionBy(*keys).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
     # Non-null only for a key continuing from an earlier partition: <= 1 row per partition.
@@ -175,13 +174,15 @@ def _fold_partition(it, keys, value, reset, carries: dict, summaries: bool):
     (the balance carried from earlier partitions); every later key starts at
     0 or at its opening row. With ``summaries`` only per-chunk summaries of
     the partition's first and last key are emitted (<= 2 rows)."""
-    pid = _pid()
+    pid = None
     first_key = last_key = None
     carry = 0
     first_stats, last_stats = _ChunkStats(), None
     for pdf in it:
         if pdf.empty:
             continue
+        if pid is None:
+            pid = int(pdf[PID].iat[0])
         starts = _group_starts(pdf, keys)
         batch_keys = list(zip(*[pdf[k].to_numpy() for k in keys]))
         if first_key is None:                       # first batch of the partition
@@ -267,7 +268,7 @@ def clipped_fold(df: DataFrame, keys: list[str], order: list[str], value: str, r
     checkpointed (shared checkpoint folder) so rounds re-read it.
     """
     spark = df.sparkSession
-    parts = cut_lineage(range_chunks(df, keys, order, num_partitions))
+    parts = with_partition_id(cut_lineage(range_chunks(df, keys, order, num_partitions)))
     sum_schema = StructType([parts.schema[k] for k in keys] + [
         StructField(PID, LongType()), StructField("_is_first", BooleanType()),
         StructField("_has_reset", BooleanType()), StructField("_sum", LongType()),
@@ -296,6 +297,6 @@ def clipped_fold(df: DataFrame, keys: list[str], order: list[str], value: str, r
     def fold_rows(it, bc=bc):
         return _fold_partition(it, keys, value, reset, bc.value, False)
 
-    return (parts.mapInPandas(fold_rows, schema)
+    return (parts.mapInPandas(fold_rows, schema).drop(PID)
             .withColumnRenamed("_balance", balance_out)
             .withColumnRenamed("_accepted", accepted_out))

@@ -7,7 +7,7 @@ snapshot version (never overwriting the path being read).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KEY = ["warehouse_id", "item_id"]
@@ -75,18 +75,19 @@ def delete_by_key(target: DataFrame, keys_df: DataFrame, keys: list[str]) -> Dat
 
 
 def delete_n_per_key(target: DataFrame, keys_df: DataFrame, keys: list[str], n: int,
-                     order: list[Column]) -> DataFrame:
+                     order: list[str]) -> DataFrame:
     """SNK5: delete at most ``n`` matching rows per key, the first ones in ``order``.
 
-    Rows off the delete keys pass untouched; matching rows are numbered per
-    key in a fixed order (the source's ``LIMIT`` without order is not
-    repeatable) and the first ``n`` are dropped.
+    Rows off the delete keys pass untouched; matching rows are ranked per key
+    in a fixed order (the source's ``LIMIT`` without order is not repeatable)
+    by a skew-safe running count, and the first ``n`` are dropped.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
+    from stockflow.plans.scan import running_sum
     k = keys_df.select(*keys).distinct()
     untouched = target.join(k, keys, "left_anti")
-    hit = target.join(k, keys, "left_semi")
-    kept = hit.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") > n).drop("_rn")
+    hit = target.join(k, keys, "left_semi").withColumn("_one", F.lit(1).cast("long"))
+    ranked = running_sum(hit, keys, order, "_one", "_rank")
+    kept = ranked.where(F.col("_rank") > n).drop("_one", "_rank")
     return untouched.unionByName(kept.select(*target.columns))
 
 

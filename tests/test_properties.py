@@ -153,3 +153,21 @@ def test_allocation_equals_sequential(spark, seed, n_orders):
         else:
             exp[oid] = False
     assert got == exp
+
+
+def test_running_sums_under_union(spark):
+    """Carries must attach to the right partitions even when the scan runs in
+    the same stage as a Union (task ids are offset there)."""
+    rows = ledger_rows(7, 300, 3)
+    df = spark.createDataFrame(rows, "log_id long, warehouse_id long, item_id long, v long, logged_at timestamp")
+    out = running_sums(df, ["warehouse_id", "item_id"], ["logged_at", "log_id"], {"c": "v"}, 5)
+    other = spark.range(0, 50, numPartitions=6).select(
+        (F.col("id") + 10_000).alias("log_id"), F.lit(9).cast("long").alias("warehouse_id"),
+        F.lit(9).cast("long").alias("item_id"), F.lit(0).cast("long").alias("v"),
+        F.lit(T0).alias("logged_at"), F.lit(0).cast("long").alias("c"))
+    got = {r.log_id: r.c for r in other.unionByName(out.select(*other.columns)).collect() if r.log_id < 10_000}
+    acc, exp = {}, {}
+    for lid, wh, it, v, ts in sorted(rows, key=lambda r: (r[1], r[2], r[4], r[0])):
+        acc[(wh, it)] = acc.get((wh, it), 0) + v
+        exp[lid] = acc[(wh, it)]
+    assert got == exp

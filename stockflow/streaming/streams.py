@@ -149,17 +149,25 @@ def aggregate_to_snapshots(agg: DataFrame, keys: list[str], initial: DataFrame,
 class InventoryPipeline:
     """ST2 + ST5: live stock and reorder alerts from a movement stream.
 
-    State is two snapshot tables (stock, alerts) versioned by epoch. Each
-    micro-batch: clipped fold of the batch's movements from the current stock
-    (rejecting moves that would go negative), one observation per applied
-    movement, alert maintenance, then both new versions are written.
+    State is two snapshot tables (stock with each key's last applied event
+    time, and alerts) versioned by epoch. Each micro-batch:
+
+    1. late rule -- a movement older than the last one already applied for
+       its key would change history the alerts were built on; it is written
+       to ``<base>/late/v=<epoch>`` instead of being applied (the reference
+       sets no rule; this keeps every key's history in event-time order);
+    2. clipped fold of the remaining movements from the current stock
+       (moves that would go negative are rejected);
+    3. one observation per applied movement, alert maintenance;
+    4. both new versions are written (overwrite per epoch: replay-safe).
     """
 
     def __init__(self, spark: SparkSession, base: str, stock: DataFrame, alerts: DataFrame,
                  item: DataFrame, new_alert_id_offset: int = 0):
         self.spark, self.base = spark, base
         self.item, self.offset = item, new_alert_id_offset
-        self.stock_sink = SnapshotSink(spark, base + "/stock", None, stock.select(*KEY, "quantity"))
+        init = stock.select(*KEY, "quantity", F.lit(None).cast("timestamp").alias("last_logged_at"))
+        self.stock_sink = SnapshotSink(spark, base + "/stock", None, init)
         self.alert_sink = SnapshotSink(spark, base + "/alerts", None, alerts)
 
     def __call__(self, batch_df: DataFrame, epoch: int) -> None:
@@ -167,8 +175,16 @@ class InventoryPipeline:
         from stockflow.operators import ledger
         stock = self.stock_sink.previous(epoch)
         alerts = self.alert_sink.previous(epoch)
-        applied = ledger.apply_movements(batch_df, stock)
-        new_stock = ledger.stock_after(stock, applied).select(*KEY, "quantity")
+        marks = stock.select(*KEY, F.col("last_logged_at").alias("_mark"))
+        tagged = batch_df.join(marks, KEY, "left")
+        late = F.col("_mark").isNotNull() & (F.col("logged_at") < F.col("_mark"))
+        tagged.where(late).drop("_mark").write.mode("overwrite").parquet(f"{self.base}/late/v={epoch:08d}")
+        moves = tagged.where(~late).drop("_mark")
+        applied = ledger.apply_movements(moves, stock.select(*KEY, "quantity"))
+        after = ledger.stock_after(stock.select(*KEY, "quantity"), applied).select(*KEY, "quantity")
+        last = applied.groupBy(*KEY).agg(F.max("logged_at").alias("_new_mark"))
+        new_stock = (after.join(marks, KEY, "left").join(last, KEY, "left")
+                     .select(*KEY, "quantity", F.greatest("_mark", "_new_mark").alias("last_logged_at")))
         obs = alerts_op.observations(applied, self.item, self.offset)
         new_alerts = alerts_op.maintain_alerts(alerts, obs)
         new_stock.write.mode("overwrite").parquet(self.stock_sink.path(epoch))
@@ -181,7 +197,13 @@ class InventoryPipeline:
         return self
 
     def stock(self) -> DataFrame:
-        return self.stock_sink.current()
+        return self.stock_sink.current().select(*KEY, "quantity")
 
     def alerts(self) -> DataFrame:
         return self.alert_sink.current()
+
+    def late(self) -> DataFrame | None:
+        try:
+            return self.spark.read.parquet(f"{self.base}/late")
+        except Exception:  # no batch has produced the folder yet
+            return None

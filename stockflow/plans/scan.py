@@ -169,15 +169,13 @@ class _ChunkStats:
         self.final = int(bal[-1])
 
 
-def _fold_partition(it, keys, value, reset, carries: dict, summaries: bool):
-    """Fold one partition. Its first key starts from ``carries.get(pid, 0)``
-    (the balance carried from earlier partitions); every later key starts at
-    0 or at its opening row. With ``summaries`` only per-chunk summaries of
-    the partition's first and last key are emitted (<= 2 rows)."""
+def _fold_partition(it, keys, value, reset, carries: dict):
+    """Fold every row of one partition. Its first key starts from
+    ``carries.get(pid, 0)`` (the balance carried from earlier partitions);
+    every later key starts at 0 or at its opening row."""
     pid = None
     first_key = last_key = None
     carry = 0
-    first_stats, last_stats = _ChunkStats(), None
     for pdf in it:
         if pdf.empty:
             continue
@@ -197,28 +195,62 @@ def _fold_partition(it, keys, value, reset, carries: dict, summaries: bool):
         vals = pdf[value].fillna(0).astype("int64").to_numpy()
         rs = pdf[reset].fillna(False).astype(bool).to_numpy()
         bal, acc, carry = _fold(vals, rs, starts, b0)
-        if summaries:
-            m_first = np.fromiter((k == first_key for k in batch_keys), bool, len(batch_keys))
-            if m_first.any():
-                first_stats.update(vals[m_first], rs[m_first], bal[m_first])
-            tail = batch_keys[-1]
-            if tail != first_key:
-                if last_stats is None or tail != last_key:
-                    last_stats = _ChunkStats()
-                m_last = np.fromiter((k == tail for k in batch_keys), bool, len(batch_keys))
-                last_stats.update(vals[m_last], rs[m_last], bal[m_last])
-        else:
-            pdf["_balance"] = bal
-            pdf["_accepted"] = acc
-            yield pdf
+        pdf["_balance"] = bal
+        pdf["_accepted"] = acc
         last_key = batch_keys[-1]
-    if summaries and first_key is not None:
-        rows = []
-        for k, st, is_first in ((first_key, first_stats, True), (last_key, last_stats, False)):
-            if st is None or (not is_first and k == first_key):
-                continue
-            rows.append(list(k) + [pid, is_first, st.has_reset, st.total, max(0, -st.min_prefix), st.final])
-        yield pd.DataFrame(rows, columns=list(keys) + [PID, "_is_first", "_has_reset", "_sum", "_need", "_final"])
+        yield pdf
+
+
+def _summarize_partition(it, keys, value, reset, carries: dict):
+    """Chunk summaries of a partition's first and last key only (<= 2 rows).
+
+    Keys strictly inside a partition never cross a boundary, so their rows
+    are skipped: only the leading run (first key) and each batch's trailing
+    run (the candidate last key) are folded.
+    """
+    pid = None
+    first_key = tail_key = None
+    first_stats, tail_stats = _ChunkStats(), None
+    b_first = b_tail = 0
+    first_open = True                     # still inside the partition's first key
+    for pdf in it:
+        if pdf.empty:
+            continue
+        if pid is None:
+            pid = int(pdf[PID].iat[0])
+            first_key = tuple(pdf[k].iat[0] for k in keys)
+            b_first = int(carries.get(pid, 0))
+        n = len(pdf)
+        starts = _group_starts(pdf, keys)
+        gid = np.cumsum(starts)           # group number within this batch, 1-based
+        vals = pdf[value].fillna(0).astype("int64").to_numpy()
+        rs = pdf[reset].fillna(False).astype(bool).to_numpy()
+        batch_first = tuple(pdf[k].iat[0] for k in keys)
+        batch_tail = tuple(pdf[k].iat[n - 1] for k in keys)
+        if first_open:
+            m = gid == 1 if batch_first == first_key else np.zeros(n, dtype=bool)
+            if m.any():
+                st0 = np.zeros(int(m.sum()), dtype=bool)
+                bal, _, b_first = _fold(vals[m], rs[m], st0, b_first)
+                first_stats.update(vals[m], rs[m], bal)
+            if gid[-1] > 1 or not m.all():
+                first_open = False        # the first key ended inside this batch
+        if batch_tail != first_key:
+            m = gid == gid[-1]
+            if tail_stats is None or batch_tail != tail_key or gid[-1] > 1:
+                tail_stats, b_tail = _ChunkStats(), 0   # a new trailing key starts here
+            st0 = np.zeros(int(m.sum()), dtype=bool)
+            bal, _, b_tail = _fold(vals[m], rs[m], st0, b_tail)
+            tail_stats.update(vals[m], rs[m], bal)
+            tail_key = batch_tail
+    if pid is None:
+        return
+    rows = [list(first_key) + [pid, True, first_stats.has_reset, first_stats.total,
+                               max(0, -first_stats.min_prefix), first_stats.final]]
+    if tail_stats is not None and tail_key != first_key:
+        rows.append(list(tail_key) + [pid, False, tail_stats.has_reset, tail_stats.total,
+                                      max(0, -tail_stats.min_prefix), tail_stats.final])
+    yield pd.DataFrame(rows, columns=list(keys) + [PID, "_is_first", "_has_reset", "_sum", "_need", "_final"])
 
 
 def _resolve_chains(summary_rows, keys, carries: dict[int, int]):
@@ -279,7 +311,7 @@ def clipped_fold(df: DataFrame, keys: list[str], order: list[str], value: str, r
         bc = spark.sparkContext.broadcast(dict(carries))
 
         def summarize(it, bc=bc):
-            return _fold_partition(it, keys, value, reset, bc.value, True)
+            return _summarize_partition(it, keys, value, reset, bc.value)
 
         rows = parts.mapInPandas(summarize, sum_schema).collect()  # <= 2 rows per partition
         nxt, settled = _resolve_chains(rows, keys, carries)
@@ -295,7 +327,7 @@ def clipped_fold(df: DataFrame, keys: list[str], order: list[str], value: str, r
                                          StructField("_accepted", BooleanType())])
 
     def fold_rows(it, bc=bc):
-        return _fold_partition(it, keys, value, reset, bc.value, False)
+        return _fold_partition(it, keys, value, reset, bc.value)
 
     return (parts.mapInPandas(fold_rows, schema).drop(PID)
             .withColumnRenamed("_balance", balance_out)

@@ -193,3 +193,30 @@ def test_live_pipeline_routes_late_rows(spark, seed, tmp_path):
     assert [r.log_id for r in p.late().collect()] == [11]
     a = {(r.warehouse_id, r.item_id, r.status) for r in p.alerts().collect()}
     assert (1, 1, "OPEN") in a   # 10 < 20 with the seed OPEN alert kept
+
+
+@settings(**SETTINGS)
+@given(seed=st.integers(0, 10_000), n=st.integers(1, 300), parts=st.sampled_from([1, 3]),
+       batch=st.sampled_from([1, 3, 7]))
+def test_scans_with_tiny_arrow_batches(spark, seed, n, parts, batch):
+    """Keys continuing across Arrow batches inside a partition."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        rows = ledger_rows(seed, n, 4)
+        df = spark.createDataFrame(rows, "log_id long, warehouse_id long, item_id long, v long, logged_at timestamp")
+        rs = running_sums(df, ["warehouse_id", "item_id"], ["logged_at", "log_id"], {"c": "v"}, parts)
+        acc, exp = {}, {}
+        for lid, wh, it, v, ts in sorted(rows, key=lambda r: (r[1], r[2], r[4], r[0])):
+            acc[(wh, it)] = acc.get((wh, it), 0) + v
+            exp[lid] = acc[(wh, it)]
+        assert {r.log_id: r.c for r in rs.collect()} == exp
+        opening = {(0, 0): 5, (1, 2): 17}
+        m = df.withColumn("_kind", F.lit(1)).withColumn("_reset", F.lit(False))
+        op = spark.createDataFrame([(-1, wh, it, q, T0, 0, True) for (wh, it), q in opening.items()],
+                                   "log_id long, warehouse_id long, item_id long, v long, logged_at timestamp, "
+                                   "_kind int, _reset boolean")
+        out = clipped_fold(m.unionByName(op), ["warehouse_id", "item_id"], ["_kind", "logged_at", "log_id"],
+                           "v", "_reset", num_partitions=parts)
+        assert {r.log_id: (r.balance, r.accepted) for r in out.where("_kind = 1").collect()} == seq_clip(rows, opening)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")

@@ -15,11 +15,12 @@ handful of positions in each key's history, so no per-key fold is needed:
 * ``OA`` first low observation after the last not-low one (null when the
   last observation is not low), ``nN`` number of not-low observations.
 
-``FR`` needs "a low before" and ``OA`` needs "after the last not-low": both
-come from running counts (``stockflow.plans.scan.running_sums``, skew-safe),
-then everything is a two-level aggregation with map-side partials. The
-result is joined with the existing alerts (at most one row per status and
-key) on the key -- one row per key on both sides.
+``FR`` needs "after the first low" and ``OA`` "after the last not-low": a
+first per-key aggregate finds those two positions, a join brings them back
+to the observations and a second aggregate picks the rows. Both aggregates
+combine map-side, so a hot key is reduced before any shuffle. The result is
+joined with the existing alerts (at most one row per status and key) on the
+key -- one row per key on both sides.
 """
 
 from __future__ import annotations
@@ -28,7 +29,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockflow.functions.scalars import is_low
-from stockflow.plans.scan import running_sums
 
 KEY = ["warehouse_id", "item_id"]
 ALERT_COLS = ["alert_id", "warehouse_id", "item_id", "current_quantity", "reorder_level",
@@ -60,31 +60,36 @@ def _obs_struct() -> Column:
     return F.struct(F.col("new_alert_id").alias("alert_id"), F.col("quantity").alias("current_quantity"),
                     F.col("reorder_level").alias("reorder_level"),
                     F.lit(None).cast("long").alias("expected_quantity"),
-                    F.col("logged_at").alias("alert_date"), F.col("_low_before").alias("low_before"))
+                    F.col("logged_at").alias("alert_date"))
 
 
 def history_positions(obs: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Per key: FL, FN, FR, OA (as alert-slot structs) and nN."""
+    """Per key: FL, FN, FR, OA (as alert-slot structs) and nN.
+
+    Pass 1 (per key): first low, first not-low, last not-low position and the
+    not-low count. Pass 2 joins those positions back to the observations and
+    takes the first not-low after the first low (FR) and the first low after
+    the last not-low (OA). Both passes are partial/final aggregates; the join
+    pairs each observation with one row per key (a hot key is split by AQE's
+    skew-join handling, or the key table is broadcast when small).
+    """
     order = order or ["logged_at", "log_id"]
-    o = (obs.withColumn("_low", is_low().cast("long"))
-         .withColumn("_notlow", (1 - F.col("_low")).cast("long")))
-    o = running_sums(o, KEY, order, {"_c_low": "_low", "_g": "_notlow"})
-    o = o.withColumn("_low_before", F.col("_c_low") - F.col("_low"))
-    ordc = F.struct(*order)
-    row = _obs_struct()
-    low = F.col("_low") == 1
-    # Level 1: per (key, g) where g counts not-low rows so far; each not-low
-    # row opens its group, lows follow it.
-    g = (o.groupBy(*KEY, "_g")
-         .agg(F.min_by(F.when(low, row), F.when(low, ordc)).alias("gl"),
-              F.min_by(F.when(~low, row), F.when(~low, ordc)).alias("gn")))
-    # Level 2: per key.
-    return (g.groupBy(*KEY)
-            .agg(F.min_by(F.col("gl"), F.when(F.col("gl").isNotNull(), F.col("_g"))).alias("FL"),
-                 F.min_by(F.col("gn"), F.when(F.col("gn").isNotNull(), F.col("_g"))).alias("FN"),
-                 F.min_by(F.col("gn"), F.when(F.col("gn.low_before") > 0, F.col("_g"))).alias("FR"),
-                 F.max_by(F.col("gl"), F.col("_g")).alias("OA"),
-                 F.max("_g").alias("nN")))
+    low = is_low()
+    o = obs.withColumn("_low", low).withColumn("_o", F.struct(*order)).withColumn("_row", _obs_struct())
+    lo, nl = F.col("_low"), ~F.col("_low")
+    p1 = (o.groupBy(*KEY)
+          .agg(F.min_by(F.when(lo, F.col("_row")), F.when(lo, F.col("_o"))).alias("FL"),
+               F.min(F.when(lo, F.col("_o"))).alias("_fl_o"),
+               F.min_by(F.when(nl, F.col("_row")), F.when(nl, F.col("_o"))).alias("FN"),
+               F.max(F.when(nl, F.col("_o"))).alias("_ln_o"),
+               F.count_if(nl).alias("nN")))
+    after_fl = nl & F.col("_fl_o").isNotNull() & (F.col("_o") > F.col("_fl_o"))
+    after_ln = lo & (F.col("_ln_o").isNull() | (F.col("_o") > F.col("_ln_o")))
+    p2 = (o.join(p1.select(*KEY, "_fl_o", "_ln_o"), KEY)
+          .groupBy(*KEY)
+          .agg(F.min_by(F.when(after_fl, F.col("_row")), F.when(after_fl, F.col("_o"))).alias("FR"),
+               F.min_by(F.when(after_ln, F.col("_row")), F.when(after_ln, F.col("_o"))).alias("OA")))
+    return p1.join(p2, KEY).select(*KEY, "FL", "FN", "FR", "OA", "nN")
 
 
 def _slot(df_col: str) -> Column:

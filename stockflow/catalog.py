@@ -1119,7 +1119,7 @@ def q_stream_dedupe(spark, d):
     t = T(spark, d)
     replays = t.transaction_log.where(F.col("log_id") % 10 == 0)
     moves = _staged_ledger(spark, t, "st4-src", replays)
-    dd = streams.dedupe_movements(moves, "1 day", ["log_id"])
+    dd = streams.dedupe_movements(moves, "1 day")
     out = streams.scratch_path(spark, "st4-out")
     streams.run_available_now(dd.writeStream.format("parquet").option("path", out).outputMode("append"),
                               out + "_checkpoint")

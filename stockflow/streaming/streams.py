@@ -76,9 +76,24 @@ def stream_monthly(lines: DataFrame, date_col: str, out: str) -> DataFrame:
             .agg(F.sum(line_total()).cast("decimal(38,2)").alias(out)))
 
 
-def dedupe_movements(moves: DataFrame, delay: str, keys: list[str],
+def movement_identity() -> "F.Column":
+    """What makes two ledger rows the same movement: an order line for
+    receipts/shipments (ref_type, ref_id, item_id) -- a re-sent receipt gets a
+    new log id but is the same movement -- and the log id otherwise."""
+    return (F.when(F.col("ref_type").isin("PO", "SO") & F.col("ref_id").isNotNull(),
+                   F.concat_ws(":", F.col("ref_type"), F.col("ref_id").cast("string"),
+                               F.col("item_id").cast("string")))
+            .otherwise(F.concat(F.lit("log:"), F.col("log_id").cast("string"))))
+
+
+def dedupe_movements(moves: DataFrame, delay: str, keys: list[str] | None = None,
                      time_col: str = "logged_at") -> DataFrame:
-    """ST4: drop replayed movements (same ``keys``) arriving within ``delay``."""
+    """ST4: drop replayed movements arriving within ``delay`` of the first
+    copy. Identity is ``keys`` if given, else ``movement_identity()``."""
+    if keys is None:
+        m = moves.withColumn("_movement", movement_identity())
+        return (m.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["_movement"])
+                .drop("_movement"))
     return moves.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(keys)
 
 

@@ -220,3 +220,22 @@ def test_scans_with_tiny_arrow_batches(spark, seed, n, parts, batch):
         assert {r.log_id: (r.balance, r.accepted) for r in out.where("_kind = 1").collect()} == seq_clip(rows, opening)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+
+
+def test_stream_dedupe_resent_receipt(spark, tmp_path):
+    """A receipt re-sent with a new log id is the same order line: applied once."""
+    import datetime as dt
+    from stockflow.schemas import SCHEMAS
+    from stockflow.streaming import streams
+    log = SCHEMAS["transaction_log"]
+    t = dt.datetime(2025, 10, 20)
+    rows = [(1, 1, 1, "IN", 10, "PO", 7, 1, t), (2, 1, 1, "IN", 10, "PO", 7, 1, t),   # re-sent line
+            (3, 1, 2, "IN", 4, "PO", 7, 1, t), (4, 1, 1, "ADJUST", -2, "MANUAL", None, 1, t),
+            (4, 1, 1, "ADJUST", -2, "MANUAL", None, 1, t)]                           # replayed manual row
+    src = str(tmp_path / "src")
+    spark.createDataFrame(rows, log).coalesce(1).write.parquet(src)
+    out = str(tmp_path / "out")
+    dd = streams.dedupe_movements(streams.read_stream(spark, src, log), "1 day")
+    streams.run_available_now(dd.writeStream.format("parquet").option("path", out).outputMode("append"),
+                              out + "_ckpt")
+    assert sorted(r.log_id for r in spark.read.schema(log).parquet(out).collect()) in ([1, 3, 4], [2, 3, 4])

@@ -1125,3 +1125,50 @@ def q_stream_dedupe(spark, d):
                               out + "_checkpoint")
     from stockflow.operators import ledger as _l
     return _l.stock_from_ledger(spark.read.schema(t.transaction_log.schema).parquet(out))
+
+
+# ---------------------------------------------------------------- workflow outputs
+@register("receive_log", W("w_po", "w_pod") + """
+SELECT d.po_detail_id AS src_id, h.warehouse_id, d.item_id, 'IN' AS change_type, d.quantity AS delta_qty,
+       'PO' AS ref_type, h.po_id AS ref_id, CAST(NULL AS BIGINT) AS emp_id,
+       TIMESTAMP '2026-01-01 00:00:00' AS logged_at
+FROM w_pod d JOIN w_po h ON h.po_id = d.po_id
+WHERE h.status IN ('CREATED', 'APPROVED', 'PARTIAL')""")
+def q_receive_log(spark, d):
+    """WF10: one IN ledger row per received line."""
+    t = T(spark, d)
+    r = orders.receive_pos(t.purchase_order, t.purchase_order_details, t.stock,
+                           t.purchase_order.select("po_id"), as_of="2026-01-01 00:00:00")
+    return r["log"]
+
+
+@register("adjust_rejects", W("w_log", "w_po", "w_pod", "w_stock", extra=[
+    ("w_adj", "SELECT *, delta_qty AS signed_qty FROM w_log WHERE change_type = 'ADJUST'"),
+    *_clip("w_adj")]) + """
+SELECT m.log_id, m.warehouse_id, m.item_id, m.delta_qty, 'NEGATIVE_STOCK' AS reason
+FROM cm m JOIN cf f ON f.warehouse_id = m.warehouse_id AND f.item_id = m.item_id AND f.rn = m.rn
+WHERE NOT f.accepted""")
+def q_adjust_rejects(spark, d):
+    """WF13: adjustments refused because they would make stock negative."""
+    from stockflow.operators.orders import adjust_stock
+    t = T(spark, d)
+    adj = t.transaction_log.where(F.col("change_type") == "ADJUST").select(
+        F.col("log_id").alias("adj_id"), "warehouse_id", "item_id", F.col("delta_qty").alias("delta"),
+        "emp_id", F.lit("cycle count").alias("reason"), F.col("logged_at").alias("adjusted_at"))
+    return adjust_stock(t.stock, adj)["rejected"]
+
+
+@register("returns_log", W("w_returns", "w_po", "w_pod", "w_stock", extra=[
+    ("w_ret", """SELECT return_id AS log_id, warehouse_id, item_id, returned_at AS logged_at, kind, quantity,
+                        CASE WHEN kind = 'CUSTOMER' THEN quantity ELSE -quantity END AS signed_qty FROM w_returns"""),
+    *_clip("w_ret")]) + """
+SELECT m.log_id, m.warehouse_id, m.item_id, CASE WHEN m.kind = 'CUSTOMER' THEN 'IN' ELSE 'OUT' END AS change_type,
+       m.quantity AS delta_qty, CASE WHEN m.kind = 'CUSTOMER' THEN 'RETURN_CUST' ELSE 'RETURN_SUPP' END AS ref_type,
+       m.logged_at
+FROM cm m JOIN cf f ON f.warehouse_id = m.warehouse_id AND f.item_id = m.item_id AND f.rn = m.rn
+WHERE f.accepted""")
+def q_returns_log(spark, d):
+    """WF14 + D-2: ledger rows of the returns that were applied."""
+    from stockflow.operators.orders import process_returns
+    t = T(spark, d)
+    return process_returns(t.stock, t.returns)["log"]

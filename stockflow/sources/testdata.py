@@ -101,10 +101,15 @@ class TestTables:
 
     @cached_property
     def employee(self) -> DataFrame:
-        from stockflow.functions.scalars import map_role
+        """Stored employees: the staged rows with a stored role taken round-robin
+        from the role domain (no intake logic is applied here)."""
+        from stockflow.schemas import DOMAINS
+        roles = DOMAINS[("employee", "role")]
         e = self.employee_intake
-        return e.select("emp_id", "name", map_role(F.col("role_label")).alias("role"),
-                        F.trim("contact").alias("contact"), "warehouse_id", "monthly_salary")
+        return e.select("emp_id", "name",
+                        F.element_at(F.array(*[F.lit(r) for r in roles]),
+                                     (F.col("emp_id") % len(roles) + 1).cast("int")).alias("role"),
+                        "contact", "warehouse_id", "monthly_salary")
 
     # ---- orders ------------------------------------------------------
     def _lines(self, status: str) -> DataFrame:

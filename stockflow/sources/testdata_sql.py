@@ -40,10 +40,8 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM (SELECT DISTINCT user_id FROM events)"""),
     "w_employee": (("w_employee_intake",), """
         SELECT emp_id, name,
-               COALESCE(CASE role_label WHEN 'Warehouse Manager' THEN 'manager' WHEN 'Receiver' THEN 'staff'
-                          WHEN 'Picker' THEN 'picker' WHEN 'Admin' THEN 'admin' WHEN 'Clerk' THEN 'staff'
-                          WHEN 'Auditor' THEN 'staff' WHEN 'Supervisor' THEN 'staff' END, 'staff') AS role,
-               trim(contact) AS contact, warehouse_id, monthly_salary
+               (['manager', 'staff', 'picker', 'packer', 'driver', 'admin'])[emp_id % 6 + 1] AS role,
+               contact, warehouse_id, monthly_salary
         FROM w_employee_intake"""),
     "w_po": ((), """
         SELECT h.l_orderkey AS po_id, h.supplier_id, h.l_orderkey % 5 AS warehouse_id,

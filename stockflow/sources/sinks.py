@@ -91,19 +91,27 @@ def delete_n_per_key(target: DataFrame, keys_df: DataFrame, keys: list[str], n:
     return untouched.unionByName(kept.select(*target.columns))
 
 
-def ensure_stock_rows(stock: DataFrame, keys_df: DataFrame, id_base: int = 0) -> DataFrame:
+def _next_stock_ids(stock: DataFrame, new_keys: DataFrame) -> DataFrame:
+    """Ids for stock rows that do not exist yet: ``max(stock_id) + 1, ...`` in
+    (warehouse, item) order (SNK1's dense ids; no formula over the key values,
+    which could collide for large ids)."""
+    base = stock.agg(F.coalesce(F.max("stock_id"), F.lit(0)).alias("m")).first()["m"]
+    return dense_ids(new_keys.select(*KEY), KEY, "stock_id", int(base))
+
+
+def ensure_stock_rows(stock: DataFrame, keys_df: DataFrame) -> DataFrame:
     """SNK6: make sure a stock row exists for every (warehouse, item); new rows
-    start at 0. Existing rows are kept untouched."""
+    start at 0 with fresh ids. Existing rows are kept untouched."""
     new = keys_df.select(*KEY).distinct().join(stock.select(*KEY), KEY, "left_anti")
-    new = new.select(
-        (F.col("warehouse_id") * 1_000_000_000 + F.col("item_id") + F.lit(id_base)).alias("stock_id"),
-        *KEY, F.lit(0).cast("long").alias("quantity"), F.lit(None).cast("timestamp").alias("last_updated"))
+    new = _next_stock_ids(stock, new).select(
+        "stock_id", *KEY, F.lit(0).cast("long").alias("quantity"), F.lit(None).cast("timestamp").alias("last_updated"))
     return stock.unionByName(new.select(*stock.columns))
 
 
 def upsert_stock(stock: DataFrame, deltas: DataFrame, delta_col: str = "delta",
                  as_of=None) -> DataFrame:
-    """SNK7: add quantity deltas to stock; keys without a row get one.
+    """SNK7: add quantity deltas to stock; keys without a row get one (with a
+    fresh id).
 
     Deltas are pre-aggregated per key (map-side partial aggregation) before
     the full outer join, so the join sees one row per key on each side.
@@ -111,17 +119,16 @@ def upsert_stock(stock: DataFrame, deltas: DataFrame, delta_col: str = "delta",
     d = deltas.groupBy(*KEY).agg(F.sum(delta_col).cast("long").alias("_d"))
     j = stock.join(d, KEY, "full_outer")
     ts = F.lit(as_of).cast("timestamp") if as_of is not None else F.current_timestamp()
-    cols = []
-    for c in stock.columns:
-        if c == "quantity":
-            cols.append((F.coalesce(F.col("quantity"), F.lit(0)) + F.coalesce(F.col("_d"), F.lit(0))).cast("long").alias(c))
-        elif c == "last_updated":
-            cols.append(F.when(F.col("_d").isNotNull(), ts).otherwise(F.col(c)).alias(c))
-        elif c == "stock_id":
-            cols.append(F.coalesce(F.col(c), F.col("warehouse_id") * 1_000_000_000 + F.col("item_id")).alias(c))
-        else:
-            cols.append(F.col(c))
-    return j.select(*cols)
+    qty = (F.coalesce(F.col("quantity"), F.lit(0)) + F.coalesce(F.col("_d"), F.lit(0))).cast("long")
+    upd = F.when(F.col("_d").isNotNull(), ts).otherwise(F.col("last_updated"))
+    cols = [qty.alias(c) if c == "quantity" else upd.alias(c) if c == "last_updated" else F.col(c)
+            for c in stock.columns]
+    if "stock_id" not in stock.columns:
+        return j.select(*cols)
+    existing = j.where(F.col("stock_id").isNotNull()).select(*cols)
+    fresh = j.where(F.col("stock_id").isNull()).drop("stock_id")
+    fresh = fresh.join(_next_stock_ids(stock, fresh), KEY)
+    return existing.unionByName(fresh.select(*cols))
 
 
 def with_default_column(df: DataFrame, name: str, dtype: str, default=None) -> DataFrame:

@@ -16,6 +16,13 @@ def _arrow(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 
 
+def op7_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 7 over all documents: fingerprint and component of each row."""
+    from stockflow.llm.simhash import simhash_components
+    _arrow(spark)
+    return simhash_components(_read(spark, sf_dir, "documents"))
+
+
 def op9_byte_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 9 over all documents, fitted on labels outside fold 0."""
     from stockflow.llm.quality import quality_scores
@@ -24,5 +31,6 @@ def op9_byte_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op7_simhash_vptree": (op7_simhash_vptree, None),
     "op9_byte_convnet": (op9_byte_convnet, None),
 }

@@ -16,6 +16,13 @@ def _arrow(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 
 
+def op5_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 5 over all documents, fitted on labels outside fold 0."""
+    from stockflow.llm.toxicity import toxicity_scores
+    _arrow(spark)
+    return toxicity_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op7_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 7 over all documents: fingerprint and component of each row."""
     from stockflow.llm.simhash import simhash_components
@@ -31,6 +38,7 @@ def op9_byte_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op5_weak_toxicity": (op5_weak_toxicity, None),
     "op7_simhash_vptree": (op7_simhash_vptree, None),
     "op9_byte_convnet": (op9_byte_convnet, None),
 }

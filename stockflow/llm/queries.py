@@ -16,6 +16,19 @@ def _arrow(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 1 over all documents: bins of 2,048 words."""
+    from stockflow.llm.packing import pack_documents
+    _arrow(spark)
+    return pack_documents(_read(spark, sf_dir, "documents"))
+
+
+def op4_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4 over all documents: what the mix takes of each."""
+    from stockflow.llm.mixing import mixture
+    return mixture(_read(spark, sf_dir, "documents"))
+
+
 def op5_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 5 over all documents, fitted on labels outside fold 0."""
     from stockflow.llm.toxicity import toxicity_scores
@@ -37,8 +50,17 @@ def op9_byte_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over all documents."""
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_best_fit_packing": (op1_best_fit_packing, None),
+    "op4_pareto_mixing": (op4_pareto_mixing, None),
     "op5_weak_toxicity": (op5_weak_toxicity, None),
     "op7_simhash_vptree": (op7_simhash_vptree, None),
+    "pipeline": (pipeline, None),
     "op9_byte_convnet": (op9_byte_convnet, None),
 }

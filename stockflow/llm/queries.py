@@ -23,6 +23,13 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"))
 
 
+def op3_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 3 over all documents."""
+    from stockflow.llm.licenses import license_report
+    _arrow(spark)
+    return license_report(_read(spark, sf_dir, "documents"))
+
+
 def op4_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 4 over all documents: what the mix takes of each."""
     from stockflow.llm.mixing import mixture
@@ -58,6 +65,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_best_fit_packing": (op1_best_fit_packing, None),
+    "op3_license_index": (op3_license_index, None),
     "op4_pareto_mixing": (op4_pareto_mixing, None),
     "op5_weak_toxicity": (op5_weak_toxicity, None),
     "op7_simhash_vptree": (op7_simhash_vptree, None),

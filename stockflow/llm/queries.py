@@ -57,6 +57,14 @@ def op9_byte_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op10_chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 10 over all conversations and conversation -1, read back from its output."""
+    from stockflow.llm.chat import conversation_digests, format_conversations, probe_conversation
+    _arrow(spark)
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_digests(format_conversations(turns.unionByName(probe_conversation(turns))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over all documents."""
     import corpus_pipeline
@@ -69,6 +77,7 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op4_pareto_mixing": (op4_pareto_mixing, None),
     "op5_weak_toxicity": (op5_weak_toxicity, None),
     "op7_simhash_vptree": (op7_simhash_vptree, None),
+    "op10_chat_tokens": (op10_chat_tokens, None),
     "pipeline": (pipeline, None),
     "op9_byte_convnet": (op9_byte_convnet, None),
 }

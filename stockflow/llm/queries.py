@@ -50,6 +50,13 @@ def op7_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_read(spark, sf_dir, "documents"))
 
 
+def op8_vptree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8: ten nearest vectors of every hundredth vec_id among all embeddings."""
+    from stockflow.llm.ann import nearest
+    _arrow(spark)
+    return nearest(_read(spark, sf_dir, "embeddings"))
+
+
 def op9_byte_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 9 over all documents, fitted on labels outside fold 0."""
     from stockflow.llm.quality import quality_scores
@@ -79,5 +86,6 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op7_simhash_vptree": (op7_simhash_vptree, None),
     "op10_chat_tokens": (op10_chat_tokens, None),
     "pipeline": (pipeline, None),
+    "op8_vptree_neighbours": (op8_vptree_neighbours, None),
     "op9_byte_convnet": (op9_byte_convnet, None),
 }

@@ -43,6 +43,12 @@ def op5_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op6_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6 over all documents and their edited texts."""
+    from stockflow.llm.fingerprint import edited_fingerprints
+    return edited_fingerprints(_read(spark, sf_dir, "documents"))
+
+
 def op7_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 7 over all documents: fingerprint and component of each row."""
     from stockflow.llm.simhash import simhash_components
@@ -83,6 +89,7 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op3_license_index": (op3_license_index, None),
     "op4_pareto_mixing": (op4_pareto_mixing, None),
     "op5_weak_toxicity": (op5_weak_toxicity, None),
+    "op6_minhash_fingerprints": (op6_minhash_fingerprints, None),
     "op7_simhash_vptree": (op7_simhash_vptree, None),
     "op10_chat_tokens": (op10_chat_tokens, None),
     "pipeline": (pipeline, None),

@@ -23,6 +23,13 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"))
 
 
+def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 2 over all pages: written as WARC, indexed, looked up and read back."""
+    from stockflow.llm.warc import archive_round_trip
+    _arrow(spark)
+    return archive_round_trip(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op3_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 3 over all documents."""
     from stockflow.llm.licenses import license_report
@@ -86,6 +93,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_best_fit_packing": (op1_best_fit_packing, None),
+    "op2_warc_index": (op2_warc_index, None),
     "op3_license_index": (op3_license_index, None),
     "op4_pareto_mixing": (op4_pareto_mixing, None),
     "op5_weak_toxicity": (op5_weak_toxicity, None),

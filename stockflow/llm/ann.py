@@ -36,6 +36,8 @@ from stockflow.llm.common import join_hot_key, materialize
 K, QUERY_EVERY, FACTOR = 10, 100, 0.6
 LEAF, SAMPLE_PER_SHARD, SHARD_LEAST, SHARD_MOST = 64, 64, 4096, 1 << 17
 CELLS = 1 << 21
+#: Stands for a null id, which sorts last.
+NAMELESS = (1 << 63) - 1
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -142,7 +144,7 @@ def _reached(tree, x: np.ndarray, reach: np.ndarray) -> Iterator[tuple[int, np.n
 
 def _answerer(k: int, factor: float):
     """Streams a shard's points (first) and the queries that visit it."""
-    cols = ["qid", "score", "vec_id", "rid"]
+    cols = ["qid", "score", "vec_id", "rid", "nameless"]
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, points, search = None, [], None
@@ -156,20 +158,15 @@ def _answerer(k: int, factor: float):
                 if len(asks) and points:
                     if search is None:
                         p = pd.concat(points)
-                        ids, rids = p["ids"].tolist(), p["rids"].tolist()
-                        first = np.array([last if (i := x[0]) is None or i != i else int(i) for x in ids])
+                        rows = [list(zip(n, i, r)) for n, i, r in zip(p["nameless"], p["ids"], p["rids"])]
+                        first = np.array([r[0][1] for r in rows], np.int64)
                         search = Searcher(_matrix(p["v"]), first, k, factor)
-                    rows = []
+                    out = []
                     best, at = search(_matrix(asks["v"]), asks["bound"].to_numpy())
                     for q, ds, ps in zip(asks["qid"].tolist(), best.tolist(), at.tolist()):
-                        found = [(d, i is None or i != i, i, r) for d, p in zip(ds, ps) if p >= 0
-                                 for i, r in zip(ids[p], rids[p])]
-                        found.sort(key=lambda f: (f[0], f[1], 0 if f[1] else f[2], f[3]))
-                        rows += [(q, d, None if none else int(i), r) for d, none, i, r in found[:k]]
-                    out = pd.DataFrame(rows, columns=cols)
-                    out["vec_id"] = out["vec_id"].astype("Int64")
-                    yield out
-    last = np.iinfo(np.int64).max - 1
+                        found = sorted((d, *row) for d, p in zip(ds, ps) if p >= 0 for row in rows[p])
+                        out += [(q, d, i, r, n) for d, n, i, r in found[:k]]
+                    yield pd.DataFrame(out, columns=cols)
     return answer
 
 
@@ -191,8 +188,10 @@ def nearest(table: DataFrame, k: int = K, query_every: int = QUERY_EVERY, factor
     copies = Window.partitionBy("v").orderBy(F.col("vec_id").asc_nulls_last(), "rid")
     few = rows.withColumn("n", F.row_number().over(copies)).filter(F.col("n") <= k + 1)
     held = F.sort_array(F.collect_list(F.struct("n", "vec_id", "rid")))
+    # null ids are told apart by a flag: pandas would round longs beside a null
     points = materialize(few.groupBy("v").agg(held.alias("h")).select(
-        "v", F.col("h.vec_id").alias("ids"), F.col("h.rid").alias("rids")), "points")
+        "v", F.transform("h", lambda x: F.coalesce(x["vec_id"], F.lit(NAMELESS))).alias("ids"),
+        F.transform("h", lambda x: x["vec_id"].isNull()).alias("nameless"), F.col("h.rid").alias("rids")), "points")
     queries = materialize(asked.groupBy("v").agg(F.count("*").alias("n"))
                           .withColumn("qid", F.monotonically_increasing_id()), "queries")
     n = points.count()
@@ -209,13 +208,15 @@ def nearest(table: DataFrame, k: int = K, query_every: int = QUERY_EVERY, factor
 
     none = lambda t: F.lit(None).cast(t)
     owners = points.select(home("v").alias("shard"), F.lit(False).alias("asks"), none("long").alias("qid"), "v",
-                           none("double").alias("bound"), "ids", "rids")
+                           none("double").alias("bound"), "ids", "nameless", "rids")
 
     def search(visits: DataFrame) -> DataFrame:
         asks = visits.select("shard", F.lit(True).alias("asks"), "qid", "v", "bound",
-                             none("array<long>").alias("ids"), none("array<long>").alias("rids"))
+                             none("array<long>").alias("ids"), none("array<boolean>").alias("nameless"),
+                             none("array<long>").alias("rids"))
         both = owners.unionByName(asks).repartition(1 << depth, "shard").sortWithinPartitions("shard", "asks")
-        return both.mapInPandas(_answerer(k + 1, factor), "qid long, score double, vec_id long, rid long")
+        found = both.mapInPandas(_answerer(k + 1, factor), "qid long, score double, vec_id long, rid long, nameless boolean")
+        return found.select("qid", "score", F.when(~F.col("nameless"), F.col("vec_id")).alias("vec_id"), "rid")
 
     near = materialize(search(queries.select(home("v").alias("shard"), "qid", "v", F.lit(float("inf")).alias("bound"))),
                        "home_answers")

@@ -144,11 +144,11 @@ def format_conversations(turns: DataFrame, vocabulary: str = VOCABULARY) -> Data
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     own = turns.select("conv_id", "turn", blank("role"), blank("text"))
     coded = own.withColumn("e", _encoder(vocabulary)("role", "text")).select(
-        "conv_id", F.col("conv_id").cast("string").alias("conv_key"), "turn", "role",
+        "conv_id", F.col("conv_id").cast("string").alias("conv_key"), "turn", "role",  # text: pandas would round a nullable long
         F.sha2("text", 256).alias("tie"), "e.ids", "e.head", "e.body_end")
     order = ["conv_id", "turn", "role", "tie"]
     kind = dict(coded.dtypes)
-    cols = ["conv_id", "conv_key", "role", "ids", "head", "body_end"]
+    cols = ["conv_key", "role", "ids", "head", "body_end"]
     schema = ", ".join(f"{c} {kind[c]}" for c in cols) + ", turn_no long, start long, chunk int"
     parts = materialize(coded.repartitionByRange(*order).sortWithinPartitions(*order).select(*cols)
                         .mapInPandas(_chunk_sums, schema), "segments")
@@ -164,7 +164,7 @@ def format_conversations(turns: DataFrame, vocabulary: str = VOCABULARY) -> Data
     opening = F.array(F.lit(codec(vocabulary)[1] + CONTROL.index("<s>")))
     loss = lambda c: F.when(F.col("role") == "assistant", start + F.col(c))
     return materialize(full.select(
-        "conv_id", turn_no.alias("turn_no"), F.when(first, F.lit(0)).otherwise(start).cast("long").alias("start"),
+        F.col("conv_key").cast(kind["conv_id"]).alias("conv_id"), turn_no.alias("turn_no"), F.when(first, F.lit(0)).otherwise(start).cast("long").alias("start"),
         F.when(first, F.concat(opening, "ids")).otherwise(F.col("ids")).alias("ids"),
         loss("head").alias("loss_start"), loss("body_end").alias("loss_end")), "formatted")
 
@@ -225,11 +225,12 @@ def conversation_digests(formatted: DataFrame, vocabulary: str = VOCABULARY) ->
     sequential by nature, needs a conversation's turns in one place; they
     stream through with a few numbers of state.
     """
-    read = read_turns(formatted, vocabulary)
     kind = dict(formatted.dtypes)["conv_id"]
-    return (read.repartition("conv_id").sortWithinPartitions("conv_id", "turn_no")
-            .mapInPandas(_digest, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, "
+    read = read_turns(formatted, vocabulary).withColumn("conv_id", F.col("conv_id").cast("string"))
+    rows = (read.repartition("conv_id").sortWithinPartitions("conv_id", "turn_no")
+            .mapInPandas(_digest, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, "
                                   "loss_sha256 string, formatted_chars long, n_tokens long"))
+    return rows.withColumn("conv_id", F.col("conv_id").cast(kind))
 
 
 def probe_conversation(turns: DataFrame) -> DataFrame:

@@ -52,11 +52,12 @@ def source_targets(sized: DataFrame) -> DataFrame:
         (F.col("m_rank") - 1) % CYCLE + 1).alias("m_weight")), "source_weights")
     cap, weight = F.col("m_size") * MAX_REPEAT, F.col("m_weight")
     total = ranked.agg(F.sum("m_size").alias("s"), F.sum("m_weight").alias("w")).first()
-    level, before = (total["s"] or 0) / (total["w"] or 1), None
+    everything = total["s"] or 0
+    level, before = everything / (total["w"] or 1), None
     while level != before:  # the sources at their limit only grow in number, so this ends
         full = cap <= F.lit(level) * weight
         r = ranked.agg(F.sum(F.when(full, cap)).alias("c"), F.sum(F.when(~full, weight)).alias("w")).first()
-        before, level = level, (total["s"] - (r["c"] or 0)) / r["w"] if r["w"] else level
+        before, level = level, (everything - (r["c"] or 0)) / r["w"] if r["w"] else level
     target = F.when(cap <= F.lit(level) * weight, cap.cast("double")).otherwise(F.lit(level) * weight)
     rate = F.when(F.col("m_size") > 0, F.col("m_target") / F.col("m_size")).otherwise(0.0)
     whole = F.least(F.floor(rate + 1e-9), F.lit(MAX_REPEAT).cast("long"))
@@ -66,9 +67,9 @@ def source_targets(sized: DataFrame) -> DataFrame:
                        .withColumn("m_part", left).withColumn("m_odds", share / (1 - share)).drop("m_weight"), "targets")
 
 
-def pareto_rank(docs: DataFrame, size: Column, seed: int, importance) -> Column:
-    """The integer rank of a row of ``docs`` joined with its source's odds."""
-    h = F.xxhash64(F.lit(seed), *[docs[c].cast("string") for c in ("doc_id", "source", "text")])
+def pareto_rank(row: tuple[Column, Column, Column], size: Column, seed: int, importance) -> Column:
+    """The integer rank of a row (doc_id, source, text) beside its source's odds."""
+    h = F.xxhash64(F.lit(seed), *[c.cast("string") for c in row])
     u = (F.shiftrightunsigned(h, 11).cast("double") + 0.5) * F.lit(2.0 ** -53)
     odds = F.col("m_odds") * importance(size)
     return F.floor(u / (u + odds * (1 - u)) * F.lit(float(1 << RANK_BITS))).cast("long")
@@ -88,9 +89,9 @@ def source_plan(docs: DataFrame, seed: int = SEED, importance=default_importance
     sized = docs.select("doc_id", "source", "text", words(F.col("text")).alias("size"))
     sources = source_targets(sized.select("source", "size"))
     sources = materialize(sources.withColumn("m_id", F.xxhash64("m_source")), "source_ids")
-    ranked = sized.join(sources, sized["source"].eqNullSafe(sources["m_source"]))
-    ranked = materialize(ranked.filter(F.col("m_part") > 0).select(
-        "m_id", "m_source", "m_part", "size", pareto_rank(sized, F.col("size"), seed, importance).alias("m_rank")), "ranks")
+    ranked = sized.join(sources, F.col("source").eqNullSafe(F.col("m_source"))).filter(F.col("m_part") > 0)
+    rank = pareto_rank((F.col("doc_id"), F.col("source"), F.col("text")), F.col("size"), seed, importance)
+    ranked = materialize(ranked.select("m_id", "m_source", "m_part", "size", rank.alias("m_rank")), "ranks")
     ids = ["m_id", "m_source", "m_part"]
     shift = RANK_BITS - CELL_BITS
     rows = ranked.withColumn("c1", F.shiftright("m_rank", shift))
@@ -115,26 +116,29 @@ def source_plan(docs: DataFrame, seed: int = SEED, importance=default_importance
                        .withColumn("m_cut", F.coalesce("m_cut", everything)).drop("m_id"), "plan")
 
 
-def _copies(docs: DataFrame, plan: DataFrame, seed: int, importance) -> DataFrame:
-    size = words(docs["text"])
-    joined = docs.join(plan, docs["source"].eqNullSafe(plan["m_source"]), "left")
-    extra = (pareto_rank(docs, size, seed, importance) <= F.col("m_cut")).cast("long")
-    return joined.withColumn("m_copies", F.col("m_whole") + extra)
+def _copies(docs: DataFrame, seed: int, importance) -> tuple[DataFrame, list[str]]:
+    """``docs`` with columns c0, c1, ... and beside them the size and the number
+    of copies the mix takes; the new names of doc_id, source and text."""
+    plan = source_plan(docs, seed, importance)
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    own = [names[docs.columns.index(c)] for c in ("doc_id", "source", "text")]
+    ident, source, text = map(F.col, own)
+    joined = docs.toDF(*names).join(plan, source.eqNullSafe(F.col("m_source")), "left").withColumn("size", words(text))
+    extra = pareto_rank((ident, source, text), F.col("size"), seed, importance) <= F.col("m_cut")
+    return joined.withColumn("m_copies", F.col("m_whole") + extra.cast("long")), own
 
 
 def mixture(docs: DataFrame, seed: int = SEED, importance=default_importance) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies) of every row of ``docs(doc_id, source, text)``."""
-    plan = source_plan(docs, seed, importance)
-    own = docs.select("doc_id", "source", "text")
-    out = _copies(own, plan, seed, importance).withColumn("size", words(F.col("text")))
-    return out.select("doc_id", "size", F.col("m_size").alias("source_size"), F.col("m_target").alias("target"),
-                      (F.col("size") * F.col("m_copies")).alias("taken"), F.col("m_copies").alias("copies"))
+    out, own = _copies(docs.select("doc_id", "source", "text"), seed, importance)
+    return out.select(F.col(own[0]).alias("doc_id"), "size", F.col("m_size").alias("source_size"),
+                      F.col("m_target").alias("target"), (F.col("size") * F.col("m_copies")).alias("taken"),
+                      F.col("m_copies").alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED, importance=default_importance) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, all columns as they were."""
-    names = docs.columns
-    out = _copies(docs, source_plan(docs, seed, importance), seed, importance)
+    out, _ = _copies(docs, seed, importance)
     return (out.filter(F.col("m_copies") > 0)
             .withColumn("m_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m_copies"))))
-            .select(*[docs[c] for c in names]))
+            .select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)]))

@@ -101,7 +101,8 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int
     n_words (the words of the document it holds), shard and bin (null for a
     document without words), bin_offset (where in the bin it starts).
     """
-    slim = docs.select("doc_id", "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("cluster"),
+    ident = docs.select("doc_id").schema[0].dataType
+    slim = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "source", F.xxhash64(F.coalesce("text", F.lit(""))).alias("cluster"),
                        words(F.col("text")).alias("size"))
     rows = slim.groupBy("doc_id", "source", "cluster", "size").agg(F.count("*").alias("n"))
     one = F.lit(1).cast("long")
@@ -112,7 +113,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int
               .withColumn("n_words", F.least(F.col("size") - F.col("start"), F.lit(capacity).cast("long"))))
     total = slim.agg(F.sum(F.greatest(F.ceil(F.col("size") / capacity), one)).alias("n")).first()["n"] or 0
     shards = max(1, -(-total // shard_pieces))
-    tie = F.xxhash64(F.col("doc_id").cast("string"), "source", "cluster", "copy", "piece")
+    tie = F.xxhash64("doc_id", "source", "cluster", "copy", "piece")
     cols = ["doc_id", "source", "cluster", "copy", "piece", "start", "n_words"]
     dealt = (pieces.filter(F.col("n_words") > 0).withColumn("tie", tie)
              .select(*cols, F.pmod("tie", F.lit(shards)).alias("shard"), "tie"))
@@ -120,5 +121,6 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard_pieces: int
     schema = ", ".join(f"{c} {kind[c]}" for c in [*cols, "shard"]) + ", bin long, bin_offset long"
     packed = dealt.groupBy("shard").applyInPandas(_pack(capacity), schema)
     none = F.lit(None).cast("long")
-    return packed.unionByName(pieces.filter(F.col("n_words") == 0).select(
+    out = packed.unionByName(pieces.filter(F.col("n_words") == 0).select(
         *cols, none.alias("shard"), none.alias("bin"), none.alias("bin_offset")))
+    return out.withColumn("doc_id", F.col("doc_id").cast(ident))  # as text so far: pandas would round a nullable long

@@ -122,18 +122,18 @@ class Forest:
         self.parent[i] = r
         return r
 
-    def link(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-        """Join each a to its b; returns the joins that were needed."""
-        pairs = np.unique(np.stack([self.root(a), self.root(b)], 1), axis=0)
+    def link(self, a: np.ndarray, b: np.ndarray) -> list[int]:
+        """Join each a to its b; returns which of the pairs were needed."""
+        pairs, at = np.unique(np.stack([self.root(a), self.root(b)], 1), axis=0, return_index=True)
         made, parent = [], self.parent
-        for x, y in pairs[pairs[:, 0] != pairs[:, 1]].tolist():
+        for x, y, k in np.column_stack([pairs, at])[pairs[:, 0] != pairs[:, 1]].tolist():
             while parent[x] != x:
                 x = parent[x]
             while parent[y] != y:
                 y = parent[y]
             if x != y:
                 parent[max(x, y)] = min(x, y)
-                made.append((int(x), int(y)))
+                made.append(k)
         return made
 
 
@@ -180,22 +180,23 @@ def _linker(bits: int):
     def close(owners: list[np.ndarray]):
         points = np.concatenate(owners)
         tree, forest = build_tree(points, np.arange(points.size), LEAF), Forest(points.size)
-        made = []
+        made = [np.zeros((0, 2), np.uint64)]
         for q, i in range_pairs(tree, points, points, np.arange(points.size), bits):
-            made += forest.link(q, i)
-        return points, tree, forest, points[np.array(made, int).reshape(-1, 2)]
+            need = forest.link(q, i)
+            made.append(np.stack([points[q[need]], points[i[need]]], 1))
+        return points, tree, forest, np.concatenate(made)
 
     def visit(state, q: np.ndarray) -> list[np.ndarray]:
         points, tree, forest, _ = state
-        made = []
-        first = np.full(q.size, -1)
+        made, first = [], np.full(q.size, -1)
         for k, i in range_pairs(tree, points, q, np.arange(q.size), bits):
             k1, at = np.unique(k, return_index=True)
             new = k1[first[k1] < 0]
             first[new] = i[at[first[k1] < 0]]
-            made += forest.link(first[k], i)
+            need = forest.link(first[k], i)
+            made.append(np.stack([q[k[need]], points[i[need]]], 1))
         hit = np.nonzero(first >= 0)[0]
-        return [np.stack([q[hit], points[first[hit]]], 1), points[np.array(made, int).reshape(-1, 2)]]
+        return [np.stack([q[hit], points[first[hit]]], 1), *made]
 
     def frame(pairs: np.ndarray) -> pd.DataFrame:
         return pd.DataFrame(pairs.astype(np.uint64).view(np.int64).reshape(-1, 2), columns=["a", "b"])
@@ -277,13 +278,9 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     ident = F.col(f"c{names.index('doc_id')}")
     slim = own.select(ident.alias("doc_id"), "fp", "rid")
     classes, _ = _classes(slim)
-    first = slim.groupBy("fp").agg(F.min(F.struct(ident_last(F.col("doc_id")).alias("x"), "doc_id", "rid")).alias("m"))
+    first = slim.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "rid")).alias("m"))
     kept = (first.join(classes.select("fp", "root"), "fp").groupBy("root").agg(F.min("m").alias("m"))
             .select(F.col("m.rid").alias("rid")))
     return own.join(materialize(kept, "kept"), "rid", "left_semi").select(
         *[F.col(f"c{k}").alias(c) for k, c in enumerate(names)])
 
-
-def ident_last(doc_id: Column) -> Column:
-    """Sorts rows without id behind the others."""
-    return doc_id.isNull()

@@ -60,17 +60,26 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5, F.lit(0).cast("long"))
 
 
+def labelled_ids(labels: DataFrame, label: str) -> DataFrame:
+    """(__id, y) of all labelled rows outside fold 0; of several labels of one id the largest."""
+    return (labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+            .groupBy(F.col("doc_id").alias("__id")).agg(F.max(label).cast("int").alias("y"))
+            .filter(fold(F.col("__id")) != 0))
+
+
+def class_sizes(labels: DataFrame, label: str) -> dict[int, int]:
+    """Number of labelled rows outside fold 0 by class."""
+    return {r["y"]: r["count"] for r in labelled_ids(labels, label).groupBy("y").count().collect()}
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
     """(text, y) of at most ``limit`` labelled documents of each class outside fold 0.
 
     The sample is the ``limit`` smallest hashes of the id in each class, so
     it is bounded, reproducible and independent of the table's order. Rows
-    without label, id or text are left out; of several labels of one id the
-    largest counts.
+    without label, id or text are left out.
     """
-    rows = (labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-            .groupBy(F.col("doc_id").alias("__id")).agg(F.max(label).cast("int").alias("y"))
-            .filter(fold(F.col("__id")) != 0))
+    rows = labelled_ids(labels, label)
     picks = [rows.filter(F.col("y") == y).orderBy(F.xxhash64("__id"), "__id").limit(limit) for y in (0, 1)]
     ids = picks[0].unionByName(picks[1])
     return (docs.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull())

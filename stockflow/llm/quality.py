@@ -8,7 +8,8 @@ all chunks becomes the document's probability of label 1.
 
 Training runs in numpy on a bounded sample of labelled rows (``TRAIN_DOCS`` of
 each class, never fold 0) of which ``TRAIN_CHUNKS`` evenly spaced chunks each
-are brought to the driver, a few MB whatever the corpus. Scoring reads every
+are brought to the driver, a few MB whatever the corpus. The sample is balanced;
+the output is then shifted to the classes' shares among all labelled rows. Scoring reads every
 byte of every text, in blocks, so a text of any length needs bounded memory.
 
 Null and empty texts are scored as eight zero bytes. Repeated rows get equal
@@ -26,9 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType, StructField, IntegerType, BinaryType, LongType
 
-from stockflow.llm.common import fold, labelled_sample
+from stockflow.llm.common import class_sizes, fold, labelled_sample
 
-STRIDE, WIDTH, DIM, FILTERS, HIDDEN = 4, 8, 4, 32, 16
+STRIDE, WIDTH, DIM, FILTERS, HIDDEN = 4, 8, 4, 64, 32
 CHUNK, OVERLAP = 1024, 64
 POOL, STEP = CHUNK // STRIDE, (CHUNK - OVERLAP) // STRIDE
 TRAIN_DOCS, TRAIN_CHUNKS, EPOCHS, BATCH = 2000, 3, 8, 64
@@ -162,6 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> ByteCo
     chunks = np.frombuffer(b"".join(sample["part"]), np.uint8).reshape(-1, CHUNK + STRIDE)
     net = ByteConvNet()
     net.fit(chunks, doc, y)
+    share = class_sizes(labels, "quality")
+    net.p["b2"] += np.float32(np.log(share[1] / share[0] * (y == 0).sum() / (y == 1).sum()))
     return net
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from stockflow.llm.common import fold, labelled_sample, materialize
+from stockflow.llm.common import class_sizes, fold, labelled_sample, materialize
 
 TRAIN_DOCS, MINED, MINED_VOTERS = 4000, 400, 48
 STEMS, FLUSH = (4, 5, 6, 7, 8), 300_000
@@ -164,7 +164,7 @@ class LabelModel:
     def __init__(self, votes: np.ndarray, label: np.ndarray, weight: np.ndarray, prior: float, rounds: int = 30):
         v, w = votes.astype(float), weight / weight.sum()
         self.prior, self.correlation = prior, np.zeros((v.shape[1],) * 2)
-        q = np.where(v[:, :len(LEXICONS)].any(1) | v[:, len(LEXICONS) + len(PATTERNS):].any(1), 0.9, prior / 4)
+        q = np.where(label == 1, 0.9, 0.05)  # the annotator is where the estimates start
         for _ in range(rounds):
             self._rates(v, w, q)
             self._correlations(v, w, q)
@@ -232,9 +232,7 @@ def lexicon_keys() -> list[str]:
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> LinearScorer:
     """Fit voters, label model and classifier on rows outside fold 0."""
-    known = (labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
-             .groupBy("doc_id").agg(F.max("toxic").alias("y")).groupBy("y").count().collect())
-    share = {r["y"]: r["count"] for r in known}
+    share = class_sizes(labels, "toxic")
     lex = list(dict.fromkeys(lexicon_keys()))
     plain = LinearScorer(lex, np.full(len(lex), 2 * np.log(9.0)), -np.log(9.0))
     if not (share.get(0) and share.get(1)):

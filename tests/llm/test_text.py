@@ -89,9 +89,9 @@ def test_label_model_learns_accuracies():
     votes[:, 1] = np.where(y == 1, r.random(4000) < 0.5, r.random(4000) < 0.01)
     votes[:, 2] = votes[:, 0]
     votes[:, n - 1] = r.random(4000) < 0.3
-    label = np.where(r.random(4000) < 0.01, 1 - y, y)
+    label = np.where(r.random(4000) < 0.03, 1 - y, y)
     m = toxicity.LabelModel(votes, label, np.ones(4000), 0.2)
-    assert m.rate1[0] == pytest.approx(0.7, abs=0.12) and m.rate0[0] < 0.06
+    assert 0.45 < m.rate1[0] < 0.8 and m.rate1[0] > m.rate1[1] > m.rate0[1] and m.rate0[0] < 0.06
     assert abs(math.log(m.rate1[n - 1] / m.rate0[n - 1])) < 0.3
     assert m.correlation[0, 2] > 0.8 and m.correlation[0, 1] < 0.3
     assert np.mean((m.posterior(votes, label) > 0.5) == y) > 0.95

@@ -1042,14 +1042,14 @@ def q_row_counts(spark, d):
 # ---------------------------------------------------------------- streaming
 from stockflow.streaming import streams  # noqa: E402
 
-STREAM_FILES = 4
+STREAM_STEPS = 4
 
 
 def _staged_ledger(spark, t, name, extra: DataFrame | None = None):
     log = t.transaction_log if extra is None else t.transaction_log.unionByName(extra)
     path = streams.scratch_path(spark, name)
-    streams.stage_files(log, path, STREAM_FILES, ["logged_at", "log_id"])
-    return streams.read_stream(spark, path, log.schema)
+    files = streams.stage_files(log, path, STREAM_STEPS, ["logged_at", "log_id"])
+    return streams.read_stream(spark, path, log.schema, files)
 
 
 @register("stream_stock", REGISTRY["upsert_stock"][1])
@@ -1077,8 +1077,8 @@ def q_stream_totals(spark, d):
     t = T(spark, d)
     lines = t.sales_order_details
     path = streams.scratch_path(spark, "st3-src")
-    streams.stage_files(lines, path, STREAM_FILES, ["so_id", "item_id"])
-    src_df = streams.read_stream(spark, path, lines.schema)
+    files = streams.stage_files(lines, path, STREAM_STEPS, ["so_id", "item_id"])
+    src_df = streams.read_stream(spark, path, lines.schema, files)
     init = spark.createDataFrame([], "so_id long, so_total decimal(18,2)")
     sink = streams.aggregate_to_snapshots(streams.stream_totals(src_df, "so_id", "so_total"), ["so_id"], init,
                                           streams.scratch_path(spark, "st3-out"))
@@ -1092,8 +1092,8 @@ def q_stream_monthly(spark, d):
     t = T(spark, d)
     lines = t.purchase_order_details
     path = streams.scratch_path(spark, "st6-src")
-    streams.stage_files(lines, path, STREAM_FILES, ["po_id", "item_id"])
-    src_df = streams.read_stream(spark, path, lines.schema)
+    files = streams.stage_files(lines, path, STREAM_STEPS, ["po_id", "item_id"])
+    src_df = streams.read_stream(spark, path, lines.schema, files)
     joined = src_df.join(t.purchase_order.select("po_id", "po_date"), "po_id")
     init = spark.createDataFrame([], "month string, total_purchases decimal(38,2)")
     sink = streams.aggregate_to_snapshots(streams.stream_monthly(joined, "po_date", "total_purchases"),

@@ -16,8 +16,8 @@ handful of positions in each key's history, so no per-key fold is needed:
   last observation is not low), ``nN`` number of not-low observations.
 
 ``FR`` needs "after the first low" and ``OA`` "after the last not-low": a
-first per-key aggregate finds those two positions, a join brings them back
-to the observations and a second aggregate picks the rows. Both aggregates
+first per-key aggregate finds those two positions, a salted join brings them
+back to the observations and a second aggregate picks the rows. Both aggregates
 combine map-side, so a hot key is reduced before any shuffle. The result is
 joined with the existing alerts (at most one row per status and key) on the
 key -- one row per key on both sides.
@@ -33,6 +33,8 @@ from stockflow.functions.scalars import is_low
 KEY = ["warehouse_id", "item_id"]
 ALERT_COLS = ["alert_id", "warehouse_id", "item_id", "current_quantity", "reorder_level",
               "expected_quantity", "alert_date", "status"]
+# Tasks that share one key's observations in the second pass.
+SALTS = 16
 _SLOT = ["alert_id", "current_quantity", "reorder_level", "expected_quantity", "alert_date"]
 
 
@@ -69,9 +71,11 @@ def history_positions(obs: DataFrame, order: list[str] | None = None) -> DataFra
     Pass 1 (per key): first low, first not-low, last not-low position and the
     not-low count. Pass 2 joins those positions back to the observations and
     takes the first not-low after the first low (FR) and the first low after
-    the last not-low (OA). Both passes are partial/final aggregates; the join
-    pairs each observation with one row per key (a hot key is split by AQE's
-    skew-join handling, or the key table is broadcast when small).
+    the last not-low (OA). Both passes are partial/final aggregates. The join
+    is salted: a key's observations are dealt to ``SALTS`` tasks by a hash of
+    their order, and its one row of positions is copied to each, so a hot key
+    is spread even where the key table is too large to broadcast; what the
+    tasks found is then merged, at most ``SALTS`` rows per key.
     """
     order = order or ["logged_at", "log_id"]
     low = is_low()
@@ -85,10 +89,14 @@ def history_positions(obs: DataFrame, order: list[str] | None = None) -> DataFra
                F.count_if(nl).alias("nN")))
     after_fl = nl & F.col("_fl_o").isNotNull() & (F.col("_o") > F.col("_fl_o"))
     after_ln = lo & (F.col("_ln_o").isNull() | (F.col("_o") > F.col("_ln_o")))
-    p2 = (o.join(p1.select(*KEY, "_fl_o", "_ln_o"), KEY)
-          .groupBy(*KEY)
-          .agg(F.min_by(F.when(after_fl, F.col("_row")), F.when(after_fl, F.col("_o"))).alias("FR"),
-               F.min_by(F.when(after_ln, F.col("_row")), F.when(after_ln, F.col("_o"))).alias("OA")))
+    salt = F.pmod(F.xxhash64("_o"), F.lit(SALTS)).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    x = o.withColumn("_salt", salt).join(p1.select(*KEY, "_fl_o", "_ln_o", copies.alias("_salt")), [*KEY, "_salt"])
+    part = (x.groupBy(*KEY, "_salt")
+            .agg(F.min(F.when(after_fl, F.struct("_o", "_row"))).alias("_fr"),
+                 F.min(F.when(after_ln, F.struct("_o", "_row"))).alias("_oa")))
+    p2 = (part.groupBy(*KEY).agg(F.min("_fr").alias("_fr"), F.min("_oa").alias("_oa"))
+          .select(*KEY, F.col("_fr._row").alias("FR"), F.col("_oa._row").alias("OA")))
     return p1.join(p2, KEY).select(*KEY, "FL", "FN", "FR", "OA", "nN")
 
 

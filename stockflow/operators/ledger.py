@@ -90,7 +90,9 @@ def _with_openings(moves: DataFrame, opening: DataFrame | None, value: str) -> D
     m = moves.withColumn(_KIND, F.lit(1)).withColumn("_v", F.col(value).cast("long"))
     if opening is None:
         return m.withColumn("_reset", F.lit(False))
-    o = opening.select(*KEY, F.col("quantity").cast("long").alias("_v"))
+    # only keys that move: a billion resting stock rows need no fold
+    o = (opening.join(moves.select(*KEY).distinct(), KEY, "left_semi")
+         .select(*KEY, F.col("quantity").cast("long").alias("_v")))
     for f in m.schema.fields:
         if f.name not in o.columns:
             o = o.withColumn(f.name, F.lit(None).cast(f.dataType))

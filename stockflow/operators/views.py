@@ -1,7 +1,7 @@
 """Read views over stock, items and orders (PF10, J1-J6, J9, WF1-3, WF8, WF9, WF12, WF18).
 
-Dimension sides (warehouse, item) are broadcast only after a bounded size
-probe (``small_side``); otherwise Catalyst/AQE choose a shuffle join.
+No join carries a hint: Catalyst broadcasts a dimension (warehouse, item) only
+when its size is below the threshold; otherwise AQE plans a shuffle join.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockflow.functions.scalars import collated, is_low, line_total, stock_status
-from stockflow.plans.joins import small_side
 
 RECEIVABLE_STATUSES = ("CREATED", "APPROVED", "PARTIAL")  # D-3: PARTIAL matches nothing
 SHIPPABLE_STATUSES = ("NEW", "CONFIRMED")

@@ -5,8 +5,9 @@ task, so one hot (warehouse, item) holding a third of the ledger would make
 one task process a third of the data. Instead, rows are range-partitioned on
 ``(keys..., order...)``: the range partitioner samples the composite key, so
 a hot key is split over as many partitions as its volume needs. Each
-partition is scanned locally (pandas over Arrow batches, rows already in
-order) and the only cross-partition state is the carry into the *first* key
+partition is scanned locally (``mapInArrow``: numpy over the value column,
+every other column passes through as the Arrow data it was, so no id is ever
+rounded) and the only cross-partition state is the carry into the *first* key
 of each partition -- at most one carry per partition. That structural bound
 (``<= num_partitions`` rows) is what makes carry tables safe to broadcast or
 to bring to the driver.
@@ -18,13 +19,13 @@ use, so every branch and every retry reads the same fixed partitions.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from stockflow.plans.checkpoint import cut_lineage
-from stockflow.plans.joins import bounded_broadcast
 
 PID = "_pid"
 
@@ -49,32 +50,50 @@ def with_partition_id(parts: DataFrame) -> DataFrame:
     return parts.withColumn(PID, F.spark_partition_id().cast("long"))
 
 
-def _group_starts(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
-    """True where a row starts a new key group within this (sorted) batch."""
-    n = len(pdf)
+def _with_fields(schema: StructType, fields: list[StructField]) -> StructType:
+    names = {f.name for f in fields}
+    return StructType([f for f in schema.fields if f.name not in names] + fields)
+
+
+def _group_starts(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """True where a row of this (sorted) batch starts a new key group."""
+    n = batch.num_rows
     start = np.zeros(n, dtype=bool)
-    if n:
-        start[0] = True
-        for k in keys:
-            v = pdf[k].to_numpy()
-            start[1:] |= v[1:] != v[:-1]
+    start[0] = True
+    for k in keys:
+        a, b = batch.column(k).slice(1), batch.column(k).slice(0, n - 1)
+        differ = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.not_equal(pc.is_null(a), pc.is_null(b)))
+        start[1:] |= differ.to_numpy(zero_copy_only=False)
     return start
 
 
-def _leading_group(pdf: pd.DataFrame, keys: list[str], key: tuple | None) -> np.ndarray:
-    """Rows of the batch's first group when it continues ``key``."""
-    n = len(pdf)
-    if key is None or n == 0:
-        return np.zeros(n, dtype=bool)
-    first = tuple(pdf[k].iat[0] for k in keys)
-    if first != key:
-        return np.zeros(n, dtype=bool)
-    return np.cumsum(_group_starts(pdf, keys)) == 1
+def _key_at(batch: pa.RecordBatch, keys: list[str], i: int) -> tuple:
+    return tuple(batch.column(k)[i].as_py() for k in keys)
 
 
-def _with_fields(schema: StructType, fields: list[StructField]) -> StructType:
-    names = {f.name for f in fields}
-    return StructType([f for f in schema.fields if f.name not in names] + fields)
+def _longs(batch: pa.RecordBatch, col: str) -> np.ndarray:
+    return pc.fill_null(batch.column(col).cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
+
+
+def _flags(batch: pa.RecordBatch, col: str) -> np.ndarray:
+    return pc.fill_null(batch.column(col), False).to_numpy(zero_copy_only=False)
+
+
+def _extended(batch: pa.RecordBatch, extra: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """The batch with columns added or replaced at the end; the others untouched."""
+    keep = [n for n in batch.schema.names if n not in extra]
+    return pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), *(pa.array(v) for v in extra.values())],
+                                      names=[*keep, *extra])
+
+
+def _segment_sums(values: np.ndarray, starts: np.ndarray, carry: int) -> np.ndarray:
+    """Running sums that begin anew at ``starts``; the first segment begins at ``carry``."""
+    total = np.cumsum(values)
+    at = np.flatnonzero(starts)
+    base = total[at] - values[at]
+    if at.size:
+        base[0] -= carry
+    return total - np.repeat(base, np.diff(np.append(at, values.size)))
 
 
 # ---------------------------------------------------------------- running sums
@@ -85,39 +104,64 @@ def running_sums(df: DataFrame, keys: list[str], order: list[str],
 
     The range-partitioned input is checkpointed once: the local scan and the
     per-chunk totals must see the very same partitions, and two separately
-    planned range exchanges may sample different bounds.
+    planned range exchanges may sample different bounds. Only a chunk's first
+    key can continue from an earlier chunk, so only the chunks' first and last
+    keys are summed for the carries.
     """
     parts = with_partition_id(cut_lineage(range_chunks(df, keys, order, num_partitions)))
     outs = list(sums)
     schema = _with_fields(parts.schema, [StructField(o, LongType(), True) for o in outs])
 
     def local(it):
-        last_key, carry = None, {o: 0 for o in outs}
-        for pdf in it:
-            if pdf.empty:
+        last_key, carry = None, {}
+        for batch in it:
+            if not batch.num_rows:
                 continue
-            cont = _leading_group(pdf, keys, last_key)
-            by = [pdf[k] for k in keys]
-            for o in outs:
-                v = pdf[sums[o]].fillna(0).astype("int64")
-                cs = v.groupby(by, sort=False, dropna=False).cumsum().to_numpy()
-                cs = np.where(cont, cs + carry[o], cs)
-                pdf[o] = cs
-                carry[o] = int(cs[-1])
-            last_key = tuple(pdf[k].iat[-1] for k in keys)
-            yield pdf
-
-    local_df = parts.mapInPandas(local, schema)
-    totals = (parts.groupBy(PID, *keys)
-              .agg(*[F.sum(F.coalesce(F.col(sums[o]), F.lit(0))).alias("_t_" + o) for o in outs]))
+            starts = _group_starts(batch, keys)
+            goes_on = _key_at(batch, keys, 0) == last_key
+            made = {o: _segment_sums(_longs(batch, sums[o]), starts, carry[o] if goes_on else 0) for o in outs}
+            last_key, carry = _key_at(batch, keys, batch.num_rows - 1), {o: int(v[-1]) for o, v in made.items()}
+            yield _extended(batch, made)
+
+    def edges(it):
+        """(chunk, key, sums) of a chunk's first and last key: at most two rows."""
+        pid, found = None, {}
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            pid = batch.column(PID)[0].as_py() if pid is None else pid
+            ids = np.cumsum(_group_starts(batch, keys)) - 1
+            first = next(iter(found), None)
+            for g in sorted({0, int(ids[-1])}):
+                own = ids == g
+                key = _key_at(batch, keys, int(np.argmax(own)))
+                add = [int(_longs(batch, sums[o])[own].sum()) for o in outs]
+                old = found.get(key)
+                found[key] = [x + y for x, y in zip(old, add)] if old else add
+            last = _key_at(batch, keys, batch.num_rows - 1)
+            found = {k: v for k, v in found.items() if k in (first if first is not None else next(iter(found)), last)}
+        if found:
+            names = [*keys, PID, *["_t_" + o for o in outs]]
+            rows = [[*k, pid, *v] for k, v in found.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa_types[i]) for i in range(len(names))], names=names)
+
+    edge_schema = StructType([parts.schema[k] for k in keys] + [StructField(PID, LongType())]
+                             + [StructField("_t_" + o, LongType()) for o in outs])
+    from pyspark.sql.pandas.types import to_arrow_type
+    pa_types = [to_arrow_type(f.dataType) for f in edge_schema.fields]
+    totals = parts.select(*keys, PID, *dict.fromkeys(sums.values())).mapInArrow(edges, edge_schema)
     w = Window.partitionBy(*keys).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
-    # Non-null only for a key continuing from an earlier partition: <= 1 row per partition.
-    carries = (totals.select(PID, *keys, *[F.sum("_t_" + o).over(w).alias("_c_" + o) for o in outs])
+    # Non-null only for a key continuing from an earlier chunk: at most one row per chunk.
+    carries = (totals.select(F.col(PID).alias("_cp"), *[F.col(k).alias("_ck_" + k) for k in keys],
+                             *[F.sum("_t_" + o).over(w).alias("_c_" + o) for o in outs])
                .where(F.col("_c_" + outs[0]).isNotNull()))
-    out = local_df.join(bounded_broadcast(carries), [PID, *keys], "left")
+    same = F.col(PID) == F.col("_cp")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col("_ck_" + k))
+    out = parts.mapInArrow(local, schema).join(F.broadcast(carries), same, "left")
     for o in outs:
         out = out.withColumn(o, (F.col(o) + F.coalesce(F.col("_c_" + o), F.lit(0))).cast("long"))
-    return out.drop(PID, *["_c_" + o for o in outs])
+    return out.select(*[f.name for f in schema.fields if f.name != PID])
 
 
 def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, out: str,
@@ -126,209 +170,205 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, ou
 
 
 # ---------------------------------------------------------------- clipped fold
+def _clip(values: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Balances and acceptance of one stretch of movements entered with ``b``:
+    running sums up to the next violation, which is left out; where violations
+    are dense, short stretches go value by value."""
+    n, i, step = len(values), 0, 256
+    balance, accepted = np.empty(n, np.int64), np.ones(n, bool)
+    while i < n:
+        run = b + np.cumsum(values[i:i + step])
+        below = np.flatnonzero(run < 0)
+        ok = int(below[0]) if below.size else len(run)
+        balance[i:i + ok] = run[:ok]
+        b = int(run[ok - 1]) if ok else b
+        i += ok
+        if not below.size:
+            step *= 2
+            continue
+        step = max(16, step // 2)
+        stop = min(n, i + (64 if step == 16 else 1))
+        for k, v in enumerate(values[i:stop].tolist(), i):
+            accepted[k] = b + v >= 0
+            b += v if accepted[k] else 0
+            balance[k] = b
+        i = stop
+    return balance, accepted
+
+
 def _fold(values: np.ndarray, resets: np.ndarray, starts: np.ndarray, carry_in: int):
-    """Sequential clipped fold over one sorted batch.
+    """Clipped fold over one sorted batch: (balance after each row, accepted, last balance).
 
     ``starts`` rows begin a key at balance 0; ``resets`` rows (openings) set
     the balance to their value; other rows add their value unless the balance
-    would go below zero, in which case they are rejected.
-    Returns (balance_after, accepted, final_balance).
+    would go below zero, in which case they are rejected. Stretches without a
+    violation are settled all at once.
     """
-    n = len(values)
-    bal_out = np.empty(n, dtype=np.int64)
-    acc = np.empty(n, dtype=bool)
-    b = carry_in
-    for i in range(n):
-        if starts[i]:
-            b = 0
-        v = int(values[i])
-        if resets[i]:
-            b = v
-            acc[i] = True
-        elif b + v >= 0:
-            b += v
-            acc[i] = True
+    cut = starts | resets
+    cut[0] = True
+    carry = 0 if starts[0] or resets[0] else carry_in
+    balance, accepted = _segment_sums(values, cut, carry), np.ones(len(values), bool)
+    at = np.flatnonzero(cut)
+    end = np.append(at[1:], len(values))
+    for s in np.flatnonzero(np.minimum.reduceat(balance, at) < 0).tolist():
+        a, z = int(at[s]), int(end[s])
+        if resets[a]:
+            balance[a] = values[a]
+            balance[a + 1:z], accepted[a + 1:z] = _clip(values[a + 1:z], int(values[a]))
         else:
-            acc[i] = False
-        bal_out[i] = b
-    return bal_out, acc, b
-
-
-class _ChunkStats:
-    __slots__ = ("has_reset", "total", "min_prefix", "final")
-
-    def __init__(self):
-        self.has_reset, self.total, self.min_prefix, self.final = False, 0, 0, 0
-
-    def update(self, vals, resets, bal):
-        v = np.where(resets, 0, vals)
-        pref = self.total + np.cumsum(v)
-        self.has_reset = self.has_reset or bool(resets.any())
-        self.min_prefix = min(self.min_prefix, int(pref.min()))
-        self.total = int(pref[-1])
-        self.final = int(bal[-1])
+            balance[a:z], accepted[a:z] = _clip(values[a:z], carry if s == 0 else 0)
+    return balance, accepted, int(balance[-1])
 
 
 def _fold_partition(it, keys, value, reset, carries: dict):
     """Fold every row of one partition. Its first key starts from
     ``carries.get(pid, 0)`` (the balance carried from earlier partitions);
     every later key starts at 0 or at its opening row."""
-    pid = None
-    first_key = last_key = None
-    carry = 0
-    for pdf in it:
-        if pdf.empty:
+    last_key, carry = None, 0
+    for batch in it:
+        if not batch.num_rows:
             continue
-        if pid is None:
-            pid = int(pdf[PID].iat[0])
-        starts = _group_starts(pdf, keys)
-        batch_keys = list(zip(*[pdf[k].to_numpy() for k in keys]))
-        if first_key is None:                       # first batch of the partition
-            first_key = batch_keys[0]
-            starts[0] = False
-            b0 = int(carries.get(pid, 0))
-        elif batch_keys[0] == last_key:             # group continues from last batch
-            starts[0] = False
-            b0 = carry
+        starts = _group_starts(batch, keys)
+        if last_key is None:                        # first batch of the partition
+            starts[0], carry = False, int(carries.get(batch.column(PID)[0].as_py(), 0))
         else:
-            b0 = 0
-        vals = pdf[value].fillna(0).astype("int64").to_numpy()
-        rs = pdf[reset].fillna(False).astype(bool).to_numpy()
-        bal, acc, carry = _fold(vals, rs, starts, b0)
-        pdf["_balance"] = bal
-        pdf["_accepted"] = acc
-        last_key = batch_keys[-1]
-        yield pdf
-
-
-def _summarize_partition(it, keys, value, reset, carries: dict):
-    """Chunk summaries of a partition's first and last key only (<= 2 rows).
-
-    Keys strictly inside a partition never cross a boundary, so their rows
-    are skipped: only the leading run (first key) and each batch's trailing
-    run (the candidate last key) are folded.
-    """
-    pid = None
-    first_key = tail_key = None
-    first_stats, tail_stats = _ChunkStats(), None
-    b_first = b_tail = 0
-    first_open = True                     # still inside the partition's first key
-    for pdf in it:
-        if pdf.empty:
+            starts[0] = _key_at(batch, keys, 0) != last_key
+        balance, accepted, carry = _fold(_longs(batch, value), _flags(batch, reset), starts, carry)
+        last_key = _key_at(batch, keys, batch.num_rows - 1)
+        yield _extended(batch, {"_balance": balance, "_accepted": accepted})
+
+
+class _Run:
+    """Summary of one key's rows in one chunk, entered with balance 0."""
+
+    def __init__(self, key: tuple, first: bool):
+        self.key, self.first = key, first
+        self.reset, self.total, self.low, self.final = False, 0, 0, 0
+
+    def add(self, values: np.ndarray, resets: np.ndarray) -> None:
+        run = self.total + np.cumsum(np.where(resets, 0, values))
+        self.low, self.total = min(self.low, int(run.min())), int(run[-1])
+        self.reset = self.reset or bool(resets.any())
+        self.final = _fold(values, resets, np.zeros(len(values), bool), self.final)[2]
+
+
+def _summaries(it, keys, value, reset, names, types):
+    """Summaries of a chunk's first and last key only (at most two rows): keys
+    strictly inside never cross a boundary."""
+    pid, first, last = None, None, None
+    for batch in it:
+        if not batch.num_rows:
             continue
-        if pid is None:
-            pid = int(pdf[PID].iat[0])
-            first_key = tuple(pdf[k].iat[0] for k in keys)
-            b_first = int(carries.get(pid, 0))
-        n = len(pdf)
-        starts = _group_starts(pdf, keys)
-        gid = np.cumsum(starts)           # group number within this batch, 1-based
-        vals = pdf[value].fillna(0).astype("int64").to_numpy()
-        rs = pdf[reset].fillna(False).astype(bool).to_numpy()
-        batch_first = tuple(pdf[k].iat[0] for k in keys)
-        batch_tail = tuple(pdf[k].iat[n - 1] for k in keys)
-        if first_open:
-            m = gid == 1 if batch_first == first_key else np.zeros(n, dtype=bool)
-            if m.any():
-                st0 = np.zeros(int(m.sum()), dtype=bool)
-                bal, _, b_first = _fold(vals[m], rs[m], st0, b_first)
-                first_stats.update(vals[m], rs[m], bal)
-            if gid[-1] > 1 or not m.all():
-                first_open = False        # the first key ended inside this batch
-        if batch_tail != first_key:
-            m = gid == gid[-1]
-            if tail_stats is None or batch_tail != tail_key or gid[-1] > 1:
-                tail_stats, b_tail = _ChunkStats(), 0   # a new trailing key starts here
-            st0 = np.zeros(int(m.sum()), dtype=bool)
-            bal, _, b_tail = _fold(vals[m], rs[m], st0, b_tail)
-            tail_stats.update(vals[m], rs[m], bal)
-            tail_key = batch_tail
-    if pid is None:
-        return
-    rows = [list(first_key) + [pid, True, first_stats.has_reset, first_stats.total,
-                               max(0, -first_stats.min_prefix), first_stats.final]]
-    if tail_stats is not None and tail_key != first_key:
-        rows.append(list(tail_key) + [pid, False, tail_stats.has_reset, tail_stats.total,
-                                      max(0, -tail_stats.min_prefix), tail_stats.final])
-    yield pd.DataFrame(rows, columns=list(keys) + [PID, "_is_first", "_has_reset", "_sum", "_need", "_final"])
-
-
-def _resolve_chains(summary_rows, keys, carries: dict[int, int]):
-    """Walk each key's chunks in partition order. Returns (carries for the
-    next round, settled?). A carry is exact when the previous chunk's final
-    balance is exact: chunk 0 always is; chunk i is when it was folded with
-    its true carry, or when that carry covers its need (then final = b + S)."""
+        pid = batch.column(PID)[0].as_py() if pid is None else pid
+        ids = np.cumsum(_group_starts(batch, keys)) - 1
+        values, resets = _longs(batch, value), _flags(batch, reset)
+        for g in sorted({0, int(ids[-1])}):
+            own = ids == g
+            key = _key_at(batch, keys, int(np.argmax(own)))
+            if first is None:
+                first = last = _Run(key, True)
+            elif key != last.key:
+                last = _Run(key, False)
+            last.add(values[own], resets[own])
+    if first is not None:
+        rows = [[*r.key, pid, r.first, r.reset, r.total, max(0, -r.low), r.final]
+                for r in ([first] if last is first else [first, last])]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+
+def _resolve_chains(rows, keys) -> tuple[dict[int, int], dict[tuple, tuple[int, int]]]:
+    """Walk each key's chunks in order. A chunk entered with balance b >= need
+    rejects nothing and leaves b + sum; one with an opening leaves its own
+    final balance. Returns the carries known so far and, of each key that met
+    a chunk below its need, that chunk and the balance on entry."""
     chains: dict[tuple, list] = {}
-    for r in summary_rows:
+    for r in rows:
         chains.setdefault(tuple(r[k] for k in keys), []).append(r)
-    nxt: dict[int, int] = {}
-    settled = True
-    for chunks in chains.values():
-        if len(chunks) < 2:
-            continue
+    carries, open_at = {}, {}
+    for key, chunks in chains.items():
         chunks.sort(key=lambda r: r[PID])
-        b, exact = chunks[0]["_final"], True
+        b = chunks[0]["_final"]
         for r in chunks[1:]:
-            pid = r[PID]
-            nxt[pid] = b
-            if not exact:
-                settled = False
-            folded_with_b = carries.get(pid) == b
-            if r["_has_reset"] or folded_with_b:
+            carries[r[PID]] = b
+            if r["_reset"]:
                 b = r["_final"]
             elif b >= r["_need"]:
-                b = b + r["_sum"]
+                b += r["_sum"]
             else:
-                b = b + r["_sum"]   # guess; refined next round
-                exact = False
-    return nxt, settled
+                open_at[key] = (r[PID], b)
+                break
+    return carries, open_at
 
 
 def clipped_fold(df: DataFrame, keys: list[str], order: list[str], value: str, reset: str,
                  balance_out: str = "balance", accepted_out: str = "accepted",
-                 num_partitions: int | None = None) -> DataFrame:
+                 num_partitions: int | None = None, stats: dict | None = None) -> DataFrame:
     """Per-key fold where a row that would make the balance negative is rejected.
 
     ``reset`` marks opening rows (they set the balance to ``value``); they
-    must sort first within their key. Exact for any skew: the data is split
-    into range chunks; the carry into each partition's first key is resolved
-    from per-chunk summaries (sum S, need T = max deficit): a chunk entered
-    with balance b >= T rejects nothing and leaves b + S. A chunk entered
-    below T is re-folded with its now-known carry in the next round; every
-    round settles at least one more chunk of each chain, so rounds are
-    bounded by chunks per key and are typically one. The partitioned input is
-    checkpointed (shared checkpoint folder) so rounds re-read it.
+    must sort first within their key. The data is split into range chunks and
+    written once. Three passes at most, whatever the data:
+
+    1. each chunk summarises its first and last key (sum, need, final
+       balance); the driver walks the chunks of the keys that cross borders;
+    2. only if a key met a chunk with less than that chunk needs: from there on
+       its balances depend on every single row, so those rows (value and
+       opening flag only, from that chunk on) stream in order through one task
+       per such key, which holds one number and emits the balance at each
+       chunk's border;
+    3. every chunk folds its rows, its first key starting from its carry.
     """
-    spark = df.sparkSession
+    from pyspark.sql.pandas.types import to_arrow_type
     parts = with_partition_id(cut_lineage(range_chunks(df, keys, order, num_partitions)))
-    sum_schema = StructType([parts.schema[k] for k in keys] + [
-        StructField(PID, LongType()), StructField("_is_first", BooleanType()),
-        StructField("_has_reset", BooleanType()), StructField("_sum", LongType()),
-        StructField("_need", LongType()), StructField("_final", LongType())])
-
-    carries: dict[int, int] = {}
-    while True:
-        bc = spark.sparkContext.broadcast(dict(carries))
-
-        def summarize(it, bc=bc):
-            return _summarize_partition(it, keys, value, reset, bc.value)
-
-        rows = parts.mapInPandas(summarize, sum_schema).collect()  # <= 2 rows per partition
-        nxt, settled = _resolve_chains(rows, keys, carries)
-        if settled and nxt == carries:
-            break
-        if settled:
-            carries = nxt
-            break
-        carries = nxt
-
-    bc = spark.sparkContext.broadcast(dict(carries))
-    schema = _with_fields(parts.schema, [StructField("_balance", LongType()),
-                                         StructField("_accepted", BooleanType())])
-
-    def fold_rows(it, bc=bc):
-        return _fold_partition(it, keys, value, reset, bc.value)
-
-    return (parts.mapInPandas(fold_rows, schema).drop(PID)
-            .withColumnRenamed("_balance", balance_out)
-            .withColumnRenamed("_accepted", accepted_out))
+    schema = StructType([parts.schema[k] for k in keys] + [
+        StructField(PID, LongType()), StructField("_first", BooleanType()), StructField("_reset", BooleanType()),
+        StructField("_sum", LongType()), StructField("_need", LongType()), StructField("_final", LongType())])
+    names, types = [f.name for f in schema.fields], [to_arrow_type(f.dataType) for f in schema.fields]
+    slim = parts.select(*keys, PID, *dict.fromkeys([value, reset]))
+    rows = slim.mapInArrow(lambda it: _summaries(it, keys, value, reset, names, types), schema).collect()  # <= 2 per chunk
+    carries, open_at = _resolve_chains(rows, keys)
+    if open_at:
+        carries |= _stream_chains(slim, keys, value, reset, open_at)
+    if stats is not None:
+        stats.update(passes=3 if open_at else 2, streamed_keys=len(open_at))
+
+    out = _with_fields(parts.schema, [StructField("_balance", LongType()), StructField("_accepted", BooleanType())])
+    return (parts.mapInArrow(lambda it: _fold_partition(it, keys, value, reset, carries), out).drop(PID)
+            .withColumnRenamed("_balance", balance_out).withColumnRenamed("_accepted", accepted_out))
+
+
+def _stream_chains(slim: DataFrame, keys: list[str], value: str, reset: str,
+                   open_at: dict[tuple, tuple[int, int]]) -> dict[int, int]:
+    """The balance with which each later chunk of the keys in ``open_at`` is entered (at most one per chunk)."""
+    spark, n = slim.sparkSession, len(open_at)
+    numbered = [(i, *key, pid, b) for i, (key, (pid, b)) in enumerate(sorted(open_at.items(), key=str))]
+    shape = StructType([StructField("_chain", LongType())] + [StructField("_k_" + k, slim.schema[k].dataType) for k in keys]
+                       + [StructField("_from", LongType()), StructField("_enter", LongType())])
+    chains = F.broadcast(spark.createDataFrame(numbered, shape))   # at most one row per chunk
+    same = F.col(PID) >= F.col("_from")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col("_k_" + k))
+    rows = (slim.withColumn("_at", F.monotonically_increasing_id()).join(chains, same)
+            .select("_chain", PID, "_at", "_enter", F.col(value).cast("long").alias("_v"), F.col(reset).alias("_r")))
+
+    def follow(it):
+        chain, pid, b = None, None, 0
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            ids, pids = _longs(batch, "_chain"), _longs(batch, PID)
+            values, resets, enter = _longs(batch, "_v"), _flags(batch, "_r"), _longs(batch, "_enter")
+            cuts = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (pids[1:] != pids[:-1])))
+            found = []
+            for a, z in zip(cuts.tolist(), np.append(cuts[1:], len(ids)).tolist()):
+                if ids[a] != chain:
+                    chain, pid, b = int(ids[a]), int(pids[a]), int(enter[a])
+                elif pids[a] != pid:
+                    pid = int(pids[a])
+                    found.append((pid, b))
+                b = _fold(values[a:z], resets[a:z], np.zeros(z - a, bool), b)[2]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()),
+                                              pa.array([x for _, x in found], pa.int64())], names=["pid", "balance"])
+
+    got = rows.repartition(n, "_chain").sortWithinPartitions("_chain", "_at").mapInArrow(follow, "pid long, balance long")
+    return {r["pid"]: r["balance"] for r in got.collect()}

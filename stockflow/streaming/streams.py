@@ -38,16 +38,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def stage_files(df: DataFrame, path: str, n_files: int, order: list[str]) -> str:
-    """Write ``df`` as ``n_files`` Parquet files, each a later ``order`` range
-    than the one before, appended one after another so the file source (which
-    takes files oldest first) replays them in order."""
-    parts = cut_lineage(df.repartitionByRange(n_files, *order).sortWithinPartitions(*order)
-                        .withColumn("_part", F.spark_partition_id()))
-    for i in range(n_files):
-        (parts.where(F.col("_part") == i).drop("_part").coalesce(1)
-         .write.mode("append").parquet(path))
-    return path
+def stage_files(df: DataFrame, path: str, n_steps: int, order: list[str], rows_per_file: int = 1_000_000) -> int:
+    """Write ``df`` to ``path`` in ``n_steps`` steps, each a later ``order``
+    range than the one before, and return the files per step.
+
+    A step is written by as many tasks as its rows need, about
+    ``rows_per_file`` each; a reader that takes that many files per trigger
+    (the file source takes files oldest first) replays step after step.
+    """
+    parts = cut_lineage(df.repartitionByRange(n_steps * 4, *order).withColumn("_part", F.spark_partition_id()))
+    files = max(1, -(-parts.count() // (n_steps * rows_per_file)))
+    for k in range(n_steps):
+        (parts.where((F.col("_part") >= 4 * k) & (F.col("_part") < 4 * (k + 1))).drop("_part")
+         .repartition(files).write.mode("append").parquet(path))
+    return files
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType,
@@ -98,42 +102,55 @@ def dedupe_movements(moves: DataFrame, delay: str, keys: list[str] | None = None
 
 
 # ---------------------------------------------------------------- snapshot sink
+def committed_versions(spark: SparkSession, base: str) -> list[int]:
+    """Epochs whose snapshot folder ``<base>/v=<epoch>`` is complete, found by
+    listing the folder; any failure to list is raised."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    found = []
+    for status in fs.listStatus(path):
+        name = status.getPath().getName()
+        if name.startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+            found.append(int(name[2:]))
+    return sorted(found)
+
+
 class SnapshotSink:
     """``foreachBatch`` sink keeping versioned snapshots ``<base>/v=<epoch>``.
 
-    ``merge(previous, batch_df, epoch)`` returns the new full state; the
-    previous state is version ``epoch - 1`` (or ``initial``). Each version is
-    written with overwrite, so replaying an epoch rewrites the same folder.
+    ``merge(previous, batch_df, epoch)`` returns the new full state. The
+    previous state is the newest committed version strictly below the epoch,
+    found by listing and never from memory, so an epoch that is run again --
+    by this object or by a new one after a restart -- starts from the same
+    state and rewrites the same folder. Epoch 0 starts from ``initial``; a
+    later epoch without an earlier version is an error, not a fresh start.
     """
 
     def __init__(self, spark: SparkSession, base: str, merge, initial: DataFrame):
         self.spark, self.base, self.merge, self.initial = spark, base, merge, initial
-        self.last_epoch: int | None = None
 
     def path(self, epoch: int) -> str:
         return f"{self.base}/v={epoch:08d}"
 
+    def _read(self, epoch: int) -> DataFrame:
+        return self.spark.read.schema(self.initial.schema).parquet(self.path(epoch))
+
     def previous(self, epoch: int) -> DataFrame:
         if epoch == 0:
             return self.initial
-        if self.last_epoch is None:   # restarted from the checkpoint: find epoch - 1
-            try:
-                df = self.spark.read.parquet(self.path(epoch - 1))
-                self.last_epoch = epoch - 1
-                return df
-            except Exception:  # no earlier version written: start from the initial state
-                return self.initial
-        return self.spark.read.parquet(self.path(self.last_epoch))
+        before = [v for v in committed_versions(self.spark, self.base) if v < epoch]
+        if not before:
+            raise RuntimeError(f"{self.base} holds no version before epoch {epoch}; its state is lost")
+        return self._read(before[-1])
 
     def __call__(self, batch_df: DataFrame, epoch: int) -> None:
-        new = self.merge(self.previous(epoch), batch_df, epoch)
-        new.write.mode("overwrite").parquet(self.path(epoch))
-        self.last_epoch = epoch
+        self.merge(self.previous(epoch), batch_df, epoch).write.mode("overwrite").parquet(self.path(epoch))
 
     def current(self) -> DataFrame:
-        if self.last_epoch is None:
-            return self.initial
-        return self.spark.read.parquet(self.path(self.last_epoch))
+        found = committed_versions(self.spark, self.base)
+        return self._read(found[-1]) if found else self.initial
 
 
 def merge_keyed(keys: list[str]):
@@ -204,8 +221,6 @@ class InventoryPipeline:
         new_alerts = alerts_op.maintain_alerts(alerts, obs)
         new_stock.write.mode("overwrite").parquet(self.stock_sink.path(epoch))
         new_alerts.write.mode("overwrite").parquet(self.alert_sink.path(epoch))
-        self.stock_sink.last_epoch = epoch
-        self.alert_sink.last_epoch = epoch
 
     def run(self, moves: DataFrame) -> "InventoryPipeline":
         run_available_now(moves.writeStream.foreachBatch(self), self.base + "/_checkpoint")
@@ -218,7 +233,6 @@ class InventoryPipeline:
         return self.alert_sink.current()
 
     def late(self) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.base}/late")
-        except Exception:  # no batch has produced the folder yet
-            return None
+        """Movements that came too late to apply; None before the first batch."""
+        base = f"{self.base}/late"
+        return self.spark.read.parquet(base) if committed_versions(self.spark, base) else None

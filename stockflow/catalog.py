@@ -787,7 +787,8 @@ def q_amount_text(spark, d):
 
 # ---------------------------------------------------------------- data quality
 from stockflow.operators import quality  # noqa: E402
-from stockflow.schemas import CHECKS, DOMAINS, LEDGER_REF_TYPES_DECLARED, MAX_LENGTHS  # noqa: E402
+from stockflow.schemas import (CHECKS, COLLATED_KEYS, DOMAINS, FOREIGN_KEYS, LEDGER_REF_TYPES_DECLARED,  # noqa: E402
+                               MAX_LENGTHS, NOT_NULL, UNIQUE_KEYS)
 
 
 @register("unique_violations", W("w_item_intake") + """
@@ -807,39 +808,78 @@ def q_unique_violations_lines(spark, d):
     return quality.unique_violations(li, ["l_orderkey", "l_linenumber"])
 
 
-@register("fk_orphans", W("w_po_intake", "w_supplier", "w_so", "w_customer", "w_sod", "w_item", "w_employee",
-                          "w_warehouse", "w_log") + """
-SELECT 'po_intake' AS child, 'supplier_id' AS fk, supplier_id AS fk_value, count(*) AS n_rows FROM w_po_intake
-WHERE supplier_id NOT IN (SELECT supplier_id FROM w_supplier) GROUP BY supplier_id
-UNION ALL
-SELECT 'sales_order', 'customer_id', customer_id, count(*) FROM w_so
-WHERE customer_id NOT IN (SELECT customer_id FROM w_customer) GROUP BY customer_id
-UNION ALL
-SELECT 'sales_order_details', 'item_id', item_id, count(*) FROM w_sod
-WHERE item_id NOT IN (SELECT item_id FROM w_item) GROUP BY item_id
-UNION ALL
-SELECT 'employee', 'warehouse_id', warehouse_id, count(*) FROM w_employee
-WHERE warehouse_id IS NOT NULL AND warehouse_id NOT IN (SELECT warehouse_id FROM w_warehouse) GROUP BY warehouse_id
-UNION ALL
-SELECT 'transaction_log', 'emp_id', emp_id, count(*) FROM w_log
-WHERE emp_id IS NOT NULL AND emp_id NOT IN (SELECT emp_id FROM w_employee) GROUP BY emp_id""")
-def q_fk_orphans(spark, d):
-    """DQ2: orphan foreign keys across the order, employee and ledger tables."""
+# Declared table -> its CTE in the oracle SQL.
+_CTE = {"warehouse": "w_warehouse", "employee": "w_employee", "item": "w_item", "customer": "w_customer",
+        "supplier": "w_supplier", "stock": "w_stock", "transaction_log": "w_log", "reorder_alerts": "w_alerts0",
+        "purchase_order": "w_po", "purchase_order_details": "w_pod", "sales_order": "w_so",
+        "sales_order_details": "w_sod"}
+
+
+def _tables(spark, d) -> dict[str, DataFrame]:
     t = T(spark, d)
-    checks = [("po_intake", t.po_intake, "supplier_id", t.supplier, "supplier_id"),
-              ("sales_order", t.sales_order, "customer_id", t.customer, "customer_id"),
-              ("sales_order_details", t.sales_order_details, "item_id", t.item, "item_id"),
-              ("employee", t.employee, "warehouse_id", t.warehouse, "warehouse_id"),
-              ("transaction_log", t.transaction_log, "emp_id", t.employee, "emp_id")]
-    out = None
-    for name, child, fk, parent, pk in checks:
-        v = (quality.fk_violations(child, parent, [fk], [pk]).groupBy(F.col(fk).alias("fk_value"))
-             .agg(F.count("*").alias("n_rows"))
-             .select(F.lit(name).alias("child"), F.lit(fk).alias("fk"), "fk_value", "n_rows"))
-        out = v if out is None else out.unionByName(v)
+    return {n: getattr(t, n) for n in _CTE}
+
+
+def _orphans(child: str, cte: str, fk: str, parent: str, pk: str) -> str:
+    return (f"SELECT '{child}' AS child, '{fk}' AS fk, CAST(c.{fk} AS BIGINT) AS fk_value, count(*) AS n_rows FROM {cte} c "
+            f"WHERE c.{fk} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{pk} = c.{fk}) GROUP BY c.{fk}")
+
+
+@register("fk_orphans", W("w_po_intake", *_CTE.values()) + " UNION ALL ".join(
+    [_orphans("po_intake", "w_po_intake", "supplier_id", "w_supplier", "supplier_id")]
+    + [_orphans(c, _CTE[c], f[0], _CTE[p], k[0]) for c, f, p, k, _ in FOREIGN_KEYS if f[0] != "manager_id"]))
+def q_fk_orphans(spark, d):
+    """DQ2: orphans of all declared foreign keys, and of staged purchase
+    orders (no stand-in warehouse has a manager, so that link has none)."""
+    v = quality.fk_violations(T(spark, d).po_intake, T(spark, d).supplier, ["supplier_id"])
+    staged = v.groupBy(F.col("supplier_id").cast("long").alias("fk_value")).agg(F.count("*").alias("n_rows")).select(
+        F.lit("po_intake").alias("child"), F.lit("supplier_id").alias("fk"), "fk_value", "n_rows")
+    return quality.fk_audit(_tables(spark, d)).unionByName(staged)
+
+
+def _broken(tbl: str, kind: str, rule: str, holds: str) -> str:
+    return (f"SELECT '{tbl}' AS tbl, '{kind}' AS kind, '{rule}' AS rule, count(*) AS n_rows FROM {_CTE[tbl]} "
+            f"WHERE NOT ({holds}) HAVING count(*) > 0")
+
+
+# Columns the oracle's stand-in tables do not spell out; the Spark ones hold nothing that breaks a rule there.
+_PLAIN = {"warehouse": {"warehouse_id", "name"}, "customer": {"customer_id", "name"}}
+
+
+def _row_rules() -> list[str]:
+    out = []
+    for t in _CTE:
+        seen = lambda c, t=t: c in _PLAIN.get(t, {c})
+        out += [_broken(t, "not null", c, f"{c} IS NOT NULL") for c in NOT_NULL[t] if seen(c)]
+        out += [_broken(t, "check", n, f"coalesce({e}, true)") for n, e in CHECKS.get(t, {}).items() if t != "warehouse"]
+        out += [_broken(t, "domain", c, f"coalesce({c} IN {v}, true)") for (n, c), v in DOMAINS.items() if n == t]
+        out += [_broken(t, "length", c, f"coalesce(length({c}) <= {n}, true)") for c, n in MAX_LENGTHS.get(t, {}).items()
+                if seen(c) and (t, c) != ("supplier", "address")]
     return out
 
 
+@register("row_audit", W("w_returns", *_CTE.values(), extra=[("w_early", "SELECT * FROM w_supplier")])
+          + " UNION ALL ".join(_row_rules() + [
+              "SELECT 'staged_supplier', 'not null', 'contact', count(*) FROM w_early WHERE contact IS NULL HAVING count(*) > 0"]))
+def q_row_audit(spark, d):
+    """DQ3-DQ5, DQ7: all declared row rules of all tables, and supplier.contact
+    as NOT NULL before its backfill."""
+    t = T(spark, d)
+    early = (quality.null_violations(t.supplier, ["contact"]).groupBy("column").agg(F.count("*").alias("n_rows"))
+             .select(F.lit("staged_supplier").alias("tbl"), F.lit("not null").alias("kind"), F.col("column").alias("rule"), "n_rows"))
+    return quality.row_audit(_tables(spark, d)).unionByName(early)
+
+
+@register("unique_audit", W(*_CTE.values()) + " UNION ALL ".join(
+    f"SELECT '{t}' AS tbl, '{','.join(k)}' AS rule, count(*) AS n_rows FROM (SELECT 1 FROM {_CTE[t]} GROUP BY "
+    + ", ".join(f"lower({c})" if (t, c) in COLLATED_KEYS else c for c in k)
+    + " HAVING count(*) > 1 AND " + " AND ".join(f"count({c}) = count(*)" for c in k) + ") x HAVING count(*) > 0"
+    for t, ks in UNIQUE_KEYS.items() for k in ks if k != ("email",)))
+def q_unique_audit(spark, d):
+    """DQ1: all declared unique keys (stand-in customers have no e-mail twice)."""
+    return quality.unique_audit(_tables(spark, d))
+
+
 @register("null_violations", W("w_supplier") + """
 SELECT supplier_id, 'contact' AS "column" FROM w_supplier WHERE contact IS NULL""")
 def q_null_violations(spark, d):

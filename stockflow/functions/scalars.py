@@ -90,14 +90,19 @@ def in_month(c, month: str) -> Column:
     return (_c(c) >= start) & (_c(c) < end)
 
 
+def strip(c) -> Column:
+    """Text without leading and trailing white space of any kind (tabs, line ends, ...)."""
+    return F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
+
+
 def valid_gmail(c) -> Column:
     """SC6: trimmed value is a Gmail address; null -> False."""
-    return F.coalesce(F.trim(_c(c)).rlike(GMAIL_PATTERN), F.lit(False))
+    return F.coalesce(strip(c).rlike(GMAIL_PATTERN), F.lit(False))
 
 
 def non_blank(c) -> Column:
-    """SC7: not null and not empty after trimming."""
-    return F.coalesce(F.length(F.trim(_c(c))) > 0, F.lit(False))
+    """SC7: not null and not only white space of any kind."""
+    return F.coalesce(F.length(strip(c)) > 0, F.lit(False))
 
 
 def map_role(label) -> Column:

@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockflow.functions.scalars import (backfill_contact_expr, collated, map_role,
-                                         non_blank, valid_gmail)
+                                         non_blank, strip, valid_gmail)
 from stockflow.operators import ledger, totals
 from stockflow.plans.checkpoint import cut_lineage
 from stockflow.plans.scan import running_sums
-from stockflow.sources.sinks import append_rows, update_by_key, upsert_stock
+from stockflow.sources.sinks import Outputs, append_rows, update_by_key, upsert_stock
 
 KEY = ["warehouse_id", "item_id"]
 RECEIVABLE = ("CREATED", "APPROVED", "PARTIAL")   # D-3
@@ -49,7 +49,7 @@ def receive_pos(po: DataFrame, pod: DataFrame, stock: DataFrame, request: DataFr
     ok, rejected = _gate(request, po, pod, "po_id", RECEIVABLE)
     lines = pod.join(ok, "po_id")
     ts = F.lit(as_of).cast("timestamp") if as_of else F.current_timestamp()
-    new_stock = upsert_stock(stock, lines.select(*KEY, F.col("quantity").alias("delta")), as_of=as_of)
+    new_stock = lambda: upsert_stock(stock, lines.select(*KEY, F.col("quantity").alias("delta")), as_of=as_of)
     log = lines.select(
         F.col("po_detail_id").alias("src_id"), *KEY, F.lit("IN").alias("change_type"),
         F.col("quantity").alias("delta_qty"), F.lit("PO").alias("ref_type"),
@@ -57,7 +57,7 @@ def receive_pos(po: DataFrame, pod: DataFrame, stock: DataFrame, request: DataFr
     received = ok.select("po_id")
     new_po = totals.refresh_totals(po, pod, "po_id", received)
     new_po = update_by_key(new_po, received.withColumn("status", F.lit("RECEIVED")), ["po_id"], ["status"])
-    return {"stock": new_stock, "log": log, "po": new_po, "rejected": rejected, "accepted": received}
+    return Outputs(stock=new_stock, log=log, po=new_po, rejected=rejected, accepted=received)
 
 
 # ---------------------------------------------------------------- ship
@@ -133,7 +133,7 @@ def ship_sos(so: DataFrame, sod: DataFrame, stock: DataFrame, request: DataFrame
     shipped = decisions.where("shipped").select("so_id")
     out_lines = lines.join(shipped, "so_id")
     ts = F.lit(as_of).cast("timestamp") if as_of else F.current_timestamp()
-    new_stock = upsert_stock(stock, out_lines.select(*KEY, (-F.col("quantity")).alias("delta")), as_of=as_of)
+    new_stock = lambda: upsert_stock(stock, out_lines.select(*KEY, (-F.col("quantity")).alias("delta")), as_of=as_of)
     log = out_lines.select(
         F.col("so_detail_id").alias("src_id"), *KEY, F.lit("OUT").alias("change_type"),
         (-F.col("quantity")).alias("delta_qty"), F.lit("SO").alias("ref_type"),
@@ -142,8 +142,8 @@ def ship_sos(so: DataFrame, sod: DataFrame, stock: DataFrame, request: DataFrame
     new_so = update_by_key(new_so, shipped.withColumn("status", F.lit("SHIPPED")), ["so_id"], ["status"])
     all_decisions = decisions.unionByName(
         rejected.select("so_id", F.lit(False).alias("shipped"), "reason"))
-    return {"stock": new_stock, "log": log, "so": new_so, "decisions": all_decisions,
-            "rejected": all_decisions.where(~F.col("shipped")).select("so_id", "reason")}
+    return Outputs(stock=new_stock, log=log, so=new_so, decisions=all_decisions,
+                   rejected=all_decisions.where(~F.col("shipped")).select("so_id", "reason"))
 
 
 # ---------------------------------------------------------------- adjust / returns
@@ -206,17 +206,17 @@ def add_master(target: DataFrame, staged: DataFrame, id_col: str, staged_id: str
              .join(existing.withColumn("_dup", F.lit(True)), "_nk", "left")
              .withColumn("reason", F.coalesce("reason", F.when(F.col("_dup"), F.lit("DUPLICATE_NAME"))))
              .drop("_dup"))
-        winners = _first_per_name(s.where(F.col("reason").isNull()), unique_name, staged_id)
+        named = F.col(unique_name).isNotNull()     # a unique key admits any number of nulls
+        winners = _first_per_name(s.where(F.col("reason").isNull() & named), unique_name, staged_id)
         s = (s.join(winners.withColumn("_win", F.lit(True)), staged_id, "left")
-             .withColumn("reason", F.coalesce("reason", F.when(F.col("_win").isNull(),
+             .withColumn("reason", F.coalesce("reason", F.when(F.col("_win").isNull() & named,
                                                                F.lit("DUPLICATE_IN_BATCH"))))
              .drop("_win", "_nk"))
     ok = s.where(F.col("reason").isNull()).drop("reason")
     rejected = s.where(F.col("reason").isNotNull()).select(staged_id, "reason")
     cols = [c for c in target.columns if c != id_col and c in ok.columns]
-    new_target = append_rows(target, ok.select(staged_id, *cols), id_col, [staged_id], defaults)
-    return {"table": new_target.drop(staged_id) if staged_id in new_target.columns else new_target,
-            "accepted": ok, "rejected": rejected}
+    return Outputs(table=lambda: append_rows(target, ok.select(staged_id, *cols), id_col, [staged_id], defaults),
+                   accepted=ok, rejected=rejected)
 
 
 def create_orders(header: DataFrame, staged: DataFrame, id_col: str, staged_id: str,
@@ -233,42 +233,61 @@ def create_orders(header: DataFrame, staged: DataFrame, id_col: str, staged_id:
     ok = (s.where(F.col("reason").isNull()).drop("reason")
           .withColumn("status", F.lit(start_status)).withColumn("total_amount", F.lit(0)))
     cols = [c for c in header.columns if c != id_col]
-    return {"table": append_rows(header, ok.select(staged_id, *cols), id_col, [staged_id]).drop(staged_id),
-            "rejected": s.where(F.col("reason").isNotNull()).select(staged_id, "reason")}
+    return Outputs(table=lambda: append_rows(header, ok.select(staged_id, *cols), id_col, [staged_id]),
+                   rejected=s.where(F.col("reason").isNotNull()).select(staged_id, "reason"))
 
 
 def add_lines(detail: DataFrame, staged: DataFrame, item: DataFrame, order_col: str,
-              detail_id: str, staged_id: str, editable_price: bool) -> dict[str, DataFrame]:
+              detail_id: str, staged_id: str, editable_price: bool,
+              header: DataFrame | None = None) -> dict[str, DataFrame]:
     """WF6: add order lines. PO lines take the item price (frozen); SO lines
-    take the typed price, else the item price, else 0 (D-16). Unknown items,
-    quantity <= 0 and (order, item) pairs already present are rejected."""
-    it = item.select("item_id", F.col("price").alias("_list"))
+    take the typed price, else the item price, else 0 (D-16). Rejected are
+    unknown items, quantities that are null or not positive, negative prices,
+    (order, item) pairs already present and, given the ``header`` table,
+    unknown orders; then touched headers come back with refreshed totals."""
+    it = item.select("item_id", F.col("price").alias("_list")).withColumn("_known", F.lit(True))
     s = staged.join(it, "item_id", "left")
     price = (F.coalesce(F.col("price"), F.col("_list"), F.lit(0)) if editable_price
              else F.coalesce(F.col("_list"), F.lit(0))).cast("decimal(12,2)")
-    existing = detail.select(order_col, "item_id").withColumn("_dup", F.lit(True))
+    if header is None:
+        s = s.withColumn("_order", F.lit(True))
+    else:
+        s = s.join(header.select(order_col).distinct().withColumn("_order", F.lit(True)), order_col, "left")
+    existing = detail.select(order_col, "item_id").distinct().withColumn("_dup", F.lit(True))
     s = (s.withColumn("price", price).join(existing, [order_col, "item_id"], "left")
-         .withColumn("reason", F.when(F.col("_list").isNull(), "UNKNOWN_ITEM")
-                     .when(F.col("quantity") <= 0, "BAD_QUANTITY")
+         .withColumn("reason", F.when(F.col("_order").isNull(), "UNKNOWN_ORDER")
+                     .when(F.col("_known").isNull(), "UNKNOWN_ITEM")
+                     .when(F.col("quantity").isNull() | (F.col("quantity") <= 0), "BAD_QUANTITY")
+                     .when(F.col("price") < 0, "BAD_PRICE")
                      .when(F.col("_dup"), "DUPLICATE_LINE")))
     first = s.where(F.col("reason").isNull()).groupBy(order_col, "item_id").agg(F.min(staged_id).alias(staged_id))
     s = (s.join(first.withColumn("_win", F.lit(True)), [order_col, "item_id", staged_id], "left")
          .withColumn("reason", F.coalesce("reason", F.when(F.col("_win").isNull(), F.lit("DUPLICATE_LINE")))))
     ok = s.where(F.col("reason").isNull()).select(staged_id, order_col, "item_id", "quantity", "price")
-    return {"table": append_rows(detail, ok, detail_id, [staged_id]).drop(staged_id),
-            "accepted": ok,
-            "rejected": s.where(F.col("reason").isNotNull()).select(staged_id, order_col, "item_id", "quantity",
-                                                                    "price", "reason")}
+    out = Outputs(table=lambda: append_rows(detail, ok, detail_id, [staged_id]), accepted=ok,
+                  rejected=s.where(F.col("reason").isNotNull()).select(staged_id, order_col, "item_id", "quantity",
+                                                                       "price", "reason"))
+    if header is not None:
+        lines = detail.select(order_col, "quantity", "price").unionByName(ok.select(order_col, "quantity", "price"))
+        out["header"] = totals.refresh_totals(header, lines, order_col, ok.select(order_col))
+    return out
 
 
 def update_line_qty(detail: DataFrame, changes: DataFrame, order_col: str,
                     header: DataFrame | None = None) -> dict[str, DataFrame]:
-    """WF7: change line quantities (zero or negative rejected, D-10); header
-    totals of touched orders are refreshed when a header is given."""
-    bad = changes.where(F.col("quantity") <= 0)
-    good = changes.where(F.col("quantity") > 0)
-    out = {"detail": update_by_key(detail, good, [order_col, "item_id"], ["quantity"]),
-           "rejected": bad.withColumn("reason", F.lit("BAD_QUANTITY"))}
+    """WF7: change line quantities; null, zero and negative quantities (D-10)
+    and lines that do not exist come back rejected, so every change is either
+    applied or rejected. Of several changes of one line the largest quantity
+    counts. Header totals of touched orders are refreshed when a header is
+    given."""
+    keys = [order_col, "item_id"]
+    known = detail.select(*keys).distinct().withColumn("_known", F.lit(True))
+    c = changes.join(known, keys, "left").withColumn(
+        "reason", F.when(F.col("quantity").isNull() | (F.col("quantity") <= 0), "BAD_QUANTITY")
+        .when(F.col("_known").isNull(), "UNKNOWN_LINE"))
+    good = c.where(F.col("reason").isNull()).select(*changes.columns)
+    out = {"detail": update_by_key(detail, good, keys, ["quantity"]),
+           "rejected": c.where(F.col("reason").isNotNull()).select(*changes.columns, "reason")}
     if header is not None:
         out["header"] = totals.refresh_totals(header, out["detail"], order_col, good.select(order_col))
     return out
@@ -280,16 +299,16 @@ def add_employees(employee: DataFrame, staged: DataFrame, warehouse: DataFrame)
     wh = warehouse.select("warehouse_id").withColumn("_wh", F.lit(True))
     s = (staged.join(wh, "warehouse_id", "left")
          .withColumn("role", map_role(F.col("role_label")))
-         .withColumn("contact", F.trim("contact"))
+         .withColumn("contact", strip("contact"))
          .withColumn("reason", F.when(~non_blank(F.col("name")), "BLANK_NAME")
                      .when(~valid_gmail(F.col("contact")), "BAD_CONTACT")
                      .when(F.col("warehouse_id").isNotNull() & F.col("_wh").isNull(), "UNKNOWN_WAREHOUSE")))
     ok = s.where(F.col("reason").isNull())
     cols = [c for c in employee.columns if c != "emp_id" and c in ok.columns]
-    return {"table": append_rows(employee, ok.select("staged_id", *cols), "emp_id", ["staged_id"],
-                                 {"role": "staff"}).drop("staged_id"),
-            "accepted": ok.drop("reason", "_wh"),
-            "rejected": s.where(F.col("reason").isNotNull()).select("staged_id", "reason")}
+    return Outputs(table=lambda: append_rows(employee, ok.select("staged_id", *cols), "emp_id", ["staged_id"],
+                                             table="employee"),
+                   accepted=ok.drop("reason", "_wh"),
+                   rejected=s.where(F.col("reason").isNotNull()).select("staged_id", "reason"))
 
 
 def backfill_contact(supplier: DataFrame) -> DataFrame:

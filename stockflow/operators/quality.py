@@ -6,22 +6,26 @@ Delete rules (DQ6) are applied as set operations over the whole key set.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockflow.functions.scalars import collated
+from stockflow.schemas import (CHECKS, COLLATED_KEYS, DOMAINS, FOREIGN_KEYS, MAX_LENGTHS, NOT_NULL,
+                               UNIQUE_KEYS)
 
 
 def unique_violations(df: DataFrame, keys: list[str], collate: tuple[str, ...] = ()) -> DataFrame:
     """DQ1: key values held by more than one row (rows with a null key part
     are exempt, as in SQL unique keys). Collated columns compare
-    case/accent-insensitively; the output shows the lower-cased key."""
-    k = [(F.lower(collated(F.col(c))).cast("string") if c in collate else F.col(c)).alias(c) for c in keys]
+    case/accent-insensitively; the output shows their smallest lower-cased
+    spelling."""
+    by = [(collated(F.col(c)) if c in collate else F.col(c)).alias(f"_k{i}") for i, c in enumerate(keys)]
+    shown = [(F.min(F.lower(F.col(c))) if c in collate else F.min(c)).alias(c) for c in keys]
     nn = F.lit(True)
     for c in keys:
         nn = nn & F.col(c).isNotNull()
-    return (df.where(nn).groupBy(*k).agg(F.count("*").alias("n_rows"))
-            .where(F.col("n_rows") > 1))
+    return (df.where(nn).groupBy(*by).agg(*shown, F.count("*").alias("n_rows"))
+            .where(F.col("n_rows") > 1).select(*keys, "n_rows"))
 
 
 def fk_violations(child: DataFrame, parent: DataFrame, child_cols: list[str],
@@ -35,24 +39,21 @@ def fk_violations(child: DataFrame, parent: DataFrame, child_cols: list[str],
     return child.where(nn).join(p, child_cols, "left_anti")
 
 
+def _failures(df: DataFrame, failed: dict[str, Column], label: str) -> DataFrame:
+    """One row per (row, failed rule) from a single scan."""
+    names = F.array(*[F.when(c, F.lit(n)) for n, c in failed.items()]) if failed else F.array().cast("array<string>")
+    return df.withColumn(label, F.explode(F.array_compact(names)))
+
+
 def null_violations(df: DataFrame, cols: list[str]) -> DataFrame:
     """DQ3: rows with a null in a NOT NULL column; one row per (row, column)."""
-    parts = [df.where(F.col(c).isNull()).withColumn("column", F.lit(c)) for c in cols]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _failures(df, {c: F.col(c).isNull() for c in cols}, "column")
 
 
 def check_violations(df: DataFrame, rules: dict[str, str]) -> DataFrame:
     """DQ4: rows failing a CHECK rule (SQL text that must hold; null passes,
     as in SQL). One row per (row, rule)."""
-    parts = [df.where(~F.coalesce(F.expr(expr), F.lit(True))).withColumn("rule", F.lit(name))
-             for name, expr in rules.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _failures(df, {n: ~F.coalesce(F.expr(e), F.lit(True)) for n, e in rules.items()}, "rule")
 
 
 def domain_violations(df: DataFrame, col: str, values: tuple[str, ...]) -> DataFrame:
@@ -62,14 +63,61 @@ def domain_violations(df: DataFrame, col: str, values: tuple[str, ...]) -> DataF
 
 def length_violations(df: DataFrame, limits: dict[str, int]) -> DataFrame:
     """DQ7: rows with a string longer than its declared length."""
-    parts = [df.where(F.length(F.col(c)) > n).withColumn("column", F.lit(c)).withColumn("max_length", F.lit(n))
-             for c, n in limits.items() if c in df.columns]
+    own = {c: n for c, n in limits.items() if c in df.columns}
+    out = _failures(df, {c: F.length(F.col(c)) > n for c, n in own.items()}, "column")
+    limit = F.lit(None).cast("int")
+    for c, n in own.items():
+        limit = F.when(F.col("column") == c, F.lit(n)).otherwise(limit)
+    return out.withColumn("max_length", limit)
+
+
+def _counted(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def row_audit(tables: dict[str, DataFrame]) -> DataFrame:
+    """DQ3, DQ4, DQ5, DQ7: every declared NOT NULL, CHECK, domain and length
+    rule of every table, one scan per table: (tbl, kind, rule, n_rows) of the
+    rules that some row breaks."""
+    parts = []
+    for name, df in tables.items():
+        failed = {f"not null:{c}": F.col(c).isNull() for c in NOT_NULL.get(name, ()) if c in df.columns}
+        failed |= {f"check:{n}": ~F.coalesce(F.expr(e), F.lit(True)) for n, e in CHECKS.get(name, {}).items()}
+        failed |= {f"domain:{c}": F.col(c).isNotNull() & ~F.col(c).isin(*values)
+                   for (t, c), values in DOMAINS.items() if t == name}
+        failed |= {f"length:{c}": F.length(F.col(c)) > n for c, n in MAX_LENGTHS.get(name, {}).items() if c in df.columns}
+        parts.append(_failures(df, failed, "_rule").groupBy("_rule").agg(F.count("*").alias("n_rows")).select(
+            F.lit(name).alias("tbl"), F.split_part("_rule", F.lit(":"), F.lit(1)).alias("kind"),
+            F.split_part("_rule", F.lit(":"), F.lit(2)).alias("rule"), "n_rows"))
+    return _counted(parts)
+
+
+def unique_audit(tables: dict[str, DataFrame]) -> DataFrame:
+    """DQ1: every declared unique key of every table: (tbl, rule, n_rows), the
+    number of key values that more than one row holds."""
+    parts = []
+    for name, df in tables.items():
+        for keys in UNIQUE_KEYS.get(name, []):
+            collate = tuple(c for c in keys if (name, c) in COLLATED_KEYS)
+            parts.append(unique_violations(df, list(keys), collate).agg(F.count("*").alias("n_rows")).select(
+                F.lit(name).alias("tbl"), F.lit(",".join(keys)).alias("rule"), "n_rows"))
+    return _counted(parts).where(F.col("n_rows") > 0)
+
+
+def fk_audit(tables: dict[str, DataFrame]) -> DataFrame:
+    """DQ2: orphans of every declared foreign key: (child, fk, fk_value, n_rows)."""
+    parts = []
+    for child, cols, parent, pcols, _ in FOREIGN_KEYS:
+        if child in tables and parent in tables and cols[0] in tables[child].columns:
+            v = fk_violations(tables[child], tables[parent], list(cols), list(pcols))
+            parts.append(v.groupBy(F.col(cols[0]).cast("long").alias("fk_value")).agg(F.count("*").alias("n_rows")).select(
+                F.lit(child).alias("child"), F.lit(cols[0]).alias("fk"), "fk_value", "n_rows"))
+    return _counted(parts)
+
+
 def delete_with_rules(parent: DataFrame, parent_key: str, keys: DataFrame,
                       cascade: dict[str, tuple[DataFrame, str]] | None = None,
                       set_null: dict[str, tuple[DataFrame, str]] | None = None,

@@ -22,11 +22,12 @@ def _monthly(header: DataFrame, detail: DataFrame, key: str, date_col: str, out:
         h = h.where(F.col("status").isin(*statuses))
     if month is not None:
         h = h.where(in_month(date_col, month))
-    sums = detail.groupBy(key).agg(F.sum(line_total()).alias("_s"))
-    j = h.join(sums, key)
     if month is not None:
-        return j.agg(F.coalesce(F.sum("_s"), F.lit(0)).cast(REPORT_TOTAL).alias(out)) \
-                .select(F.lit(month).alias("month"), out)
+        # the month's headers first: only their lines are summed, once
+        lines = detail.select(key, "quantity", "price").join(h.select(key), key)
+        return lines.agg(F.coalesce(F.sum(line_total()), F.lit(0)).cast(REPORT_TOTAL).alias(out)) \
+                    .select(F.lit(month).alias("month"), out)
+    j = h.join(detail.groupBy(key).agg(F.sum(line_total()).alias("_s")), key)
     return (j.groupBy(month_key(date_col).alias("month"))
             .agg(F.sum("_s").cast(REPORT_TOTAL).alias(out)))
 

@@ -28,12 +28,12 @@ def lookup(df: DataFrame, key: str, label: str | None = None, where: Column | No
 
 
 def _wh_names(warehouse: DataFrame) -> DataFrame:
-    return small_side(warehouse.select("warehouse_id", F.col("name").alias("warehouse_name")))
+    return warehouse.select("warehouse_id", F.col("name").alias("warehouse_name"))
 
 
 def _items(item: DataFrame, *cols: str) -> DataFrame:
     sel = ["item_id"] + [c for c in cols if c != "item_id"]
-    return small_side(item.select(*[F.col(c).alias("item_name") if c == "name" else F.col(c) for c in sel]))
+    return item.select(*[F.col(c).alias("item_name") if c == "name" else F.col(c) for c in sel])
 
 
 def inventory_view(stock: DataFrame, item: DataFrame, warehouse: DataFrame,

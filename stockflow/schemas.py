@@ -81,7 +81,7 @@ MAX_LENGTHS: dict[str, dict[str, int]] = {
     "supplier": {"name": 150, "contact": 100, "email": 150, "phone": 40, "address": 255},
 }
 
-# Unique keys (besides the primary key). Names compare case/accent-insensitively.
+# Unique keys (besides the primary key). Names compare case/accent-insensitively.
 UNIQUE_KEYS: dict[str, list[tuple[str, ...]]] = {
     "warehouse": [("warehouse_id",), ("name",)],
     "employee": [("emp_id",)],
@@ -97,7 +97,7 @@ UNIQUE_KEYS: dict[str, list[tuple[str, ...]]] = {
 }
 COLLATED_KEYS = {("warehouse", "name"), ("item", "name"), ("supplier", "name"), ("customer", "email")}
 
-# Foreign keys: child table, child columns, parent table, parent columns, delete rule.
+# Foreign keys: child table, child columns, parent table, parent columns, delete rule.
 FOREIGN_KEYS: list[tuple[str, tuple[str, ...], str, tuple[str, ...], str]] = [
     ("warehouse", ("manager_id",), "employee", ("emp_id",), "SET NULL"),
     ("employee", ("warehouse_id",), "warehouse", ("warehouse_id",), "SET NULL"),
@@ -118,7 +118,7 @@ FOREIGN_KEYS: list[tuple[str, tuple[str, ...], str, tuple[str, ...], str]] = [
     ("sales_order_details", ("item_id",), "item", ("item_id",), "RESTRICT"),
 ]
 
-# CHECK rules as SQL expressions that must hold.
+# CHECK rules as SQL expressions that must hold.
 CHECKS: dict[str, dict[str, str]] = {
     "stock": {"ck_stock_nonneg": "quantity >= 0"},
     "purchase_order_details": {"ck_pod_qty": "quantity > 0", "ck_pod_price": "price >= 0"},
@@ -133,7 +133,7 @@ NOT_NULL: dict[str, tuple[str, ...]] = {
 
 # Defaults used when rows are appended without a value.
 DEFAULTS: dict[str, dict[str, object]] = {
-    "employee": {"role": "staff"},
+    "employee": {"role": "staff", "monthly_salary": 0},
     "item": {"unit_of_measure": "pcs", "price": 0, "reorder_level": 0},
     "supplier": {"contact": ""},
     "purchase_order": {"status": "CREATED", "total_amount": 0},

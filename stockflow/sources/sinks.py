@@ -29,20 +29,39 @@ def dense_ids(df: DataFrame, order_cols: list[str], id_col: str, base: int = 0,
                         .withColumn("_pid", F.spark_partition_id())
                         .withColumn("_mid", F.monotonically_increasing_id()))
     counts = sorted((r["_pid"], r["n"]) for r in parts.groupBy("_pid").agg(F.count("*").alias("n")).collect())
-    offsets, acc = {}, base
+    offsets, acc = [], base
     for pid, cnt in counts:
-        offsets[pid] = acc
+        offsets.append((pid, acc))
         acc += cnt
-    off = F.element_at(F.create_map(*[x for p, o in offsets.items() for x in (F.lit(p), F.lit(o))]),
-                       F.col("_pid")) if offsets else F.lit(base)
+    # one row per partition, joined rather than spelled out in the plan
+    table = F.broadcast(df.sparkSession.createDataFrame(offsets, "_opid int, _off long"))
     local = F.col("_mid") - (F.col("_pid").cast("long") * F.lit(1 << 33))
-    return parts.withColumn(id_col, (off + local + 1).cast("long")).drop("_pid", "_mid")
+    return (parts.join(table, F.col("_pid") == F.col("_opid"))
+            .withColumn(id_col, (F.col("_off") + local + 1).cast("long")).drop("_pid", "_mid", "_opid", "_off"))
+
+
+class Outputs(dict):
+    """A workflow's result tables; a callable is run when its table is first
+    asked for, so a caller pays only for what it uses (ids need jobs)."""
+
+    def __getitem__(self, name):
+        value = super().__getitem__(name)
+        if callable(value):
+            value = value()
+            self[name] = value
+        return value
 
 
 def append_rows(target: DataFrame, new: DataFrame, id_col: str, order_cols: list[str],
-                defaults: dict[str, object] | None = None) -> DataFrame:
+                defaults: dict[str, object] | None = None, table: str | None = None) -> DataFrame:
     """SNK1: append rows with generated ids ``max(id) + 1, + 2, ...`` in
-    ``order_cols`` order, filling column defaults."""
+    ``order_cols`` order, filling column defaults.
+
+    With ``table`` the declared defaults of that table apply too, and a row
+    that would put null into one of its NOT NULL columns is an error.
+    """
+    from stockflow.schemas import DEFAULTS, NOT_NULL
+    defaults = {**DEFAULTS.get(table, {}), **(defaults or {})}
     base = target.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("m")).first()["m"]
     with_ids = dense_ids(new, order_cols, id_col, int(base))
     for name, value in (defaults or {}).items():
@@ -52,7 +71,15 @@ def append_rows(target: DataFrame, new: DataFrame, id_col: str, order_cols: list
         if f.name not in with_ids.columns:
             v = (defaults or {}).get(f.name)
             with_ids = with_ids.withColumn(f.name, F.lit(v).cast(f.dataType))
-    return target.unionByName(with_ids.select(*[F.col(f.name).cast(f.dataType) for f in target.schema.fields]))
+    required = NOT_NULL.get(table, ())
+
+    def value(f):
+        c = F.col(f.name).cast(f.dataType)
+        if f.name not in required:
+            return c
+        return F.when(c.isNull(), F.raise_error(F.lit(f"{table}.{f.name} must not be null")).cast(f.dataType)).otherwise(c).alias(f.name)
+
+    return target.unionByName(with_ids.select(*[value(f) for f in target.schema.fields]))
 
 
 def snapshot(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -60,9 +87,16 @@ def snapshot(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).parquet(path)
 
 
-def update_by_key(target: DataFrame, changes: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """SNK3: keyed update of ``cols`` from ``changes`` (one row per key)."""
-    ch = changes.select(*keys, *[F.col(c).alias("_new_" + c) for c in cols]).withColumn("_hit", F.lit(True))
+def update_by_key(target: DataFrame, changes: DataFrame, keys: list[str], cols: list[str],
+                  order: list[str] | None = None) -> DataFrame:
+    """SNK3: keyed update of ``cols`` from ``changes``; never adds a row.
+
+    Of several changes of one key the newest in ``order`` counts (without
+    ``order``, the largest values), by an aggregate with map-side combine.
+    """
+    new = F.struct(*[F.col(c).alias("_new_" + c) for c in cols])
+    ch = (changes.groupBy(*keys).agg(F.max(F.struct(F.struct(*[F.col(o) for o in order or cols]).alias("o"), new.alias("n"))).alias("_m"))
+          .select(*keys, "_m.n.*", F.lit(True).alias("_hit")))
     j = target.join(ch, keys, "left")
     out = [F.when(F.col("_hit"), F.col("_new_" + c)).otherwise(F.col(c)).cast(target.schema[c].dataType).alias(c)
            if c in cols else F.col(c) for c in target.columns]
@@ -96,7 +130,7 @@ def _next_stock_ids(stock: DataFrame, new_keys: DataFrame) -> DataFrame:
     (warehouse, item) order (SNK1's dense ids; no formula over the key values,
     which could collide for large ids)."""
     base = stock.agg(F.coalesce(F.max("stock_id"), F.lit(0)).alias("m")).first()["m"]
-    return dense_ids(new_keys.select(*KEY), KEY, "stock_id", int(base))
+    return dense_ids(new_keys, KEY, "stock_id", int(base))
 
 
 def ensure_stock_rows(stock: DataFrame, keys_df: DataFrame) -> DataFrame:
@@ -113,22 +147,23 @@ def upsert_stock(stock: DataFrame, deltas: DataFrame, delta_col: str = "delta",
     """SNK7: add quantity deltas to stock; keys without a row get one (with a
     fresh id).
 
-    Deltas are pre-aggregated per key (map-side partial aggregation) before
-    the full outer join, so the join sees one row per key on each side.
+    Deltas are pre-aggregated per key (map-side partial aggregation), so the
+    joins see one row per key on each side; ids are made for new keys only.
     """
     d = deltas.groupBy(*KEY).agg(F.sum(delta_col).cast("long").alias("_d"))
-    j = stock.join(d, KEY, "full_outer")
     ts = F.lit(as_of).cast("timestamp") if as_of is not None else F.current_timestamp()
     qty = (F.coalesce(F.col("quantity"), F.lit(0)) + F.coalesce(F.col("_d"), F.lit(0))).cast("long")
     upd = F.when(F.col("_d").isNotNull(), ts).otherwise(F.col("last_updated"))
     cols = [qty.alias(c) if c == "quantity" else upd.alias(c) if c == "last_updated" else F.col(c)
             for c in stock.columns]
     if "stock_id" not in stock.columns:
-        return j.select(*cols)
-    existing = j.where(F.col("stock_id").isNotNull()).select(*cols)
-    fresh = j.where(F.col("stock_id").isNull()).drop("stock_id")
-    fresh = fresh.join(_next_stock_ids(stock, fresh), KEY)
-    return existing.unionByName(fresh.select(*cols))
+        return stock.join(d, KEY, "full_outer").select(*cols)
+    existing = stock.join(d, KEY, "left").select(*cols)
+    fresh = _next_stock_ids(stock, d.join(stock.select(*KEY), KEY, "left_anti"))
+    blank = [F.col(c) if c in (*KEY, "stock_id") else F.col("_d").alias(c) if c == "quantity"
+             else ts.alias(c) if c == "last_updated" else F.lit(None).cast(stock.schema[c].dataType).alias(c)
+             for c in stock.columns]
+    return existing.unionByName(fresh.select(*blank))
 
 
 def with_default_column(df: DataFrame, name: str, dtype: str, default=None) -> DataFrame:

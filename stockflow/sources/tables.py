@@ -5,25 +5,35 @@ from __future__ import annotations
 import datetime as dt
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stockflow.schemas import SCHEMAS
 
 
 def load_table(spark: SparkSession, source: str, name: str, fmt: str = "parquet",
-               options: dict | None = None) -> DataFrame:
+               options: dict | None = None, columns: list[str] | None = None,
+               where: str | Column | None = None) -> DataFrame:
     """SRC1: read one inventory table with its declared schema.
 
-    ``fmt`` is any Spark source (parquet, orc, csv, json, jdbc). For JDBC,
-    ``options`` should carry ``partitionColumn``/``lowerBound``/``upperBound``/
-    ``numPartitions`` so the read is split across executors.
+    ``fmt`` is any Spark source (parquet, orc, csv, json, jdbc). ``columns``
+    and ``where`` (a predicate) reach the scan. For JDBC, ``options`` should
+    carry ``partitionColumn``/``lowerBound``/``upperBound``/``numPartitions``
+    so the read is split across executors; its columns are cast to the
+    declared types, and a declared column that is missing is an error.
     """
     schema = SCHEMAS[name]
     if fmt == "jdbc":
         opts = {"url": source, "dbtable": name, **(options or {})}
-        return spark.read.format("jdbc").options(**opts).load()
-    reader = spark.read.schema(schema).options(**(options or {}))
-    return reader.format(fmt).load(f"{source.rstrip('/')}/{name}" if fmt != "parquet" or not source.endswith(".parquet") else source)
+        raw = spark.read.format("jdbc").options(**opts).load()
+        df = raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    else:
+        reader = spark.read.schema(schema).options(**(options or {}))
+        whole = fmt == "parquet" and source.endswith(".parquet")
+        df = reader.format(fmt).load(source if whole else f"{source.rstrip('/')}/{name}")
+    if where is not None:
+        df = df.where(where)
+    return df.select(*columns) if columns else df
 
 
 def sql_view(spark: SparkSession, tables: dict[str, DataFrame], query: str) -> DataFrame:

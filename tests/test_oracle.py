@@ -30,15 +30,15 @@ def duck():
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["warehouse_id", "warehouse_name", "item_id", "item_name", "quantity", "reorder_level"]
-    assert df.count() >= 0
+    assert df.count() > 0
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, duck, name):
     df = QUERIES[name](spark, SF)
     srows = [tuple(r) for r in df.collect()]
-    if name not in SQL:
-        assert len(srows) >= 0
+    if name not in SQL:  # tested against brute force elsewhere; here: it gives rows
+        assert srows
         return
     r = duck.execute(SQL[name])
     dcols = [c[0] for c in r.description]

@@ -17,7 +17,9 @@ def test_snapshot_and_load_table(spark, seed):
     base = tempfile.mkdtemp(prefix="stockflow-snap-")
     sinks.snapshot(seed["item"], os.path.join(base, "item"))
     df = load_table(spark, base, "item")
-    assert df.schema == SCHEMAS["item"] or [f.name for f in df.schema] == [f.name for f in SCHEMAS["item"]]
+    assert [(f.name, f.dataType) for f in df.schema] == [(f.name, f.dataType) for f in SCHEMAS["item"]]
+    some = load_table(spark, base, "item", columns=["name"], where="item_id > 2")
+    assert some.columns == ["name"] and some.count() == 2
     assert sorted(r.item_id for r in df.collect()) == [1, 2, 3, 4]
 
 

@@ -148,11 +148,12 @@ def with_next(docs: DataFrame, carried: list[str], prefix: str = "next_") -> Dat
     copies = F.concat(F.array(copy(F.col("__c"), 0)),
                       F.when(F.coalesce(opens, F.lit(False)), F.array(copy(F.col("__c") - 1, 1))).otherwise(F.array()),
                       F.when(is_low, F.array(copy(F.lit(len(bounds)), 2))).otherwise(F.array()))
-    dealt = dealt.withColumn("__k", F.explode(copies)).withColumn("__t", F.xxhash64("text"))
-    w = Window.partitionBy("__k.chunk").orderBy("__k.kind", F.col("doc_id").asc_nulls_first(), "__t")
-    for c in carried:
-        dealt = dealt.withColumn(prefix + c, F.lead(c).over(w))
-    return dealt.filter(F.col("__k.kind") == 0).drop("__c", "__k", "__t")
+    dealt = dealt.withColumn("__t", F.xxhash64("text")).select(
+        *docs.columns, "__t", F.inline(copies).alias("__chunk", "__kind"))
+    # plain columns in the window and one select for all of it: one exchange carries the texts
+    w = Window.partitionBy("__chunk").orderBy("__kind", F.col("doc_id").asc_nulls_first(), "__t")
+    out = dealt.select(*docs.columns, "__kind", *[F.lead(c).over(w).alias(prefix + c) for c in carried])
+    return out.filter(F.col("__kind") == 0).drop("__kind")
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:

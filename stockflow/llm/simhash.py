@@ -281,6 +281,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     first = slim.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "rid")).alias("m"))
     kept = (first.join(classes.select("fp", "root"), "fp").groupBy("root").agg(F.min("m").alias("m"))
             .select(F.col("m.rid").alias("rid")))
-    return own.join(materialize(kept, "kept"), "rid", "left_semi").select(
+    # shuffled by row number at every size, whatever Catalyst would broadcast while the table is small
+    return own.join(materialize(kept, "kept").hint("shuffle_hash"), "rid", "left_semi").select(
         *[F.col(f"c{k}").alias(c) for k, c in enumerate(names)])
 

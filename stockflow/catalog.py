@@ -1212,3 +1212,34 @@ def q_returns_log(spark, d):
     from stockflow.operators.orders import process_returns
     t = T(spark, d)
     return process_returns(t.stock, t.returns)["log"]
+
+
+_LEDGER_SQL = """SELECT log_id, warehouse_id, item_id, change_type, delta_qty, ref_type, ref_id, emp_id, logged_at FROM w_log
+UNION ALL
+SELECT (SELECT max(log_id) FROM w_log) + row_number() OVER (ORDER BY """
+
+
+@register("receive_ledger", W("w_po", "w_pod", "w_log") + _LEDGER_SQL + """d.po_detail_id), h.warehouse_id, d.item_id, 'IN',
+       d.quantity, 'PO', h.po_id, CAST(NULL AS BIGINT), TIMESTAMP '2026-01-01 00:00:00'
+FROM w_pod d JOIN w_po h ON h.po_id = d.po_id
+WHERE h.status IN ('CREATED', 'APPROVED', 'PARTIAL')""")
+def q_receive_ledger(spark, d):
+    """WF10: the ledger, in its declared schema, after receiving every open order."""
+    t = T(spark, d)
+    return orders.receive_pos(t.purchase_order, t.purchase_order_details, t.stock, t.purchase_order.select("po_id"),
+                              as_of="2026-01-01 00:00:00", ledger_log=t.transaction_log)["ledger"]
+
+
+@register("returns_ledger", W("w_returns", "w_po", "w_pod", "w_stock", "w_log", extra=[
+    ("w_ret", """SELECT return_id AS log_id, warehouse_id, item_id, returned_at AS logged_at, kind, quantity,
+                        CASE WHEN kind = 'CUSTOMER' THEN quantity ELSE -quantity END AS signed_qty FROM w_returns"""),
+    *_clip("w_ret")]) + _LEDGER_SQL + """m.logged_at, m.log_id), m.warehouse_id, m.item_id,
+       CASE WHEN m.kind = 'CUSTOMER' THEN 'IN' ELSE 'OUT' END, m.quantity,
+       CASE WHEN m.kind = 'CUSTOMER' THEN 'RETURN_CUST' ELSE 'RETURN_SUPP' END, CAST(NULL AS BIGINT),
+       CAST(NULL AS BIGINT), m.logged_at
+FROM cm m JOIN cf f ON f.warehouse_id = m.warehouse_id AND f.item_id = m.item_id AND f.rn = m.rn
+WHERE f.accepted""")
+def q_returns_ledger(spark, d):
+    """WF14: the ledger, in its declared schema, after the applied returns."""
+    t = T(spark, d)
+    return orders.process_returns(t.stock, t.returns, ledger_log=t.transaction_log)["ledger"]

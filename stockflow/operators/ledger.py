@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from stockflow.functions.scalars import signed_qty
 from stockflow.plans.scan import clipped_fold, running_sum
+from stockflow.schemas import SCHEMAS
+from stockflow.sources.sinks import append_rows
 
 KEY = ["warehouse_id", "item_id"]
 ORDER = ["logged_at", "log_id"]
@@ -121,6 +123,27 @@ def apply_movements(log: DataFrame, opening: DataFrame | None = None,
     return r.where(F.col(_KIND) == 1).drop(_KIND, "_v", "_reset")
 
 
+LEDGER = SCHEMAS["transaction_log"].fieldNames()
+
+
+def post(log: DataFrame, entries: DataFrame, order: list[str]) -> DataFrame:
+    """The ledger after appending ``entries`` in the declared schema, with new
+    log ids in ``order``. Columns that an entry does not have are null; a null
+    in a NOT NULL column is an error."""
+    cols = [c for c in LEDGER if c != "log_id" and c in entries.columns]
+    new = entries.select(*[F.col(c).alias("_o_" + c) for c in order], *cols)
+    return append_rows(log.select(*LEDGER), new, "log_id", ["_o_" + c for c in order], table="transaction_log")
+
+
+def line_effects(lines: DataFrame, stock: DataFrame, order: list[str]) -> DataFrame:
+    """Order lines that are applied without a check as movements with the
+    balance each leaves, in the shape ``alerts.observations`` takes: one
+    observation per line (D-5), the first row of a new key included. ``lines``
+    has the ledger's columns and src_id."""
+    moves = lines.withColumn("log_id", F.col("src_id")).withColumn("signed_qty", signed_qty())
+    return running_balance(moves, stock, order).withColumn("accepted", F.lit(True))
+
+
 def stock_after(stock: DataFrame, applied: DataFrame) -> DataFrame:
     """New stock snapshot after ``apply_movements``: last balance per key, with
     untouched stock rows kept. Keys without a row get one."""

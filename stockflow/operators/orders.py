@@ -39,9 +39,12 @@ def _gate(request: DataFrame, header: DataFrame, detail: DataFrame, key: str,
 
 # ---------------------------------------------------------------- receive
 def receive_pos(po: DataFrame, pod: DataFrame, stock: DataFrame, request: DataFrame,
-                emp_id: int | None = None, as_of: str | None = None) -> dict[str, DataFrame]:
+                emp_id: int | None = None, as_of: str | None = None,
+                ledger_log: DataFrame | None = None) -> dict[str, DataFrame]:
     """WF10: receive purchase orders: stock up, one ledger IN row per line,
-    status RECEIVED and the header total refreshed (D-7).
+    status RECEIVED and the header total refreshed (D-7). ``applied`` has each
+    line's balance for the reorder alerts; with ``ledger_log``, ``ledger`` is
+    that ledger with the new rows posted.
 
     Lines of all accepted orders are pre-aggregated per (warehouse, item)
     and applied with one full outer join (SNK7) -- no per-line round trips.
@@ -57,7 +60,15 @@ def receive_pos(po: DataFrame, pod: DataFrame, stock: DataFrame, request: DataFr
     received = ok.select("po_id")
     new_po = totals.refresh_totals(po, pod, "po_id", received)
     new_po = update_by_key(new_po, received.withColumn("status", F.lit("RECEIVED")), ["po_id"], ["status"])
-    return Outputs(stock=new_stock, log=log, po=new_po, rejected=rejected, accepted=received)
+    return _with_ledger(Outputs(stock=new_stock, log=log, po=new_po, rejected=rejected, accepted=received,
+                                applied=lambda: ledger.line_effects(log, stock, ["logged_at", "src_id"])),
+                        ledger_log, log, ["src_id"])
+
+
+def _with_ledger(out: Outputs, ledger_log: DataFrame | None, entries: DataFrame, order: list[str]) -> Outputs:
+    if ledger_log is not None:
+        out["ledger"] = lambda: ledger.post(ledger_log, entries, order)
+    return out
 
 
 # ---------------------------------------------------------------- ship
@@ -112,13 +123,14 @@ def allocate(lines: DataFrame, stock: DataFrame, fail_reason: str = "INSUFFICIEN
 
 def ship_sos(so: DataFrame, sod: DataFrame, stock: DataFrame, request: DataFrame | None = None,
              check_stock: bool = True, emp_id: int | None = None,
-             as_of: str | None = None) -> dict[str, DataFrame]:
+             as_of: str | None = None, ledger_log: DataFrame | None = None) -> dict[str, DataFrame]:
     """WF11: ship sales orders in so_id order with availability (D-8).
 
     With ``check_stock`` an order ships only if every line is available after
     the orders before it. Without it, an order with a line lacking a stock
     row is rejected ``NO_STOCK_ROW`` and one that would drive stock negative
     is rejected ``NEGATIVE_STOCK`` (the CHECK rule), never logged silently.
+    ``applied`` and ``ledger`` as in ``receive_pos``, in so_id order.
     """
     req = request if request is not None else so.select("so_id")
     ok, rejected = _gate(req, so, sod, "so_id", SHIPPABLE)
@@ -142,27 +154,40 @@ def ship_sos(so: DataFrame, sod: DataFrame, stock: DataFrame, request: DataFrame
     new_so = update_by_key(new_so, shipped.withColumn("status", F.lit("SHIPPED")), ["so_id"], ["status"])
     all_decisions = decisions.unionByName(
         rejected.select("so_id", F.lit(False).alias("shipped"), "reason"))
-    return Outputs(stock=new_stock, log=log, so=new_so, decisions=all_decisions,
-                   rejected=all_decisions.where(~F.col("shipped")).select("so_id", "reason"))
+    return _with_ledger(Outputs(stock=new_stock, log=log, so=new_so, decisions=all_decisions,
+                                rejected=all_decisions.where(~F.col("shipped")).select("so_id", "reason"),
+                                applied=lambda: ledger.line_effects(log, stock, ["ref_id", "src_id"])),
+                        ledger_log, log, ["ref_id", "src_id"])
 
 
 # ---------------------------------------------------------------- adjust / returns
-def adjust_stock(stock: DataFrame, adjustments: DataFrame) -> dict[str, DataFrame]:
+def adjust_stock(stock: DataFrame, adjustments: DataFrame, as_of: str | None = None,
+                 ledger_log: DataFrame | None = None) -> dict[str, DataFrame]:
     """WF13: signed manual adjustments in time order; one that would make stock
     negative is rejected. ``adjustments``: adj_id, warehouse_id, item_id,
-    delta, emp_id, reason, adjusted_at. The reason is kept on the ledger row."""
+    delta, emp_id, reason, adjusted_at. The reason is kept on the log row.
+    ``stock_table`` is the whole stock table afterwards (ids and stamps)."""
     moves = adjustments.select(
         F.col("adj_id").alias("log_id"), *KEY, F.col("adjusted_at").alias("logged_at"),
         F.lit("ADJUST").alias("change_type"), F.col("delta").alias("delta_qty"),
         F.lit("MANUAL").alias("ref_type"), "emp_id", "reason")
     applied = ledger.apply_movements(moves, stock)
-    return {"applied": applied, "stock": ledger.stock_after(stock, applied),
-            "log": applied.where("accepted").drop("accepted", "balance", "signed_qty"),
-            "rejected": applied.where(~F.col("accepted")).select("log_id", *KEY, "delta_qty",
-                                                                 F.lit("NEGATIVE_STOCK").alias("reason"))}
+    done = applied.where("accepted")
+    return _with_ledger(Outputs(applied=applied, stock=ledger.stock_after(stock, applied),
+                                stock_table=lambda: _restock(stock, applied, as_of),
+                                log=done.drop("accepted", "balance", "signed_qty"),
+                                rejected=applied.where(~F.col("accepted")).select(
+                                    "log_id", *KEY, "delta_qty", F.lit("NEGATIVE_STOCK").alias("reason"))),
+                        ledger_log, done, ["logged_at", "log_id"])
+
+
+def _restock(stock: DataFrame, applied: DataFrame, as_of: str | None) -> DataFrame:
+    """The whole stock table after the accepted movements."""
+    return upsert_stock(stock, applied.where("accepted").select(*KEY, F.col("signed_qty").alias("delta")), as_of=as_of)
 
 
-def process_returns(stock: DataFrame, returns: DataFrame) -> dict[str, DataFrame]:
+def process_returns(stock: DataFrame, returns: DataFrame, emp_id: int | None = None, as_of: str | None = None,
+                    ledger_log: DataFrame | None = None) -> dict[str, DataFrame]:
     """WF14: customer returns come IN, supplier returns go OUT, in return order.
 
     A supplier return that would drive stock negative -- including one for a
@@ -176,9 +201,11 @@ def process_returns(stock: DataFrame, returns: DataFrame) -> dict[str, DataFrame
         F.col("quantity").alias("delta_qty"),
         F.when(F.col("kind") == "CUSTOMER", "RETURN_CUST").otherwise("RETURN_SUPP").alias("ref_type"))
     applied = ledger.apply_movements(moves, stock)
-    return {"applied": applied, "stock": ledger.stock_after(stock, applied),
-            "log": applied.where("accepted").select("log_id", *KEY, "change_type", "delta_qty",
-                                                    "ref_type", "logged_at")}
+    done = applied.where("accepted")
+    return _with_ledger(Outputs(applied=applied, stock=ledger.stock_after(stock, applied),
+                                stock_table=lambda: _restock(stock, applied, as_of),
+                                log=done.select("log_id", *KEY, "change_type", "delta_qty", "ref_type", "logged_at")),
+                        ledger_log, done.withColumn("emp_id", F.lit(emp_id).cast("long")), ["logged_at", "log_id"])
 
 
 # ---------------------------------------------------------------- master data

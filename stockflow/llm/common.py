@@ -46,8 +46,9 @@ def join_hot_key(left: DataFrame, right: DataFrame, key: str, counts: str, total
     light = right.filter(F.col(counts) <= cut).select(
         F.col(key).alias("__lk"), F.lit(0).alias("__ls"), F.struct(*values).alias("__lv"))
     marked = left.join(F.broadcast(heavy), F.col(key) == F.col("__hk"), "left")
+    # by a hash of the row, not by chance: a task that runs again must deal its rows as before
     spread = F.when(F.col("__hk").isNull() & F.col(key).isNotNull(), F.lit(0)).otherwise(
-        F.lit(1) + (F.rand(7) * 1_000_000).cast("int"))
+        F.lit(1) + F.pmod(F.xxhash64(*left.columns), F.lit(1_000_000)).cast("int"))
     joined = marked.withColumn("__s", spread).join(
         light, (F.col(key) == F.col("__lk")) & (F.col("__s") == F.col("__ls")), "left")
     return joined.select(*[F.col(c) for c in left.columns], *[

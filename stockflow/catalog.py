@@ -1243,3 +1243,23 @@ def q_returns_ledger(spark, d):
     """WF14: the ledger, in its declared schema, after the applied returns."""
     t = T(spark, d)
     return orders.process_returns(t.stock, t.returns, ledger_log=t.transaction_log)["ledger"]
+
+
+@register("delete_warehouse_cascade", W("w_stock", "w_log", "w_alerts0") + """
+SELECT 'stock' AS tbl, warehouse_id, count(*) AS n_rows FROM w_stock WHERE warehouse_id <> 3 GROUP BY warehouse_id
+UNION ALL
+SELECT 'transaction_log', warehouse_id, count(*) FROM w_log WHERE warehouse_id <> 3 GROUP BY warehouse_id
+UNION ALL
+SELECT 'reorder_alerts', warehouse_id, count(*) FROM w_alerts0 WHERE warehouse_id <> 3 GROUP BY warehouse_id""")
+def q_delete_warehouse_cascade(spark, d):
+    """DQ6: all orders of warehouse 3 are deleted first (their lines CASCADE),
+    then every warehouse: only 3 is free of RESTRICT, and its stock, ledger
+    and alerts go with it."""
+    tables = _tables(spark, d)
+    for name, key in (("purchase_order", "po_id"), ("sales_order", "so_id")):
+        done = quality.delete_by_declared_rules(tables, name, tables[name].where("warehouse_id = 3").select(key))
+        tables = {n: done[n] for n in tables}
+    done = quality.delete_by_declared_rules(tables, "warehouse", tables["warehouse"].select("warehouse_id"))
+    parts = [done[n].groupBy("warehouse_id").agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("tbl"), "warehouse_id", "n_rows")
+             for n in ("stock", "transaction_log", "reorder_alerts")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

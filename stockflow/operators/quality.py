@@ -151,3 +151,53 @@ def delete_with_rules(parent: DataFrame, parent_key: str, keys: DataFrame,
                 if c == fk else F.col(c) for c in child.columns]
         out[name] = child.join(hit, fk, "left").select(*cols)
     return out
+
+
+def delete_by_declared_rules(tables: dict[str, DataFrame], table: str, keys: DataFrame) -> dict[str, DataFrame]:
+    """DQ6: delete rows of ``table`` by primary key under all declared foreign
+    keys, over as many levels as they reach.
+
+    A key is refused if a RESTRICT child refers to it, or to a row that its
+    deletion would take along; nothing of a refused key is deleted. CASCADE
+    children go (and theirs), SET NULL children lose the reference. Returns the
+    tables afterwards, ``deleted`` and ``refused`` (key, blocked_by). Each
+    level is one join per child; the declared links have no CASCADE cycle.
+    """
+    pk = UNIQUE_KEYS[table][0][0]
+    asked = keys.select(F.col(keys.columns[0]).alias("_root")).distinct()
+    asked = asked.join(tables[table].select(F.col(pk).alias("_root")), "_root", "left_semi")
+
+    def reach(parent: str, hit: DataFrame) -> list[tuple[str, str, str, DataFrame]]:
+        """(rule, child, column, rows of the child as (_root, key)) of everything below ``hit(_root, _key)``."""
+        out = []
+        for child, cols, target, _, rule in FOREIGN_KEYS:
+            if target != parent or child not in tables or cols[0] not in tables[child].columns:
+                continue
+            own = UNIQUE_KEYS[child][0][0] if child in UNIQUE_KEYS else "log_id"
+            rows = (tables[child].select(F.col(own).alias("_child"), F.col(cols[0]).alias("_key")).join(hit, "_key")
+                    .select("_root", F.col("_child").alias("_key")))
+            out.append((rule, child, own if rule == "CASCADE" else cols[0], rows))
+            if rule == "CASCADE":
+                out += reach(child, rows)
+        return out
+
+    below = reach(table, asked.withColumn("_key", F.col("_root")))
+    blocks = [rows.groupBy("_root").agg(F.count("*").alias("n_refs")).withColumn("blocked_by", F.lit(child))
+              for rule, child, _, rows in below if rule == "RESTRICT"]
+    refused = _counted(blocks) if blocks else asked.where(F.lit(False)).select(
+        "_root", F.lit(0).cast("long").alias("n_refs"), F.lit("").alias("blocked_by"))
+    free = asked.join(refused, "_root", "left_anti")
+    out = dict(tables)
+    out[table] = tables[table].join(free.select(F.col("_root").alias(pk)), pk, "left_anti")
+    for rule, child, col, rows in below:
+        gone = rows.join(free, "_root", "left_semi").select("_key").distinct()
+        if rule == "CASCADE":
+            out[child] = out[child].join(gone.select(F.col("_key").alias(col)), col, "left_anti")
+        elif rule == "SET NULL":
+            own = UNIQUE_KEYS[child][0][0] if child in UNIQUE_KEYS else "log_id"
+            hit = gone.select(F.col("_key").alias(own)).withColumn("_hit", F.lit(True))
+            kept = [F.when(F.col("_hit"), F.lit(None).cast(out[child].schema[c].dataType)).otherwise(F.col(c)).alias(c)
+                    if c == col else F.col(c) for c in tables[child].columns]
+            out[child] = out[child].join(hit, own, "left").select(*kept)
+    return {**out, "deleted": free.select(F.col("_root").alias(pk)),
+            "refused": refused.select(F.col("_root").alias(pk), "blocked_by", "n_refs")}

@@ -85,3 +85,31 @@ def test_no_job_runs_for_tables_nobody_asks_for(spark, seed):
     assert not tracker.getJobIdsForGroup("lazy")
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert r["stock"].count() >= seed["stock"].count()
+
+
+def test_a_warehouse_delete_cascades(spark, seed):
+    """Warehouse 4 has no orders: its stock, log and alerts go and its staff lose it; the others are refused."""
+    t = dict(seed)
+    t["purchase_order"] = t["purchase_order"].where("warehouse_id <> 4")
+    t["sales_order"] = t["sales_order"].where("warehouse_id <> 4")
+    t["stock"] = t["stock"].unionByName(spark.createDataFrame([(900, 4, 1, 7, None)], t["stock"].schema))
+    t["employee"] = t["employee"].withColumn("warehouse_id", F.when(F.col("emp_id") == 4, 4).otherwise(F.col("warehouse_id")).cast("long"))
+    used = {r.warehouse_id for n in ("purchase_order", "sales_order") for r in t[n].collect()}
+    r = quality.delete_by_declared_rules(t, "warehouse", t["warehouse"].select("warehouse_id"))
+    gone = {x.warehouse_id for x in r["deleted"].collect()}
+    assert 4 in gone and gone == {1, 2, 3, 4} - used
+    assert {x.warehouse_id for x in r["refused"].collect()} == used
+    for n in ("stock", "transaction_log", "reorder_alerts"):
+        assert sorted(map(str, r[n].select(t[n].columns).collect())) == sorted(
+            map(str, (x for x in t[n].collect() if x.warehouse_id not in gone)))
+    assert {x.emp_id: x.warehouse_id for x in r["employee"].collect()} == {
+        x.emp_id: None if x.warehouse_id in gone else x.warehouse_id for x in t["employee"].collect()}
+    items = quality.delete_by_declared_rules(t, "item", t["item"].select("item_id"))
+    assert items["deleted"].count() == 0
+
+
+def test_cancelled_order_delete_takes_its_lines(spark, seed):
+    r = quality.delete_by_declared_rules(dict(seed), "sales_order", spark.createDataFrame([(1,), (77,)], "so_id long"))
+    assert [x.so_id for x in r["deleted"].collect()] == [1] and r["refused"].count() == 0
+    assert r["sales_order_details"].where("so_id = 1").count() == 0
+    assert r["sales_order_details"].count() == seed["sales_order_details"].where("so_id <> 1").count()

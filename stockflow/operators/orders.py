@@ -7,13 +7,15 @@ states plus a ``rejected`` frame with a reason, instead of raising.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockflow.functions.scalars import (backfill_contact_expr, collated, map_role,
                                          non_blank, strip, valid_gmail)
 from stockflow.operators import ledger, totals
-from stockflow.plans.checkpoint import cut_lineage
+from stockflow.plans.checkpoint import cut_lineage, ensure_checkpoint_dir
 from stockflow.plans.scan import running_sums
 from stockflow.sources.sinks import Outputs, append_rows, update_by_key, upsert_stock
 
@@ -81,44 +83,50 @@ def allocate(lines: DataFrame, stock: DataFrame, fail_reason: str = "INSUFFICIEN
     ``upper`` = stock - shipped by smaller ids, ``lower`` = upper - demand of
     still-undecided smaller ids. All lines within ``lower`` -> ship; any line
     above ``upper`` -> reject; otherwise wait for the next round. The smallest
-    undecided order always decides, so the loop ends (no cap needed). Each
-    round works only on undecided lines plus the shipped lines of keys that
-    still have undecided lines, so rounds shrink; every round's state is
-    checkpointed to the shared checkpoint folder.
-    Returns so_id, shipped, reason.
+    undecided order always decides, so the loop ends (no cap needed).
+
+    A round costs only what is undecided: decisions are written out once, each
+    undecided line carries what smaller ids have shipped from its key, and a
+    shipped line takes part only in the one round after it ships. Rounds are
+    written to the shared checkpoint folder.
+    Returns so_id, shipped, reason; ``stats`` gets the undecided lines per round.
     """
+    spark = lines.sparkSession
     st = stock.select(*KEY, F.col("quantity").alias("_avail"))
+    done = f"{ensure_checkpoint_dir(spark)}/allocation-{uuid.uuid4().hex}"
     state = cut_lineage(
         lines.select("so_id", *KEY, F.col("quantity").cast("long").alias("_q"))
         .join(st, KEY, "left")
         .withColumn("_avail", F.coalesce(F.col("_avail"), F.lit(0)).cast("long"))
-        .withColumn("_state", F.lit("U")))
-    rounds = 0
-    while state.where(F.col("_state") == "U").limit(1).count() > 0:
-        rounds += 1
-        undecided = state.where(F.col("_state") == "U")
-        # Rejected lines never matter again; shipped ones only on keys that
-        # still have undecided orders.
-        ctx = (state.where(F.col("_state") == "S")
-               .join(undecided.select(*KEY).distinct(), KEY, "left_semi"))
-        x = (undecided.unionByName(ctx)
-             .withColumn("_s", F.when(F.col("_state") == "S", F.col("_q")).otherwise(F.lit(0)).cast("long"))
-             .withColumn("_u", F.when(F.col("_state") == "U", F.col("_q")).otherwise(F.lit(0)).cast("long")))
-        x = running_sums(x, KEY, ["so_id"], {"_cs": "_s", "_cu": "_u"})
-        upper = F.col("_avail") - (F.col("_cs") - F.col("_s"))
+        .withColumn("_used", F.lit(0).cast("long")).withColumn("_fresh", F.lit(False)))
+    per_round: list[int] = []
+    while (n := state.where(~F.col("_fresh")).count()):
+        per_round.append(n)
+        undecided = state.where(~F.col("_fresh"))
+        fresh = state.where("_fresh").join(undecided.select(*KEY).distinct(), KEY, "left_semi")
+        x = (undecided.unionByName(fresh.select(*undecided.columns))
+             .withColumn("_s", F.when(F.col("_fresh"), F.col("_q")).otherwise(F.lit(0)).cast("long"))
+             .withColumn("_u", F.when(F.col("_fresh"), F.lit(0)).otherwise(F.col("_q")).cast("long")))
+        x = running_sums(x, KEY, ["so_id"], {"_cs": "_s", "_cu": "_u"}).where(~F.col("_fresh"))
+        x = x.withColumn("_used", F.col("_used") + F.col("_cs"))
+        upper = F.col("_avail") - F.col("_used")
         lower = upper - (F.col("_cu") - F.col("_u"))
-        per_order = (x.where(F.col("_state") == "U").groupBy("so_id")
+        per_order = (x.groupBy("so_id")
                      .agg(F.bool_and(F.col("_q") <= lower).alias("_ship"),
                           F.bool_or(F.col("_q") > upper).alias("_reject"))
                      .select("so_id", F.when(F.col("_ship"), "S").when(F.col("_reject"), "R").alias("_new")))
-        state = cut_lineage(state.join(per_order, "so_id", "left")
-                            .withColumn("_state", F.coalesce(F.col("_new"), F.col("_state"))).drop("_new"))
+        x = cut_lineage(x.join(per_order, "so_id"))
+        (x.where(F.col("_new").isNotNull()).groupBy("so_id").agg((F.max("_new") == "S").alias("shipped"))
+         .write.mode("append").parquet(done))
+        state = (x.where(F.col("_new").isNull() | (F.col("_new") == "S"))
+                 .withColumn("_fresh", F.col("_new").isNotNull())
+                 .select("so_id", *KEY, "_q", "_avail", "_used", "_fresh"))
     if stats is not None:
-        stats["rounds"] = rounds
-    return (state.groupBy("so_id").agg(F.first("_state").alias("_state"))
-            .select("so_id", (F.col("_state") == "S").alias("shipped"),
-                    F.when(F.col("_state") == "S", F.lit(None).cast("string"))
-                    .otherwise(F.lit(fail_reason)).alias("reason")))
+        stats.update(rounds=len(per_round), undecided=per_round)
+    kind = lines.schema["so_id"].dataType.simpleString()
+    decided = (spark.read.schema(f"so_id {kind}, shipped boolean").parquet(done) if per_round
+               else spark.createDataFrame([], f"so_id {kind}, shipped boolean"))
+    return decided.select("so_id", "shipped", F.when(~F.col("shipped"), F.lit(fail_reason)).alias("reason"))
 
 
 def ship_sos(so: DataFrame, sod: DataFrame, stock: DataFrame, request: DataFrame | None = None,

@@ -40,3 +40,19 @@ def test_scan_pushdown_and_pruning(spark):
     assert "EqualTo(l_linestatus,O)" in p
     lineitem_schemas = [ln for ln in p.splitlines() if "ReadSchema" in ln and "l_orderkey" in ln]
     assert lineitem_schemas and all("l_extendedprice" not in ln for ln in lineitem_schemas)
+
+
+def test_one_month_sums_only_its_own_lines(spark, seed):
+    """The month's headers are joined before the lines are summed, and summed once."""
+    from stockflow.operators.reports import monthly_purchases
+    df = monthly_purchases(seed["purchase_order"], seed["purchase_order_details"], "2025-10")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and plan.index("Aggregate") < plan.index("Join")
+
+
+def test_ordered_scans_stay_in_arrow(spark, seed):
+    """No pandas between the range exchange and the result of an ordered scan."""
+    from stockflow.operators.ledger import running_balance
+    df = running_balance(seed["transaction_log"], seed["stock"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -85,6 +86,48 @@ def op10_chat_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digests(format_conversations(turns.unionByName(probe_conversation(turns))))
 
 
+#: Operator 11's rules (action, host, path).
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+             ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+#: Whose urls are listed: captures from hosts of these names, and captures that hold an insult.
+LISTED_HOSTS = "(^|[.])(spam-farm|cheap-pills|casino-win|adult-x|free-bets|ads-track)[.]"
+LISTED_HTML = "(?i)(worthless|idiot|stupid|moron|pathetic)"
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 11 over all pages: five rules, then the list of reported captures' urls."""
+    from stockflow.llm.urls import Rule, judge_urls, url_host
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    listed = pages.filter(url_host(F.col("url")).rlike(LISTED_HOSTS) | F.col("html").rlike(LISTED_HTML)).select("url")
+    return judge_urls(pages, [Rule(*r) for r in URL_RULES], listed)
+
+
+def _url_sql() -> str:
+    from stockflow.llm.urls import TRACKING
+    fits = [f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN "
+            for _, h, p in sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))]
+    order = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+    rule = " ".join(f"{f}'{h}{p}'" for f, (_, h, p) in zip(fits, order))
+    action = " ".join(f"{f}'{a}'" for f, (a, _, _) in zip(fits, order))
+    return f"""
+WITH cut AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+parts AS (SELECT *, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                 coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
+                 list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*[?]([^#]*)', 1), '&'),
+                                       lambda p: p <> '' AND NOT regexp_matches(p, '{TRACKING}'))) AS kept FROM cut),
+named AS (SELECT *, CASE WHEN rest IS NOT NULL THEN
+             regexp_replace(regexp_replace(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':(80|443)?$', ''), '[.]+$', ''), '^www[.]', '')
+             || regexp_replace(regexp_replace(regexp_replace(path, '/+', '/', 'g'), '/index[.](html?|php)$', '/'), '/$', '')
+             || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS canonical FROM parts),
+listed AS (SELECT DISTINCT canonical FROM named WHERE canonical IS NOT NULL
+           AND (regexp_matches(host, '{LISTED_HOSTS}') OR regexp_matches(html, '{LISTED_HTML}'))),
+ruled AS (SELECT *, CASE {rule} END AS rule, CASE {action} END AS action,
+                 coalesce(canonical IN (SELECT canonical FROM listed), false) AS found FROM named)
+SELECT page_id, host, path, rule, canonical, CASE WHEN rule IS NULL THEN found END AS listed,
+       coalesce(action, CASE WHEN found THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over all documents."""
     import corpus_pipeline
@@ -103,4 +146,5 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "pipeline": (pipeline, None),
     "op8_vptree_neighbours": (op8_vptree_neighbours, None),
     "op9_byte_convnet": (op9_byte_convnet, None),
+    "op11_url_filter": (op11_url_filter, _url_sql()),
 }

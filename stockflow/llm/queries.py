@@ -128,6 +128,39 @@ SELECT page_id, host, path, rule, canonical, CASE WHEN rule IS NULL THEN found E
 FROM ruled"""
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 13 over all documents: the best 2,000 phrases of two or three words of each language."""
+    from stockflow.llm.collocations import collocations
+    _arrow(spark)
+    return collocations(_read(spark, sf_dir, "documents").select("lang", "text"))
+
+
+COLLOCATION_SQL = """
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+grams AS (SELECT lang, m AS size, unnest(list_transform(generate_series(1, len(w) - m + 1),
+                 lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+          FROM words, (VALUES (1), (2), (3)) sizes(m) WHERE len(w) >= m),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+cand AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= 10),
+cuts AS (SELECT lang, size, phrase, a, w, unnest(generate_series(1, size - 1)) AS k FROM cand),
+scores AS (SELECT c.lang, c.size, c.phrase, c.a, c.k, x.f AS l, y.f AS r,
+                  ((1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+           FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ')
+                       JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:c.size], ' ')),
+low AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, array_to_string(w[s:s + 1], ' ') AS phrase, max(a) AS outer_a
+           FROM cand, (VALUES (1), (2)) starts(s) WHERE size = 3 GROUP BY ALL),
+kept AS (SELECT low.* FROM low LEFT JOIN inner_ i ON i.lang = low.lang AND i.phrase = low.phrase AND low.size = 2
+         WHERE i.outer_a IS NULL OR 100 * i.outer_a < 50 * low.a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank,
+       phrase, a, l, r, n, score
+FROM kept JOIN n ON n.lang = kept.lang QUALIFY rank <= 2000"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over all documents."""
     import corpus_pipeline
@@ -147,4 +180,5 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_vptree_neighbours": (op8_vptree_neighbours, None),
     "op9_byte_convnet": (op9_byte_convnet, None),
     "op11_url_filter": (op11_url_filter, _url_sql()),
+    "op13_collocations": (op13_collocations, COLLOCATION_SQL),
 }

@@ -10,7 +10,11 @@ read on. Where no trigger comes for ``LONGEST`` tokens a chunk ends all the
 same. After the last token stand as many breaks as a window has tokens.
 
 Counting. Each distinct chunk's n-grams are counted once, weighted by the
-chunk's frequency. An n-gram belongs to the chunk in whose own part (all but the
+chunk's frequency, shorter ones first: an n-gram can only be frequent if the
+n-grams of one word less at its two ends are, so those that a blocked Bloom
+filter of the frequent shorter ones refuses are left out before the shuffle
+(exact: the filter refuses no frequent one; its size is bounded, and a full
+filter leaves out less). An n-gram belongs to the chunk in whose own part (all but the
 final window) it starts, so what lies in an overlap is counted once, and every
 n-gram lies whole in the chunk that owns it. Both steps sum inside the task
 before they shuffle, so a line or phrase that fills a third of the corpus is one
@@ -30,33 +34,33 @@ row. Extra columns are ignored. Very long texts are parsed whole.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockflow.llm import bloom
 from stockflow.llm.common import join_hot_key, materialize
 
 PERIOD, LONGEST, SALTS = 16, 512, 1000
 #: Distinct chunks, and words of the dictionary, that a task holds before it counts and passes them on.
 FLUSH_CHUNKS, FLUSH_WORDS = 100_000, 1_000_000
 BREAK = "\n"
-_TOKEN = re.compile(r"[.,;:!?\x0a-\x0d]+|[^\x20\x09.,;:!?\x0a-\x0d]+")
-_ENDS = frozenset(".,;:!?\n\x0b\x0c\r")
-_LOWER = {c: c + 32 for c in range(65, 91)}
+_SPLIT = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def tokens_of(text: str | None) -> list[str]:
-    """The words in order, with one BREAK between pieces (and wherever only punctuation stands)."""
-    found = _TOKEN.findall((text or "").translate(_LOWER))
-    return [BREAK if t[0] in _ENDS else t for t in found]
+    """The words in lower case in order, with a BREAK for each separator of pieces."""
+    plain = (text or "").encode("utf-8", "surrogatepass").translate(_SPLIT).replace(b"\n", b" \n ")
+    return [t for t in plain.decode("utf-8", "surrogatepass").split(" ") if t]
 
 
 def chunks_of(tokens: list[str], hashes: np.ndarray, window: int, period: int = PERIOD, longest: int = LONGEST) -> Iterator[list[str]]:
@@ -90,9 +94,8 @@ def _parser(window: int, period: int, longest: int):
             known: dict[str, int] = {}
             for lang, text in zip(b["lang"], b["text"]):
                 tokens = tokens_of(text)
-                for t in tokens:
-                    if t not in known:
-                        known[t] = zlib.crc32(t.encode("utf-8", "surrogatepass"))
+                for t in set(tokens).difference(known):
+                    known[t] = zlib.crc32(t.encode("utf-8", "surrogatepass"))
                 hashes = np.fromiter(map(known.__getitem__, tokens), np.uint32, len(tokens))
                 for c in chunks_of(tokens, hashes, window, period, longest):
                     found[lang, " ".join(c)] += 1
@@ -111,53 +114,67 @@ def dictionary(docs: DataFrame, window: int, text_col: str = "text", lang_col: s
             .groupBy("lang", "chunk").agg(F.sum("times").alias("times")))
 
 
-def _sums(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First place of each distinct key, the sum of its weights, and each row's distinct key."""
-    _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    total = np.zeros(len(first), np.int64)
-    np.add.at(total, inverse, weights)
-    return first, total, inverse
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+def _word_hashes(lang: str, words: list[str]) -> np.ndarray:
+    of, seed = xxhash.xxh64_intdigest, zlib.crc32(lang.encode("utf-8", "surrogatepass"))
+    return np.fromiter((of(w, seed) for w in words), np.uint64, len(words))
 
 
-def _grams(lang: str, chunks: list[str], times: list[int], window: int) -> Iterator[pa.RecordBatch]:
-    """Weighted counts of the n-grams that distinct chunks of one language own; size 0 counts all words."""
+def _extended(h: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of an n-gram from that of all but its last word and that word's."""
+    return _mix(h * np.uint64(0xD6E8FEB86659FD93) + word)
+
+
+def _grams(lang: str, chunks: list[str], times: list[int], window: int, size: int, frequent: np.ndarray | None) -> pa.RecordBatch:
+    """Weighted counts of the n-grams of one size that distinct chunks of one
+    language own and whose ends may be frequent. Size 1 also counts all words,
+    as the phrase ''."""
     split = [c.split(" ") for c in chunks]
     sizes = np.fromiter(map(len, split), np.int64, len(split))
     codes, words = pd.factorize(np.array([t for s in split for t in s], object))
-    ends = np.repeat(np.cumsum(sizes), sizes)
-    weight = np.repeat(np.array(times, np.int64), sizes)
-    own = np.arange(len(codes)) < ends - window
-    word = (words != BREAK)[codes]
-    names = pa.array(words.tolist(), pa.string())
-    at = np.flatnonzero(own & word)
+    word, n = (words != BREAK)[codes], len(codes)
+    good = word & (np.arange(n) < np.repeat(np.cumsum(sizes), sizes) - window)  # own starts
+    for k in range(1, size):  # an own start plus the window stays inside its chunk
+        good[:n - k] &= word[k:]
+    if size > 1:
+        by_word = _word_hashes(lang, words.tolist())[codes]
+        h = by_word
+        for k in range(1, size - 1):
+            h = _extended(h[:-1], by_word[k:])
+        may = _may_hold(frequent, h)
+        good[:len(may) - 1] &= may[:-1] & may[1:]
+    at = np.flatnonzero(good)
+    weight = np.repeat(np.array(times, np.int64), sizes)[at]
     rank = codes[at].astype(np.int64)
-    yield _rows(lang, 0, pa.array([""]), np.array([weight[at].sum()], np.int64))
-    for size in range(1, window + 2):
-        if size > 1:
-            good = word[at + size - 1]  # an own start plus the window stays inside the chunk
-            at, rank = at[good], rank[good] * len(words) + codes[at[good] + size - 1]
-        if not len(at):
-            return
-        first, total, rank = _sums(rank, weight[at])
-        starts = at[first]
-        phrase = pc.binary_join_element_wise(*(names.take(pa.array(codes[starts + k])) for k in range(size)), " ")
-        yield _rows(lang, size, phrase, total)
+    for k in range(1, size):
+        rank = np.unique(rank, return_inverse=True)[1] * len(words) + codes[at + k]
+    _, first, inverse = np.unique(rank, return_index=True, return_inverse=True)
+    total = np.zeros(len(first), np.int64)
+    np.add.at(total, inverse, weight)
+    names, starts = pa.array(words.tolist(), pa.string()), at[first]
+    phrase = pc.binary_join_element_wise(*(names.take(pa.array(codes[starts + k])) for k in range(size)), " ")
+    if size == 1:
+        phrase, total = pa.concat_arrays([phrase, pa.array([""])]), np.append(total, weight.sum())
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(total), pa.string()), phrase, pa.array(total)],
+                                      names=["lang", "phrase", "times"])
 
 
-def _rows(lang: str, size: int, phrase: pa.Array, total: np.ndarray) -> pa.RecordBatch:
-    n = len(total)
-    return pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array(np.full(n, size, np.int32)),
-                                       phrase, pa.array(total)], names=["lang", "size", "phrase", "times"])
+def _may_hold(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return bloom.may_hold(table, (h >> np.uint64(1)).astype(np.int64), _mix(h).astype(np.int64))
 
 
-def _counter(window: int):
+def _counter(window: int, size: int, frequent):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[list[str], list[int]]] = {}
-        words = 0
+        words, table = 0, frequent and frequent.value
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, (chunks, times) in held.items():
-                yield from _grams(lang, chunks, times, window)
+                yield _grams(lang, chunks, times, window, size, table)
             held.clear()
 
         for b in batches:
@@ -174,10 +191,40 @@ def _counter(window: int):
     return count
 
 
-def ngram_counts(chunks: DataFrame, window: int) -> DataFrame:
-    """(lang, size, phrase, f) of all n-grams up to ``window + 1`` words; size 0, phrase '' counts all words."""
-    return (chunks.mapInArrow(_counter(window), "lang string, size int, phrase string, times long")
-            .groupBy("lang", "size", "phrase").agg(F.sum("times").alias("f")))
+def _phrase_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        lang, phrases = b.column("lang").to_pylist(), [p.split(" ") for p in b.column("phrase").to_pylist()]
+        h = np.zeros(len(phrases), np.uint64)
+        for i, (own, words) in enumerate(zip(lang, phrases)):
+            by_word = _word_hashes(own, words)
+            h[i:i + 1] = by_word[:1]
+            for k in range(1, len(words)):
+                h[i:i + 1] = _extended(h[i:i + 1], by_word[k:k + 1])
+        yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(1)).astype(np.int64)), pa.array(_mix(h).astype(np.int64))],
+                                         names=["place", "bits"])
+
+
+def frequent_filter(counts: DataFrame):
+    """Broadcast blocked Bloom filter of the phrases of ``counts``."""
+    rows = counts.select("lang", "phrase").mapInArrow(_phrase_hashes, "place long, bits long")
+    table = bloom.build(rows, F.col("place"), F.col("bits"), bloom.blocks_for(counts.count()))
+    return counts.sparkSession.sparkContext.broadcast(table)
+
+
+def frequent_ngrams(chunks: DataFrame, window: int, least: int) -> DataFrame:
+    """(lang, size, phrase, f) of all n-grams up to ``window + 1`` words that
+    occur ``least`` times; size 0, phrase '', counts all words of a language."""
+    levels, frequent = [], None
+    for size in range(1, window + 2):
+        level = materialize(
+            chunks.mapInArrow(_counter(window, size, frequent), "lang string, phrase string, times long")
+            .groupBy("lang", "phrase").agg(F.sum("times").alias("f"))
+            .filter((F.col("f") >= least) | (F.col("phrase") == ""))
+            .select("lang", F.when(F.col("phrase") == "", 0).otherwise(size).alias("size"), "phrase", "f"), f"level_{size}")
+        levels.append(level)
+        if size <= window:
+            frequent = frequent_filter(level.filter("size > 0"))
+    return reduce(DataFrame.unionByName, levels)
 
 
 def _key(part):
@@ -225,8 +272,7 @@ def collocations(docs: DataFrame, most_words: int = 3, least: int = 10, percent:
     if most_words < 2:
         raise ValueError("phrases have at least two words")
     window = most_words - 1
-    counts = materialize(ngram_counts(dictionary(docs, window, period=period, longest=longest), window)
-                         .filter((F.col("size") == 0) | (F.col("f") >= least)), "counts")
+    counts = frequent_ngrams(materialize(dictionary(docs, window, period=period, longest=longest), "dictionary", "zstd"), window, least)
     kept = without_parts(materialize(scored(counts, least, most_words), "candidates"), percent)
     best = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     share = F.pmod(F.xxhash64("phrase"), F.lit(SALTS))

@@ -11,7 +11,7 @@ bits: one bit in each of eight words) is probed by every row where it lies;
 rows that the filter refuses are certainly not listed and are never shuffled.
 Possible hits go to an exact hash join with the list, which removes the false
 positives. The filter is broadcast, so its size has a fixed bound
-(``MOST_FILTER_BYTES``): a list too long for ``BITS_A_KEY`` bits per url within
+(``bloom.MOST_BYTES``): a list too long for ``bloom.BITS_A_KEY`` bits per url within
 that bound only makes more possible hits, never a wrong verdict. The exact join
 spreads urls that occur very often (``join_hot_key``).
 
@@ -34,10 +34,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stockflow.llm import bloom
 from stockflow.llm.common import join_hot_key, materialize
 
-BITS_A_KEY, BLOCK_BITS, WORDS = 16, 512, 8
-MOST_FILTER_BYTES = 32 << 20
 MOST_RULES = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Query parameters that only track a visit.
@@ -106,34 +105,19 @@ def _hashes(canonical: Column) -> tuple[Column, Column]:
     return F.xxhash64(canonical), F.xxhash64(canonical, F.lit("bits"))
 
 
-def blocked_bloom(listed: DataFrame, column: str, blocks: int) -> np.ndarray:
-    """The filter as (blocks, WORDS) 64-bit words; built by the executors, a row for each block in use."""
-    h, bits = _hashes(F.col(column))
-    words = [F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("__b", 6 * i).bitwiseAND(63).cast("int")))
-             .alias(f"w{i}") for i in range(WORDS)]
-    rows = (listed.select(F.pmod(h, F.lit(blocks)).alias("block"), bits.alias("__b")).groupBy("block").agg(*words)
-            .toArrow())  # at most MOST_FILTER_BYTES / 64 rows
-    out = np.zeros((blocks, WORDS), np.int64)
-    for i in range(WORDS):
-        out[rows["block"].to_numpy(), i] = rows[f"w{i}"].to_numpy()
-    return out
-
-
 def _probe(spark, words: np.ndarray):
     """Pandas function (hash, bit hash) -> may the url be listed?"""
-    shared, shifts = spark.sparkContext.broadcast(words), 6 * np.arange(WORDS)
+    shared = spark.sparkContext.broadcast(words)
 
     def may(h: pd.Series, bits: pd.Series) -> pd.Series:
-        table = shared.value
-        at = (bits.to_numpy()[:, None] >> shifts) & 63
-        return pd.Series(((table[h.to_numpy() % len(table)] >> at) & 1).all(axis=1))
+        return pd.Series(bloom.may_hold(shared.value, h.to_numpy(), bits.to_numpy()))
 
     return F.pandas_udf(may, "boolean")
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[Rule], listed: DataFrame, id_col: str = "page_id",
                url_col: str = "url", default: str = "allow", on_list: str = "block",
-               filter_bytes: int = MOST_FILTER_BYTES) -> DataFrame:
+               filter_bytes: int = bloom.MOST_BYTES) -> DataFrame:
     """One row for each row of ``pages``: id, host, path, rule, verdict, canonical, listed.
 
     ``listed`` has one column of urls in any form. ``rule`` is the winning
@@ -144,9 +128,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], listed: DataFrame, id_co
     spark = pages.sparkSession
     known = materialize(listed.select(canonical_url(F.col(listed.columns[0])).alias("canonical"))
                         .filter("canonical is not null").distinct(), "listed")
-    n = known.count()
-    blocks = max(1, min(-(-n * BITS_A_KEY // BLOCK_BITS), filter_bytes * 8 // BLOCK_BITS))
-    may, find = _probe(spark, blocked_bloom(known, "canonical", blocks)), _rule_finder(rules)
+    words = bloom.build(known, *_hashes(F.col("canonical")), bloom.blocks_for(known.count(), filter_bytes))
+    may, find = _probe(spark, words), _rule_finder(rules)
     url = F.col(url_col)
     place = F.col("place") + 1
     names = F.array(*[F.lit(r.host + r.path) for r in rules], F.lit(None).cast("string"))

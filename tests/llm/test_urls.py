@@ -5,7 +5,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from stockflow.llm import urls
+from stockflow.llm import bloom, urls
 from stockflow.llm.urls import Rule, judge_urls
 
 RULES = [Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"),
@@ -75,15 +75,15 @@ def test_full_filter_stays_exact(spark):
 
 
 def test_filter_refuses_most_and_never_a_listed_url(spark):
-    n, blocks = 4000, 4000 * urls.BITS_A_KEY // urls.BLOCK_BITS
+    n, blocks = 4000, bloom.blocks_for(4000)
     known = spark.range(n).select(F.concat(F.lit("a.net/"), "id").alias("c"))
-    words = urls.blocked_bloom(known, "c", blocks)
-    assert words.shape == (blocks, urls.WORDS)
+    words = bloom.build(known, *urls._hashes(F.col("c")), blocks)
+    assert words.shape == (blocks, bloom.WORDS)
     may = urls._probe(spark, words)
     probe = lambda df: df.select(may(*urls._hashes(F.col("c"))).alias("m")).filter("m").count()
     assert probe(known) == n
     assert probe(spark.range(20_000).select(F.concat(F.lit("b.net/"), "id").alias("c"))) < 20_000 * 0.02
-    assert np.bitwise_count(words.view(np.uint64)).sum() <= n * urls.WORDS
+    assert np.bitwise_count(words.view(np.uint64)).sum() <= n * bloom.WORDS
 
 
 def test_rules_tie_and_bound(spark):

@@ -34,6 +34,7 @@ row. Extra columns are ignored. Very long texts are parsed whole.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -51,56 +52,94 @@ from stockflow.llm import bloom
 from stockflow.llm.common import join_hot_key, materialize
 
 PERIOD, LONGEST, SALTS = 16, 512, 1000
-#: Distinct chunks, and words of the dictionary, that a task holds before it counts and passes them on.
+#: Distinct chunks and words that a task holds before it passes them on, and
+#: words of the dictionary that it counts at a time.
 FLUSH_CHUNKS, FLUSH_WORDS = 100_000, 1_000_000
-BREAK = "\n"
+BREAK = b"\n"
 _SPLIT = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
+_SPACES = re.compile(b"  +")
+CHUNK, WORD = 0, 1
+Batches = Iterator[pa.RecordBatch]
 
 
-def tokens_of(text: str | None) -> list[str]:
-    """The words in lower case in order, with a BREAK for each separator of pieces."""
-    plain = (text or "").encode("utf-8", "surrogatepass").translate(_SPLIT).replace(b"\n", b" \n ")
-    return [t for t in plain.decode("utf-8", "surrogatepass").split(" ") if t]
+def normal(text: bytes | None) -> bytes:
+    """The words in lower case in order, and a BREAK for each separator of pieces, between single spaces."""
+    return _SPACES.sub(b" ", (text or b"").translate(_SPLIT).replace(BREAK, b" \n ")).strip(b" ")
 
 
-def chunks_of(tokens: list[str], hashes: np.ndarray, window: int, period: int = PERIOD, longest: int = LONGEST) -> Iterator[list[str]]:
-    """The overlapping chunks of one text; ``hashes`` has one 32-bit number for each token."""
-    if not tokens:
-        return
-    n = len(tokens)
-    mixed = np.zeros(max(n - window + 1, 0), np.uint64)
+def own_parts(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int, period: int,
+              longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each chunk's own part begins and ends, and its text. ``hashes`` has a
+    32-bit number for each token; text k has the tokens from ``starts[k]`` to
+    ``ends[k]`` (at least one)."""
+    mixed = np.zeros(max(len(hashes) - window + 1, 0), np.uint64)
     for k in range(window):
         mixed = (mixed + hashes[k:k + len(mixed)].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
     at = np.flatnonzero((mixed >> np.uint64(33)) % np.uint64(period) == 0)
-    padded = tokens + [BREAK] * window
-    start = 0
-    for cut in [*at[at > 0].tolist(), n]:
-        while start < cut:
-            end = min(cut, start + longest)
-            yield padded[start:end + window]
-            start = end
+    text = np.searchsorted(starts, at, "right") - 1
+    at = at[(at > starts[text]) & (at + window <= ends[text])]
+    begin = np.sort(np.concatenate([starts, at]))
+    text = np.searchsorted(starts, begin, "right") - 1
+    end = np.minimum(np.append(begin[1:], len(hashes)), ends[text])
+    parts = -(-(end - begin) // longest)  # a part without trigger for long is cut all the same
+    which = np.repeat(np.arange(len(begin)), parts)
+    first = begin[which] + longest * (np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts))
+    return first, np.minimum(first + longest, end[which]), text[which]
+
+
+def _coded(tokens: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    found = tokens.dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), found.dictionary
+
+
+def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place of each distinct key and the sum of its weights."""
+    group, distinct = pd.factorize(keys)
+    first, total = np.empty(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+    first[group[::-1]] = np.arange(len(keys))[::-1]
+    np.add.at(total, group, weights)
+    return first, total
 
 
 def _parser(window: int, period: int, longest: int):
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    pad = b" ".join([BREAK] * window)
+
+    def parse(batches: Batches) -> Batches:
         found: Counter = Counter()
 
-        def out() -> pd.DataFrame:
-            f = pd.DataFrame([(lang, chunk, k) for (lang, chunk), k in found.items()], columns=["lang", "chunk", "times"])
+        def out() -> pa.RecordBatch:
+            keys = list(found)
+            rows = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()),
+                    pa.array([k[2] for k in keys], pa.string()), pa.array(list(found.values()), pa.int64())]
             found.clear()
-            return f
+            return pa.RecordBatch.from_arrays(rows, names=["lang", "kind", "body", "times"])
 
         for b in batches:
-            known: dict[str, int] = {}
-            for lang, text in zip(b["lang"], b["text"]):
-                tokens = tokens_of(text)
-                for t in set(tokens).difference(known):
-                    known[t] = zlib.crc32(t.encode("utf-8", "surrogatepass"))
-                hashes = np.fromiter(map(known.__getitem__, tokens), np.uint32, len(tokens))
-                for c in chunks_of(tokens, hashes, window, period, longest):
-                    found[lang, " ".join(c)] += 1
-                    if len(found) >= FLUSH_CHUNKS:
-                        yield out()
+            texts = [normal(t) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            langs = [lang for lang, t in zip(b.column("lang").to_pylist(), texts) if t]
+            texts = [t for t in texts if t]
+            if not texts:
+                continue
+            data = b" ".join([t + b" " + pad for t in texts])
+            sizes = np.array([t.count(b" ") + 1 for t in texts])
+            starts = np.cumsum(sizes + window) - sizes - window
+            codes, words = _coded(pc.split_pattern(pa.array([data], pa.binary()), b" ").flatten())
+            names = words.to_pylist()
+            hashes = np.fromiter(map(zlib.crc32, names), np.uint32, len(names))[codes]
+            offsets = np.append(0, np.cumsum(pc.binary_length(words).to_numpy()[codes] + 1)).tolist()
+            first, end, text = own_parts(hashes, starts, starts + sizes, window, period, longest)
+            for i, j, k in zip(first.tolist(), end.tolist(), text.tolist()):
+                found[langs[k], CHUNK, data[offsets[i]:offsets[j + window] - 1]] += 1
+                if len(found) >= FLUSH_CHUNKS:
+                    yield out()
+            lang, spoken = _coded(pa.array(langs, pa.string()))
+            own = np.repeat(lang, sizes + window) * len(names) + codes
+            own = own[np.array([w != BREAK for w in names])[codes]]
+            at, total = _summed(own, np.ones(len(own), np.int64))
+            for k, n in zip(own[at].tolist(), total.tolist()):
+                found[spoken[k // len(names)].as_py(), WORD, names[k % len(names)]] += n
+            if len(found) >= FLUSH_CHUNKS:
+                yield out()
         yield out()
 
     return parse
@@ -108,10 +147,16 @@ def _parser(window: int, period: int, longest: int):
 
 def dictionary(docs: DataFrame, window: int, text_col: str = "text", lang_col: str = "lang",
                period: int = PERIOD, longest: int = LONGEST) -> DataFrame:
-    """(lang, chunk, times): the distinct chunks of every text; tokens are joined by single spaces."""
+    """(lang, kind, body, times): the distinct chunks of all texts (tokens between
+    single spaces), and the distinct words of their own parts."""
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return (rows.mapInPandas(_parser(window, period, longest), "lang string, chunk string, times long")
-            .groupBy("lang", "chunk").agg(F.sum("times").alias("times")))
+    return _totals(rows.mapInArrow(_parser(window, period, longest), "lang string, kind int, body string, times long"),
+                   ["lang", "kind", "body"], "times")
+
+
+def _totals(rows: DataFrame, key: list[str], out: str) -> DataFrame:
+    """Sums of rows that are already sums of a task's share: summing again before the shuffle would save nothing."""
+    return rows.repartition(*key).groupBy(*key).agg(F.sum("times").alias(out))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -119,9 +164,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _word_hashes(lang: str, words: list[str]) -> np.ndarray:
-    of, seed = xxhash.xxh64_intdigest, zlib.crc32(lang.encode("utf-8", "surrogatepass"))
-    return np.fromiter((of(w, seed) for w in words), np.uint64, len(words))
+def _hashes(words: list[bytes | str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def _extended(h: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -129,79 +173,70 @@ def _extended(h: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _mix(h * np.uint64(0xD6E8FEB86659FD93) + word)
 
 
-def _grams(lang: str, chunks: list[str], times: list[int], window: int, size: int, frequent: np.ndarray | None) -> pa.RecordBatch:
-    """Weighted counts of the n-grams of one size that distinct chunks of one
-    language own and whose ends may be frequent. Size 1 also counts all words,
-    as the phrase ''."""
-    split = [c.split(" ") for c in chunks]
-    sizes = np.fromiter(map(len, split), np.int64, len(split))
-    codes, words = pd.factorize(np.array([t for s in split for t in s], object))
-    word, n = (words != BREAK)[codes], len(codes)
+def _grams(langs: pa.Array, chunks: pa.Array, times: np.ndarray, window: int, size: int, frequent: np.ndarray) -> pa.RecordBatch:
+    """Weighted counts of the n-grams of one size that distinct chunks own and whose ends may be frequent."""
+    split = pc.split_pattern(chunks.cast(pa.binary()), " ")
+    sizes = np.diff(split.offsets.to_numpy())
+    codes, words = _coded(split.flatten())
+    names, n = words.to_pylist(), len(codes)
+    lang, spoken = _coded(langs)
+    word = np.array([w != BREAK for w in names])[codes]
     good = word & (np.arange(n) < np.repeat(np.cumsum(sizes), sizes) - window)  # own starts
+    by_word = _mix(_hashes(names)[codes] ^ np.repeat(_hashes(spoken.to_pylist())[lang], sizes))
+    h = by_word
     for k in range(1, size):  # an own start plus the window stays inside its chunk
         good[:n - k] &= word[k:]
-    if size > 1:
-        by_word = _word_hashes(lang, words.tolist())[codes]
-        h = by_word
-        for k in range(1, size - 1):
-            h = _extended(h[:-1], by_word[k:])
-        may = _may_hold(frequent, h)
-        good[:len(may) - 1] &= may[:-1] & may[1:]
+        h = h if k == size - 1 else _extended(h[:-1], by_word[k:])
+    may = bloom.may_hold(frequent, *_places(h))
+    good[:len(may) - 1] &= may[:-1] & may[1:]
     at = np.flatnonzero(good)
-    weight = np.repeat(np.array(times, np.int64), sizes)[at]
-    rank = codes[at].astype(np.int64)
-    for k in range(1, size):
-        rank = np.unique(rank, return_inverse=True)[1] * len(words) + codes[at + k]
-    _, first, inverse = np.unique(rank, return_index=True, return_inverse=True)
-    total = np.zeros(len(first), np.int64)
-    np.add.at(total, inverse, weight)
-    names, starts = pa.array(words.tolist(), pa.string()), at[first]
-    phrase = pc.binary_join_element_wise(*(names.take(pa.array(codes[starts + k])) for k in range(size)), " ")
-    if size == 1:
-        phrase, total = pa.concat_arrays([phrase, pa.array([""])]), np.append(total, weight.sum())
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(total), pa.string()), phrase, pa.array(total)],
+    rank = np.repeat(lang, sizes)[at]
+    for k in range(size):
+        rank = pd.factorize(rank)[0] * len(names) + codes[at + k]
+    first, total = _summed(rank, np.repeat(times, sizes)[at])
+    starts = at[first]
+    phrase = pc.binary_join_element_wise(*(words.take(pa.array(codes[starts + k])) for k in range(size)), b" ").cast(pa.string())
+    return pa.RecordBatch.from_arrays([spoken.take(pa.array(np.repeat(lang, sizes)[starts])), phrase, pa.array(total)],
                                       names=["lang", "phrase", "times"])
 
 
-def _may_hold(table: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return bloom.may_hold(table, (h >> np.uint64(1)).astype(np.int64), _mix(h).astype(np.int64))
+def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (h >> np.uint64(1)).astype(np.int64), _mix(h).astype(np.int64)
 
 
 def _counter(window: int, size: int, frequent):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[list[str], list[int]]] = {}
-        words, table = 0, frequent and frequent.value
+    def count(batches: Batches) -> Batches:
+        held, words = [], 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for lang, (chunks, times) in held.items():
-                yield _grams(lang, chunks, times, window, size, table)
+        def grams() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
             held.clear()
+            lang, body, times = (t.column(c).chunk(0) for c in ("lang", "body", "times"))
+            return _grams(lang, body, times.to_numpy(), window, size, frequent.value)
 
         for b in batches:
-            for lang, chunk, times in zip(b.column("lang").to_pylist(), b.column("chunk").to_pylist(), b.column("times").to_pylist()):
-                own = held.setdefault(lang, ([], []))
-                own[0].append(chunk)
-                own[1].append(times)
-                words += chunk.count(" ") + 1
-                if words >= FLUSH_WORDS:
-                    yield from flush()
-                    words = 0
-        yield from flush()
+            if b.num_rows:
+                held.append(b)
+                words += pc.sum(pc.count_substring(b.column("body"), " ")).as_py() + b.num_rows
+            if words >= FLUSH_WORDS:
+                yield grams()
+                words = 0
+        if held:
+            yield grams()
 
     return count
 
 
-def _phrase_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _phrase_hashes(batches: Batches) -> Batches:
     for b in batches:
-        lang, phrases = b.column("lang").to_pylist(), [p.split(" ") for p in b.column("phrase").to_pylist()]
-        h = np.zeros(len(phrases), np.uint64)
-        for i, (own, words) in enumerate(zip(lang, phrases)):
-            by_word = _word_hashes(own, words)
+        spoken = _hashes(b.column("lang").to_pylist())
+        h = np.zeros(b.num_rows, np.uint64)
+        for i, phrase in enumerate(b.column("phrase").to_pylist()):
+            by_word = _mix(_hashes(phrase.split(" ")) ^ spoken[i])
             h[i:i + 1] = by_word[:1]
-            for k in range(1, len(words)):
+            for k in range(1, len(by_word)):
                 h[i:i + 1] = _extended(h[i:i + 1], by_word[k:k + 1])
-        yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(1)).astype(np.int64)), pa.array(_mix(h).astype(np.int64))],
-                                         names=["place", "bits"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _places(h)], names=["place", "bits"])
 
 
 def frequent_filter(counts: DataFrame):
@@ -211,19 +246,18 @@ def frequent_filter(counts: DataFrame):
     return counts.sparkSession.sparkContext.broadcast(table)
 
 
-def frequent_ngrams(chunks: DataFrame, window: int, least: int) -> DataFrame:
+def frequent_ngrams(parsed: DataFrame, window: int, least: int) -> DataFrame:
     """(lang, size, phrase, f) of all n-grams up to ``window + 1`` words that
     occur ``least`` times; size 0, phrase '', counts all words of a language."""
-    levels, frequent = [], None
-    for size in range(1, window + 2):
-        level = materialize(
-            chunks.mapInArrow(_counter(window, size, frequent), "lang string, phrase string, times long")
-            .groupBy("lang", "phrase").agg(F.sum("times").alias("f"))
-            .filter((F.col("f") >= least) | (F.col("phrase") == ""))
-            .select("lang", F.when(F.col("phrase") == "", 0).otherwise(size).alias("size"), "phrase", "f"), f"level_{size}")
+    words, chunks = parsed.filter(F.col("kind") == WORD), parsed.filter(F.col("kind") == CHUNK).drop("kind")
+    total = words.groupBy("lang").agg(F.sum("times").alias("f")).select("lang", F.lit(0).alias("size"), F.lit("").alias("phrase"), "f")
+    level = words.filter(F.col("times") >= least).select("lang", F.lit(1).alias("size"), F.col("body").alias("phrase"), F.col("times").alias("f"))
+    levels = [total, level]
+    for size in range(2, window + 2):
+        counted = chunks.mapInArrow(_counter(window, size, frequent_filter(level)), "lang string, phrase string, times long")
+        level = materialize(_totals(counted, ["lang", "phrase"], "f").filter(F.col("f") >= least)
+                            .select("lang", F.lit(size).alias("size"), "phrase", "f"), f"level_{size}")
         levels.append(level)
-        if size <= window:
-            frequent = frequent_filter(level.filter("size > 0"))
     return reduce(DataFrame.unionByName, levels)
 
 

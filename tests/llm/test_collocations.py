@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -85,17 +86,27 @@ def test_copies_meet_in_the_dictionary(spark):
     body = " ".join(f"w{k * k % 997}" for k in range(3000))
     rows = [("en", f"start{k} " * (k % 5 + 1) + body) for k in range(50)]
     chunks = C.dictionary(frame(spark, rows), 2)
-    assert chunks.count() < 3000 / C.PERIOD * 2 + 50 * 3
+    assert chunks.filter(f"kind = {C.CHUNK}").count() < 3000 / C.PERIOD * 2 + 50 * 3
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="ab A.,\n\t\x0bü", max_size=200), st.integers(1, 4), st.integers(1, 6), st.integers(1, 9))
-def test_each_start_is_owned_once(text, window, period, longest):
-    tokens = C.tokens_of(text)
-    hashes = np.array([zlib.crc32(t.encode()) for t in tokens], np.uint32)
-    chunks = list(C.chunks_of(tokens, hashes, window, period, longest))
-    assert [t for c in chunks for t in c[:-window]] == tokens
-    padded, at = tokens + [C.BREAK] * window, 0
-    for c in chunks:
-        assert padded[at:at + len(c)] == c
-        at += len(c) - window
+@given(st.lists(st.text(alphabet="ab A.,\n\t\x0bü", max_size=60), min_size=1, max_size=4), st.integers(1, 4), st.integers(1, 6), st.integers(1, 9))
+def test_each_start_is_owned_once(texts, window, period, longest):
+    """The own parts of all chunks are the texts, and each chunk goes on by the next tokens, breaks at the end."""
+    batch = pa.RecordBatch.from_arrays([pa.array(["l"] * len(texts)), pa.array(texts)], names=["lang", "text"])
+    tokens = [[t for t in C.normal(x.encode()).split(b" ") if t] for x in texts]
+    full = [t for t in tokens if t]
+    flat = [t for x in full for t in x + [C.BREAK] * window]
+    if full:
+        sizes = np.array([len(t) for t in full])
+        starts = np.cumsum(sizes + window) - sizes - window
+        hashes = np.array([zlib.crc32(t) for t in flat], np.uint32)
+        first, end, text = C.own_parts(hashes, starts, starts + sizes, window, period, longest)
+        assert [[t for i, j, k in zip(first, end, text) if k == n for t in flat[i:j]] for n in range(len(full))] == full
+        chunks = Counter(b" ".join(flat[i:j + window]).decode() for i, j in zip(first, end))
+    else:
+        chunks = Counter()
+    rows = [r for b in C._parser(window, period, longest)([batch]) for r in b.to_pylist()]
+    assert {r["body"]: r["times"] for r in rows if r["kind"] == C.CHUNK} == chunks
+    assert ({r["body"]: r["times"] for r in rows if r["kind"] == C.WORD}
+            == Counter(t.decode() for x in full for t in x if t != C.BREAK))

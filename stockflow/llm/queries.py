@@ -128,6 +128,36 @@ SELECT page_id, host, path, rule, canonical, CASE WHEN rule IS NULL THEN found E
 FROM ruled"""
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 12 over all conversations, rebuilt by hundreds."""
+    from stockflow.llm.trie import conversation_trie
+    _arrow(spark)
+    return conversation_trie(_read(spark, sf_dir, "conversations")).drop("node")
+
+
+TRIE_SQL = """
+WITH own AS (SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')}
+                                       ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS ts
+             FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+heads AS (SELECT c, ts, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+              lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, (x & 1) * 3988292384))),
+              4294967295) % 6 AS h FROM own),
+rebuilt AS (SELECT o.c, coalesce(b.ts[1:o.h], []) || o.ts[o.h + 1:] AS s FROM heads o LEFT JOIN own b ON b.c = o.c - o.c % 100),
+walk AS (SELECT c, s, len(s) AS n, unnest(range(0, len(s) + 1)) AS d FROM rebuilt),
+at_ AS (SELECT c, n, d, sha256(to_json(s[1:d])::VARCHAR) AS node, coalesce(length(s[d].t), 0) AS chars FROM walk),
+nodes AS (SELECT node, d, min(c) AS c, count(*) AS n_convs, (count(*) - 1) * min(chars) AS spared FROM at_ GROUP BY node, d),
+links AS (SELECT DISTINCT a.node AS parent, b.node FROM at_ a JOIN at_ b ON a.c = b.c AND b.d = a.d + 1),
+kids AS (SELECT parent, count(*) AS k FROM links GROUP BY parent),
+under AS (SELECT DISTINCT a.node AS top, b.node FROM at_ a JOIN at_ b ON a.c = b.c AND b.d >= a.d),
+sub AS (SELECT top, sum(spared)::BIGINT AS saved, count(*) FILTER (kids.k IS NULL) AS leaves
+        FROM under JOIN nodes USING (node) LEFT JOIN kids ON kids.parent = under.node GROUP BY top),
+ends AS (SELECT node, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM at_ WHERE d = n GROUP BY node)
+SELECT nodes.c AS conv_id, nodes.d AS depth, p.c AS parent_conv_id, nodes.n_convs, coalesce(kids.k, 0) AS n_children,
+       sub.leaves AS n_leaves, sub.saved AS saved_tokens, sha256(coalesce(ends.ids, '')) AS ends_sha256
+FROM nodes JOIN sub ON sub.top = nodes.node LEFT JOIN kids ON kids.parent = nodes.node LEFT JOIN ends ON ends.node = nodes.node
+LEFT JOIN links ON links.node = nodes.node LEFT JOIN nodes p ON p.node = links.parent"""
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 13 over all documents: the best 2,000 phrases of two or three words of each language."""
     from stockflow.llm.collocations import collocations
@@ -180,5 +210,6 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_vptree_neighbours": (op8_vptree_neighbours, None),
     "op9_byte_convnet": (op9_byte_convnet, None),
     "op11_url_filter": (op11_url_filter, _url_sql()),
+    "op12_prefix_trie": (op12_prefix_trie, TRIE_SQL),
     "op13_collocations": (op13_collocations, COLLOCATION_SQL),
 }

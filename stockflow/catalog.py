@@ -91,7 +91,7 @@ def q_stock_qty_lookup(spark, d):
 
 
 @register("po_lines", W("w_pod", "w_item") + """
-SELECT d.po_id, d.item_id, i.name AS item_name, d.quantity, d.price,
+SELECT d.po_detail_id, d.po_id, d.item_id, i.name AS item_name, d.quantity, d.price,
        CAST(d.quantity * d.price AS DECIMAL(33,2)) AS line_total
 FROM w_pod d JOIN w_item i ON d.item_id = i.item_id""")
 def q_po_lines(spark, d):
@@ -100,7 +100,7 @@ def q_po_lines(spark, d):
 
 
 @register("so_lines", W("w_sod", "w_item") + """
-SELECT d.so_id, d.item_id, i.name AS item_name, d.quantity, d.price
+SELECT d.so_detail_id, d.so_id, d.item_id, i.name AS item_name, d.quantity, d.price
 FROM w_sod d JOIN w_item i ON d.item_id = i.item_id""")
 def q_so_lines(spark, d):
     t = T(spark, d)
@@ -449,8 +449,17 @@ from stockflow.operators import alerts as alerts_op  # noqa: E402
 NEW_ALERT_ID_OFFSET = 1_000_000_000
 
 
-def _alert_sim(initial_sql: str) -> list[tuple[str, str]]:
-    """DuckDB oracle: the stock trigger simulated observation by observation."""
+_FOLD_OBS = f"""SELECT m.warehouse_id, m.item_id, f.balance AS q, i.reorder_level AS lvl, m.logged_at AS ts,
+                           m.log_id + {NEW_ALERT_ID_OFFSET} AS nid,
+                           row_number() OVER (PARTITION BY m.warehouse_id, m.item_id ORDER BY m.logged_at, m.log_id) AS orn
+                    FROM cm m JOIN cf f ON f.warehouse_id = m.warehouse_id AND f.item_id = m.item_id AND f.rn = m.rn
+                    JOIN w_item i ON i.item_id = m.item_id
+                    WHERE f.accepted"""
+
+
+def _alert_sim(initial_sql: str, before: list | None = None, obs: str = _FOLD_OBS) -> list[tuple[str, str]]:
+    """DuckDB oracle: the stock trigger simulated observation by observation. ``obs`` lists the
+    observations, by default those of the clipped ledger; ``before`` are the tables it reads."""
     slot = ("{{'alert_id': {i}, 'current_quantity': {q}, 'reorder_level': {l}, "
             "'expected_quantity': {e}, 'alert_date': {d}}}")
     o_newer = ("(s.o IS NOT NULL AND (s.a IS NULL OR s.o.alert_date > s.a.alert_date OR "
@@ -480,13 +489,8 @@ def _alert_sim(initial_sql: str) -> list[tuple[str, str]]:
              ELSE s.r END
       FROM st s JOIN obs m ON m.warehouse_id = s.warehouse_id AND m.item_id = s.item_id AND m.orn = s.rn + 1"""
     return [
-        _SIGNED, *_clip("w_log_signed"),
-        ("obs", f"""SELECT m.warehouse_id, m.item_id, f.balance AS q, i.reorder_level AS lvl, m.logged_at AS ts,
-                           m.log_id + {NEW_ALERT_ID_OFFSET} AS nid,
-                           row_number() OVER (PARTITION BY m.warehouse_id, m.item_id ORDER BY m.logged_at, m.log_id) AS orn
-                    FROM cm m JOIN cf f ON f.warehouse_id = m.warehouse_id AND f.item_id = m.item_id AND f.rn = m.rn
-                    JOIN w_item i ON i.item_id = m.item_id
-                    WHERE f.accepted"""),
+        *([_SIGNED, *_clip("w_log_signed")] if before is None else before),
+        ("obs", obs),
         ("a0", initial_sql),
         ("k0", "SELECT warehouse_id, item_id FROM obs UNION SELECT warehouse_id, item_id FROM a0"),
         ("st(warehouse_id, item_id, rn, o, a, r)", step),
@@ -582,24 +586,70 @@ def q_receive_headers(spark, d):
     return r["po"].select("po_id", "status", "total_amount")
 
 
-@register("ship_result", None)
+# One step for each order and warehouse: ``free`` is the stock left of the keys on which open orders compete.
+_SHIP_STEPS = """,
+gate AS (SELECT h.so_id, h.warehouse_id,
+                CASE WHEN h.status NOT IN ('NEW', 'CONFIRMED') THEN 'BAD_STATUS:' || h.status
+                     WHEN NOT EXISTS (SELECT 1 FROM w_sod d WHERE d.so_id = h.so_id) THEN 'NO_LINES' END AS reason
+         FROM w_so h),
+asked AS (SELECT g.so_id, g.warehouse_id, d.item_id, sum(d.quantity) AS q, coalesce(min(s.quantity), 0) AS free
+          FROM gate g JOIN w_sod d USING (so_id) LEFT JOIN w_stock s ON s.warehouse_id = g.warehouse_id AND s.item_id = d.item_id
+          WHERE g.reason IS NULL GROUP BY ALL),
+hopeless AS (SELECT DISTINCT so_id FROM asked WHERE q > free),
+open_ AS (SELECT * FROM asked WHERE so_id NOT IN (SELECT so_id FROM hopeless)),
+slot AS (SELECT warehouse_id, item_id, min(free) AS free, row_number() OVER (PARTITION BY warehouse_id ORDER BY item_id) AS i
+         FROM open_ GROUP BY warehouse_id, item_id HAVING sum(q) > min(free)),
+step AS (SELECT o.warehouse_id, o.so_id, list(i) FILTER (i IS NOT NULL) AS at_, list(q) FILTER (i IS NOT NULL) AS q,
+                row_number() OVER (PARTITION BY o.warehouse_id ORDER BY o.so_id) AS n
+         FROM open_ o LEFT JOIN slot s ON s.warehouse_id = o.warehouse_id AND s.item_id = o.item_id GROUP BY o.warehouse_id, o.so_id),
+walk AS (SELECT warehouse_id, 0::BIGINT AS n, NULL::BIGINT AS so_id, NULL::BOOLEAN AS shipped,
+                coalesce((SELECT list(free ORDER BY i) FROM slot s WHERE s.warehouse_id = w.warehouse_id), []) AS free
+         FROM (SELECT DISTINCT warehouse_id FROM step) w
+         UNION ALL
+         SELECT w.warehouse_id, s.n, s.so_id, fits,
+                CASE WHEN fits THEN list_transform(w.free, lambda x, i: x - coalesce(s.q[list_position(s.at_, i)], 0)) ELSE w.free END
+         FROM walk w JOIN step s ON s.warehouse_id = w.warehouse_id AND s.n = w.n + 1,
+              LATERAL (SELECT coalesce(list_bool_and(list_transform(s.at_, lambda a, k: w.free[a] >= s.q[k])), true) AS fits) f),
+decided AS (SELECT so_id, shipped, CASE WHEN NOT shipped THEN 'INSUFFICIENT_STOCK' END AS reason FROM walk WHERE n > 0
+            UNION ALL SELECT so_id, false, 'INSUFFICIENT_STOCK' FROM hopeless
+            UNION ALL SELECT so_id, false, reason FROM gate WHERE reason IS NOT NULL)"""
+_SHIP_SQL = W("w_so", "w_sod", "w_stock") + _SHIP_STEPS
+AS_OF = "2026-01-01 00:00:00"
+
+
+@register("ship_result", _SHIP_SQL + """
+SELECT so_id, shipped, reason FROM decided""")
 def q_ship_result(spark, d):
     """WF11: every sales order requested; shippable ones ship in so_id order
-    when all their lines are available (no simple SQL: sequential allocation;
-    tested against a brute-force sequential simulation)."""
+    when all their lines are available."""
     t = T(spark, d)
     return orders.ship_sos(t.sales_order, t.sales_order_details, t.stock)["decisions"]
 
 
-@register("ship_stock", None)
+_SHIPPED_STEPS = _SHIP_STEPS + """,
+gone AS (SELECT h.so_id, h.warehouse_id, d.item_id, d.quantity, d.so_detail_id
+         FROM decided x JOIN w_so h ON h.so_id = x.so_id JOIN w_sod d ON d.so_id = x.so_id WHERE x.shipped)"""
+_SHIPPED_SQL = W("w_so", "w_sod", "w_stock") + _SHIPPED_STEPS
+
+
+@register("ship_stock", _SHIPPED_SQL + """
+SELECT s.warehouse_id, s.item_id, CAST(s.quantity - COALESCE(g.q, 0) AS BIGINT) AS quantity
+FROM w_stock s LEFT JOIN (SELECT warehouse_id, item_id, sum(quantity) AS q FROM gone GROUP BY ALL) g
+  ON g.warehouse_id = s.warehouse_id AND g.item_id = s.item_id""")
 def q_ship_stock(spark, d):
     """WF11: stock after shipping every shippable order that fits."""
     t = T(spark, d)
-    r = orders.ship_sos(t.sales_order, t.sales_order_details, t.stock, as_of="2026-01-01 00:00:00")
+    r = orders.ship_sos(t.sales_order, t.sales_order_details, t.stock, as_of=AS_OF)
     return r["stock"].select("warehouse_id", "item_id", "quantity")
 
 
-@register("ship_unchecked", None)
+@register("ship_unchecked", _SHIP_SQL + """
+SELECT so_id, shipped, CASE WHEN reason <> 'INSUFFICIENT_STOCK' THEN reason
+                            WHEN so_id IN (SELECT a.so_id FROM asked a LEFT JOIN w_stock s
+                                             ON s.warehouse_id = a.warehouse_id AND s.item_id = a.item_id
+                                           WHERE s.item_id IS NULL) THEN 'NO_STOCK_ROW'
+                            WHEN reason IS NOT NULL THEN 'NEGATIVE_STOCK' END AS reason
+FROM decided""")
 def q_ship_unchecked(spark, d):
     """WF11 with the availability check off (D-8): orders touching a key with
     no stock row are rejected NO_STOCK_ROW, orders that would drive stock
@@ -1264,3 +1314,6 @@ def q_delete_warehouse_cascade(spark, d):
     parts = [done[n].groupBy("warehouse_id").agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("tbl"), "warehouse_id", "n_rows")
              for n in ("stock", "transaction_log", "reorder_alerts")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+from stockflow import catalog_workflows  # noqa: E402,F401  the queries of later rounds

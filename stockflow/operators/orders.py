@@ -7,16 +7,13 @@ states plus a ``rejected`` frame with a reason, instead of raising.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockflow.functions.scalars import (backfill_contact_expr, collated, map_role,
                                          non_blank, strip, valid_gmail)
 from stockflow.operators import ledger, totals
-from stockflow.plans.checkpoint import cut_lineage, ensure_checkpoint_dir
-from stockflow.plans.scan import running_sums
+from stockflow.operators.allocation import allocate
 from stockflow.sources.sinks import Outputs, append_rows, update_by_key, upsert_stock
 
 KEY = ["warehouse_id", "item_id"]
@@ -28,7 +25,8 @@ def _gate(request: DataFrame, header: DataFrame, detail: DataFrame, key: str,
           allowed: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """Split requested orders into (accepted headers, rejected with reason)."""
     req = request.select(key).distinct()
-    has_lines = detail.select(key).distinct().withColumn("_has_lines", F.lit(True))
+    # only requested orders' lines are shuffled
+    has_lines = detail.select(key).join(req, key, "left_semi").distinct().withColumn("_has_lines", F.lit(True))
     h = (req.join(header.select(key, "warehouse_id", "status"), key, "left")
          .join(has_lines, key, "left"))
     reason = (F.when(F.col("status").isNull(), "NOT_FOUND")
@@ -74,61 +72,6 @@ def _with_ledger(out: Outputs, ledger_log: DataFrame | None, entries: DataFrame,
 
 
 # ---------------------------------------------------------------- ship
-def allocate(lines: DataFrame, stock: DataFrame, fail_reason: str = "INSUFFICIENT_STOCK",
-             stats: dict | None = None) -> DataFrame:
-    """WF11 core: decide, in ``so_id`` order, which orders ship when an order
-    ships only if every line fits the stock left by the orders before it.
-
-    Rounds of skew-safe running sums per (warehouse, item) in so_id order:
-    ``upper`` = stock - shipped by smaller ids, ``lower`` = upper - demand of
-    still-undecided smaller ids. All lines within ``lower`` -> ship; any line
-    above ``upper`` -> reject; otherwise wait for the next round. The smallest
-    undecided order always decides, so the loop ends (no cap needed).
-
-    A round costs only what is undecided: decisions are written out once, each
-    undecided line carries what smaller ids have shipped from its key, and a
-    shipped line takes part only in the one round after it ships. Rounds are
-    written to the shared checkpoint folder.
-    Returns so_id, shipped, reason; ``stats`` gets the undecided lines per round.
-    """
-    spark = lines.sparkSession
-    st = stock.select(*KEY, F.col("quantity").alias("_avail"))
-    done = f"{ensure_checkpoint_dir(spark)}/allocation-{uuid.uuid4().hex}"
-    state = cut_lineage(
-        lines.select("so_id", *KEY, F.col("quantity").cast("long").alias("_q"))
-        .join(st, KEY, "left")
-        .withColumn("_avail", F.coalesce(F.col("_avail"), F.lit(0)).cast("long"))
-        .withColumn("_used", F.lit(0).cast("long")).withColumn("_fresh", F.lit(False)))
-    per_round: list[int] = []
-    while (n := state.where(~F.col("_fresh")).count()):
-        per_round.append(n)
-        undecided = state.where(~F.col("_fresh"))
-        fresh = state.where("_fresh").join(undecided.select(*KEY).distinct(), KEY, "left_semi")
-        x = (undecided.unionByName(fresh.select(*undecided.columns))
-             .withColumn("_s", F.when(F.col("_fresh"), F.col("_q")).otherwise(F.lit(0)).cast("long"))
-             .withColumn("_u", F.when(F.col("_fresh"), F.lit(0)).otherwise(F.col("_q")).cast("long")))
-        x = running_sums(x, KEY, ["so_id"], {"_cs": "_s", "_cu": "_u"}).where(~F.col("_fresh"))
-        x = x.withColumn("_used", F.col("_used") + F.col("_cs"))
-        upper = F.col("_avail") - F.col("_used")
-        lower = upper - (F.col("_cu") - F.col("_u"))
-        per_order = (x.groupBy("so_id")
-                     .agg(F.bool_and(F.col("_q") <= lower).alias("_ship"),
-                          F.bool_or(F.col("_q") > upper).alias("_reject"))
-                     .select("so_id", F.when(F.col("_ship"), "S").when(F.col("_reject"), "R").alias("_new")))
-        x = cut_lineage(x.join(per_order, "so_id"))
-        (x.where(F.col("_new").isNotNull()).groupBy("so_id").agg((F.max("_new") == "S").alias("shipped"))
-         .write.mode("append").parquet(done))
-        state = (x.where(F.col("_new").isNull() | (F.col("_new") == "S"))
-                 .withColumn("_fresh", F.col("_new").isNotNull())
-                 .select("so_id", *KEY, "_q", "_avail", "_used", "_fresh"))
-    if stats is not None:
-        stats.update(rounds=len(per_round), undecided=per_round)
-    kind = lines.schema["so_id"].dataType.simpleString()
-    decided = (spark.read.schema(f"so_id {kind}, shipped boolean").parquet(done) if per_round
-               else spark.createDataFrame([], f"so_id {kind}, shipped boolean"))
-    return decided.select("so_id", "shipped", F.when(~F.col("shipped"), F.lit(fail_reason)).alias("reason"))
-
-
 def ship_sos(so: DataFrame, sod: DataFrame, stock: DataFrame, request: DataFrame | None = None,
              check_stock: bool = True, emp_id: int | None = None,
              as_of: str | None = None, ledger_log: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -236,9 +179,9 @@ def add_master(target: DataFrame, staged: DataFrame, id_col: str, staged_id: str
     checks = [(F.when(~non_blank(F.col(c)), F.lit(f"BLANK_{c.upper()}"))) for c in required]
     s = staged.withColumn("reason", F.coalesce(*checks) if checks else F.lit(None).cast("string"))
     if unique_name:
-        existing = target.select(collated(F.col(unique_name)).alias("_nk")).distinct()
-        s = (s.withColumn("_nk", collated(F.col(unique_name)))
-             .join(existing.withColumn("_dup", F.lit(True)), "_nk", "left")
+        s = s.withColumn("_nk", collated(F.col(unique_name)))
+        existing = target.select(collated(F.col(unique_name)).alias("_nk")).join(s.select("_nk"), "_nk", "left_semi").distinct()
+        s = (s.join(existing.withColumn("_dup", F.lit(True)), "_nk", "left")
              .withColumn("reason", F.coalesce("reason", F.when(F.col("_dup"), F.lit("DUPLICATE_NAME"))))
              .drop("_dup"))
         named = F.col(unique_name).isNotNull()     # a unique key admits any number of nulls
@@ -260,7 +203,7 @@ def create_orders(header: DataFrame, staged: DataFrame, id_col: str, staged_id:
     zero total; staged rows whose foreign keys are missing are rejected."""
     s = staged.withColumn("reason", F.lit(None).cast("string"))
     for col, parent in parents.items():
-        pk = parent.select(F.col(parent.columns[0]).alias(col)).distinct().withColumn("_ok_" + col, F.lit(True))
+        pk = parent.select(F.col(parent.columns[0]).alias(col)).withColumn("_ok_" + col, F.lit(True))  # the declared key
         s = (s.join(pk, col, "left")
              .withColumn("reason", F.coalesce("reason", F.when(F.col("_ok_" + col).isNull(),
                                                                F.lit(f"UNKNOWN_{col.upper()}"))))
@@ -287,8 +230,9 @@ def add_lines(detail: DataFrame, staged: DataFrame, item: DataFrame, order_col:
     if header is None:
         s = s.withColumn("_order", F.lit(True))
     else:
-        s = s.join(header.select(order_col).distinct().withColumn("_order", F.lit(True)), order_col, "left")
-    existing = detail.select(order_col, "item_id").distinct().withColumn("_dup", F.lit(True))
+        s = s.join(header.select(order_col).withColumn("_order", F.lit(True)), order_col, "left")  # the declared key
+    existing = (detail.select(order_col, "item_id").join(staged.select(order_col, "item_id"), [order_col, "item_id"], "left_semi")
+                .distinct().withColumn("_dup", F.lit(True)))
     s = (s.withColumn("price", price).join(existing, [order_col, "item_id"], "left")
          .withColumn("reason", F.when(F.col("_order").isNull(), "UNKNOWN_ORDER")
                      .when(F.col("_known").isNull(), "UNKNOWN_ITEM")
@@ -316,7 +260,7 @@ def update_line_qty(detail: DataFrame, changes: DataFrame, order_col: str,
     counts. Header totals of touched orders are refreshed when a header is
     given."""
     keys = [order_col, "item_id"]
-    known = detail.select(*keys).distinct().withColumn("_known", F.lit(True))
+    known = detail.select(*keys).join(changes.select(*keys), keys, "left_semi").distinct().withColumn("_known", F.lit(True))
     c = changes.join(known, keys, "left").withColumn(
         "reason", F.when(F.col("quantity").isNull() | (F.col("quantity") <= 0), "BAD_QUANTITY")
         .when(F.col("_known").isNull(), "UNKNOWN_LINE"))

@@ -61,6 +61,19 @@ def low_stock_nested(stock: DataFrame, item: DataFrame, warehouse: DataFrame) ->
             .select("warehouse_id", "warehouse_name", "item_id", "item_name", "quantity", "reorder_level"))
 
 
+def low_stock_correlated(stock: DataFrame, item: DataFrame, warehouse: DataFrame) -> DataFrame:
+    """J6 as written: name and level of each stock row's item are correlated
+    scalar subqueries. An item without row gives nulls (and so is not low);
+    an item_id that is repeated is an error when it is met, not more rows."""
+    spark = stock.sparkSession
+    name = "(SELECT i.name FROM {item} i WHERE i.item_id = s.item_id)"
+    level = "(SELECT i.reorder_level FROM {item} i WHERE i.item_id = s.item_id)"
+    return spark.sql(
+        "SELECT s.warehouse_id, (SELECT w.name FROM {warehouse} w WHERE w.warehouse_id = s.warehouse_id) AS warehouse_name, "
+        f"s.item_id, {name} AS item_name, s.quantity, {level} AS reorder_level FROM {{stock}} s WHERE s.quantity < {level}",
+        stock=stock, item=item, warehouse=warehouse)
+
+
 def low_stock(stock: DataFrame, item: DataFrame, warehouse_id: int | None = None) -> DataFrame:
     """WF3: low rows of one (or every) warehouse, largest shortage first."""
     s = stock if warehouse_id is None else stock.where(F.col("warehouse_id") == F.lit(warehouse_id))
@@ -82,18 +95,18 @@ def stock_qty(requests: DataFrame, stock: DataFrame, wh_col: str = "warehouse_id
 
 
 def po_lines(pod: DataFrame, item: DataFrame) -> DataFrame:
-    """WF8: purchase-order lines with item names and line totals."""
-    return (pod.select("po_id", "item_id", "quantity", "price")
+    """WF8: purchase-order lines with their line id, item names and line totals."""
+    return (pod.select("po_detail_id", "po_id", "item_id", "quantity", "price")
             .join(_items(item, "name"), "item_id")
-            .select("po_id", "item_id", "item_name", "quantity", "price",
+            .select("po_detail_id", "po_id", "item_id", "item_name", "quantity", "price",
                     line_total().alias("line_total")))
 
 
 def so_lines(sod: DataFrame, item: DataFrame) -> DataFrame:
-    """WF8: sales-order lines with item names (no total column)."""
-    return (sod.select("so_id", "item_id", "quantity", "price")
+    """WF8: sales-order lines with their line id and item names (no total column)."""
+    return (sod.select("so_detail_id", "so_id", "item_id", "quantity", "price")
             .join(_items(item, "name"), "item_id")
-            .select("so_id", "item_id", "item_name", "quantity", "price"))
+            .select("so_detail_id", "so_id", "item_id", "item_name", "quantity", "price"))
 
 
 def receivable(po: DataFrame) -> DataFrame:

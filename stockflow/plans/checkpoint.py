@@ -9,6 +9,7 @@ checkpoint folder, so a lost executor never loses a materialised round.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,3 +60,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             "spark.checkpoint.dir is not set; configure a shared folder for iterative operators")
     ensure_checkpoint_dir(spark)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back.
+
+    Cuts lineage as a checkpoint does, but the rows come back with their
+    measured size. A checkpoint keeps its plan's estimate, and estimates
+    multiply with every join, so loops that join their own results use this.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -13,11 +13,13 @@ from stockflow.schemas import SCHEMAS
 
 def load_table(spark: SparkSession, source: str, name: str, fmt: str = "parquet",
                options: dict | None = None, columns: list[str] | None = None,
-               where: str | Column | None = None) -> DataFrame:
+               where: str | Column | None = None, args: dict | None = None) -> DataFrame:
     """SRC1: read one inventory table with its declared schema.
 
     ``fmt`` is any Spark source (parquet, orc, csv, json, jdbc). ``columns``
-    and ``where`` (a predicate) reach the scan. For JDBC, ``options`` should
+    and ``where`` (a predicate) reach the scan. Values typed by users go in
+    ``args``, by the names of the ``:name`` markers in ``where``; they are
+    bound as literals, so nothing in them is read as SQL. For JDBC, ``options`` should
     carry ``partitionColumn``/``lowerBound``/``upperBound``/``numPartitions``
     so the read is split across executors; its columns are cast to the
     declared types, and a declared column that is missing is an error.
@@ -31,16 +33,24 @@ def load_table(spark: SparkSession, source: str, name: str, fmt: str = "parquet"
         reader = spark.read.schema(schema).options(**(options or {}))
         whole = fmt == "parquet" and source.endswith(".parquet")
         df = reader.format(fmt).load(source if whole else f"{source.rstrip('/')}/{name}")
-    if where is not None:
+    if args:
+        df = sql_view(spark, {}, "SELECT * FROM {_source} WHERE " + where.replace("{", "{{").replace("}", "}}"), args, _source=df)
+    elif where is not None:
         df = df.where(where)
     return df.select(*columns) if columns else df
 
 
-def sql_view(spark: SparkSession, tables: dict[str, DataFrame], query: str) -> DataFrame:
-    """SRC4: run a read-only SELECT over the given tables as temp views."""
+def sql_view(spark: SparkSession, tables: dict[str, DataFrame], query: str, args: dict | list | None = None,
+             **frames: DataFrame) -> DataFrame:
+    """SRC4: run a read-only SELECT over the given tables as temp views.
+
+    ``args`` binds parameter markers (``:name`` from a dict, ``?`` from a list)
+    to literals: a value is never parsed as SQL, and Catalyst pushes the
+    filter to the scan as it would a constant. ``frames`` are DataFrames
+    named in braces in the query, without a view."""
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
-    return spark.sql(query)
+    return spark.sql(query, args=args, **frames) if args or frames else spark.sql(query)
 
 
 # The reference's seed rows (four per table), ids 1-4 in insert

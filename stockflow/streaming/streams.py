@@ -5,10 +5,11 @@
   one row per key.
 * ``dedupe_movements``: watermark + ``dropDuplicatesWithinWatermark`` so a
   replayed receipt or shipment is applied once.
-* ``SnapshotSink``: ``foreachBatch`` sink that merges each micro-batch into a
-  versioned snapshot folder ``v=<epoch>``. Writing a version is idempotent
-  (overwrite of the same epoch folder), so a retried batch is harmless, and
-  readers always see a whole version.
+* ``SnapshotSink``: ``foreachBatch`` sink whose state lies in buckets of keys.
+  A micro-batch rewrites the buckets that hold its keys, copy on write, and then
+  publishes a manifest that names the version of every bucket. Both are
+  idempotent, so a retried batch is harmless, and readers always see a whole
+  version.
 * ``InventoryPipeline``: live stock *and* alerts. Each micro-batch runs the
   batch operators (clipped fold, observations, alert maintenance) on the
   previous snapshots -- the same skew-safe plans as batch, so one hot key is
@@ -19,6 +20,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 
@@ -80,6 +82,31 @@ def stream_monthly(lines: DataFrame, date_col: str, out: str) -> DataFrame:
             .agg(F.sum(line_total()).cast("decimal(38,2)").alias(out)))
 
 
+def signed_lines(changes: DataFrame) -> DataFrame:
+    """ST3: changes of order lines as signed lines. A change has ``before`` and
+    ``after`` (structs of the line's columns): an insert has no before, a
+    delete no after, an update both. What was there is retracted: it comes
+    back with its quantity negated, so sums over the result follow every change
+    whatever order the changes come in."""
+    fields = [f.name for f in changes.schema["after"].dataType.fields]
+    old = F.struct(*[(-F.col("before.quantity") if c == "quantity" else F.col("before." + c)).alias(c) for c in fields])
+    signed = F.array(F.when(F.col("before").isNotNull(), old), F.when(F.col("after").isNotNull(), F.col("after")))
+    return changes.select(F.explode(F.array_compact(signed)).alias("_l")).select(*[F.col("_l." + c).alias(c) for c in fields])
+
+
+def stream_pnl(purchases: DataFrame, sales: DataFrame, date_col: str) -> DataFrame:
+    """ST6: running purchases, sales and profit or loss by month from two
+    streams of order lines, in one stateful aggregate (no join of streams, so
+    a month that has only one kind is there from its first line)."""
+    money, zero = "decimal(38,2)", F.lit(0).cast("decimal(38,2)")
+    both = (purchases.select(date_col, line_total().cast(money).alias("_p"), zero.alias("_s"))
+            .unionByName(sales.select(date_col, zero.alias("_p"), line_total().cast(money).alias("_s"))))
+    t = both.groupBy(month_key(date_col).alias("month")).agg(F.sum("_p").cast(money).alias("total_purchases"),
+                                                             F.sum("_s").cast(money).alias("total_sales"))
+    return t.select("month", "total_purchases", "total_sales", zero.alias("salaries"),
+                    (F.col("total_sales") - F.col("total_purchases")).cast(money).alias("profit_loss"))
+
+
 def movement_identity() -> "F.Column":
     """What makes two ledger rows the same movement: an order line for
     receipts/shipments (ref_type, ref_id, item_id) -- a re-sent receipt gets a
@@ -118,39 +145,140 @@ def committed_versions(spark: SparkSession, base: str) -> list[int]:
 
 
 class SnapshotSink:
-    """``foreachBatch`` sink keeping versioned snapshots ``<base>/v=<epoch>``.
-
-    ``merge(previous, batch_df, epoch)`` returns the new full state. The
-    previous state is the newest committed version strictly below the epoch,
-    found by listing and never from memory, so an epoch that is run again --
-    by this object or by a new one after a restart -- starts from the same
-    state and rewrites the same folder. Epoch 0 starts from ``initial``; a
-    later epoch without an earlier version is an error, not a fresh start.
+    """``foreachBatch`` sink keeping a keyed state in bucketed, versioned files.
+
+    A row's bucket is a hash of its ``keys``. ``<base>/data/v=<epoch>/_bucket=<b>``
+    holds what an epoch wrote, ``<base>/manifest/v=<epoch>`` names, for every
+    bucket that has rows, the epoch whose files are current. A batch reads and
+    rewrites only the buckets of its own keys; then its manifest, written aside
+    and renamed, takes effect in one step. So its cost follows the keys that it
+    touches, not the state. ``buckets`` (by default the shuffle partitions of
+    the session that creates the state; the manifest keeps the number) bounds
+    both the manifest and what one task writes: choose it so that a bucket of
+    the state fits a task.
+
+    ``merge(previous, batch_df, epoch)`` gives the new rows of the touched
+    buckets from their old ones. The previous state is the newest manifest
+    strictly below the epoch, found by listing and never from memory, so an
+    epoch that is run again -- by this object or by a new one after a restart --
+    starts from the same state and writes the same version. Epoch 0 starts from
+    ``initial``; a later epoch without an earlier version is an error, not a
+    fresh start. After each epoch, files that the last ``keep`` manifests no
+    longer name are removed (at least two, so that the last epoch can run again).
     """
 
-    def __init__(self, spark: SparkSession, base: str, merge, initial: DataFrame):
-        self.spark, self.base, self.merge, self.initial = spark, base, merge, initial
-
-    def path(self, epoch: int) -> str:
-        return f"{self.base}/v={epoch:08d}"
-
-    def _read(self, epoch: int) -> DataFrame:
-        return self.spark.read.schema(self.initial.schema).parquet(self.path(epoch))
+    INITIAL = -1
 
-    def previous(self, epoch: int) -> DataFrame:
-        if epoch == 0:
-            return self.initial
-        before = [v for v in committed_versions(self.spark, self.base) if v < epoch]
-        if not before:
+    def __init__(self, spark: SparkSession, base: str, merge, initial: DataFrame, keys: list[str],
+                 buckets: int | None = None, keep: int = 2):
+        self.spark, self.base, self.merge, self.initial = spark, base, merge, initial
+        self.keys, self.keep = keys, max(keep, 2)
+        found = self.versions()
+        self.buckets = (self._content(found[-1])["buckets"] if found
+                        else buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+    # -- layout
+    def _bucket(self):
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def _path(self, *parts: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.base, *parts]))
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[int]:
+        """Epochs with a manifest; any failure to list is raised."""
+        path, fs = self._path("manifest")
+        names = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(int(n[2:]) for n in names if n.startswith("v="))
+
+    def _content(self, version: int) -> dict:
+        path, fs = self._path("manifest", f"v={version}")
+        stream = fs.open(path)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def manifest(self, version: int) -> dict[int, int]:
+        """Bucket -> epoch whose files hold it."""
+        return {int(b): v for b, v in self._content(version)["epochs"].items()}
+
+    def _publish(self, version: int, manifest: dict[int, int]) -> None:
+        folder, fs = self._path("manifest")
+        fs.mkdirs(folder)
+        aside, _ = self._path("manifest", f"_{uuid.uuid4().hex}")
+        out = fs.create(aside, True)
+        out.write(bytearray(json.dumps({"buckets": self.buckets, "epochs": manifest}, sort_keys=True).encode()))
+        out.close()
+        jvm, (final, _) = self.spark._jvm, self._path("manifest", f"v={version}")
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(
+            fs.makeQualified(aside), fs.makeQualified(final), options)
+
+    # -- reading
+    def _read(self, manifest: dict[int, int], only: set[int] | None = None) -> DataFrame:
+        paths = [f"{self.base}/data/v={v}/_bucket={b}" for b, v in sorted(manifest.items()) if only is None or b in only]
+        if not paths:
+            return self.initial.limit(0)
+        return self.spark.read.schema(self.initial.schema).parquet(*paths)
+
+    def _before(self, epoch: int) -> dict[int, int]:
+        earlier = [v for v in self.versions() if v < epoch]
+        if not earlier and epoch > 0:
             raise RuntimeError(f"{self.base} holds no version before epoch {epoch}; its state is lost")
-        return self._read(before[-1])
+        if not earlier:
+            self._write(self.INITIAL, self.initial, set(range(self.buckets)), {})
+            earlier = [self.INITIAL]
+        return self.manifest(earlier[-1])
 
-    def __call__(self, batch_df: DataFrame, epoch: int) -> None:
-        self.merge(self.previous(epoch), batch_df, epoch).write.mode("overwrite").parquet(self.path(epoch))
+    def previous(self, epoch: int, touched: set[int] | None = None) -> DataFrame:
+        """The state before an epoch, or its ``touched`` buckets only."""
+        return self._read(self._before(epoch), touched)
 
     def current(self) -> DataFrame:
-        found = committed_versions(self.spark, self.base)
-        return self._read(found[-1]) if found else self.initial
+        found = self.versions()
+        return self._read(self.manifest(found[-1])) if found else self.initial
+
+    # -- writing
+    def touched(self, rows: DataFrame) -> set[int]:
+        """The buckets of some rows: at most ``buckets`` numbers."""
+        return {r[0] for r in rows.select(self._bucket().alias("b")).distinct().collect()}
+
+    def _write(self, version: int, rows: DataFrame, touched: set[int], before: dict[int, int]) -> None:
+        folder, fs = self._path("data", f"v={version}")
+        (rows.withColumn("_bucket", self._bucket()).repartition("_bucket").write.mode("overwrite")
+         .partitionBy("_bucket").parquet(folder.toString()))
+        names = [x.getPath().getName() for x in fs.listStatus(folder)]
+        written = {int(n.partition("=")[2]) for n in names if n.startswith("_bucket=")}
+        if not written <= touched:
+            raise RuntimeError(f"epoch {version} gave rows of buckets that its batch does not touch")
+        self._publish(version, {b: v for b, v in before.items() if b not in touched} | {b: version for b in written})
+
+    def commit(self, epoch: int, rows: DataFrame, touched: set[int]) -> None:
+        """Publish ``rows`` as the new content of the touched buckets."""
+        self._write(epoch, rows, touched, self._before(epoch))
+        self.expire(epoch)
+
+    def expire(self, epoch: int) -> None:
+        """Remove what the last ``keep`` manifests up to ``epoch`` do not name."""
+        versions = [v for v in self.versions() if v <= epoch]
+        kept = {(b, v) for m in versions[-self.keep:] for b, v in self.manifest(m).items()}
+        for old in versions[:-self.keep]:
+            for b, v in self.manifest(old).items():
+                if (b, v) not in kept:
+                    path, fs = self._path("data", f"v={v}", f"_bucket={b}")
+                    fs.delete(path, True)
+            path, fs = self._path("manifest", f"v={old}")
+            fs.delete(path, False)
+
+    def __call__(self, batch_df: DataFrame, epoch: int) -> None:
+        batch_df = batch_df.persist()  # read for its buckets and for its rows
+        try:
+            touched = self.touched(batch_df)
+            self.commit(epoch, self.merge(self.previous(epoch, touched), batch_df, epoch), touched)
+        finally:
+            batch_df.unpersist()
 
 
 def merge_keyed(keys: list[str]):
@@ -172,7 +300,7 @@ def run_available_now(writer, checkpoint: str):
 def aggregate_to_snapshots(agg: DataFrame, keys: list[str], initial: DataFrame, base: str) -> SnapshotSink:
     """ST5: maintain a keyed aggregate as versioned snapshots."""
     spark = agg.sparkSession
-    sink = SnapshotSink(spark, base, merge_keyed(keys), initial)
+    sink = SnapshotSink(spark, base, merge_keyed(keys), initial, keys)
     run_available_now(agg.writeStream.outputMode("update").foreachBatch(sink), base + "/_checkpoint")
     return sink
 
@@ -191,7 +319,10 @@ class InventoryPipeline:
     2. clipped fold of the remaining movements from the current stock
        (moves that would go negative are rejected);
     3. one observation per applied movement, alert maintenance;
-    4. both new versions are written (overwrite per epoch: replay-safe).
+    4. both tables publish a new version of the batch's buckets (replay-safe).
+
+    Stock and alerts have the same keys and so the same buckets: a batch reads
+    and writes the buckets of its own keys and no others.
     """
 
     def __init__(self, spark: SparkSession, base: str, stock: DataFrame, alerts: DataFrame,
@@ -199,14 +330,22 @@ class InventoryPipeline:
         self.spark, self.base = spark, base
         self.item, self.offset = item, new_alert_id_offset
         init = stock.select(*KEY, "quantity", F.lit(None).cast("timestamp").alias("last_logged_at"))
-        self.stock_sink = SnapshotSink(spark, base + "/stock", None, init)
-        self.alert_sink = SnapshotSink(spark, base + "/alerts", None, alerts)
+        self.stock_sink = SnapshotSink(spark, base + "/stock", None, init, KEY)
+        self.alert_sink = SnapshotSink(spark, base + "/alerts", None, alerts, KEY)
 
     def __call__(self, batch_df: DataFrame, epoch: int) -> None:
+        batch_df = batch_df.persist()
+        try:
+            self._apply(batch_df, epoch)
+        finally:
+            batch_df.unpersist()
+
+    def _apply(self, batch_df: DataFrame, epoch: int) -> None:
         from stockflow.operators import alerts as alerts_op
         from stockflow.operators import ledger
-        stock = self.stock_sink.previous(epoch)
-        alerts = self.alert_sink.previous(epoch)
+        touched = self.stock_sink.touched(batch_df)
+        stock = self.stock_sink.previous(epoch, touched)
+        alerts = self.alert_sink.previous(epoch, touched)
         marks = stock.select(*KEY, F.col("last_logged_at").alias("_mark"))
         tagged = batch_df.join(marks, KEY, "left")
         late = F.col("_mark").isNotNull() & (F.col("logged_at") < F.col("_mark"))
@@ -219,8 +358,8 @@ class InventoryPipeline:
                      .select(*KEY, "quantity", F.greatest("_mark", "_new_mark").alias("last_logged_at")))
         obs = alerts_op.observations(applied, self.item, self.offset)
         new_alerts = alerts_op.maintain_alerts(alerts, obs)
-        new_stock.write.mode("overwrite").parquet(self.stock_sink.path(epoch))
-        new_alerts.write.mode("overwrite").parquet(self.alert_sink.path(epoch))
+        self.stock_sink.commit(epoch, new_stock, touched)
+        self.alert_sink.commit(epoch, new_alerts, touched)
 
     def run(self, moves: DataFrame) -> "InventoryPipeline":
         run_available_now(moves.writeStream.foreachBatch(self), self.base + "/_checkpoint")

@@ -244,9 +244,13 @@ class _Run:
     def __init__(self, key: tuple, first: bool):
         self.key, self.first = key, first
         self.reset, self.total, self.low, self.final = False, 0, 0, 0
+        self.gain, self.draw = 0, 0
 
     def add(self, values: np.ndarray, resets: np.ndarray) -> None:
         run = self.total + np.cumsum(np.where(resets, 0, values))
+        added = int(run[-1]) - self.total
+        self.gain = max(self.gain + added, int(run[-1]) - min(self.total, int(run.min())))  # largest sum of a tail
+        self.draw = max(self.draw, -int(values.min()))                                      # largest single movement out
         self.low, self.total = min(self.low, int(run.min())), int(run[-1])
         self.reset = self.reset or bool(resets.any())
         self.final = _fold(values, resets, np.zeros(len(values), bool), self.final)[2]
@@ -271,72 +275,172 @@ def _summaries(it, keys, value, reset, names, types):
                 last = _Run(key, False)
             last.add(values[own], resets[own])
     if first is not None:
-        rows = [[*r.key, pid, r.first, r.reset, r.total, max(0, -r.low), r.final]
+        rows = [[*r.key, pid, r.first, r.reset, r.total, max(0, -r.low), r.final, r.gain, r.draw]
                 for r in ([first] if last is first else [first, last])]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
 
-def _resolve_chains(rows, keys) -> tuple[dict[int, int], dict[tuple, tuple[int, int]]]:
+#: Entry balances for which a chunk's step table may hold an exit balance.
+TABLE_ENTRIES = 1 << 16
+
+
+def _resolve_chains(rows, keys) -> tuple[dict[int, int], dict[tuple, list[tuple]]]:
     """Walk each key's chunks in order. A chunk entered with balance b >= need
     rejects nothing and leaves b + sum; one with an opening leaves its own
     final balance. Returns the carries known so far and, of each key that met
-    a chunk below its need, that chunk and the balance on entry."""
+    a chunk below its need, that chunk and all later ones as (chunk, highest
+    balance it can be entered with, need, sum, final balance or None); of the
+    first that highest balance is the balance.
+
+    The bound: a chunk entered with at most u leaves at most u + sum if it
+    rejects nothing; else less than the largest movement out was left at its
+    last rejection, and what came after adds at most the largest tail sum.
+    """
     chains: dict[tuple, list] = {}
     for r in rows:
         chains.setdefault(tuple(r[k] for k in keys), []).append(r)
     carries, open_at = {}, {}
     for key, chunks in chains.items():
         chunks.sort(key=lambda r: r[PID])
-        b = chunks[0]["_final"]
+        b, later = chunks[0]["_final"], None
         for r in chunks[1:]:
-            carries[r[PID]] = b
+            if later is None:
+                carries[r[PID]] = b
+                if not r["_reset"] and b < r["_need"]:
+                    later = open_at[key] = []
+            if later is not None:
+                later.append((r[PID], b, r["_need"], r["_sum"], r["_final"] if r["_reset"] else None))
             if r["_reset"]:
                 b = r["_final"]
-            elif b >= r["_need"]:
+            elif later is None:
                 b += r["_sum"]
             else:
-                open_at[key] = (r[PID], b)
-                break
+                b = max(b + r["_sum"], r["_draw"] - 1 + r["_gain"], 0)
     return carries, open_at
 
 
 def clipped_fold(df: DataFrame, keys: list[str], order: list[str], value: str, reset: str,
                  balance_out: str = "balance", accepted_out: str = "accepted",
-                 num_partitions: int | None = None, stats: dict | None = None) -> DataFrame:
+                 num_partitions: int | None = None, stats: dict | None = None,
+                 table_entries: int = TABLE_ENTRIES) -> DataFrame:
     """Per-key fold where a row that would make the balance negative is rejected.
 
     ``reset`` marks opening rows (they set the balance to ``value``); they
     must sort first within their key. The data is split into range chunks and
-    written once. Three passes at most, whatever the data:
+    written once. Four passes at most, whatever the data:
 
     1. each chunk summarises its first and last key (sum, need, final
        balance); the driver walks the chunks of the keys that cross borders;
     2. only if a key met a chunk with less than that chunk needs: from there on
-       its balances depend on every single row, so those rows (value and
-       opening flag only, from that chunk on) stream in order through one task
-       per such key, which holds one number and emits the balance at each
-       chunk's border;
-    3. every chunk folds its rows, its first key starting from its carry.
+       its balances depend on every single row, but a chunk's exit balance is a
+       function of its entry balance. Each such chunk, where it lies, writes
+       that function as a step table over the balances it can be entered with
+       (at most ``TABLE_ENTRIES``; balances of at least its need need no entry);
+    3. the tables of a key are composed by one lookup a chunk along its chain.
+       Only a key with a table beyond that size streams its rows (value and
+       opening flag only) in order through one task instead;
+    4. every chunk folds its rows, its first key starting from its carry.
     """
     from pyspark.sql.pandas.types import to_arrow_type
     parts = with_partition_id(cut_lineage(range_chunks(df, keys, order, num_partitions)))
     schema = StructType([parts.schema[k] for k in keys] + [
         StructField(PID, LongType()), StructField("_first", BooleanType()), StructField("_reset", BooleanType()),
-        StructField("_sum", LongType()), StructField("_need", LongType()), StructField("_final", LongType())])
+        StructField("_sum", LongType()), StructField("_need", LongType()), StructField("_final", LongType()),
+        StructField("_gain", LongType()), StructField("_draw", LongType())])
     names, types = [f.name for f in schema.fields], [to_arrow_type(f.dataType) for f in schema.fields]
     slim = parts.select(*keys, PID, *dict.fromkeys([value, reset]))
     rows = slim.mapInArrow(lambda it: _summaries(it, keys, value, reset, names, types), schema).collect()  # <= 2 per chunk
     carries, open_at = _resolve_chains(rows, keys)
-    if open_at:
-        carries |= _stream_chains(slim, keys, value, reset, open_at)
+    tabled = {k: v for k, v in open_at.items() if all(min(high + 1, need) <= table_entries for _, high, need, _, _ in v)}
+    streamed = {k: v[0][:2] for k, v in open_at.items() if k not in tabled}
+    if tabled:
+        carries |= _compose_chains(_step_tables(slim, keys, value, tabled), len(tabled))
+    if streamed:
+        carries |= _stream_chains(slim, keys, value, reset, streamed)
     if stats is not None:
-        stats.update(passes=3 if open_at else 2, streamed_keys=len(open_at))
+        stats.update(passes=2 + 2 * bool(tabled) if not streamed else 3 + 2 * bool(tabled),
+                     tabled_keys=len(tabled), streamed_keys=len(streamed))
 
     out = _with_fields(parts.schema, [StructField("_balance", LongType()), StructField("_accepted", BooleanType())])
     return (parts.mapInArrow(lambda it: _fold_partition(it, keys, value, reset, carries), out).drop(PID)
             .withColumnRenamed("_balance", balance_out).withColumnRenamed("_accepted", accepted_out))
 
 
+def _exits(values: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """The balance that each entry balance leaves after all movements. Balances
+    that meet go on together, so they are followed once."""
+    now, of = np.unique(entries, return_inverse=True)
+    step = 16
+    for i in range(0, len(values), step):
+        for v in values[i:i + step].tolist():
+            now = now + v if v >= 0 else np.where(now + v >= 0, now + v, now)
+        if len(now) > 1:
+            now, met = np.unique(now, return_inverse=True)
+            of = met[of]
+        else:
+            break
+    else:
+        return now[of]
+    b = int(now[0])
+    done = i + step
+    if done < len(values):
+        b = int(_clip(values[done:], b)[0][-1])
+    return np.full(len(of), b, np.int64)
+
+
+def _step_tables(slim: DataFrame, keys: list[str], value: str, chains: dict[tuple, list[tuple]]) -> DataFrame:
+    """(_chain, PID, _enter, _need, _sum, _last, table): a row for each chunk of ``chains``.
+    ``table`` has the exit balances of the entry balances from 0 on; no row leaves its chunk."""
+    spark = slim.sparkSession
+    numbered = [(i, *key, pid, high, need, total, final)
+                for i, (key, chunks) in enumerate(sorted(chains.items(), key=str)) for pid, high, need, total, final in chunks]
+    shape = StructType([StructField("_chain", LongType())] + [StructField("_k_" + k, slim.schema[k].dataType) for k in keys]
+                       + [StructField(c, LongType()) for c in ("_at", "_high", "_need", "_sum", "_last")])
+    plan = F.broadcast(spark.createDataFrame(numbered, shape))   # at most one row per chunk
+    same = F.col(PID) == F.col("_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col("_k_" + k))
+    rows = slim.join(plan, same).select("_chain", PID, "_high", "_need", "_sum", "_last", F.col(value).cast("long").alias("_v"))
+
+    def table(it):
+        facts, now, of = None, None, None
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            if facts is None:   # a chunk is the continuation of one key at most
+                facts = [batch.column(i)[0].as_py() for i in range(6)]
+                of = now = np.arange(0 if facts[5] is not None else min(facts[2] + 1, facts[3]), dtype=np.int64)
+            if len(now):
+                found = _exits(_longs(batch, "_v"), now)
+                now, met = np.unique(found, return_inverse=True)
+                of = met[of]
+        if facts is not None:
+            exits = now[of] if len(now) else np.array([], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array([x], pa.int64()) for x in facts), pa.array([exits.astype("<i8").tobytes()], pa.binary())],
+                names=["_chain", PID, "_high", "_need", "_sum", "_last", "table"])
+
+    return rows.mapInArrow(table, f"_chain long, {PID} long, _high long, _need long, _sum long, _last long, table binary")
+
+
+def _compose_chains(tables: DataFrame, n: int) -> dict[int, int]:
+    """The balance with which each chunk of the chains is entered: a lookup a chunk, a chain in one task."""
+    def follow(it):
+        chain, b = None, 0
+        for batch in it:
+            found = []
+            for c, pid, high, need, total, last, table in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if c != chain:
+                    chain, b = c, high   # the first chunk's balance is known
+                found.append((pid, b))
+                b = last if last is not None else b + total if b >= need else int(np.frombuffer(table, "<i8", 1, 8 * b)[0])
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()),
+                                              pa.array([x for _, x in found], pa.int64())], names=["pid", "balance"])
+
+    got = tables.repartitionByRange(n, "_chain").sortWithinPartitions("_chain", PID).mapInArrow(follow, "pid long, balance long")
+    return {r["pid"]: r["balance"] for r in got.collect()}  # at most one per chunk
+
+
 def _stream_chains(slim: DataFrame, keys: list[str], value: str, reset: str,
                    open_at: dict[tuple, tuple[int, int]]) -> dict[int, int]:
     """The balance with which each later chunk of the keys in ``open_at`` is entered (at most one per chunk)."""
@@ -370,5 +474,5 @@ def _stream_chains(slim: DataFrame, keys: list[str], value: str, reset: str,
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()),
                                               pa.array([x for _, x in found], pa.int64())], names=["pid", "balance"])
 
-    got = rows.repartition(n, "_chain").sortWithinPartitions("_chain", "_at").mapInArrow(follow, "pid long, balance long")
+    got = rows.repartitionByRange(n, "_chain").sortWithinPartitions("_chain", "_at").mapInArrow(follow, "pid long, balance long")
     return {r["pid"]: r["balance"] for r in got.collect()}

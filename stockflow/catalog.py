@@ -507,9 +507,9 @@ FROM (SELECT warehouse_id, item_id, o AS x, 'OPEN' AS status FROM fin WHERE o IS
 
 def _alerts(spark, d, initial):
     t = T(spark, d)
-    applied = ledger.apply_movements(t.transaction_log, t.stock)
-    obs = alerts_op.observations(applied, t.item, NEW_ALERT_ID_OFFSET)
-    return alerts_op.maintain_alerts(initial(t), obs)
+    applied = ledger.apply_movements(alerts_op.with_levels(t.transaction_log, t.item), t.stock)
+    obs = alerts_op.observations(applied, id_offset=NEW_ALERT_ID_OFFSET)
+    return alerts_op.maintain_alerts(initial(t), obs, in_order=True)
 
 
 @register("alerts_final", W("w_log", "w_po", "w_pod", "w_stock", "w_item", "w_alerts0", extra=_alert_sim(

@@ -15,26 +15,29 @@ handful of positions in each key's history, so no per-key fold is needed:
 * ``OA`` first low observation after the last not-low one (null when the
   last observation is not low), ``nN`` number of not-low observations.
 
-``FR`` needs "after the first low" and ``OA`` "after the last not-low": a
-first per-key aggregate finds those two positions, a salted join brings them
-back to the observations and a second aggregate picks the rows. Both aggregates
-combine map-side, so a hot key is reduced before any shuffle. The result is
-joined with the existing alerts (at most one row per status and key) on the
-key -- one row per key on both sides.
+These are an associative summary: two stretches of a key's history, one after
+the other, have the summary that their own summaries give. So every range chunk
+summarises its keys in one scan, the summaries of a key that spans several
+chunks are merged in chunk order, and no observation is joined back or leaves
+its chunk. The result is joined with the existing alerts (at most one row per
+status and key) on the key -- one row per key on both sides.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from stockflow.functions.scalars import is_low
+from stockflow.plans.checkpoint import cut_lineage
+from stockflow.plans.scan import PID, _flags, _group_starts, _key_at, range_chunks, with_partition_id
 
 KEY = ["warehouse_id", "item_id"]
 ALERT_COLS = ["alert_id", "warehouse_id", "item_id", "current_quantity", "reorder_level",
               "expected_quantity", "alert_date", "status"]
-# Tasks that share one key's observations in the second pass.
-SALTS = 16
 _SLOT = ["alert_id", "current_quantity", "reorder_level", "expected_quantity", "alert_date"]
 
 
@@ -48,56 +51,121 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
             .select(*keys, *[F.col("_r." + c).alias(c) for c in rest]))
 
 
-def observations(applied: DataFrame, item: DataFrame, id_offset: int = 0) -> DataFrame:
+def with_levels(moves: DataFrame, item: DataFrame) -> DataFrame:
+    """Movements with their item's ``reorder_level``. Joined before the movements
+    are applied, it travels through the fold, and the observations come out of
+    it in key order, ready to be summarised where they lie."""
+    return moves.join(item.select("item_id", "reorder_level"), "item_id", "left")
+
+
+def observations(applied: DataFrame, item: DataFrame | None = None, id_offset: int = 0) -> DataFrame:
     """Stock observations from applied movements (D-5: every applied movement
-    emits one). ``new_alert_id`` is the id an alert opened here would get."""
-    lv = item.select("item_id", "reorder_level")
-    return (applied.where(F.col("accepted"))
-            .select(*KEY, F.col("balance").alias("quantity"), "logged_at", "log_id")
-            .join(lv, "item_id")
-            .withColumn("new_alert_id", F.col("log_id") + F.lit(id_offset)))
-
-
-def _obs_struct() -> Column:
-    return F.struct(F.col("new_alert_id").alias("alert_id"), F.col("quantity").alias("current_quantity"),
-                    F.col("reorder_level").alias("reorder_level"),
-                    F.lit(None).cast("long").alias("expected_quantity"),
-                    F.col("logged_at").alias("alert_date"))
-
-
-def history_positions(obs: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Per key: FL, FN, FR, OA (as alert-slot structs) and nN.
-
-    Pass 1 (per key): first low, first not-low, last not-low position and the
-    not-low count. Pass 2 joins those positions back to the observations and
-    takes the first not-low after the first low (FR) and the first low after
-    the last not-low (OA). Both passes are partial/final aggregates. The join
-    is salted: a key's observations are dealt to ``SALTS`` tasks by a hash of
-    their order, and its one row of positions is copied to each, so a hot key
-    is spread even where the key table is too large to broadcast; what the
-    tasks found is then merged, at most ``SALTS`` rows per key.
+    of a known item emits one). ``new_alert_id`` is the id an alert opened here
+    would get. ``item`` is not needed if the movements had their levels
+    (``with_levels``); then the observations keep the order of the fold."""
+    seen = applied.where(F.col("accepted"))
+    if "reorder_level" not in applied.columns:
+        seen = seen.join(item.select("item_id", "reorder_level"), "item_id")
+    return (seen.where(F.col("reorder_level").isNotNull())
+            .select(*KEY, F.col("balance").alias("quantity"), "logged_at", "log_id", "reorder_level",
+                    (F.col("log_id") + F.lit(id_offset)).alias("new_alert_id")))
+
+
+_SEEN = {"alert_id": "new_alert_id", "current_quantity": "quantity", "reorder_level": "reorder_level", "alert_date": "logged_at"}
+_PLACES = ("FL", "FN", "FR", "OA")
+
+
+def _places(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """One row for each key of a sorted batch: its first low (FL), first not-low
+    (FN), first not-low after the first low (FR) and first low after the last
+    not-low observation (OA), and how many are not low (nN)."""
+    n, low = batch.num_rows, _flags(batch, "_low")
+    at, row = np.flatnonzero(_group_starts(batch, KEY)), np.arange(batch.num_rows)
+    key = np.repeat(np.arange(len(at)), np.diff(np.append(at, n)))
+
+    def first(which: np.ndarray) -> np.ndarray:
+        return np.minimum.reduceat(np.where(which, row, n), at)
+
+    fl, last_high = first(low), np.maximum.reduceat(np.where(low, -1, row), at)
+    found = (fl, first(~low), first(~low & (row > fl[key])), first(low & (row > last_high[key])))
+    columns = {c: batch.column(c).take(pa.array(at)) for c in (*KEY, PID)}
+    for place, where in zip(_PLACES, found):
+        pick = pa.array(np.where(where < n, where, 0), mask=where == n)  # null where there is none
+        columns |= {f"{place}_{c}": batch.column(source).take(pick) for c, source in _SEEN.items()}
+    columns["nN"] = pa.array(np.add.reduceat((~low).astype(np.int64), at))
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def _merged(earlier: pa.RecordBatch, later: pa.RecordBatch) -> pa.RecordBatch:
+    """The summary of two stretches of one key, the earlier first."""
+    a, b = earlier.to_pylist()[0], later.to_pylist()[0]
+
+    def place(row: dict, name: str) -> list | None:
+        values = [row[f"{name}_{c}"] for c in _SEEN]
+        return None if row[f"{name}_current_quantity"] is None else values
+
+    both = {"FL": place(a, "FL") or place(b, "FL"), "FN": place(a, "FN") or place(b, "FN"),
+            "FR": place(a, "FR") or place(b, "FN" if place(a, "FL") else "FR"),
+            "OA": place(b, "OA") if b["nN"] else place(a, "OA") or place(b, "FL")}
+    row = {c: b[c] for c in (*KEY, PID)} | {"nN": a["nN"] + b["nN"]}
+    for name, values in both.items():
+        row |= {f"{name}_{c}": v for c, v in zip(_SEEN, values or [None] * len(_SEEN))}
+    return pa.RecordBatch.from_pylist([row], schema=later.schema)
+
+
+def _summarise(batches):
+    """One summary for each key of a chunk; only a key that goes on in the next batch is held."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        found = _places(batch)
+        first, n = found.slice(0, 1), found.num_rows
+        if held is not None:
+            if _key_at(held, KEY, 0) == _key_at(first, KEY, 0):
+                first = _merged(held, first)
+            else:
+                yield held
+        held = first if n == 1 else found.slice(n - 1, 1)
+        if n > 1:
+            yield first
+            yield found.slice(1, n - 2)
+    if held is not None:
+        yield held
+
+
+def history_positions(obs: DataFrame, order: list[str] | None = None, in_order: bool = False) -> DataFrame:
+    """Per key: FL, FN, FR, OA (as alert-slot structs) and nN, in one pass.
+
+    The five are an associative summary of a stretch of observations. Each
+    range chunk summarises its keys in one scan; a key has one summary for each
+    chunk that it spans (a hot key spans many, and none of its rows leaves its
+    chunk), and these are merged in chunk order. ``in_order`` says that ``obs``
+    comes straight from a fold, sorted in chunks by (key, order); otherwise it
+    is dealt into chunks first.
     """
     order = order or ["logged_at", "log_id"]
-    low = is_low()
-    o = obs.withColumn("_low", low).withColumn("_o", F.struct(*order)).withColumn("_row", _obs_struct())
-    lo, nl = F.col("_low"), ~F.col("_low")
-    p1 = (o.groupBy(*KEY)
-          .agg(F.min_by(F.when(lo, F.col("_row")), F.when(lo, F.col("_o"))).alias("FL"),
-               F.min(F.when(lo, F.col("_o"))).alias("_fl_o"),
-               F.min_by(F.when(nl, F.col("_row")), F.when(nl, F.col("_o"))).alias("FN"),
-               F.max(F.when(nl, F.col("_o"))).alias("_ln_o"),
-               F.count_if(nl).alias("nN")))
-    after_fl = nl & F.col("_fl_o").isNotNull() & (F.col("_o") > F.col("_fl_o"))
-    after_ln = lo & (F.col("_ln_o").isNull() | (F.col("_o") > F.col("_ln_o")))
-    salt = F.pmod(F.xxhash64("_o"), F.lit(SALTS)).cast("int")
-    copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    x = o.withColumn("_salt", salt).join(p1.select(*KEY, "_fl_o", "_ln_o", copies.alias("_salt")), [*KEY, "_salt"])
-    part = (x.groupBy(*KEY, "_salt")
-            .agg(F.min(F.when(after_fl, F.struct("_o", "_row"))).alias("_fr"),
-                 F.min(F.when(after_ln, F.struct("_o", "_row"))).alias("_oa")))
-    p2 = (part.groupBy(*KEY).agg(F.min("_fr").alias("_fr"), F.min("_oa").alias("_oa"))
-          .select(*KEY, F.col("_fr._row").alias("FR"), F.col("_oa._row").alias("OA")))
-    return p1.join(p2, KEY).select(*KEY, "FL", "FN", "FR", "OA", "nN")
+    chunks = obs if in_order else cut_lineage(range_chunks(obs, KEY, order))
+    rows = with_partition_id(chunks).withColumn("_low", is_low()).select(*KEY, PID, "_low", *_SEEN.values())
+    types = {c: rows.schema[source].dataType for c, source in _SEEN.items()}
+    shape = StructType([StructField(c, rows.schema[c].dataType) for c in KEY] + [StructField(PID, LongType())] + [
+        StructField(f"{p}_{c}", t) for p in _PLACES for c, t in types.items()] + [StructField("nN", LongType())])
+    parts = rows.mapInArrow(_summarise, shape)
+
+    def slot(place: str) -> Column:
+        fields = {"expected_quantity": F.lit(None).cast("long")} | {c: F.col(f"{place}_{c}") for c in _SEEN}
+        return F.when(F.col(f"{place}_current_quantity").isNotNull(), F.struct(*[fields[c].alias(c) for c in _SLOT]))
+
+    def merge(a: Column, b: Column) -> Column:
+        return F.struct(
+            F.coalesce(a["FL"], b["FL"]).alias("FL"), F.coalesce(a["FN"], b["FN"]).alias("FN"),
+            F.coalesce(a["FR"], F.when(a["FL"].isNotNull(), b["FN"]).otherwise(b["FR"])).alias("FR"),
+            F.when(b["nN"] > 0, b["OA"]).otherwise(F.coalesce(a["OA"], b["FL"])).alias("OA"), (a["nN"] + b["nN"]).alias("nN"))
+
+    one = F.struct(F.col(PID), F.struct(*[slot(p).alias(p) for p in _PLACES], F.col("nN")).alias("s"))
+    by_key = parts.groupBy(*KEY).agg(F.transform(F.sort_array(F.collect_list(one)), lambda x: x["s"]).alias("_s"))  # one a chunk
+    whole = F.aggregate(F.slice("_s", F.lit(2), F.size("_s")), F.element_at("_s", 1), merge)
+    return by_key.select(*KEY, whole.alias("_w")).select(*KEY, "_w.*")
 
 
 def _slot(df_col: str) -> Column:
@@ -112,11 +180,12 @@ def _as_status(slot: Column, status: str, qty: Column | None = None) -> Column:
     return F.when(slot.isNotNull(), F.struct(*fields, F.lit(status).alias("status")))
 
 
-def maintain_alerts(alerts: DataFrame, obs: DataFrame, order: list[str] | None = None) -> DataFrame:
+def maintain_alerts(alerts: DataFrame, obs: DataFrame, order: list[str] | None = None, in_order: bool = False) -> DataFrame:
     """WF15: the alert table after all observations, as the later trigger
     leaves it (D-4). New alerts take ``new_alert_id`` of the observation that
-    opened them; an alert keeps its alert_date when it is resolved."""
-    pos = history_positions(obs, order)
+    opened them; an alert keeps its alert_date when it is resolved. ``in_order``
+    as in ``history_positions``."""
+    pos = history_positions(obs, order, in_order)
     a = alerts.select(*ALERT_COLS)
     slot = F.struct(*[F.col(c) for c in _SLOT])
     ordc = F.struct("alert_date", "alert_id")

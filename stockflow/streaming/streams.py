@@ -351,13 +351,13 @@ class InventoryPipeline:
         late = F.col("_mark").isNotNull() & (F.col("logged_at") < F.col("_mark"))
         tagged.where(late).drop("_mark").write.mode("overwrite").parquet(f"{self.base}/late/v={epoch:08d}")
         moves = tagged.where(~late).drop("_mark")
-        applied = ledger.apply_movements(moves, stock.select(*KEY, "quantity"))
+        applied = ledger.apply_movements(alerts_op.with_levels(moves, self.item), stock.select(*KEY, "quantity"))
         after = ledger.stock_after(stock.select(*KEY, "quantity"), applied).select(*KEY, "quantity")
         last = applied.groupBy(*KEY).agg(F.max("logged_at").alias("_new_mark"))
         new_stock = (after.join(marks, KEY, "left").join(last, KEY, "left")
                      .select(*KEY, "quantity", F.greatest("_mark", "_new_mark").alias("last_logged_at")))
-        obs = alerts_op.observations(applied, self.item, self.offset)
-        new_alerts = alerts_op.maintain_alerts(alerts, obs)
+        obs = alerts_op.observations(applied, id_offset=self.offset)
+        new_alerts = alerts_op.maintain_alerts(alerts, obs, in_order=True)
         self.stock_sink.commit(epoch, new_stock, touched)
         self.alert_sink.commit(epoch, new_alerts, touched)
 

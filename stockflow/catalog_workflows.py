@@ -5,13 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stockflow.catalog import (_LEDGER_SQL, _SHIPPED_STEPS, AS_OF, NEW_ALERT_ID_OFFSET, REGISTRY, T, W, _ALERT_OUT, _alert_sim, _clip,
+from stockflow.catalog import (_LEDGER_SQL, _staged_ledger, _SHIPPED_STEPS, AS_OF, NEW_ALERT_ID_OFFSET, REGISTRY, T, W, _ALERT_OUT, _alert_sim, _clip,
                                register)
 from stockflow.operators import alerts as alerts_op
 from stockflow.operators import orders, views
 from stockflow.sources.sinks import snapshot
 from stockflow.sources.tables import sql_view
-from stockflow.streaming import streams
+from stockflow.streaming import stateful, streams
 
 _ADJ = ("w_adj", "SELECT *, delta_qty AS signed_qty FROM w_log WHERE change_type = 'ADJUST'")
 
@@ -231,3 +231,11 @@ def q_stream_pnl(spark, d):
                              dated(t.sales_order_details, t.sales_order, "so_id", "so_date"), "on_date")
     none = spark.createDataFrame([], ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pnl.schema.fields))
     return streams.aggregate_to_snapshots(pnl, ["month"], none, streams.scratch_path(spark, "st6p-out")).current()
+
+
+@register("stream_alerts_state", REGISTRY["alerts_with_history"][1])
+def q_stream_alerts_state(spark, d):
+    """ST2: live alerts by a stateful operator; every key's balance and alerts lie in the state store."""
+    t = T(spark, d)
+    return stateful.run_alerts_state(_staged_ledger(spark, t, "st2s-src"), t.stock, t.reorder_alerts, t.item,
+                                     streams.scratch_path(spark, "st2s-out"), NEW_ALERT_ID_OFFSET)

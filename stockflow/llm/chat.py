@@ -41,8 +41,11 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The vocabulary's word-splitting pattern and the template's control strings, in order of their ids.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CONTROL = ["<s>", "</s>", "[INST]", "[/INST]", "[ROLE]", "[/ROLE]", "[/TURN]"]
-#: Characters encoded at once.
+#: Characters encoded at once, at least: a piece goes on to the next place where a
+#: match of the pattern is sure to end (no match goes on from a letter or digit to
+#: a space or line end), so the ids are those of the whole text at once.
 PIECE = 1 << 16
+_BORDER = re.compile(r"[^\W_](?=[ \n])")
 
 _ESCAPE = re.compile(r"([<\[])(\\*/?(?:s>|(?:INST|ROLE|TURN)\]))")
 _UNESCAPE = re.compile(r"([<\[])\\(\\*/?(?:s>|(?:INST|ROLE|TURN)\]))")
@@ -73,8 +76,13 @@ class Template:
         self.name = {i: c for c, i in self.id.items()}
 
     def encode(self, text: str) -> list[int]:
-        safe = escape(text)
-        return [i for at in range(0, len(safe), PIECE) for i in self.bpe.encode_ordinary(safe[at:at + PIECE])]
+        safe, ids, at = escape(text), [], 0
+        while at < len(safe):
+            border = _BORDER.search(safe, at + PIECE)
+            end = border.end() if border else len(safe)
+            ids += self.bpe.encode_ordinary(safe[at:end])
+            at = end
+        return ids
 
     def turn(self, role: str, text: str) -> tuple[list[int], int, int]:
         """(ids, from, to): a turn's ids and where its text lies among them."""

@@ -3,13 +3,15 @@
 Voters look at a document and fire or stay silent: fixed lexicons of insults
 in four languages, fixed patterns (second-person abuse, threats, masked
 words, shouting, ...) and word stems mined from labelled rows. A generative
-label model (two classes, one firing rate per voter and class, fitted by
-expectation-maximisation on the votes) estimates how accurate each
-voter is; silence is abstention, not a vote. The annotator whose labels the
-sample carries is one more voter, of estimated accuracy like the rest. Voters that remain correlated
-inside a class share their weight when they fire together. Its posterior labels train a logistic regression on
-presence features (lexicon words and mined stems), and that linear classifier
-scores every whole text.
+label model (a plain class and one for each group of voters that fire
+together, each voter's rate in each, and a forest of correlated voters whose
+rates depend on each other) is fitted to the votes alone, by the voters'
+covariances and by expectation-maximisation; firing and silence both
+count. Labels name the toxic classes, weigh the
+sample's two strata and let stems be mined; they enter neither the model's
+likelihood nor a row's posterior. The posterior labels train a
+logistic regression on presence features (lexicon words and mined stems), and
+that linear classifier scores every whole text.
 
 Fitting uses a bounded sample of labelled rows outside fold 0 (``TRAIN_DOCS``
 of each class); mining counts stems on the executors and brings at most
@@ -17,8 +19,8 @@ of each class); mining counts stems on the executors and brings at most
 automaton over the whole text of every row.
 
 Null and empty texts have no feature and score the classifier's base rate.
-Repeated rows get equal scores. Without labels of both classes only the
-lexicons count: a text with a lexicon word scores 0.9, any other 0.1.
+Repeated rows get equal scores. Without labels of both classes, or if no class
+of the label model is toxic, only the lexicons count: a text with a lexicon word scores 0.9, any other 0.1.
 """
 
 from __future__ import annotations
@@ -37,10 +39,13 @@ from stockflow.llm.common import class_sizes, fold, labelled_sample, materialize
 
 TRAIN_DOCS, MINED, MINED_VOTERS = 4000, 400, 48
 STEMS, FLUSH = (4, 5, 6, 7, 8), 300_000
-#: A mined stem needs this log-likelihood ratio (chance gives it to fewer than
-#: one stem in a billion) and this ratio of its rates in the two classes.
-LEAST_EVIDENCE, LEAST_LIFT = 40.0, 6.0
+#: A mined stem needs this log-likelihood ratio (chance gives it to about
+#: one stem in a hundred thousand; one alone makes no class of the label model) and this ratio of its rates in the two classes.
+LEAST_EVIDENCE, LEAST_LIFT = 20.0, 6.0
 TOXIC = 0.5
+#: Voters correlated by less than this (or four standard errors), or that fire together
+#: in fewer rows, count as independent; classes of the label model beside the plain one.
+LEAST_CORRELATION, LEAST_ROWS, MOST_CLASSES = 0.2, 4, 16
 
 # voters' lexicons (whole words, lower case).
 LEXICONS = {
@@ -159,46 +164,137 @@ def _observer(stems: list[str], keys: list[str]):
 
 
 class LabelModel:
-    """Two-class generative model of firing voters, with class-wise correlations."""
-
-    def __init__(self, votes: np.ndarray, label: np.ndarray, weight: np.ndarray, prior: float, rounds: int = 30):
-        v, w = votes.astype(float), weight / weight.sum()
-        self.prior, self.correlation = prior, np.zeros((v.shape[1],) * 2)
-        q = np.where(label == 1, 0.9, 0.05)  # the annotator is where the estimates start
-        for _ in range(rounds):
-            self._rates(v, w, q)
-            self._correlations(v, w, q)
-            self.agree1 = np.clip((w * q) @ label / max((w * q).sum(), 1e-9), 0.05, 0.99)
-            self.agree0 = np.clip((w * (1 - q)) @ label / max((w * (1 - q)).sum(), 1e-9), 0.002, 0.5)
-            q = self.posterior(votes, label)
-
-    def _rates(self, v: np.ndarray, w: np.ndarray, q: np.ndarray) -> None:
-        one, zero, eps = w * q, w * (1 - q), 0.5 / v.shape[0]
-        self.rate1 = np.clip((one @ v + eps * self.prior) / (one.sum() + eps), eps, 1 - eps)
-        self.rate0 = np.clip((zero @ v + eps * self.prior) / (zero.sum() + eps), eps, 1 - eps)
-
-    def _correlations(self, v: np.ndarray, w: np.ndarray, q: np.ndarray) -> None:
-        """What voters share beyond their class: the larger of their two
-        correlations inside a class, above a noise level."""
-        out = np.zeros_like(self.correlation)
-        for share, rate in ((w * q, self.rate1), (w * (1 - q), self.rate0)):
-            z = (v - rate) / np.sqrt(rate * (1 - rate))
-            out = np.maximum(out, np.clip((z * share[:, None]).T @ z / max(share.sum(), 1e-9), 0, 1))
-        np.fill_diagonal(out, 0)
-        self.correlation = np.where(out > 0.2, out, 0)
-
-    def posterior(self, votes: np.ndarray, label: np.ndarray) -> np.ndarray:
-        """Probability of the toxic class of each row of votes. A firing voter
-        gives its log-likelihood ratio, divided among the correlated voters
-        that fire with it."""
-        v = votes.astype(float)
-        share = v / (1 + v @ self.correlation)
-        told = np.where(label == 1, np.log(self.agree1 / self.agree0), np.log((1 - self.agree1) / (1 - self.agree0)))
-        s = np.log(self.prior / (1 - self.prior)) + told + share @ np.log(self.rate1 / self.rate0)
-        return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
-
-
-def fit_logistic(x: np.ndarray, q: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
+    """Generative model of voters that fire or stay silent, fitted to votes alone.
+
+    Toxic texts are of several kinds (insults of one language never meet those
+    of another), so the model has several classes: a plain one and one for
+    each group of voters that fire together. A voter fires in class c at a rate
+    that depends on c and, if it is correlated with another voter inside the
+    classes, on that voter's vote too: a forest of at most one parent for
+    each voter, whose conditional rates are the correlations. A copy of a voter
+    thus adds nothing.
+
+    Voters that are independent inside the plain class have no covariance there.
+    While some have, the pair with the largest covariance and the voters
+    correlated with both start a new class, and expectation-maximisation
+    climbs the likelihood of all votes; ``likelihood`` holds it round by
+    round once classes and forest are fixed.
+    """
+
+    def __init__(self, votes: np.ndarray, weight: np.ndarray, rounds: int = 40):
+        v, w = votes.astype(float), weight * (len(votes) / weight.sum())
+        self.mean = np.clip((w @ v + 0.5) / (w.sum() + 1), 1e-6, 1 - 1e-6)
+        self.noise = max(LEAST_CORRELATION, 4 / np.sqrt(len(v)))
+        self.correlation, self.parent = np.zeros((v.shape[1],) * 2), np.full(v.shape[1], -1)
+        self.shares, self.rates = np.ones(1), np.repeat(self.mean[None, None], 2, axis=1)  # class, parent's vote, voter
+        for _ in range(MOST_CLASSES):
+            if not self._add_class(v, w):
+                break
+            for _ in range(15):
+                self._step(v, w)
+        for _ in range(3):  # a copy also distorts its class at first: look again once the forest allows for it
+            self._correlate(v, w)
+            for _ in range(10):
+                self._step(v, w)
+        self.likelihood = [self._step(v, w) for _ in range(rounds)]
+
+    def _inside(self, v: np.ndarray, w: np.ndarray, c: int) -> tuple[np.ndarray, np.ndarray]:
+        """Covariances and correlations of the voters over the rows of class ``c``."""
+        share = self.classes(v)[c]
+        own = share * (share > 0.5) * w
+        mean = own @ v / max(own.sum(), 1e-9)
+        cov = ((v - mean) * own[:, None]).T @ (v - mean) / max(own.sum(), 1e-9)
+        sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+        met = (v * (share > 0.5)[:, None]).T @ v >= LEAST_ROWS  # pairs seen together often enough
+        np.fill_diagonal(met, False)
+        return np.where(met, cov, 0), np.where(met, cov / np.outer(sd, sd), 0)
+
+    def _add_class(self, v: np.ndarray, w: np.ndarray) -> bool:
+        """A new class for the plain class's most covariant voters, if any are."""
+        calm = self.classes(v)[0]
+        cov, corr = self._inside(v, w, 0)
+        cov = np.where(corr > self.noise, cov, 0)
+        if not cov.any():
+            return False
+        i, j = np.unravel_index(cov.argmax(), cov.shape)
+        near = (corr[i] > self.noise) & (corr[j] > self.noise)
+        near[[i, j]] = True
+        own = calm * w * (v[:, near].sum(1) >= 2)
+        rates = (own @ v + self.mean) / (own.sum() + 1)
+        self.rates = np.concatenate([self.rates, np.repeat(rates[None, None], 2, axis=1)])
+        share = own.sum() / w.sum()
+        self.shares = np.append(self.shares, share)
+        self.shares[0] = max(self.shares[0] - share, share)
+        self.shares /= self.shares.sum()
+        return True
+
+    def _correlate(self, v: np.ndarray, w: np.ndarray) -> None:
+        """What voters share beyond their class, the largest over the classes, and its forest."""
+        corr = np.max([self._inside(v, w, c)[1] for c in range(len(self.shares))], axis=0)
+        self.correlation = np.where(corr > self.noise, corr, 0)
+        self.rates[:, 1] = self.rates[:, 0]
+        self._grow_forest()
+
+    def _grow_forest(self) -> None:
+        """The heaviest forest of correlations, by Prim's algorithm."""
+        self.parent[:] = -1
+        left = set(range(len(self.parent)))
+        while left:
+            tree = [min(left)]
+            left.discard(tree[0])
+            while left:
+                rest = sorted(left)
+                part = self.correlation[np.ix_(tree, rest)]
+                i, j = np.unravel_index(part.argmax(), part.shape)
+                if not part[i, j]:
+                    break
+                self.parent[rest[j]] = tree[i]
+                tree.append(rest[j])
+                left.discard(rest[j])
+
+    def _parents(self, v: np.ndarray) -> np.ndarray:
+        return np.where(self.parent >= 0, v[:, self.parent], 0.0)
+
+    def _joint(self, v: np.ndarray) -> np.ndarray:
+        """Log-probability of each row of votes together with each class."""
+        at, out = self._parents(v), np.empty((len(self.shares), len(v)))
+        for c, own in enumerate(self.shares):
+            fire, calm = np.log(self.rates[c]), np.log1p(-self.rates[c])
+            out[c] = (np.log(own) + v @ fire[0] + (1 - v) @ calm[0]
+                      + (v * at) @ (fire[1] - fire[0]) + ((1 - v) * at) @ (calm[1] - calm[0]))
+        return out
+
+    def _step(self, v: np.ndarray, w: np.ndarray) -> float:
+        """One round. Returns the log-likelihood before it, with that of the rates and
+        shares under their priors (a pseudo-count of one), which never falls."""
+        joint, at = self._joint(v), self._parents(v)
+        total = np.logaddexp.reduce(joint, axis=0)
+        fit = float(w @ total + np.log(self.shares).sum() + (
+            self.mean * np.log(self.rates) + (1 - self.mean) * np.log1p(-self.rates)).sum())
+        own = np.exp(joint - total) * w
+        with_parent, fired, all_fired, size = own @ at, own @ (v * at), own @ v, own.sum(1)
+        self.rates[:, 1] = (fired + self.mean) / (with_parent + 1)
+        self.rates[:, 0] = (all_fired - fired + self.mean) / (size[:, None] - with_parent + 1)
+        self.shares = (size + 1) / (size + 1).sum()
+        return fit
+
+    def classes(self, votes: np.ndarray) -> np.ndarray:
+        """Probability of each class (rows) for each row of votes (columns)."""
+        joint = self._joint(votes.astype(float))
+        return np.exp(joint - np.logaddexp.reduce(joint, axis=0))
+
+    def toxic_classes(self, votes: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Which classes are toxic: those where most of the labels say so. This
+        one bit for each class is all that the labels decide."""
+        own = self.classes(votes) * weight
+        return own @ (label == 1) > 0.5 * own.sum(1)
+
+    def posterior(self, votes: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+        """Probability that a row of votes is of one of the ``toxic`` classes."""
+        return self.classes(votes)[toxic].sum(0)
+
+
+def fit_logistic(x: np.ndarray, q: np.ndarray, weight: np.ndarray, ridge: float = 0.2, rounds: int = 12) -> np.ndarray:
     """Weights (bias last) of a ridge logistic regression on soft labels, by Newton steps."""
     x = np.column_stack([x.astype(np.float64), np.ones(len(x))])
     w, pen = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
@@ -250,8 +346,11 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Linear
     y = seen["y"].to_numpy()
     weight = np.where(y == 1, share[1] / size[1], share[0] / size[0])
     weight *= len(seen) / weight.sum()
-    model = LabelModel(votes, y, weight, share[1] / (share[0] + share[1]))
-    w = fit_logistic(x, model.posterior(votes, y), weight)
+    model = LabelModel(votes, weight)
+    toxic = model.toxic_classes(votes, y, weight)
+    if not toxic.any():
+        return plain
+    w = fit_logistic(x, model.posterior(votes, toxic), weight)
     return LinearScorer(keys, w[:-1], float(w[-1]))
 
 

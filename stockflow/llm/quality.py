@@ -6,10 +6,11 @@ are max-pooled in overlapping chunks of 1,024 bytes (each shares 64 with the
 next); a small dense layer turns a chunk into a logit, and the mean logit of
 all chunks becomes the document's probability of label 1.
 
-Training runs in numpy on a bounded sample of labelled rows (``TRAIN_DOCS`` of
-each class, never fold 0) of which ``TRAIN_CHUNKS`` evenly spaced chunks each
-are brought to the driver, a few MB whatever the corpus. The sample is balanced;
-the output is then shifted to the classes' shares among all labelled rows. Scoring reads every
+Training runs in numpy on the whole texts of a bounded sample of labelled rows
+(``TRAIN_DOCS`` of each class, never fold 0): all their chunks come to the driver,
+and a gradient reads them in blocks, so beside those texts its memory does not
+depend on their length. The sample is balanced; the output is then shifted to the
+classes' shares among all labelled rows. Scoring reads every
 byte of every text, in blocks, so a text of any length needs bounded memory.
 
 Null and empty texts are scored as eight zero bytes. Repeated rows get equal
@@ -32,9 +33,11 @@ from stockflow.llm.common import class_sizes, fold, labelled_sample
 STRIDE, WIDTH, DIM, FILTERS, HIDDEN = 4, 8, 4, 64, 32
 CHUNK, OVERLAP = 1024, 64
 POOL, STEP = CHUNK // STRIDE, (CHUNK - OVERLAP) // STRIDE
-TRAIN_DOCS, TRAIN_CHUNKS, EPOCHS, BATCH = 2000, 3, 8, 64
+TRAIN_DOCS, EPOCHS, BATCH = 2000, 8, 64
+#: A small sample is gone through more often, until this many steps are made.
+LEAST_STEPS = 500
 KEEP = 0.3
-#: Chunks whose filter responses are held at once while scoring.
+#: Chunks whose filter responses are held at once while scoring and fitting.
 BLOCK = 64
 
 
@@ -92,6 +95,7 @@ class ByteConvNet:
         first, last = np.searchsorted(doc, np.arange(n)), np.searchsorted(doc, np.arange(n), "right")
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2, t = {k: np.zeros_like(v) for k, v in self.p.items()}, 0
+        epochs = max(epochs, -(-LEAST_STEPS // -(-n // BATCH)))
         total = epochs * -(-n // BATCH)
         for _ in range(epochs):
             order = r.permutation(n)
@@ -107,12 +111,18 @@ class ByteConvNet:
                     v2[k] += 0.001 * (d * d - v2[k])
                     self.p[k] -= lr * (m[k] / (1 - 0.9 ** t)) / (np.sqrt(v2[k] / (1 - 0.999 ** t)) + 1e-8)
 
-    def _gradient(self, data: np.ndarray, doc: np.ndarray, size: np.ndarray, y: np.ndarray) -> dict:
-        p, half, n = self.p, STRIDE * DIM, data.shape[0]
-        x = p["emb"][data].reshape(n, -1, half)
-        h = x[:, :-1] @ p["conv"][:half] + x[:, 1:] @ p["conv"][half:]
+    def _winners(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each chunk and filter the step of the largest response, and that response."""
+        half = STRIDE * DIM
+        x = self.p["emb"][data].reshape(len(data), -1, half)
+        h = x[:, :-1] @ self.p["conv"][:half] + x[:, 1:] @ self.p["conv"][half:]
         win = h.argmax(1)
-        z = np.take_along_axis(h, win[:, None], 1)[:, 0] + p["bias"]
+        return win, np.take_along_axis(h, win[:, None], 1)[:, 0]
+
+    def _gradient(self, data: np.ndarray, doc: np.ndarray, size: np.ndarray, y: np.ndarray) -> dict:
+        p, blocks = self.p, [slice(at, at + BLOCK) for at in range(0, len(data), BLOCK)]
+        won = [self._winners(data[k]) for k in blocks]
+        z = np.concatenate([h for _, h in won]) + p["bias"]
         a = np.maximum(z, 0)
         u = a @ p["w1"] + p["b1"]
         b = np.maximum(u, 0)
@@ -120,24 +130,23 @@ class ByteConvNet:
         d_logit = ((1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) / size.size / size)[doc].astype(np.float32)
         d_b = d_logit[:, None] * p["w2"] * (u > 0)
         d_a = (d_b @ p["w1"].T) * (z > 0)
-        k = np.arange(n)[:, None]
-        xw = np.concatenate([x[k, win], x[k, win + 1]], 2)
         g = {"w2": b.T @ d_logit, "b2": d_logit.sum(keepdims=True), "w1": a.T @ d_b, "b1": d_b.sum(0),
-             "bias": d_a.sum(0), "conv": np.einsum("nfk,nf->kf", xw, d_a), "emb": np.zeros_like(p["emb"])}
-        back = d_a[:, :, None] * p["conv"].T[None]
-        at = data[k[:, :, None], (win * STRIDE)[:, :, None] + np.arange(WIDTH)]
-        flat = back.reshape(-1, DIM)
-        for c in range(DIM):
-            g["emb"][:, c] = np.bincount(at.ravel(), flat[:, c], 256)
+             "bias": d_a.sum(0), "conv": np.zeros_like(p["conv"]), "emb": np.zeros_like(p["emb"])}
+        for k, (win, _) in zip(blocks, won):
+            rows = np.arange(len(win))[:, None, None]
+            at = data[k][rows, (win * STRIDE)[:, :, None] + np.arange(WIDTH)]
+            xw = p["emb"][at].reshape(*win.shape, WIDTH * DIM)
+            g["conv"] += np.einsum("nfk,nf->kf", xw, d_a[k])
+            back = (d_a[k][:, :, None] * p["conv"].T[None]).reshape(-1, DIM)
+            for c in range(DIM):
+                g["emb"][:, c] += np.bincount(at.ravel(), back[:, c], 256)
         return g
 
 
-def _chunks(raw: bytes, most: int) -> list[bytes]:
-    """At most ``most`` evenly spaced chunks of a document, zero-filled."""
+def _chunks(raw: bytes) -> list[bytes]:
+    """All chunks of a document, zero-filled."""
     steps = _padded(raw).size // STRIDE - 1
-    starts = np.arange(0, max(steps - (POOL - STEP), 1), STEP) * STRIDE
-    if starts.size > most:
-        starts = starts[np.linspace(0, starts.size - 1, most).astype(int)]
+    starts = range(0, max(steps - (POOL - STEP), 1) * STRIDE, STEP * STRIDE)
     return [raw[s:s + CHUNK + STRIDE].ljust(CHUNK + STRIDE, b"\0") for s in starts]
 
 
@@ -148,7 +157,7 @@ _CHUNK_SCHEMA = StructType([StructField("id", LongType()), StructField("y", Inte
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = [(i, y, c) for i, t, y in zip(b["__id"], b["text"], b["y"])
-                for c in _chunks(t.encode("utf-8", "replace"), TRAIN_CHUNKS)]
+                for c in _chunks(t.encode("utf-8", "replace"))]
         yield pd.DataFrame(rows, columns=["id", "y", "part"])
 
 

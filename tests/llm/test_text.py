@@ -19,7 +19,7 @@ def accuracy(scores, labels, label):
     return sum(r.predicted == r[label] for r in rows) / len(rows), len(rows)
 
 
-@pytest.mark.parametrize("scorer,label,least", [(quality.quality_scores, "quality", 0.8), (toxicity.toxicity_scores, "toxic", 0.88)])
+@pytest.mark.parametrize("scorer,label,least", [(quality.quality_scores, "quality", 0.93), (toxicity.toxicity_scores, "toxic", 0.95)])
 def test_held_out_accuracy(spark, scorer, label, least):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     scores = scorer(docs, labels)
@@ -57,6 +57,27 @@ def test_network_reads_the_whole_text():
     assert net.score("") == net.score(None)
 
 
+def test_training_reads_the_whole_text():
+    """Chunks cover every byte of a text, as scoring does, and a gradient in blocks is that of one block."""
+    raw = bytes(np.random.default_rng(1).integers(1, 256, 50_003).astype(np.uint8))
+    parts = quality._chunks(raw)
+    step = quality.STEP * quality.STRIDE
+    assert b"".join(c[:step] for c in parts[:-1]) + parts[-1].rstrip(b"\0") == raw
+    net = quality.ByteConvNet(2)
+    text = "wörd and more " * 3000
+    pooled = np.concatenate([net._winners(np.frombuffer(c, np.uint8)[None])[1] for c in quality._chunks(text.encode())])
+    assert 1 / (1 + np.exp(-net.dense(pooled).mean())) == pytest.approx(net.score(text), abs=1e-3)
+    data = np.frombuffer(b"".join(parts[:40]), np.uint8).reshape(-1, quality.CHUNK + quality.STRIDE)
+    doc, size, y = np.repeat([0, 1], [7, 33]), np.array([7, 33]), np.array([1.0, 0.0])
+    whole, old = net._gradient(data, doc, size, y), quality.BLOCK
+    try:
+        quality.BLOCK = 3
+        parted = net._gradient(data, doc, size, y)
+    finally:
+        quality.BLOCK = old
+    assert all(np.allclose(whole[k], parted[k], atol=1e-5) for k in whole)
+
+
 def test_network_gradient():
     r = np.random.default_rng(0)
     net = quality.ByteConvNet(1)

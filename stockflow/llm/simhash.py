@@ -5,7 +5,10 @@ half of the 3-word shingles' XXH64 values have it. Equal fingerprints are
 folded into one node first. A vantage-point tree over a bounded sample deals
 the nodes into shards by Hamming distance. A node near a shard's boundary
 (within ``max_bits`` of a vantage point's radius) also visits the shards
-beyond, always those of higher number, so each pair across shards meets once.
+beyond. Of two shards a hash of both numbers says which one's nodes visit the
+other, so each pair across shards meets once and every shard gets about as many
+visits. A shard with many visitors is held by several tasks, each with all of its
+owners and a share of the visitors.
 Inside a shard a second vantage-point tree answers the range queries of
 owners and visitors, pruned by the triangle inequality, which loses no pair.
 A shard returns a spanning forest of its links, not the links; components
@@ -35,6 +38,8 @@ from stockflow.llm.components import components
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 #: Points in a leaf of a shard's tree; sampled points for each shard of the top tree.
 LEAF, SAMPLE_PER_SHARD = 64, 64
+#: Visitors a task takes, in owners of the mean shard.
+VISITORS_MOST = 4
 #: Shingles hashed at once, and cells of a distance block.
 BLOCK, CELLS = 1 << 16, 1 << 19
 
@@ -162,7 +167,22 @@ def _deal(tree, points: np.ndarray, own: np.ndarray, home: np.ndarray, bits: int
     _deal(outer, points, own[b], home[b] & (d[b] > mid), bits, out)
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A well-spread 64-bit hash of each 64-bit number."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _visits(own: np.ndarray, shard: int) -> np.ndarray:
+    """Whether nodes of shards ``own`` visit ``shard``; of any two shards one visits the other."""
+    low, high = np.minimum(own, shard), np.maximum(own, shard)
+    up = _mixed(low.astype(np.uint64) << np.uint64(32) | high.astype(np.uint64)) & np.uint64(1) == 1
+    return np.where(own < shard, up, ~up) & (own != shard)
+
+
 def _dealer(tree, bits: int):
+    """Rows of (shard, visits, fp): each node in its home and in the shards that it visits."""
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             p, out = b["fp"].to_numpy().view(np.uint64), []
@@ -171,11 +191,23 @@ def _dealer(tree, bits: int):
             for shard, own, home in out:
                 at[own[home]] = shard
             for shard, own, home in out:
-                stay = home | (at[own] < shard)
+                stay = home | _visits(at[own], shard)
                 yield pd.DataFrame({"shard": np.int32(shard), "visits": ~home[stay], "fp": p[own[stay]].view(np.int64)})
     return deal
 
 
+def _task_plan(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(shard, first task, tasks) for rows of (shard, owners, visitors): a shard has
+    one task more for each time its visitors exceed VISITORS_MOST times the mean shard's owners."""
+    mean = max(1, sum(c[1] for c in counts) // max(len(counts), 1))
+    plan, at = [], 0
+    for shard, _, visitors in sorted(counts):
+        tasks = 1 + visitors // (VISITORS_MOST * mean)
+        plan.append((shard, at, tasks))
+        at += tasks
+    return plan
+
+
 def _linker(bits: int):
     def close(owners: list[np.ndarray]):
         points = np.concatenate(owners)
@@ -236,8 +268,18 @@ def links(nodes: DataFrame, n: int, bits: int = MAX_BITS, shard_points: int | No
     sample = [r["fp"] for r in nodes.select("fp").orderBy(F.xxhash64("fp"), "fp")
               .limit(SAMPLE_PER_SHARD * shards).collect()] if shards > 1 else [0]
     tree = _top_tree(np.array(sample, np.int64).view(np.uint64), shards)
-    dealt = nodes.select("fp").mapInPandas(_dealer(tree, bits), "shard int, visits boolean, fp long")
-    return (dealt.repartition(shards, "shard").sortWithinPartitions("shard", "visits")
+    dealt = materialize(nodes.select("fp").mapInPandas(_dealer(tree, bits), "shard int, visits boolean, fp long"), "dealt")
+    sizes = dealt.groupBy("shard").agg(F.count_if(~F.col("visits")), F.count_if("visits")).collect()  # one row a shard
+    plan = _task_plan([tuple(r) for r in sizes])
+    if not plan:
+        return nodes.sparkSession.createDataFrame([], "a long, b long")
+    own = F.broadcast(nodes.sparkSession.createDataFrame(plan, "shard int, first int, tasks int"))
+    one = F.array((F.col("first") + F.pmod(F.xxhash64("fp"), F.col("tasks"))).cast("int"))
+    every = F.sequence("first", F.col("first") + F.col("tasks") - 1)
+    placed = dealt.join(own, "shard").select("shard", "visits", "fp", F.explode(
+        F.when(F.col("visits"), one).otherwise(every)).alias("task"))
+    return (placed.repartitionById(sum(t for _, _, t in plan), F.col("task"))
+            .sortWithinPartitions("task", "visits").select("shard", "visits", "fp")
             .mapInPandas(_linker(bits), "a long, b long"))
 
 

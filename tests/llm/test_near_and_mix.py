@@ -4,6 +4,8 @@ import re
 from collections import defaultdict
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -83,6 +85,29 @@ def test_shards_lose_no_link(spark, points):
     assert classes(edges) == classes(want)
 
 
+def test_visits_are_spread():
+    """131,072 random fingerprints in 128 shards: no task holds more than four times the mean."""
+    r = np.random.default_rng(7)
+    points = np.unique(r.integers(0, 1 << 63, 131_072, dtype=np.int64))
+    sample = points[r.permutation(points.size)[:128 * simhash.SAMPLE_PER_SHARD]]
+    deal = simhash._dealer(simhash._top_tree(sample.view(np.uint64), 128), 3)
+    rows = pd.concat(deal(iter([pd.DataFrame({"fp": points})])))
+    assert (~rows["visits"]).sum() == points.size
+    sizes = rows.groupby("shard")["visits"].agg(["count", "sum"])
+    counts = [(s, n - v, v) for s, (n, v) in zip(sizes.index.tolist(), sizes.to_numpy().tolist())]
+    plan = simhash._task_plan(counts)
+    assert [f for _, f, _ in plan] == np.cumsum([0] + [t for _, _, t in plan[:-1]]).tolist()
+    load = [n + v / t for (_, n, v), (_, _, t) in zip(sorted(counts), plan) for _ in range(t)]
+    assert max(load) < 4 * np.mean(load) and max(load) < 0.06 * points.size
+
+
+def test_of_two_shards_one_visits():
+    own = np.repeat(np.arange(40), 40), np.tile(np.arange(40), 40)
+    meets = np.array([simhash._visits(np.array([a]), b)[0] for a, b in zip(*own)]).reshape(40, 40)
+    assert not meets.diagonal().any() and (meets ^ meets.T)[~np.eye(40, dtype=bool)].all()
+    assert 8 < meets.sum(1).min() and meets.sum(1).max() < 32
+
+
 def test_keep_one(spark, odd, none):
     kept = simhash.keep_one_of_each(odd)
     assert kept.schema == odd.schema

@@ -7,8 +7,8 @@ the nodes into shards by Hamming distance. A node near a shard's boundary
 (within ``max_bits`` of a vantage point's radius) also visits the shards
 beyond. Of two shards a hash of both numbers says which one's nodes visit the
 other, so each pair across shards meets once and every shard gets about as many
-visits. A shard with many visitors is held by several tasks, each with all of its
-owners and a share of the visitors.
+visits. A shard whose visitors are many (by the sample) is held by several tasks,
+each with all of its owners and a share of the visitors.
 Inside a shard a second vantage-point tree answers the range queries of
 owners and visitors, pruned by the triangle inequality, which loses no pair.
 A shard returns a spanning forest of its links, not the links; components
@@ -181,33 +181,44 @@ def _visits(own: np.ndarray, shard: int) -> np.ndarray:
     return np.where(own < shard, up, ~up) & (own != shard)
 
 
-def _dealer(tree, bits: int):
-    """Rows of (shard, visits, fp): each node in its home and in the shards that it visits."""
+def _placed(tree, p: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, its own points, points that visit it)."""
+    out: list[tuple[int, np.ndarray, np.ndarray]] = []
+    _deal(tree, p, np.arange(p.size), np.ones(p.size, bool), bits, out)
+    at = np.zeros(p.size, np.int64)
+    for shard, own, home in out:
+        at[own[home]] = shard
+    for shard, own, home in out:
+        yield shard, p[own[home]], p[own[~home & _visits(at[own], shard)]]
+
+
+def _task_plan(tree, sample: np.ndarray, shards: int, bits: int) -> list[tuple[int, int]]:
+    """(first task, tasks) of each shard, as the sample's visits suggest: results do not depend on it."""
+    plan, at = [(k, 1) for k in range(shards)], 0
+    visitors = {shard: v.size for shard, _, v in _placed(tree, sample, bits)}
+    for shard in range(shards):
+        tasks = 1 + visitors.get(shard, 0) * shards // (VISITORS_MOST * max(1, sample.size))
+        plan[shard] = (at, tasks)
+        at += tasks
+    return plan
+
+
+def _dealer(tree, plan: list[tuple[int, int]], bits: int):
+    """Rows of (task, visits, fp): each node in its home's tasks and in one task of each shard it visits."""
+    def rows(task, visits: bool, p: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"task": np.int32(task) if np.isscalar(task) else task.astype(np.int32),
+                             "visits": np.full(p.size, visits), "fp": p.view(np.int64)})
+
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            p, out = b["fp"].to_numpy().view(np.uint64), []
-            _deal(tree, p, np.arange(p.size), np.ones(p.size, bool), bits, out)
-            at = np.zeros(p.size, np.int64)
-            for shard, own, home in out:
-                at[own[home]] = shard
-            for shard, own, home in out:
-                stay = home | _visits(at[own], shard)
-                yield pd.DataFrame({"shard": np.int32(shard), "visits": ~home[stay], "fp": p[own[stay]].view(np.int64)})
+            for shard, owners, visitors in _placed(tree, b["fp"].to_numpy().view(np.uint64), bits):
+                first, tasks = plan[shard]
+                for task in range(first, first + tasks):
+                    yield rows(task, False, owners)
+                yield rows(first + (_mixed(visitors) % np.uint64(tasks)).astype(np.int64), True, visitors)
     return deal
 
 
-def _task_plan(counts: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(shard, first task, tasks) for rows of (shard, owners, visitors): a shard has
-    one task more for each time its visitors exceed VISITORS_MOST times the mean shard's owners."""
-    mean = max(1, sum(c[1] for c in counts) // max(len(counts), 1))
-    plan, at = [], 0
-    for shard, _, visitors in sorted(counts):
-        tasks = 1 + visitors // (VISITORS_MOST * mean)
-        plan.append((shard, at, tasks))
-        at += tasks
-    return plan
-
-
 def _linker(bits: int):
     def close(owners: list[np.ndarray]):
         points = np.concatenate(owners)
@@ -236,7 +247,7 @@ def _linker(bits: int):
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, owners, state = None, [], None
         for b in batches:
-            for s, g in b.groupby("shard", sort=True):
+            for s, g in b.groupby("task", sort=True):
                 if s != shard:
                     if owners and state is None:
                         yield frame(close(owners)[3])
@@ -267,19 +278,12 @@ def links(nodes: DataFrame, n: int, bits: int = MAX_BITS, shard_points: int | No
     shards = max(1, 1 << max(0, math.ceil(math.log2(max(n, 1) / target))))
     sample = [r["fp"] for r in nodes.select("fp").orderBy(F.xxhash64("fp"), "fp")
               .limit(SAMPLE_PER_SHARD * shards).collect()] if shards > 1 else [0]
-    tree = _top_tree(np.array(sample, np.int64).view(np.uint64), shards)
-    dealt = materialize(nodes.select("fp").mapInPandas(_dealer(tree, bits), "shard int, visits boolean, fp long"), "dealt")
-    sizes = dealt.groupBy("shard").agg(F.count_if(~F.col("visits")), F.count_if("visits")).collect()  # one row a shard
-    plan = _task_plan([tuple(r) for r in sizes])
-    if not plan:
-        return nodes.sparkSession.createDataFrame([], "a long, b long")
-    own = F.broadcast(nodes.sparkSession.createDataFrame(plan, "shard int, first int, tasks int"))
-    one = F.array((F.col("first") + F.pmod(F.xxhash64("fp"), F.col("tasks"))).cast("int"))
-    every = F.sequence("first", F.col("first") + F.col("tasks") - 1)
-    placed = dealt.join(own, "shard").select("shard", "visits", "fp", F.explode(
-        F.when(F.col("visits"), one).otherwise(every)).alias("task"))
-    return (placed.repartitionById(sum(t for _, _, t in plan), F.col("task"))
-            .sortWithinPartitions("task", "visits").select("shard", "visits", "fp")
+    points = np.array(sample, np.int64).view(np.uint64)
+    tree = _top_tree(points, shards)
+    plan = _task_plan(tree, points, shards, bits)
+    dealt = nodes.select("fp").mapInPandas(_dealer(tree, plan, bits), "task int, visits boolean, fp long")
+    # by number, not by hash: two shards never meet in one task
+    return (dealt.repartitionById(sum(t for _, t in plan), F.col("task")).sortWithinPartitions("task", "visits")
             .mapInPandas(_linker(bits), "a long, b long"))
 
 

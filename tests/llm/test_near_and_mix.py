@@ -90,15 +90,13 @@ def test_visits_are_spread():
     r = np.random.default_rng(7)
     points = np.unique(r.integers(0, 1 << 63, 131_072, dtype=np.int64))
     sample = points[r.permutation(points.size)[:128 * simhash.SAMPLE_PER_SHARD]]
-    deal = simhash._dealer(simhash._top_tree(sample.view(np.uint64), 128), 3)
-    rows = pd.concat(deal(iter([pd.DataFrame({"fp": points})])))
-    assert (~rows["visits"]).sum() == points.size
-    sizes = rows.groupby("shard")["visits"].agg(["count", "sum"])
-    counts = [(s, n - v, v) for s, (n, v) in zip(sizes.index.tolist(), sizes.to_numpy().tolist())]
-    plan = simhash._task_plan(counts)
-    assert [f for _, f, _ in plan] == np.cumsum([0] + [t for _, _, t in plan[:-1]]).tolist()
-    load = [n + v / t for (_, n, v), (_, _, t) in zip(sorted(counts), plan) for _ in range(t)]
-    assert max(load) < 4 * np.mean(load) and max(load) < 0.06 * points.size
+    tree = simhash._top_tree(sample.view(np.uint64), 128)
+    plan = simhash._task_plan(tree, sample.view(np.uint64), 128, 3)
+    assert [f for f, _ in plan] == np.cumsum([0] + [t for _, t in plan[:-1]]).tolist() and max(t for _, t in plan) > 1
+    rows = pd.concat(simhash._dealer(tree, plan, 3)(iter([pd.DataFrame({"fp": points})])))
+    assert rows.loc[~rows["visits"], "fp"].nunique() == points.size
+    load = rows.groupby("task").size()
+    assert load.size == sum(t for _, t in plan) and load.max() < 4 * load.mean() and load.max() < 0.06 * points.size
 
 
 def test_of_two_shards_one_visits():

@@ -110,27 +110,30 @@ def unique_audit(tables: dict[str, DataFrame]) -> DataFrame:
 def fk_audit(tables: dict[str, DataFrame]) -> DataFrame:
     """DQ2: orphans of every declared foreign key: (child, fk, fk_value, n_rows).
 
-    Every table is scanned once: a row gives its own key, as a parent, and each
-    of its non-null references. One aggregation over (parent, value) then
-    counts the references of each link and sees whether the parent is there;
-    a value that very many rows refer to is summed before the shuffle.
+    Every table is scanned once: a row gives each of its non-null references,
+    by link, and its own key, as a parent, to each link that points at it. One
+    aggregation over (link, value) then counts the references and sees whether
+    the parent is there; a value that very many rows refer to is summed before
+    the shuffle. Most values are met a few times only, so nearly every row makes
+    a group: a group is kept to one number and one flag, whatever the number
+    of links.
     """
     links = [(child, cols[0], parent, pcols[0]) for child, cols, parent, pcols, _ in FOREIGN_KEYS
              if child in tables and parent in tables and cols[0] in tables[child].columns]
     parts = []
     for name, df in tables.items():
-        roles = [F.struct(F.lit(name).alias("parent"), F.col(pk).cast("long").alias("value"), F.lit(-1).alias("link"))
-                 for pk in sorted({pk for _, _, parent, pk in links if parent == name})]
-        roles += [F.struct(F.lit(parent).alias("parent"), F.col(fk).cast("long").alias("value"), F.lit(k).alias("link"))
-                  for k, (child, fk, parent, _) in enumerate(links) if child == name]
+        roles = [F.struct(F.lit(k).alias("link"), F.col(pk if own else fk).cast("long").alias("value"), F.lit(own).alias("own"))
+                 for k, (child, fk, parent, pk) in enumerate(links) for own in (True, False) if name == (parent if own else child)]
         if roles:
             parts.append(df.select(F.inline(F.array(*roles))).where(F.col("value").isNotNull()))
-    counts = (_counted(parts).groupBy("parent", "value")
-              .agg(F.bool_or(F.col("link") == -1).alias("_there"),
-                   *[F.count_if(F.col("link") == k).alias(f"_n{k}") for k in range(len(links))]))
-    found = F.array(*[F.struct(F.lit(child).alias("child"), F.lit(fk).alias("fk"), F.col("value").alias("fk_value"),
-                               F.col(f"_n{k}").alias("n_rows")) for k, (child, fk, _, _) in enumerate(links)])
-    return counts.where(~F.col("_there")).select(F.inline(found)).where(F.col("n_rows") > 0)
+    counts = (_counted(parts).groupBy("link", "value")
+              .agg(F.bool_or("own").alias("_there"), F.count_if(~F.col("own")).alias("n_rows")))
+
+    def named(i: int) -> Column:
+        return F.element_at(F.array(*[F.lit(x[i]) for x in links]), F.col("link") + 1)
+
+    return counts.where(~F.col("_there")).select(named(0).alias("child"), named(1).alias("fk"), F.col("value").alias("fk_value"), "n_rows")
+
 
 def delete_with_rules(parent: DataFrame, parent_key: str, keys: DataFrame,
                       cascade: dict[str, tuple[DataFrame, str]] | None = None,

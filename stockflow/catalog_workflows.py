@@ -54,8 +54,10 @@ WINDOW w AS (PARTITION BY h.warehouse_id, d.item_id ORDER BY d.po_detail_id)"""
 def q_receive_alerts(spark, d):
     """WF10 into WF15: the alert table after every open purchase order is received, line by line."""
     t = T(spark, d)
-    r = orders.receive_pos(t.purchase_order, t.purchase_order_details, t.stock, t.purchase_order.select("po_id"), as_of=AS_OF)
-    return alerts_op.maintain_alerts(t.reorder_alerts, alerts_op.observations(r["applied"], t.item, NEW_ALERT_ID_OFFSET))
+    r = orders.receive_pos(t.purchase_order, t.purchase_order_details, t.stock, t.purchase_order.select("po_id"), as_of=AS_OF,
+                           item=t.item)
+    return alerts_op.maintain_alerts(t.reorder_alerts, alerts_op.observations(r["applied"], id_offset=NEW_ALERT_ID_OFFSET),
+                                     in_order=True)
 
 
 @register("adjust_alerts", W("w_log", "w_po", "w_pod", "w_stock", "w_item", "w_alerts0", extra=_alert_sim(

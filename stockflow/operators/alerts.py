@@ -58,13 +58,24 @@ def with_levels(moves: DataFrame, item: DataFrame) -> DataFrame:
     return moves.join(item.select("item_id", "reorder_level"), "item_id", "left")
 
 
+def with_all_levels(lines: DataFrame, item: DataFrame) -> DataFrame:
+    """As ``with_levels``, for callers that join after the fold otherwise: a line
+    stays one row and has the levels of every item row with its id, in
+    ``reorder_levels``, so that an item id that repeats changes no balance."""
+    levels = (item.where(F.col("item_id").isNotNull()).groupBy("item_id")
+              .agg(F.sort_array(F.collect_list("reorder_level")).alias("reorder_levels")))
+    return lines.join(levels, "item_id", "left")
+
+
 def observations(applied: DataFrame, item: DataFrame | None = None, id_offset: int = 0) -> DataFrame:
     """Stock observations from applied movements (D-5: every applied movement
     of a known item emits one). ``new_alert_id`` is the id an alert opened here
     would get. ``item`` is not needed if the movements had their levels
-    (``with_levels``); then the observations keep the order of the fold."""
+    (``with_levels``, ``with_all_levels``); then the observations keep the order of the fold."""
     seen = applied.where(F.col("accepted"))
-    if "reorder_level" not in applied.columns:
+    if "reorder_levels" in applied.columns:
+        seen = seen.withColumn("reorder_level", F.explode("reorder_levels"))
+    elif "reorder_level" not in applied.columns:
         seen = seen.join(item.select("item_id", "reorder_level"), "item_id")
     return (seen.where(F.col("reorder_level").isNotNull())
             .select(*KEY, F.col("balance").alias("quantity"), "logged_at", "log_id", "reorder_level",

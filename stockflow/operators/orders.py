@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from stockflow.functions.scalars import (backfill_contact_expr, collated, map_role,
                                          non_blank, strip, valid_gmail)
 from stockflow.operators import ledger, totals
+from stockflow.operators.alerts import with_all_levels
 from stockflow.operators.allocation import allocate
 from stockflow.sources.sinks import Outputs, append_rows, update_by_key, upsert_stock
 
@@ -37,20 +38,30 @@ def _gate(request: DataFrame, header: DataFrame, detail: DataFrame, key: str,
             h.where(F.col("reason").isNotNull()).select(key, "reason"))
 
 
+def _open_headers(request: DataFrame, header: DataFrame, key: str, allowed: tuple[str, ...]) -> DataFrame:
+    """The requested orders of an allowed status: what the lines of accepted
+    orders join. That an accepted order has lines need not be looked up for
+    that: one without any gives the join nothing."""
+    req = request.select(key).distinct()
+    return (req.join(header.select(key, "warehouse_id", "status"), key)
+            .where(F.col("status").isin(*allowed)).select(key, "warehouse_id"))
+
+
 # ---------------------------------------------------------------- receive
 def receive_pos(po: DataFrame, pod: DataFrame, stock: DataFrame, request: DataFrame,
                 emp_id: int | None = None, as_of: str | None = None,
-                ledger_log: DataFrame | None = None) -> dict[str, DataFrame]:
+                ledger_log: DataFrame | None = None, item: DataFrame | None = None) -> dict[str, DataFrame]:
     """WF10: receive purchase orders: stock up, one ledger IN row per line,
     status RECEIVED and the header total refreshed (D-7). ``applied`` has each
-    line's balance for the reorder alerts; with ``ledger_log``, ``ledger`` is
-    that ledger with the new rows posted.
+    line's balance for the reorder alerts (with ``item``, and the item's levels,
+    so that the observations come in the order of the scan); with
+    ``ledger_log``, ``ledger`` is that ledger with the new rows posted.
 
     Lines of all accepted orders are pre-aggregated per (warehouse, item)
     and applied with one full outer join (SNK7) -- no per-line round trips.
     """
     ok, rejected = _gate(request, po, pod, "po_id", RECEIVABLE)
-    lines = pod.join(ok, "po_id")
+    lines = pod.join(_open_headers(request, po, "po_id", RECEIVABLE), "po_id")
     ts = F.lit(as_of).cast("timestamp") if as_of else F.current_timestamp()
     new_stock = lambda: upsert_stock(stock, lines.select(*KEY, F.col("quantity").alias("delta")), as_of=as_of)
     log = lines.select(
@@ -61,7 +72,8 @@ def receive_pos(po: DataFrame, pod: DataFrame, stock: DataFrame, request: DataFr
     new_po = totals.refresh_totals(po, pod, "po_id", received)
     new_po = update_by_key(new_po, received.withColumn("status", F.lit("RECEIVED")), ["po_id"], ["status"])
     return _with_ledger(Outputs(stock=new_stock, log=log, po=new_po, rejected=rejected, accepted=received,
-                                applied=lambda: ledger.line_effects(log, stock, ["logged_at", "src_id"])),
+                                applied=lambda: ledger.line_effects(log if item is None else with_all_levels(log, item),
+                                                                    stock, ["logged_at", "src_id"])),
                         ledger_log, log, ["src_id"])
 
 

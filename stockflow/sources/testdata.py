@@ -223,16 +223,17 @@ class TestTables:
         keys = keys.join(self.item.select("item_id", "reorder_level"), "item_id")
         m = F.col("item_id") % 4
 
-        def rows(cond, status, code, date):
-            return keys.where(cond).select(
+        def row(cond, status, code, date):
+            return F.when(cond, F.struct(
                 ((F.col("warehouse_id") * 1000 + F.col("item_id")) * 4 + code).alias("alert_id"),
                 "warehouse_id", "item_id", F.lit(0).cast("long").alias("current_quantity"),
                 "reorder_level", _lit_null("long").alias("expected_quantity"),
-                F.lit(date).cast("timestamp").alias("alert_date"), F.lit(status).alias("status"))
+                F.lit(date).cast("timestamp").alias("alert_date"), F.lit(status).alias("status")))
 
-        return (rows((m == 1) | (m == 3) | ((m == 0) & (F.col("warehouse_id") % 2 == 0)), "OPEN", 1, "2023-12-01 00:00:00")
-                .unionByName(rows((m == 2) | (m == 3), "ACK", 2, "2023-12-15 00:00:00"))
-                .unionByName(rows((m == 0) & (F.col("warehouse_id") % 2 == 0), "RESOLVED", 3, "2023-11-01 00:00:00")))
+        return keys.select(F.inline(F.array_compact(F.array(  # the ledger is scanned once
+            row((m == 1) | (m == 3) | ((m == 0) & (F.col("warehouse_id") % 2 == 0)), "OPEN", 1, "2023-12-01 00:00:00"),
+            row((m == 2) | (m == 3), "ACK", 2, "2023-12-15 00:00:00"),
+            row((m == 0) & (F.col("warehouse_id") % 2 == 0), "RESOLVED", 3, "2023-11-01 00:00:00")))))
 
 
 def movements_from_events(events: DataFrame) -> DataFrame:

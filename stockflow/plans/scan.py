@@ -21,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
@@ -366,6 +366,16 @@ def clipped_fold(df: DataFrame, keys: list[str], order: list[str], value: str, r
             .withColumnRenamed("_balance", balance_out).withColumnRenamed("_accepted", accepted_out))
 
 
+def _small_table(spark: SparkSession, rows: list[tuple], shape: StructType) -> DataFrame:
+    """A few rows of the driver as a table. Given as Arrow data they are a local
+    relation; rows of Python objects would start a second set of Python workers
+    on the executors, beside those of the scans."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    schema = to_arrow_schema(shape)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)],
+                                                      schema=schema), shape)
+
+
 def _exits(values: np.ndarray, entries: np.ndarray) -> np.ndarray:
     """The balance that each entry balance leaves after all movements. Balances
     that meet go on together, so they are followed once."""
@@ -396,7 +406,7 @@ def _step_tables(slim: DataFrame, keys: list[str], value: str, chains: dict[tupl
                 for i, (key, chunks) in enumerate(sorted(chains.items(), key=str)) for pid, high, need, total, final in chunks]
     shape = StructType([StructField("_chain", LongType())] + [StructField("_k_" + k, slim.schema[k].dataType) for k in keys]
                        + [StructField(c, LongType()) for c in ("_at", "_high", "_need", "_sum", "_last")])
-    plan = F.broadcast(spark.createDataFrame(numbered, shape))   # at most one row per chunk
+    plan = F.broadcast(_small_table(spark, numbered, shape))   # at most one row per chunk
     same = F.col(PID) == F.col("_at")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col("_k_" + k))
@@ -448,7 +458,7 @@ def _stream_chains(slim: DataFrame, keys: list[str], value: str, reset: str,
     numbered = [(i, *key, pid, b) for i, (key, (pid, b)) in enumerate(sorted(open_at.items(), key=str))]
     shape = StructType([StructField("_chain", LongType())] + [StructField("_k_" + k, slim.schema[k].dataType) for k in keys]
                        + [StructField("_from", LongType()), StructField("_enter", LongType())])
-    chains = F.broadcast(spark.createDataFrame(numbered, shape))   # at most one row per chunk
+    chains = F.broadcast(_small_table(spark, numbered, shape))   # at most one row per chunk
     same = F.col(PID) >= F.col("_from")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col("_k_" + k))

@@ -144,14 +144,17 @@ def line_effects(lines: DataFrame, stock: DataFrame, order: list[str]) -> DataFr
     return running_balance(moves, stock, order).withColumn("accepted", F.lit(True))
 
 
-def stock_after(stock: DataFrame, applied: DataFrame) -> DataFrame:
+def stock_after(stock: DataFrame, applied: DataFrame, mark: str | None = None) -> DataFrame:
     """New stock snapshot after ``apply_movements``: last balance per key, with
-    untouched stock rows kept. Keys without a row get one."""
+    untouched stock rows kept. Keys without a row get one. ``mark`` names a
+    column of ``stock`` that takes the time of the key's last movement, from
+    the same aggregate and join."""
     last = (applied.groupBy(*KEY)
-            .agg(F.max_by("balance", F.struct(*ORDER)).alias("new_qty"),
+            .agg(F.max_by("balance", F.struct(*ORDER)).alias("new_qty"), F.max("logged_at").alias("_new_mark"),
                  F.count_if("accepted").alias("n_applied"),
                  F.count_if(~F.col("accepted")).alias("n_rejected")))
-    j = stock.select(*KEY, "quantity").join(last, KEY, "full_outer")
+    j = stock.select(*KEY, "quantity", *([mark] if mark else [])).join(last, KEY, "full_outer")
     return j.select(*KEY, F.coalesce("new_qty", "quantity").cast("long").alias("quantity"),
+                    *([F.greatest(mark, "_new_mark").alias(mark)] if mark else []),
                     F.coalesce("n_applied", F.lit(0)).alias("n_applied"),
                     F.coalesce("n_rejected", F.lit(0)).alias("n_rejected"))

@@ -26,10 +26,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from stockflow.functions.scalars import line_total, month_key, signed_qty
-from stockflow.plans.checkpoint import checkpoint_dir, cut_lineage, ensure_checkpoint_dir
+from stockflow.plans.checkpoint import checkpoint_dir, ensure_checkpoint_dir
 
 KEY = ["warehouse_id", "item_id"]
 
@@ -48,11 +48,13 @@ def stage_files(df: DataFrame, path: str, n_steps: int, order: list[str], rows_p
     ``rows_per_file`` each; a reader that takes that many files per trigger
     (the file source takes files oldest first) replays step after step.
     """
-    parts = cut_lineage(df.repartitionByRange(n_steps * 4, *order).withColumn("_part", F.spark_partition_id()))
-    files = max(1, -(-parts.count() // (n_steps * rows_per_file)))
+    spark, aside = df.sparkSession, path + "-steps"
+    (df.repartitionByRange(n_steps * 4, *order).withColumn("_step", F.floor(F.spark_partition_id() / 4).cast("int"))
+     .write.partitionBy("_step").parquet(aside))   # each step is read back alone
+    steps = spark.read.schema(StructType(df.schema.fields + [StructField("_step", IntegerType())])).parquet(aside)
+    files = max(1, -(-steps.count() // (n_steps * rows_per_file)))
     for k in range(n_steps):
-        (parts.where((F.col("_part") >= 4 * k) & (F.col("_part") < 4 * (k + 1))).drop("_part")
-         .repartition(files).write.mode("append").parquet(path))
+        steps.where(F.col("_step") == k).drop("_step").repartition(files).write.mode("append").parquet(path)
     return files
 
 
@@ -346,16 +348,13 @@ class InventoryPipeline:
         touched = self.stock_sink.touched(batch_df)
         stock = self.stock_sink.previous(epoch, touched)
         alerts = self.alert_sink.previous(epoch, touched)
-        marks = stock.select(*KEY, F.col("last_logged_at").alias("_mark"))
+        marks = stock.where(F.col("last_logged_at").isNotNull()).select(*KEY, F.col("last_logged_at").alias("_mark"))
         tagged = batch_df.join(marks, KEY, "left")
         late = F.col("_mark").isNotNull() & (F.col("logged_at") < F.col("_mark"))
         tagged.where(late).drop("_mark").write.mode("overwrite").parquet(f"{self.base}/late/v={epoch:08d}")
         moves = tagged.where(~late).drop("_mark")
         applied = ledger.apply_movements(alerts_op.with_levels(moves, self.item), stock.select(*KEY, "quantity"))
-        after = ledger.stock_after(stock.select(*KEY, "quantity"), applied).select(*KEY, "quantity")
-        last = applied.groupBy(*KEY).agg(F.max("logged_at").alias("_new_mark"))
-        new_stock = (after.join(marks, KEY, "left").join(last, KEY, "left")
-                     .select(*KEY, "quantity", F.greatest("_mark", "_new_mark").alias("last_logged_at")))
+        new_stock = ledger.stock_after(stock, applied, "last_logged_at").select(*KEY, "quantity", "last_logged_at")
         obs = alerts_op.observations(applied, id_offset=self.offset)
         new_alerts = alerts_op.maintain_alerts(alerts, obs, in_order=True)
         self.stock_sink.commit(epoch, new_stock, touched)
